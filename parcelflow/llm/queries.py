@@ -6,17 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .decontaminate import contamination
+from .license_scan import known_licenses, license_scan
+from .mixing import mix, natural_weights
 from .near_dedup import near_duplicates
 from .spark_util import read_table
+from .suffix_dedup import suffix_dedup
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs, natural_weights(docs))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minhash_near_dedup,)}
+    own = (op2_decontamination, op3_license_scan, op4_source_mixing, op6_minhash_near_dedup, op7_suffix_array_dedup)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontamination": oracles.OP2,
+        "op3_license_scan": oracles.license_sql(),
+        "op4_source_mixing": oracles.OP4,
+        "op6_minhash_near_dedup": oracles.OP6,
+    }
