@@ -7,7 +7,7 @@ table of known texts, a fixed list of a few kilobytes that is safe to broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import LOWER, UPPER
@@ -46,18 +46,18 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, text string")
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of an entire text; null stays null."""
-    low = F.translate(text, UPPER, LOWER)
-    named = F.regexp_replace(low, r"(^|\n)[^\n]*(?:copyright|\(c\)|©)[^\n]*", "$1")
-    spaced = F.trim(F.regexp_replace(F.when(low.rlike(r"copyright|\(c\)|©"), named).otherwise(low), r"[^\p{L}\p{N}]+", " "))
-    for old, new in SPELLINGS.items():
-        spaced = F.when(F.contains(spaced, F.lit(old)), F.regexp_replace(spaced, rf"(^| ){old}( |$)", f"$1{new}$2")).otherwise(spaced)
-    return spaced
-
-
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def with_digest(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with ``out``: the digest of the canonical form of the entire text in column ``text`` (null stays null)."""
+    low, marked = "_canonical_low", "_canonical_text"
+    owner = r"copyright|\(c\)|©"
+    df = df.withColumn(low, F.translate(text, UPPER, LOWER))
+    named = F.regexp_replace(low, rf"(^|\n)[^\n]*(?:{owner})[^\n]*", "$1")
+    df = df.withColumn(low, F.when(F.col(low).rlike(owner), named).otherwise(F.col(low)))
+    df = df.withColumn(marked, F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")))
+    table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(marked, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    df = df.withColumn(marked, F.when(F.col(marked).rlike("(^| )(" + "|".join(SPELLINGS) + ")( |$)"), spelled).otherwise(F.col(marked)))
+    return df.withColumn(out, F.sha2(F.col(marked).cast("binary"), 256)).drop(low, marked)
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -67,15 +67,15 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     looked up entire as well; n_notice_lines counts those that equal a known text and notices lists their ids, sorted and
     comma-joined.  Null texts have a null digest and no licence; texts without a letter or digit never match.  A digest
     with several ids takes the smallest id."""
-    known = known.select(digest(F.col("text")).alias("kd"), "license").where(F.col("kd") != F.sha2(F.lit("").cast("binary"), 256)).groupBy("kd").agg(F.min("license").alias("found"))
+    known = with_digest(known.select("license", "text"), "text", "kd").where(F.col("kd") != F.sha2(F.lit("").cast("binary"), 256)).groupBy("kd").agg(F.min("license").alias("found"))
     docs = with_text(docs)
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike("licen[cs]e"))
-    keyed = docs.select("doc_id", digest(F.col("text")).alias("digest"), lines.alias("lines"))
+    keyed = with_digest(docs.select("doc_id", "text", lines.alias("lines")), "text", "digest").drop("text")
     table = F.broadcast(known)
     whole = keyed.join(table, F.col("digest") == F.col("kd"), "left").select("doc_id", "digest", F.col("found").alias("license"), "lines")
     names = F.array_sort(F.collect_list("found"))
     plain = whole.where("lines IS NULL OR size(lines) = 0").select("doc_id", "digest", "license", F.lit(0).cast("long").alias("n_notice_lines"), F.lit("").alias("notices"))
     named = whole.where("size(lines) > 0").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "digest", "license", "row", F.explode("lines").alias("line"))
-    named = named.withColumn("ld", digest(F.col("line"))).join(table, F.col("ld") == F.col("kd"), "left")
+    named = with_digest(named, "line", "ld").join(table, F.col("ld") == F.col("kd"), "left")
     named = named.groupBy("doc_id", "digest", "license", "row").agg(F.count("found").alias("n_notice_lines"), F.array_join(F.array_distinct(names), ",").alias("notices")).drop("row")
     return plain.unionByName(named).withColumn("licensed", F.col("license").isNotNull() | (F.col("n_notice_lines") > 0))
