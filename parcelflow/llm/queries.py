@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .decontaminate import contamination
+from .language_id import languages
 from .license_scan import known_licenses, license_scan
 from .mixing import mix, natural_weights
 from .near_dedup import near_duplicates
+from .quality import quality_scores
 from .spark_util import read_table
 from .suffix_dedup import suffix_dedup
+from .token_counts import token_counts
+from .topk import top_k
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +36,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, natural_weights(docs))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -36,8 +48,19 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_decontamination, op3_license_scan, op4_source_mixing, op6_minhash_near_dedup, op7_suffix_array_dedup)
+    own = (
+        op1_quality_classifier, op2_decontamination, op3_license_scan, op4_source_mixing, op5_token_counts,
+        op6_minhash_near_dedup, op7_suffix_array_dedup, op8_exact_top_k, op10_language_id,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -47,4 +70,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": oracles.license_sql(),
         "op4_source_mixing": oracles.OP4,
         "op6_minhash_near_dedup": oracles.OP6,
+        "op8_exact_top_k": oracles.OP8,
     }
