@@ -35,7 +35,9 @@ from .spark_util import partitions, with_text, written
 GRAM = 32
 LAST = (1 << 63) - 1
 SALTS = 64
-HEAVY_SAMPLE, HEAVY_ROWS, HEAVY_KEYS = 32, 24, 50_000
+#: Grams are frequent from this share of all anchors on, but not below HEAVY_LEAST rows and always from HEAVY_MOST
+#: rows on; both counts are estimated from one document in HEAVY_SAMPLE.
+HEAVY_SAMPLE, HEAVY_SHARE, HEAVY_LEAST, HEAVY_MOST, HEAVY_KEYS = 32, 1 / 5000, 768, 20_000, 50_000
 ID_LIMIT = 2_000_000
 
 _U64 = np.uint64
@@ -86,6 +88,20 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     return text, first, after - first, gram[anchor[first]], region
 
 
+def _merged(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, given as (doc, first window, number of windows) in order, joined where their bytes touch."""
+    if not len(doc):
+        return doc, lo, n
+    end = lo + n + length - 1
+    far = end.copy()
+    change = doc[1:] != doc[:-1]
+    base = np.concatenate([[0], np.cumsum(change)]) * (int(far.max()) + 1)
+    far = np.maximum.accumulate(far + base) - base
+    cut = np.flatnonzero(change | (lo[1:] > far[:-1])) + 1
+    head, tail = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]) - 1
+    return doc[head], lo[head], far[tail] - lo[head] - length + 1
+
+
 _ANCHOR = "g long, salt int, ext long, doc long, lo int, n int, done boolean"
 
 
@@ -112,11 +128,19 @@ def _emit_anchors(length: int, heavy: np.ndarray | None):
             same[1:] = ext[1:] == ext[:-1]
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(g)))) if len(g) else np.zeros(0, np.int64)
             done = same & ((doc != doc[head]) | (lo != lo[head]))
-            keep = ~same | done
             salt = np.where(np.isin(g, heavy), 1 + (ext % _U64(SALTS)).astype(np.int64), 0) if heavy is not None and len(heavy) else np.zeros(len(g), np.int64)
-            salt = np.where(done, -1 - (ext % _U64(997)).astype(np.int64), salt)
-            cols = (g.view(np.int64), salt.astype(np.int32), ext.view(np.int64), doc, lo.astype(np.int32), n.astype(np.int32), done)
-            out = pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["g", "salt", "ext", "doc", "lo", "n", "done"])
+            order = np.flatnonzero(done)
+            order = order[np.lexsort((lo[order], doc[order]))]
+            r_doc, r_lo, r_n = _merged(doc[order], lo[order], n[order], length)
+            # Runs that are done need no other row: they are spread over all partitions.
+            spread = t.mix(r_doc.view(_U64) * _U64(31) + r_lo.astype(_U64))
+            keep = ~same
+            cols = (
+                np.concatenate([g[keep], spread]).view(np.int64), np.concatenate([salt[keep], np.full(len(r_doc), -1)]).astype(np.int32),
+                np.concatenate([ext[keep], spread]).view(np.int64), np.concatenate([doc[keep], r_doc]), np.concatenate([lo[keep], r_lo]).astype(np.int32),
+                np.concatenate([n[keep], r_n]).astype(np.int32), np.arange(int(keep.sum()) + len(r_doc)) >= int(keep.sum()),
+            )
+            out = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "salt", "ext", "doc", "lo", "n", "done"])
             for i in range(0, out.num_rows, 100_000):
                 yield out.slice(i, 100_000)
 
@@ -213,20 +237,33 @@ def _last_round(length: int):
 
 
 def _window_rows(length: int):
+    """Windows of frequent grams: of equal windows in a batch the earliest stays, the others leave as runs (h null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 10_000):
+                part = batch.slice(i, 10_000)
                 regions = part.column("region").to_pylist()
-                if not regions:
-                    continue
                 count = np.array([len(r) for r in regions], np.int64)
                 offs, n = np.cumsum(count) - count, count - length + 1
                 which = np.repeat(np.arange(len(n)), n)
                 inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = offs[which] + inside
                 rank = t.span_hash(t.prefix_hash(np.frombuffer(b"".join(regions), np.uint8)), at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(part.column("doc").to_numpy()[which]), pa.array((part.column("lo").to_numpy()[which] + inside).astype(np.int32))], names=["h", "doc", "s"])
+                doc, s = part.column("doc").to_numpy()[which], part.column("lo").to_numpy()[which] + inside
+                order = np.lexsort((s, doc, rank))
+                rank, doc, s = rank[order], doc[order], s[order]
+                same = np.zeros(len(rank), bool)
+                same[1:] = rank[1:] == rank[:-1]
+                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(rank))))
+                late = same & ((doc != doc[head]) | (s != s[head]))
+                order = np.flatnonzero(late)
+                order = order[np.lexsort((s[order], doc[order]))]
+                r_doc, a, b = _runs(doc[order], s[order], length)
+                first = ~same
+                h = pa.concat_arrays([pa.array(rank[first].view(np.int64)), pa.nulls(len(r_doc), pa.int64())])
+                cols = [h, pa.array(np.concatenate([doc[first], r_doc])), pa.array(np.concatenate([s[first], a]).astype(np.int32)), pa.array(np.concatenate([s[first] + length, b]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "doc", "a", "b"])
 
     return run
 
@@ -237,8 +274,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     Null doc_ids count as the largest id.  Spans may overlap or touch; ``cut`` merges them."""
     spark = docs.sparkSession
     docs = with_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HEAVY_SAMPLE)) == 0).mapInArrow(_emit_anchors(length, None), _ANCHOR)
-    often = sample.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HEAVY_ROWS).orderBy(F.desc("c"), "g").limit(HEAVY_KEYS)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HEAVY_SAMPLE)) == 0)
+    drawn = written(drawn.mapInArrow(_emit_anchors(length, None), _ANCHOR).where("NOT done").select("g"), "suffix-sample")
+    least = min(max(HEAVY_LEAST, drawn.count() * HEAVY_SAMPLE * HEAVY_SHARE), HEAVY_MOST) / HEAVY_SAMPLE
+    often = drawn.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "g").limit(HEAVY_KEYS)
     heavy = np.sort(np.array([r.g for r in often.select("g").collect()], np.int64).view(_U64))
 
     rows = docs.mapInArrow(_emit_anchors(length, heavy), _ANCHOR)
@@ -256,9 +295,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     contexts = written(contexts, "suffix-regions")
     n = partitions(spark)
     plain = contexts.where("salt = 0").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_last_round(length), "doc long, a int, b int")
-    windows = contexts.where("salt > 0").mapInArrow(_window_rows(length), "h long, doc long, s int")
-    earliest = windows.groupBy("h").agg(F.min(F.struct("doc", "s")).alias("e"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    late = windows.join(earliest, "h").where("e.doc != doc OR e.s != s").select("doc", F.col("s").alias("a"), (F.col("s") + length).alias("b"))
+    windows = written(contexts.where("salt > 0").mapInArrow(_window_rows(length), "h long, doc long, a int, b int"), "suffix-windows")
+    firsts = windows.where("h IS NOT NULL")
+    earliest = firsts.groupBy("h").agg(F.min(F.struct("doc", "a")).alias("e"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    late = firsts.join(earliest, "h").where("e.doc != doc OR e.a != a").select("doc", "a", "b").unionByName(windows.where("h IS NULL").select("doc", "a", "b"))
     regions = marked.where("repeats").select("doc", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("b"))
     spans = regions.unionByName(plain).unionByName(late)
     return spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
