@@ -10,6 +10,7 @@ from . import oracles
 from .decontaminate import contamination
 from .language_id import languages
 from .license_scan import known_licenses, license_scan
+from .lm_scoring import lm_scores
 from .mixing import mix, natural_weights
 from .near_dedup import near_duplicates
 from .quality import quality_scores
@@ -52,6 +53,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_classifier, op2_decontamination, op3_license_scan, op4_source_mixing, op5_token_counts,
-        op6_minhash_near_dedup, op7_suffix_array_dedup, op8_exact_top_k, op10_language_id,
+        op6_minhash_near_dedup, op7_suffix_array_dedup, op8_exact_top_k, op9_lm_scoring, op10_language_id,
     )
     return {f.__name__: f for f in own}
 
