@@ -1,9 +1,59 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the SQL that checks them.  ``query`` adds both; plan modules register on import."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import importlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+MODULES = (
+    "function_queries", "filter_queries", "join_queries", "spatial_queries", "aggregate_queries", "window_queries",
+    "source_queries", "quality_queries", "state_queries", "pipeline_queries",
+)
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Tables:
+    """The tables of a data folder as attributes, each read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of Tables under ``name``, with its SQL where SQL can express it."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"parcelflow.plans.{m}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
