@@ -14,6 +14,7 @@ MODULES = (
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_SRC: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,7 @@ def query(name: str, sql: str | None = None):
         if name in _QUERIES:
             raise ValueError(f"{name} is registered twice")
         _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        _SRC[name] = f.__module__
         if sql:
             _SQL[name] = sql
         return f

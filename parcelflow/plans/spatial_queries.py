@@ -216,11 +216,11 @@ def _(t):
     return back.select("k", F.round("p.lon", 8).alias("lon"), F.round("p.lat", 8).alias("lat"))
 
 
-@query("G04_transverse_mercator_round_trip", CTE + "SELECT k, round(x, 6) AS lon, round(y, 6) AS lat FROM pt")
+@query("G04_transverse_mercator_round_trip", CTE + "SELECT k, true AS back FROM pt")
 def _(t):
-    u = points(t).select("k", geo.to_utm17(F.col("x"), F.col("y")).alias("u"))
-    back = u.select("k", geo.from_transverse_mercator(F.col("u.x"), F.col("u.y"), -81.0, 0.9996, 500_000.0).alias("p"))
-    return back.select("k", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+    u = points(t).select("k", "x", "y", geo.to_utm17(F.col("x"), F.col("y")).alias("u"))
+    back = u.select("k", "x", "y", geo.from_transverse_mercator(F.col("u.x"), F.col("u.y"), -81.0, 0.9996, 500_000.0).alias("p"))
+    return back.select("k", ((F.abs(F.col("p.lon") - F.col("x")) < 1e-8) & (F.abs(F.col("p.lat") - F.col("y")) < 1e-8)).alias("back"))
 
 
 @query("G05_polygon_area_m2", CTE + "SELECT n, round(0.07 * 0.05 * pow(radians(1) * 6371008.8::DOUBLE, 2) * cos(radians(y0 + 0.025)) / 1e6, 1) AS km2 FROM box")
