@@ -1 +1,156 @@
-"""Registered below."""
+"""The composed pipelines over the driver's tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..functions import geo, keys, mathx
+from ..operators import aggregates as agg
+from ..operators import feeds, quality
+from ..streaming import ledger, state
+from . import pipelines
+from . import standins as s
+from .filter_queries import _BROAD, _ELITE, _SHARED, LOT_CTE, lots
+from .join_queries import cust, feed
+from .registry import query
+from .spatial_queries import CTE, boxes, points, stops
+from .state_queries import NOW, _state, _verdicts
+
+E = F.expr
+RULES = [("fast", ["URGENT", "HIGH"]), ("slow", ["LOW"]), ("plain", ["MEDIUM"])]
+CATEGORIES = ["BUILDING", "MACHINERY", "HOUSEHOLD"]
+
+
+def licences(t):
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.concat_ws(" ", "c_name", "o_orderpriority").alias("name"), F.col("c_mktsegment").alias("category"), F.col("o_orderdate").cast("date").alias("issued"),
+        E(s.CANCEL).alias("cancelled"), E(s.ADDRESS).alias("address"), E(s.POSTAL).alias("postal"), F.when(F.col("c_custkey") % 3 == 0, F.lit("http://own.example")).alias("website"))
+
+
+def the_feed(t):
+    brands = t.customer.where("c_custkey % 50 = 0").select(F.upper(F.concat_ws(" ", "c_name", F.lit("5-LOW"))).alias("brand"))
+    return pipelines.openings_feed(licences(t), CATEGORIES, s.AS_OF, RULES, brands)
+
+
+_FEED = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, name ORDER BY issued, id) AS rn FROM (
+SELECT o_orderkey AS id, c_custkey, concat_ws(' ', c_name, o_orderpriority) AS name, o_orderpriority AS pr, o_orderdate::DATE AS issued, {s.CANCEL} AS c, {s.POSTAL} AS postal, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey)
+WHERE seg IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AND issued BETWEEN {s.AS_OF_SQL} - 365 AND {s.AS_OF_SQL} AND (c IS NULL OR date_diff('day', c, {s.AS_OF_SQL}) <= 10) AND NOT (c_custkey % 50 = 0 AND pr = '5-LOW') AND pr <> '4-NOT SPECIFIED'),
+feed AS (SELECT id, CASE WHEN pr IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN pr = '5-LOW' THEN 'slow' ELSE 'plain' END AS label, issued, (MAP {{{', '.join(f"'{k}': '{v}'" for k, v in keys.DISTRICTS.items())}}})[substr(postal, 1, 2)] AS district, date_diff('day', issued, {s.AS_OF_SQL})::INT AS days_open, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 4 END AS tier FROM f WHERE rn = 1)
+"""
+
+
+@query("C01_openings_feed", _FEED + "SELECT * FROM feed")
+def _(t):
+    return the_feed(t).select("id", "label", "issued", "district", "days_open", "tier")
+
+
+_INDEX = _FEED + "SELECT label, count(*) AS n365, count(*) FILTER (days_open <= 30)::BIGINT AS n30, max(issued) AS newest, (SELECT string_agg(id::VARCHAR, ',' ORDER BY rn) FROM (SELECT id, label AS l2, row_number() OVER (PARTITION BY label ORDER BY issued DESC, id) AS rn FROM feed) WHERE rn <= 3 AND l2 = label) AS newest_ids FROM feed GROUP BY label"
+
+
+@query("openings_index", _INDEX)
+def _(t):
+    return pipelines.openings_index(the_feed(t), s.AS_OF)
+
+
+@query("C02_label_by_district", _FEED + "SELECT label, district, count(*) AS n FROM feed GROUP BY CUBE (label, district)")
+def _(t):
+    return the_feed(t).cube("label", "district").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C03_area_dataset", CTE + """, g AS (SELECT box.n AS area, count(k) AS n, coalesce(sum(v), 0) AS total, count(*) FILTER (v < 0) AS low FROM box LEFT JOIN pip ON pip.n = box.n GROUP BY 1), r AS (SELECT area, n, total, round_even(low * 100.0::DOUBLE / greatest(n, 1), 4) AS low_rate, total / nullif(n, 0) AS mean FROM g)
+SELECT area, n, round(total, 2) AS total, low_rate, n > 0 AS ranked FROM r""")
+def _(t):
+    areas = boxes(t).withColumnRenamed("n", "area")
+    return pipelines.area_dataset(areas, points(t), "shape").select("area", "n", F.round("total", 2).alias("total"), "low_rate", F.col("rank_risk").between(1, 25).alias("ranked"))
+
+
+@query("C04_closures", f"SELECT label, count(*) FILTER (c IS NULL)::BIGINT AS active, count(*) FILTER (c > {s.AS_OF_SQL} - 90 AND c <= {s.AS_OF_SQL})::BIGINT AS closed90, count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL})::BIGINT AS closed365, round_even(count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL}) * 100.0::DOUBLE / count(*) FILTER (c IS NULL), 6) AS rate FROM (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN o_orderpriority = '5-LOW' THEN 'slow' WHEN o_orderpriority = '3-MEDIUM' THEN 'plain' END AS label, {s.CANCEL} AS c FROM orders) WHERE label IS NOT NULL GROUP BY label")
+def _(t):
+    return pipelines.closures(licences(t), RULES, s.AS_OF)
+
+
+def _lots_xy(t):
+    return lots(t).withColumns({"x": E(s.lon("lot_id")), "y": E(s.lat("lot_id"))})
+
+
+_PARCEL = LOT_CTE.rstrip() + ", " + CTE[5:].rstrip() + f""", l AS (SELECT *, {s.lon('lot_id')} AS lx, {s.lat('lot_id')} AS ly FROM lots), hav AS (SELECT lot_id, s, 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(sy - ly) / 2), 2) + cos(radians(ly)) * cos(radians(sy)) * pow(sin(radians(sx - lx) / 2), 2))) AS d FROM l, sp),
+stop AS (SELECT lot_id, least(min(d), 5000) AS stop_m, count(*) FILTER (d <= 250) AS near FROM hav GROUP BY 1), hood AS (SELECT lot_id, min(n) AS area FROM l JOIN box ON lx >= x0 AND lx < x0 + 0.07::DOUBLE AND ly >= y0 AND ly < y0 + 0.05::DOUBLE GROUP BY 1),
+feat AS (SELECT l.*, area, stop_m, near, CASE WHEN area IS NULL THEN 'no_area' WHEN height_m > 14 THEN 'tall' WHEN NOT (kind <> 'PROMO' AND coalesce(heritage, '') <> 'part_iv' AND stop_m < 1500 AND lot_m2 >= 100) THEN 'not_eligible' WHEN units = 0 THEN 'non_buildable' END AS skip_reason FROM l LEFT JOIN hood USING (lot_id) JOIN stop USING (lot_id)) """
+
+
+def features(t):
+    st = stops(t)
+    return pipelines.parcel_features(_lots_xy(t), boxes(t).withColumnRenamed("n", "area"), st.withColumnRenamed("s", "stop_id"), st.select(F.col("sx").alias("px"), F.col("sy").alias("py")))
+
+
+@query("C05_parcel_features", _PARCEL + "SELECT lot_id, area, round(stop_m, 2) AS stop_m, near AS near_permits, skip_reason FROM feat")
+def _(t):
+    return features(t).select("lot_id", "area", F.round("stop_m", 2).alias("stop_m"), "near_permits", "skip_reason")
+
+
+@query("C06_parcel_stats", _PARCEL + "SELECT coalesce(skip_reason, 'kept') AS reason, count(*) AS n, round(median(value), 4) AS median_value FROM feat GROUP BY 1")
+def _(t):
+    return features(t).groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 4).alias("median_value"))
+
+
+def _tiers(t):
+    return pipelines.tiers(lots(t), t.spark.createDataFrame([("Brand#7", i) for i in range(12)], "street string, nb int"))
+
+
+@query("C07_tiers", LOT_CTE + f"SELECT CASE WHEN {_ELITE} THEN 'elite' ELSE 'broader' END AS tier, count(*) AS n, min(lot_id) AS first_lot FROM lots WHERE {_SHARED} AND (({_ELITE}) OR ({_BROAD})) GROUP BY 1")
+def _(t):
+    return _tiers(t).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("lot_id").alias("first_lot"))
+
+
+@query("C08_signals", "SELECT c_custkey AS parcel_id, o_orderstatus AS kind, arg_max(o_orderkey, [epoch(o_orderdate)::BIGINT, o_orderkey]) AS event_id, count(*) - 1 AS extra FROM orders JOIN customer ON o_custkey % 1700 = c_custkey GROUP BY ALL")
+def _(t):
+    ev = feed(t).select(F.col("ok").alias("event_id"), F.col("d").alias("at"), F.col("st").alias("kind"), "addr_norm")
+    return pipelines.signals(cust(t).withColumnRenamed("k", "parcel_id"), ev).select("parcel_id", "kind", "event_id", "extra")
+
+
+@query("C09_neighbourhood_score", """WITH g AS (SELECT c_nationkey AS area, count(*) AS n, avg((c_acctbal >= 5000)::INT) * 100 AS solar FROM customer GROUP BY 1) SELECT area, round_even(least(greatest(0.0::DOUBLE + solar * (0.5::DOUBLE / 1.0::DOUBLE) + least(area * 1.0 * 2, 100) * (0.3::DOUBLE / 1.0::DOUBLE) + least(greatest((n / 40.0::DOUBLE - 1) * 50, 0), 100) * (0.2::DOUBLE / 1.0::DOUBLE), 0), 100), 4) AS score FROM g""")
+def _(t):
+    g = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("c_acctbal") >= 5000).cast("int")) * 100).alias("solar"))
+    score = mathx.weighted_score({"solar": F.col("solar"), "canopy": F.col("area").cast("double")}, {"solar": 0.5, "canopy": 0.3, "headroom": 0.2}, F.lit(40.0), F.col("n").cast("double"), 4)
+    return g.select("area", score.alias("score"))
+
+
+@query("C10_usage_rollup", "SELECT ts::DATE AS day, event_type AS sku, round(sum(user_id * CASE event_type WHEN 'view' THEN 0.017::DOUBLE WHEN 'click' THEN 0.005::DOUBLE ELSE 0 END), 4) AS cost, count(*) AS calls FROM events GROUP BY ALL")
+def _(t):
+    prices = F.broadcast(t.spark.createDataFrame([("view", 0.017), ("click", 0.005)], "event_type string, price double"))  # a fixed price table
+    e = t.events.join(prices, "event_type", "left").withColumn("cost", F.col("user_id") * F.coalesce("price", F.lit(0.0)))
+    return ledger.daily_costs(e, "ts", "event_type", "cost").withColumn("cost", F.round("cost", 4))
+
+
+@query("C11_audits", LOT_CTE + "SELECT * FROM (SELECT 'coverage' AS rule, 'CRITICAL' AS severity, count(*) FILTER (coverage > 0.8)::BIGINT AS n, 0 AS severity_rank FROM lots UNION ALL SELECT 'orphan', 'HIGH', count(*)::BIGINT, 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) WHERE n > 0")
+def _(t):
+    a = quality.violations(lots(t), {"coverage": ("CRITICAL", F.col("coverage") > 0.8)})
+    orphans = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    return quality.report(a.unionByName(orphans.select(F.lit("orphan").alias("rule"), F.lit("HIGH").alias("severity"), "n")))
+
+
+@query("C12_verdict_cycle", None)
+def _(t):
+    due = state.due_queue(_state(t), NOW)
+    after = state.apply_verdicts(_state(t), _verdicts(t).join(due.select("key"), "key", "left_semi"), NOW)
+    return state.due_queue(after, NOW + dt.timedelta(days=1)).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C13_insight_rows", "WITH a AS (SELECT c_nationkey AS area, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1) SELECT 'most' AS finding, area, n::DOUBLE AS value FROM (SELECT * FROM a ORDER BY n DESC, area LIMIT 1) UNION ALL SELECT 'richest', area, top FROM (SELECT * FROM a ORDER BY top DESC, area LIMIT 1) UNION ALL SELECT 'total', NULL, sum(n)::DOUBLE FROM a")
+def _(t):
+    a = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("top"))
+    row = lambda name, c: a.orderBy(F.desc(c), "area").limit(1).select(F.lit(name).alias("finding"), "area", F.col(c).cast("double").alias("value"))
+    total = a.agg(F.sum("n").cast("double").alias("value")).select(F.lit("total").alias("finding"), F.lit(None).cast("int").alias("area"), "value")
+    return row("most", "n").unionByName(row("richest", "top")).unionByName(total)
+
+
+@query("G12_shadow_fraction", "SELECT s_suppkey AS lot_id, CASE WHEN s_suppkey % 5 <> 0 THEN 1.0 WHEN s_suppkey % 10 = 5 THEN NULL ELSE 0.5 END::DOUBLE AS share, CASE WHEN s_suppkey % 10 = 5 THEN 'unavailable' ELSE 'measured' END AS quality FROM supplier")
+def _(t):
+    # Lots of 20 m squares 1 km apart; every fifth has a wall of 20 m in the south, tall enough to shade half the lattice at the first of two suns.
+    sup = t.supplier.select(F.col("s_suppkey").alias("lot_id"), (F.col("s_suppkey") * 1000.0).alias("x0"))
+    shapes = sup.select("lot_id", geo.box_polygon(F.col("x0"), F.lit(0.0), 20.0, 20.0).alias("lot"))
+    walls = sup.where("lot_id % 5 = 0").select(geo.box_polygon(F.col("x0") - 1, F.lit(-8.0), 22.0, 7.0).alias("wall"), F.when(F.col("lot_id") % 10 == 0, F.lit(20.0)).alias("h"))
+    return pipelines.unshaded_share(shapes, walls, "lot", "wall", "h", [(180.0, 40.0), (180.0, 89.0)])
