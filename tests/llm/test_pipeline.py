@@ -11,7 +11,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_stages(spark, tmp_path):
     rows = corpus(9, 40)[:-2]
     texts = {i: t for i, t, *_ in rows}
-    bench = [(1, " ".join(texts[max(texts, key=lambda i: len((texts[i] or "").split()))].split()[5:20]))]
+    bench = [(1, " ".join(texts[max(texts, key=lambda i: (len(set((texts[i] or "").split())), -i))].split()[5:20]))]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = docs_of(spark, rows).select(*COLUMNS)
     kept = {}
