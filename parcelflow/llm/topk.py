@@ -23,7 +23,7 @@ from .spark_util import partitions, written
 
 ROOTS, SAMPLE = 64, 2048
 DATA_BLOCK, QUERY_BLOCK = 2048, 512
-LEAF = 64
+LEAF = 256
 EXACT = 2.0**52
 
 
@@ -92,14 +92,15 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
             return
         if not parts and not q_parts:
             scores = _products(q[q_rows], x[rows])
-            for i, own in zip(q_rows.tolist(), scores):
-                for j in np.flatnonzero(own >= bound[i]).tolist():
-                    if x_ids[rows[j]] != q_ids[i]:
-                        best[i].append((-int(own[j]), int(x_ids[rows[j]])))
-                if len(best[i]) > k:
-                    best[i] = sorted(best[i])[:k]
+            hit = (scores >= bound[q_rows][:, None]).astype(bool) & (x_ids[rows][None, :] != q_ids[q_rows][:, None])
+            r, c = np.nonzero(hit)
+            found = list(zip((-scores[r, c]).tolist(), x_ids[rows[c]].tolist()))
+            starts = np.flatnonzero(np.append(True, r[1:] != r[:-1])).tolist() if len(r) else []
+            for lo, hi in zip(starts, [*starts[1:], len(r)]):
+                i = int(q_rows[r[lo]])
+                best[i] = sorted(best[i] + [(int(v), j) for v, j in found[lo:hi]])[:k]
                 if len(best[i]) == k:
-                    bound[i] = max(bound[i], -max(best[i])[0])
+                    bound[i] = max(bound[i], -best[i][-1][0])
             return
         if parts and (not q_parts or r >= s):
             near = sorted(parts, key=lambda n: -float(qc @ n[0] + np.sqrt(qc @ qc) * n[1]))
