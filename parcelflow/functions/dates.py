@@ -30,7 +30,7 @@ def days_open(issued: Column, as_of: dt.date) -> Column:
 
 def years_operating(issued: Column, as_of: dt.date, digits: int = 1) -> Column:
     """Days / 365.25, half-even."""
-    return F.bround(F.datediff(F.lit(as_of), issued) / F.lit(365.25), digits)
+    return F.bround(F.datediff(F.lit(as_of), issued) / F.lit(365.25), digits) + F.lit(0.0)
 
 
 def ago_label(days: Column) -> Column:

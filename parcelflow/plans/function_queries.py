@@ -254,7 +254,7 @@ def _(t):
     return t.orders.select("o_orderkey", dates.days_open(F.col("o_orderdate"), s.AS_OF).alias("days_open"))
 
 
-@query("D03_years_operating", f"SELECT o_orderkey, round_even(date_diff('day', o_orderdate::DATE, {s.AS_OF_SQL}) / 365.25::DOUBLE, 1) AS years, round_even(date_diff('day', o_orderdate::DATE, {s.AS_OF_SQL}) / 365.25::DOUBLE, 0)::INT AS whole_years FROM orders")
+@query("D03_years_operating", f"SELECT o_orderkey, round_even(date_diff('day', o_orderdate::DATE, {s.AS_OF_SQL}) / 365.25::DOUBLE, 1) + 0.0::DOUBLE AS years, round_even(date_diff('day', o_orderdate::DATE, {s.AS_OF_SQL}) / 365.25::DOUBLE, 0)::INT AS whole_years FROM orders")
 def _(t):
     return t.orders.select("o_orderkey", dates.years_operating(F.col("o_orderdate"), s.AS_OF).cast("double").alias("years"), dates.years_operating(F.col("o_orderdate"), s.AS_OF, 0).cast("int").alias("whole_years"))
 
