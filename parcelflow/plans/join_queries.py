@@ -143,7 +143,7 @@ def _(t):
     return claim.join(fresh, "o_custkey").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.abs(F.col("claim") - F.col("v")) > 0.01).alias("wrong"))
 
 
-@query("J35_outer_compare_tiers", "WITH a AS (SELECT p_partkey k FROM part WHERE p_size > 20), b AS (SELECT p_partkey k FROM part WHERE p_retailprice > 950) SELECT count(*) FILTER (b.k IS NULL)::BIGINT AS only_a, count(*) FILTER (a.k IS NULL)::BIGINT AS only_b, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS both, 'partial' AS verdict FROM a FULL JOIN b ON a.k = b.k")
+@query("J35_outer_compare_tiers", "WITH a AS (SELECT p_partkey k FROM part WHERE p_size > 20), b AS (SELECT p_partkey k FROM part WHERE p_retailprice > 950) SELECT *, CASE WHEN \"both\" = 0 THEN 'disjoint' WHEN only_a = 0 THEN 'a in b' WHEN only_b = 0 THEN 'b in a' ELSE 'partial' END AS verdict FROM (SELECT count(*) FILTER (b.k IS NULL)::BIGINT AS only_a, count(*) FILTER (a.k IS NULL)::BIGINT AS only_b, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS \"both\" FROM a FULL JOIN b ON a.k = b.k)")
 def _(t):
     return resolve.full_compare(t.part.where("p_size > 20"), t.part.where("p_retailprice > 950"), "p_partkey")
 
