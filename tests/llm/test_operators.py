@@ -220,6 +220,28 @@ def test_lm_base_score_and_progress(spark):
     assert lm_scoring.lm_scores(docs_of(spark, own).limit(0)).collect() == []
 
 
+def test_lm_counts_beyond_16_bits_are_summed_in_full(monkeypatch):
+    pa = lm_scoring.pa
+    counts = np.zeros((2, 2 * lm_scoring.SLICE), np.uint32)
+    counts[0, :2], counts[1, 2:4] = (2_000_000, 100_000), (70_000, 3)
+    both = list(lm_scoring._slices(counts)) + list(lm_scoring._slices(counts))
+    got = next(lm_scoring._votes(iter(both))).column("votes")[0].as_buffer()
+    votes = np.frombuffer(got, np.float32).reshape(2, lm_scoring.SLICE)
+    assert votes[0, 0] == pytest.approx(math.log(200_000.4 / 4_000_000.4), abs=1e-4)
+    assert votes[1, 1] == pytest.approx(math.log(6.4 / 140_000.4), abs=1e-4)
+
+    class Known:
+        value = lm_scoring.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, np.zeros(256, np.int64), 1, 1)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 200_000, "b a"])], names=["text"])
+    want = lm_scoring._summed(lm_scoring._gather(Known)(iter([batch])))
+    assert max(int(n.max()) for n in want.values()) > 65535
+    monkeypatch.setattr(lm_scoring, "HELD_DECISIONS", 10)
+    monkeypatch.setattr(lm_scoring, "SEND_DECISIONS", 10)
+    sent = lm_scoring._summed(lm_scoring._gather(Known)(iter([batch, batch])))
+    assert set(sent) == set(want) and all((sent[i] == 2 * want[i]).all() for i in want)
+
+
 def test_lm_codes_are_a_distribution():
     code = lm_scoring.Code(np.array([5, 1, 1, 9, 3, 0]))
     assert sum(2.0 ** -int(n) for n in code.size) == pytest.approx(1.0)
