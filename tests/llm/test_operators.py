@@ -242,6 +242,32 @@ def test_lm_counts_beyond_16_bits_are_summed_in_full(monkeypatch):
     assert set(sent) == set(want) and all((sent[i] == 2 * want[i]).all() for i in want)
 
 
+def test_lm_model_counts_all_training_documents(spark, monkeypatch):
+    rng = random.Random(6)
+    own = [(i, " ".join(rng.choice(["red", "green", "blue", f"x{i}q"]) for _ in range(30))) for i in range(120)] + [(None, "null id")]
+    train = [(i, t) for i, t in own if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    models, tables = [], []
+
+    init, of = lm_scoring.Model.__init__, lm_scoring._tables
+    monkeypatch.setattr(lm_scoring.Model, "__init__", lambda self, *args: models.append((self, args[3])) or init(self, *args))
+    monkeypatch.setattr(lm_scoring, "_tables", lambda slices: tables.append(of(slices)) or tables[-1])
+    lm_scoring.lm_scores(docs_of(spark, own)).collect()
+    (model, byte_count), = models
+    assert (byte_count == np.bincount(np.frombuffer("".join(t for _, t in train).lower().encode(), np.uint8), minlength=256)).all()
+    one, two = (np.zeros((1 << lm_scoring.TABLE_BITS, 2)) for _ in range(2))
+    for _, t in train:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        for _, _, _, bit, a, b in lm_scoring.streams(model, buf, np.array([0, len(buf)]))[0]:
+            np.add.at(one, (a, bit), 1)
+            np.add.at(two, (b, bit), 1)
+    for votes, n in zip(model.votes, (one, two)):
+        seen = n.any(axis=1)
+        assert ((votes != 0) == seen).all()
+        assert np.allclose(votes[seen].view(np.float32), np.log((n[seen, 1] + 0.4) / (n[seen, 0] + 0.4)), atol=1e-4)
+    assert len(tables) == 2 and 0 < (tables[0] != 0).sum() < (tables[1] != 0).sum()
+    assert (model.weights[:, :, 1:] != 0).any()
+
+
 def test_lm_codes_are_a_distribution():
     code = lm_scoring.Code(np.array([5, 1, 1, 9, 3, 0]))
     assert sum(2.0 ** -int(n) for n in code.size) == pytest.approx(1.0)
