@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every document in an interleaving of the sources at damped natural weights."""
-    return mix(docs, natural_weights(docs))
+    return mix(docs, natural_weights(docs), period=None)
 
 
 STAGES = [

@@ -337,3 +337,27 @@ def test_mixing_stays_within_one_block(spark):
     missing = mixing.mix(df, weights.where("source = 'hot'"), 10).where("source = 's1'").first()
     assert missing.mix_slot is None and missing.mix_full is False
     assert mixing.mix(df.limit(0), weights).collect() == []
+
+
+def test_exact_mixing_follows_the_weights_over_all_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FRAME", 200)
+    weight = {"hot": 0.3, None: 0.1037, **{f"s{i}": 0.5963 / 28 for i in range(28)}}
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    own = [(i, "t", "en", "hot") for i in range(3000)] + [(5000 + i, None, None, None) for i in range(900)] + [(9000 + i, "t", "en", f"s{i % 28}") for i in range(5000)]
+    docs = docs_of(spark, own + [(20_000, "t", "en", "other")])
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+    plan = sorted(mixing.exact_schedule(weights, sizes, 4).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in plan] == list(range(len(plan))) and len(plan) > 2000
+    total, done = sum(weight.values()), collections.Counter()
+    for r in plan:
+        assert r.k == done[r.source]
+        done[r.source] += 1
+        assert all(abs(done[s] - w / total * (r.slot + 1)) < 1 for s, w in weight.items())
+    slot = {(r.source, r.k): r.slot for r in plan}
+    out = mixing.mix(docs, weights, None, block=4).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.collect())
+    assert all(r.mix_slot == slot[r.source, r.mix_block] for r in out if r.source != "other")
+    assert [(r.mix_slot, r.mix_full) for r in out if r.source == "other"] == [(None, False)]
+    full = collections.Counter(r.mix_slot for r in out if r.mix_full)
+    assert full and set(full) == set(range(len(full))) and set(full.values()) == {4}
+    assert mixing.mix(docs.limit(0), weights, None).collect() == []
