@@ -2,7 +2,7 @@
 
 The benchmark's windows are counted first.  They are broadcast in blocks of at most BLOCK_WINDOWS, so what a
 task holds is bounded however large the benchmark is; documents are scanned once for each block and the
-blocks' hits are merged per document.  Every hash hit is verified on the words themselves.
+blocks' hits are merged per row, by the rows' numbers in a written table.  Every hash hit is verified on the words.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as t
-from .spark_util import with_text
+from .spark_util import with_text, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 500_000
@@ -45,11 +45,11 @@ class _Windows:
             self.by_n[n] = hashes[order], [own[i].words.encode() for i in order], [own[i].items for i in order]
 
 
-def _scan(windows, remove: bool):
+def _scan(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = windows.value.by_n
         for batch in batches:
-            n_words, hit_words, items, texts = [], [], [], []
+            n_words, hit_words, items = [], [], []
             for a, b, buf, offs in t.pieces(t.texts_of(batch)):
                 low = t.LOWER[buf]
                 starts, ends, first = t.words(low, offs, t.ALNUM)
@@ -76,47 +76,70 @@ def _scan(windows, remove: bool):
                             k += 1
                 hit_words += [sorted(h) for h in hits]
                 items += [sorted(f) for f in found]
-                if remove:
-                    for d in range(b - a):
-                        gone, data = hits[d], buf[offs[d] : offs[d + 1]]
-                        if gone:
-                            keep = np.ones(len(data), bool)
-                            for j in gone:
-                                w = first[d] + j
-                                keep[starts[w] - offs[d] : ends[w] - offs[d]] = False
-                            data = data[keep]
-                        texts.append(data.tobytes().decode("utf-8", "ignore"))
-            cols = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit_words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.string())] if remove else []), names=["doc_id", "n_words", "hit_words", "items"] + (["text"] if remove else []))
+            cols = [pa.array(n_words, pa.int64()), pa.array(hit_words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + cols, names=[batch.schema.names[i] for i in kept] + ["n_words", "hit_words", "items"])
 
     return run
 
 
-_SCHEMA = "doc_id long, n_words long, hit_words array<int>, items array<string>"
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the words at ``hit_words`` (null: none)."""
+    for batch in batches:
+        hits, texts = batch.column("hit_words"), []
+        for a, b, buf, offs in t.pieces(t.texts_of(batch)):
+            starts, ends, first = t.words(t.LOWER[buf], offs, t.ALNUM)
+            for d in range(b - a):
+                data = buf[offs[d] : offs[d + 1]]
+                gone = hits[a + d].as_py()
+                if gone:
+                    keep = np.ones(len(data), bool)
+                    for j in gone:
+                        w = first[d] + j
+                        keep[starts[w] - offs[d] : ends[w] - offs[d]] = False
+                    data = data[keep]
+                texts.append(data.tobytes().decode("utf-8", "ignore"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, hit_words, items): positions of the words that lie in a benchmark window, and the items' ids."""
-    spark = docs.sparkSession
-    docs = with_text(docs)
-    wins = benchmark_windows(benchmark, window)
-    blocks = max(1, -(-wins.count() // block))
+_FOUND = "n_words long, hit_words array<int>, items array<string>"
+
+
+ROW = "_benchmark_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for every row, written, so that a row keeps it however often it is read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "benchmark-rows")
+
+
+def _hits(numbered: DataFrame, wins: DataFrame, blocks: int) -> DataFrame:
+    """(row, doc_id, n_words, hit_words, items) of every row, merged over the blocks of windows."""
     out = None
     for k in range(blocks):
         rows = wins.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()
-        part = docs.mapInArrow(_scan(spark.sparkContext.broadcast(_Windows(rows)), False), _SCHEMA)
+        part = with_text(numbered, F.col(ROW).alias("row")).select("row", "doc_id", "text").mapInArrow(_scan(numbered.sparkSession.sparkContext.broadcast(_Windows(rows))), f"row long, doc_id long, {_FOUND}")
         out = part if out is None else out.unionByName(part)
     if blocks == 1:
         return out
-    merged = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hit_words")).alias("h"), F.flatten(F.collect_list("items")).alias("i"))
-    return merged.select("doc_id", "n_words", F.array_distinct("h").alias("hit_words"), F.array_distinct("i").alias("items"))
+    merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_words")).alias("h"), F.flatten(F.collect_list("items")).alias("i"))
+    return merged.select("row", "doc_id", "n_words", F.array_distinct("h").alias("hit_words"), F.array_distinct("i").alias("items"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """(doc_id, n_words, hit_words, items): positions of the words that lie in a benchmark window, and the items' ids."""
+    wins = benchmark_windows(benchmark, window)
+    blocks = max(1, -(-wins.count() // block))
+    if blocks == 1:
+        return with_text(docs).mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(_Windows(wins.collect()))), f"doc_id long, {_FOUND}")
+    return _hits(_numbered(with_text(docs)), wins, blocks).drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs (doc_id, text).
 
     Null or empty texts have no words; an item without words has no window; an item with a null id hits but is not
-    counted or listed.  Several rows with one doc_id are merged only where the benchmark needs several blocks."""
+    counted or listed."""
     ids = F.array_join(F.sort_array("items"), ",")
     return scan(docs, benchmark, window, block).select(
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -124,16 +147,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold a benchmark window; with ``spans``, (doc_id, text) of all rows without the hit words."""
-    spark = docs.sparkSession
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs without the rows that hold a benchmark window; with ``spans``, (doc_id, text) of all rows without the hit words,
+    which are those of the original text for all blocks of windows."""
+    wins = benchmark_windows(benchmark, window)
+    numbered = _numbered(with_text(docs) if spans else docs)
+    found = _hits(numbered, wins, max(1, -(-wins.count() // block))).where(F.size("hit_words") > 0).select(F.col("row").alias("_hit_row"), "hit_words")
     if spans:
-        out = with_text(docs)
-        wins = benchmark_windows(benchmark, window)
-        blocks = max(1, -(-wins.count() // BLOCK_WINDOWS))
-        for k in range(blocks):
-            rows = wins.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()
-            out = out.mapInArrow(_scan(spark.sparkContext.broadcast(_Windows(rows)), True), _SCHEMA + ", text string").select("doc_id", "text")
-        return out
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_bad"), "left_anti")
+        return numbered.join(found, F.col(ROW) == F.col("_hit_row"), "left").select("doc_id", "text", "hit_words").mapInArrow(_without, "doc_id long, text string")
+    return numbered.join(found.select("_hit_row"), F.col(ROW) == F.col("_hit_row"), "left_anti").drop(ROW)

@@ -160,6 +160,22 @@ def test_decontamination_matches_brute_force(spark, rows, block):
     assert decontaminate.contamination(docs_of(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_keeps_every_row_in_several_blocks(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    own = docs_of(spark, [(1, text), (1, text), (1, other), (None, text), (None, other), (2, "few words")])
+    bench = spark.createDataFrame([(7, " ".join(text.split()[4:18]))], "item_id long, text string")
+    for block in (500_000, 2):
+        got = collections.Counter((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.contamination(own, bench, block=block).collect())
+        assert got == collections.Counter([(1, 30, 14), (1, 30, 14), (1, 30, 0), (None, 30, 14), (None, 30, 0), (2, 2, 0)])
+        cut = collections.Counter((r.doc_id, " ".join(r.text.split())) for r in decontaminate.remove_contaminated(own, bench, spans=True, block=block).collect())
+        kept = decontaminate.remove_contaminated(own, bench, block=block)
+        assert kept.columns == own.columns
+        assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(1, other), (None, other), (2, "few words")])
+        left = " ".join(text.split()[:4] + text.split()[18:])
+        assert cut == collections.Counter([(1, left), (1, left), (1, other), (None, left), (None, other), (2, "few words")])
+
+
 def test_token_counts_match_the_library(spark, rows):
     from tokenizers import Tokenizer
 
