@@ -1,12 +1,15 @@
 """Licence scans: canonical digests of entire texts, and of entire lines, joined to known licence digests.
 
-Only DataFrame expressions run here.  A text is made canonical (ASCII case, copyright lines, punctuation and spacing,
-equivalent spellings), its SHA-256 is the join key, and the known digests come from the same expression over the
-table of known texts, a fixed list of a few kilobytes that is safe to broadcast.
+Only DataFrame expressions run here.  A text is made canonical (ASCII case, copyright statements, punctuation and
+spacing, equivalent spellings), its SHA-256 is the join key, and the known digests come from the same expression over
+the table of known texts: the notices below and the entire licences in ``licenses``, unedited, as they are shipped with
+other software.  Only their digests are broadcast.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-#: Known entire texts: whole licences, and one-line notices that name one.
+#: Known entire texts beside those of ``whole_licenses``: shortened licences, and one-line notices that name one.
 KNOWN = [
     ("MIT", _MIT), ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
@@ -42,16 +45,34 @@ KNOWN = [
 ]
 
 
+TITLES = {"MIT": ("The MIT License (MIT)", "The MIT License", "MIT License"), "ISC": ("The ISC License", "ISC License", "ISC License (ISC)"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
+
+
+def whole_licenses() -> list[tuple[str, str]]:
+    """(id, entire text), short licences with and without the titles they are found under; files are named id[.variant].txt."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        name, text = path.stem.removesuffix(".regents"), path.read_text(encoding="utf-8")
+        titles = TITLES.get(name, ())
+        first, _, rest = text.partition("\n")
+        if first.strip() in titles:
+            text = rest
+        out += [(name, text), *((name, f"{title}\n{text}") for title in titles)]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame(KNOWN + whole_licenses(), "license string, text string")
 
 
 def with_digest(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with ``out``: the digest of the canonical form of the entire text in column ``text`` (null stays null)."""
     low, marked = "_canonical_low", "_canonical_text"
-    owner = r"copyright|\(c\)|©"
+    # A statement names the year or has the sign; "copyright notice" and "copyright holders" are words of the licence.
+    sign = r"\(c\)|©|[0-9]{4}|[\[<{][ \t]*(?:yyyy|year)"
+    owner = rf"copyright[ \t:]*(?:{sign})|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[0-9]{{4}}"
     df = df.withColumn(low, F.translate(text, UPPER, LOWER))
-    named = F.regexp_replace(low, rf"(^|\n)[^\n]*(?:{owner})[^\n]*", "$1")
+    named = F.regexp_replace(low, rf"(^|\n)[^\p{{L}}\p{{N}}\n(©]*(?:{owner})[^\n]*", "$1")
     df = df.withColumn(low, F.when(F.col(low).rlike(owner), named).otherwise(F.col(low)))
     df = df.withColumn(marked, F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")))
     table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])

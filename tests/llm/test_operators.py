@@ -334,6 +334,18 @@ def test_license_scan(spark):
     assert got == collections.Counter([(1, "MIT", 0, "", True), (2, None, 1, "MIT", True), (3, None, 0, "", False), (4, None, 0, "", False), (5, None, 0, "", False), (5, None, 0, "", False), (6, None, 0, "", False), (7, None, 2, "CC-BY-NC-4.0", True)])
 
 
+def test_license_scan_knows_unedited_entire_licences(spark):
+    folder = license_scan.Path(license_scan.__file__).parent / "licenses"
+    texts = {p.stem: p.read_text() for p in sorted(folder.glob("*.txt"))}
+    assert {"MIT", "ISC", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    mit = texts["MIT"]
+    assert "The above copyright notice and this permission notice" in mit and "COPYRIGHT HOLDERS BE LIABLE" in mit
+    other = mit.replace("Copyright (c) 2018 Alex Grönholm", " * Copyright 2020-2022, A. Person\n   (c) 2023 B. Person").replace("The MIT License (MIT)", "MIT License")
+    own = [*texts.values(), other, " ".join(mit.split("\n\n")[2:]), mit.replace("The above copyright notice and", ""), mit.replace("OR\nCOPYRIGHT HOLDERS", "")]
+    got = {r.doc_id: r.license for r in license_scan.license_scan(docs_of(spark, list(enumerate(own))), license_scan.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(own))] == [n.removesuffix(".regents") for n in texts] + ["MIT", "MIT", None, None]
+
+
 def test_mixing_stays_within_one_block(spark):
     own = [(i, "t", "en", "hot" if i % 3 else f"s{i % 4}") for i in range(3000)] + [(5000 + i, None, None, None) for i in range(40)]
     df = docs_of(spark, own)
