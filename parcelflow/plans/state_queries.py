@@ -91,7 +91,7 @@ def _(t):
 @query("X03_stream_upserts", "SELECT c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'no' ELSE 'yes' END AS operating FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 1200")
 def _(t):
     v, path, src = _verdicts(t), scratch(t), scratch(t)
-    v.coalesce(1).write.parquet(src)
+    v.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(src)
     q = state.stream_upserts(t.spark.readStream.schema(v.schema).parquet(src), path, NOW, scratch(t))
     q.awaitTermination(600)
     return t.spark.read.schema(state.STATE).parquet(f"{path}/version=0").select("key", "operating")

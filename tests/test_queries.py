@@ -47,3 +47,12 @@ def test_query(name, spark, duck, data):
 
 def test_each_query_has_sql_but_for_the_verdict_cycle():
     assert set(QUERIES) - set(SQL) <= {"C12_verdict_cycle"}
+
+
+def test_stream_upserts_reads_a_source_of_many_files(spark, data, tmp_path, monkeypatch):
+    from parcelflow.plans import state_queries
+
+    made = []
+    monkeypatch.setattr(state_queries, "scratch", lambda t: made.append(str(tmp_path / str(len(made)))) or made[-1])
+    assert QUERIES["X03_stream_upserts"](spark, data).count() > 0
+    assert len(glob.glob(f"{made[1]}/part-*.parquet")) > 1
