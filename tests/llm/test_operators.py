@@ -111,7 +111,7 @@ def test_suffix_dedup_matches_brute_force(spark, rows, monkeypatch, heavy):
     if heavy:  # every repeated gram takes the path of frequent ones
         monkeypatch.setattr(suffix_dedup, "HEAVY_SAMPLE", 1)
         monkeypatch.setattr(suffix_dedup, "HEAVY_LEAST", 2)
-        monkeypatch.setattr(suffix_dedup, "HEAVY_MOST", 2)
+        monkeypatch.setattr(suffix_dedup, "HEAVY_SHARE", 0.0)
     own = rows[:-2]
     want = repeated(own)
     got = suffix_dedup.suffix_dedup(docs_of(spark, own)).collect()
@@ -129,6 +129,45 @@ def test_suffix_dedup_cuts_whole_characters_and_takes_empty_tables(spark):
     assert len(same) == 2
 
 
+def repeated_by_row(rows, n):
+    """(doc_id, text left) of every row; only rows with a smaller doc_id (null: largest) and earlier starts of the row itself count."""
+    key = lambda i: (i is None, i or 0)
+    out = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        before = {x[p : p + n] for j, u, *_ in rows if key(j) < key(i) for x in [(u or "").encode()] for p in range(len(x) - n + 1)}
+        gone = bytearray(len(b))
+        for p in range(len(b) - n + 1):
+            if b[p : p + n] in before:
+                gone[p : p + n] = b"\1" * n
+            before.add(b[p : p + n])
+        out.append((i, bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("length, heavy", [(100, False), (100, True), (20, False), (33, True), (400, False)])
+def test_suffix_dedup_with_null_and_repeated_ids(spark, monkeypatch, length, heavy):
+    if heavy:
+        monkeypatch.setattr(suffix_dedup, "HEAVY_SAMPLE", 1)
+        monkeypatch.setattr(suffix_dedup, "HEAVY_LEAST", 2)
+        monkeypatch.setattr(suffix_dedup, "HEAVY_SHARE", 0.0)
+        monkeypatch.setattr(suffix_dedup, "COMBINED", 50)
+    rng = random.Random(length)
+    shared = ["".join(rng.choice("abcd é") for _ in range(rng.randint(30, 700))) for _ in range(6)]
+    own = []
+    for i in range(40):
+        t = "".join(rng.choice(shared)[rng.randint(0, 20) :] + rng.choice(["", "x", "".join(rng.choice("abcd") for _ in range(50))]) for _ in range(rng.randint(1, 3)))
+        at = rng.randrange(len(t))
+        own.append((rng.choice([None, 3, 3, 7, *range(8, 30)]), t[:at] + rng.choice("ab é") + t[at + 1 :]))
+    own += [(None, "q" * 900), (None, "r" * 50 + "q" * 250), (3, ""), (3, None), own[0], own[0], own[1]]
+    got = suffix_dedup.suffix_dedup(docs_of(spark, own), length, texts=True).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == repeated_by_row(own, length)
+    whole = suffix_dedup.without_repeats(docs_of(spark, own), length)
+    assert whole.columns == docs_of(spark, own).columns
+    want = repeated_by_row(own, length)
+    assert collections.Counter((r.doc_id, r.text or "") for r in whole.collect() if r.text) == collections.Counter({k: n for k, n in want.items() if k[1]})
+
+
 def contaminated(rows, items, n=10):
     wins = collections.defaultdict(set)
     for item, t in items:
