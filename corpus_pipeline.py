@@ -16,7 +16,7 @@ from parcelflow.llm.language_id import UNKNOWN, languages
 from parcelflow.llm.mixing import mix, natural_weights
 from parcelflow.llm.near_dedup import near_duplicates
 from parcelflow.llm.spark_util import read_table, shared_dir
-from parcelflow.llm.suffix_dedup import suffix_dedup
+from parcelflow.llm.suffix_dedup import without_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,12 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 100-byte strings that occur earlier; a document that has nothing left goes."""
-    cut = suffix_dedup(docs, texts=True).where((F.col("n_removed") > 0)).select(F.col("doc_id").alias("_id"), "text", "n_bytes", "n_removed")
-    rest = docs.select("doc_id", "lang", "source", F.col("text").alias("_whole"), "n_chars").join(cut, F.col("doc_id") == F.col("_id"), "left")
-    rest = rest.where(F.col("_id").isNull() | (F.col("n_removed") < F.col("n_bytes")))
-    text = F.when(F.col("_id").isNull(), F.col("_whole")).otherwise(F.col("text"))
-    size = F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return rest.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    return without_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
