@@ -53,7 +53,7 @@ def _scan(windows):
             for a, b, buf, offs in t.pieces(t.texts_of(batch)):
                 low = t.LOWER[buf]
                 starts, ends, first = t.words(low, offs, t.ALNUM)
-                hashes = t.span_hash(t.prefix_hash(low), starts, ends)
+                hashes = t.hash_runs(low, starts, ends)
                 n_words += np.diff(first).tolist()
                 hits: list[set[int]] = [set() for _ in range(b - a)]
                 found: list[set[str]] = [set() for _ in range(b - a)]

@@ -1,8 +1,9 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
 1. Every whole text becomes its set of distinct 5-word shingles (64-bit hashes) and a 64-coordinate
-   MinHash signature.  Documents with equal sets form one class; its smallest doc_id stands for it.
-2. Each representative is posted under its (coordinate, value) pairs.  Prefix merging: a pair that agrees in
+   MinHash signature.  Rows with equal sets form one class, which has a number of its own, so that null and repeated
+   doc_ids do no harm; one row stands for it.
+2. Each class is posted under its (coordinate, value) pairs.  Prefix merging: a pair that agrees in
    T of K coordinates shares at least one of the K - T + 1 coordinates that are rarest for either side,
    so only those are posted; coordinates that nobody shares use up the prefix without being posted.
 3. Posting lists are merged in blocks: collisions over the whole signature are counted for the members of a
@@ -22,12 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import textops as t
 from .components import components
-from .spark_util import partitions, with_text, written
+from .spark_util import LAST, identified, partitions, with_text, written
 
 SHINGLE = 5
 K, AGREE = 64, 32
@@ -71,7 +71,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>, short binary"
+_SKETCH = "doc long, tag long, n_shingles long, s1 long, s2 long, sig array<int>, short binary"
 
 
 def _sketch(shingle: int):
@@ -90,8 +90,8 @@ def _sketch(shingle: int):
             sig = np.concatenate([*sig, signatures(held)])
             rows = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, K, dtype=np.int32), pa.array(sig.view(np.int32).ravel()))
             short = pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, _U64).view(np.int64)), pa.array(np.array(s2, _U64).view(np.int64)), rows, short]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "sig", "short"])
+            columns = [batch.column("doc"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(np.array(s1, _U64).view(np.int64)), pa.array(np.array(s2, _U64).view(np.int64)), rows, short]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "n_shingles", "s1", "s2", "sig", "short"])
 
     return run
 
@@ -146,7 +146,7 @@ def _merge_postings(percent: int):
         for group in _grouped(batches, ("key", "bi", "bj")):
             if group.num_rows < 2:
                 continue
-            ids = group.column("doc_id").to_numpy()
+            ids = group.column("cls").to_numpy()
             n = group.column("n_shingles").to_numpy()
             sig = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, K)
             if len(ids) == 2:
@@ -172,7 +172,7 @@ def _member_sets(shingle: int):
             sets = [x.tobytes() for x in shingle_sets(t.texts_of(batch), shingle)]
             for a in range(0, len(sets), 500):
                 part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cluster"), part.column("blocks"), pa.array(sets[a : a + 500], pa.binary())], names=["doc_id", "cluster", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("cluster"), part.column("blocks"), pa.array(sets[a : a + 500], pa.binary())], names=["cls", "cluster", "blocks", "shingles"])
 
     return run
 
@@ -183,7 +183,7 @@ def _confirm(percent: int):
         for group in _grouped(batches, ("cluster", "bi", "bj")):
             if group.num_rows < 2:
                 continue
-            ids = group.column("doc_id").to_numpy()
+            ids = group.column("cls").to_numpy()
             sets = [np.frombuffer(x, _U64) for x in group.column("shingles").to_pylist()]
             size = np.array([len(x) for x in sets], np.int64)
             if len(ids) == 2:
@@ -217,49 +217,76 @@ def _block_pairs(df: DataFrame, keys: list[str], blocks: str, block: str) -> Dat
     return df.withColumn("_p", F.explode(pairs)).withColumns({"bi": F.col("_p.bi"), "bj": F.col("_p.bj")}).drop("_p", blocks, block)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
-
-    Documents whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the
-    smallest doc_id of the connected component.  Null or word-less texts have no shingles and no links.  Rows with
-    a null doc_id get their size, the component of their class if another row of it has an id, and kept = false.
-    Equal rows each appear in the result.  The signature settings assume percent >= 75."""
-    spark, docs = docs.sparkSession, with_text(docs)
-    sketches = written(docs.mapInArrow(_sketch(shingle), _SKETCH), "near-sketches")
+def _classified(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(doc, tag, n_shingles, first) for every row: first is (doc, tag) of the first row of its component (null: no shingles)."""
+    spark = docs.sparkSession
+    texts = identified(with_text(docs)).select("doc", "tag", "text")
+    sketches = written(texts.mapInArrow(_sketch(shingle), _SKETCH), "near-sketches")
     full = sketches.where("n_shingles > 0")
-    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc", "tag")).alias("rep"), F.first("sig").alias("sig"), F.first("short").alias("short"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
 
-    reps = written(reps, "near-reps")
-    rows = reps.select("doc_id", F.posexplode("sig").alias("c", "v")).select("doc_id", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v")).alias("key"))
+    rows = classes.select("cls", F.posexplode("sig").alias("c", "v")).select("cls", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v")).alias("key"))
     lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = rows.join(lists, "key")
-    rank = W.partitionBy("doc_id").orderBy("df", "key")
+    rank = W.partitionBy("cls").orderBy("df", "key")
     prefix = K - AGREE + 1
-    ranked = shared.withColumns({"rank": F.row_number().over(rank), "n_shared": F.count(F.lit(1)).over(W.partitionBy("doc_id"))})
-    postings = ranked.where(F.col("rank") <= prefix - (K - F.col("n_shared"))).select("doc_id", "key", "df")
+    ranked = shared.withColumns({"rank": F.row_number().over(rank), "n_shared": F.count(F.lit(1)).over(W.partitionBy("cls"))})
+    postings = ranked.where(F.col("rank") <= prefix - (K - F.col("n_shared"))).select("cls", "key", "df")
     n = partitions(spark)
-    short = reps.select("doc_id", "n_shingles", "short")
     listed = (
-        postings.join(short, "doc_id")
+        postings.join(classes.select("cls", "n_shingles", "short"), "cls")
         .withColumn("blocks", F.ceil(F.col("df") / POSTING_BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     )
     listed = _block_pairs(listed, ["key"], "blocks", "block")
     candidates = listed.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").drop("df").mapInArrow(_merge_postings(percent), "a long, b long")
     clusters = components(candidates, "near-candidates")
-    sizes = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    sizes = written(sizes, "near-clusters")
+    sizes = written(clusters.join(classes.select(F.col("cls").alias("node"), "n_shingles", "rep"), "node"), "near-clusters")
     blocks = sizes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).cast("int").alias("blocks"))
-    members = sizes.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks")
-    members = F.broadcast(members) if sizes.count() <= ID_LIMIT else members
-    sets = docs.join(members, "doc_id")
-    sets = sets.select("doc_id", "text", "cluster", "blocks").mapInArrow(_member_sets(shingle), "doc_id long, cluster long, blocks int, shingles binary")
-    sets = _block_pairs(sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), ["cluster"], "blocks", "block")
+    members = sizes.join(blocks, "component").select("rep.doc", "rep.tag", F.col("node").alias("cls"), F.col("component").alias("cluster"), "blocks")
+    sets = texts.join(F.broadcast(members) if sizes.count() <= ID_LIMIT else members, ["doc", "tag"])
+    # The row that stands for a class may itself be repeated: one of its equal copies is enough.
+    sets = sets.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("text", "cluster", "blocks")])
+    sets = sets.select("cls", "text", "cluster", "blocks").mapInArrow(_member_sets(shingle), "cls long, cluster long, blocks int, shingles binary")
+    sets = _block_pairs(sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), ["cluster"], "blocks", "block")
     links = sets.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(_confirm(percent), "a long, b long")
-    found = components(links, "near-links").select(F.col("node").alias("rep"), "component")
+    found = components(links, "near-links")
+    named = classes.select("n_shingles", "s1", "s2", "cls", "rep").join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    firsts = named.groupBy("component").agg(F.min("rep").alias("first"))
+    named = written(named.join(firsts, "component").select("n_shingles", "s1", "s2", "first"), "near-named")
+    # A class may hold a third of all rows: nothing above this join needs them together, so its rows can be split.
+    out = full.select("doc", "tag", "n_shingles", "s1", "s2").join(named, ["n_shingles", "s1", "s2"]).select("doc", "tag", "n_shingles", "first")
+    return out.unionByName(sketches.where("n_shingles = 0").select("doc", "tag", "n_shingles", F.lit(None).cast("struct<doc: bigint, tag: bigint>").alias("first")))
 
-    named = full.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["n_shingles", "s1", "s2"]).join(found, "rep", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = out.unionByName(sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...).
+
+    Rows whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest doc_id of
+    the connected component.  Null or word-less texts have no shingles and no links; very long texts are taken whole.
+    Rows of one doc_id are linked by their own texts, whether equal or not, and each appears in the result.  A null doc_id
+    counts as the largest: such rows get the component's smallest doc_id if it has one, and kept = false.  Shingles are
+    told apart by 64-bit hashes.  The signature settings assume percent >= 75."""
+    rows = _classified(docs, percent, shingle)
+    doc, first = F.nullif("doc", F.lit(LAST)), F.coalesce("first.doc", "doc")
+    out = rows.select(doc.alias("doc_id"), "n_shingles", F.nullif(first, F.lit(LAST)).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, of several the one of the smallest text hash.
+
+    Rows without shingles stay.  Also where ids are null or repeated one row of each group stays."""
+    rows = written(_classified(docs, percent, shingle).select(F.col("doc").alias("_near_doc"), F.col("tag").alias("_near_tag"), "first"), "near-rows")
+    own = identified(docs.withColumnRenamed("doc", "_near_own_doc").withColumnRenamed("tag", "_near_own_tag"))
+    own = own.withColumnRenamed("doc", "_near_doc").withColumnRenamed("tag", "_near_tag")
+    for c in ("doc", "tag"):
+        own = own.withColumnRenamed(f"_near_own_{c}", c)
+    key = ["_near_doc", "_near_tag"]
+    other = (F.col("first.doc") != F.col("_near_doc")) | (F.col("first.tag") != F.col("_near_tag"))
+    kept = own.join(rows.where(other).select(*key).distinct(), key, "left_anti")
+    again = written(rows.where(~other).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "near-again")
+    if not again.isEmpty():  # equal rows under one id: one of them
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.select(*docs.columns)

@@ -40,6 +40,16 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Stands for a null doc_id: the largest one.
+LAST = (1 << 63) - 1
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with doc (doc_id, null as the largest) and tag (hash of the text), which together tell rows of different texts
+    apart also where ids are null or repeated."""
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag": F.xxhash64(F.col("text").cast("string"))})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

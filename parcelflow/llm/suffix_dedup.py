@@ -30,12 +30,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import textops as t
-from .spark_util import discard, partitions, written
+from .spark_util import LAST, discard, identified, partitions, written
 
 GRAM = 32
 #: Lengths, in window starts, of the runs of the later rounds (those shorter than an anchor's longest run are used).
 STEPS = (256, 64, 16, 4, 1)
-LAST = (1 << 63) - 1
 SALTS = 64
 #: A core is frequent from HEAVY_SHARE of a mean partition's rows on, and from HEAVY_LEAST rows on; both are estimated
 #: from one document in HEAVY_SAMPLE.  At most partitions / HEAVY_SHARE cores can be frequent.
@@ -266,19 +265,14 @@ def _ranked(rows: DataFrame, length: int) -> DataFrame:
     return marked.where("repeats OR several").select("doc", "tag", "at", "a", (F.col("a") + F.col("n") + F.lit(length - 1)).alias("b"), "repeats")
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """docs with doc (null ids as the largest) and tag, which together tell texts apart also where ids are null or repeated."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag": F.xxhash64("text")})
-
-
 def _texts(docs: DataFrame) -> DataFrame:
-    return _identified(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "tag", "text")
+    return identified(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "tag", "text")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, tag, spans) with the byte runs [a, b) that repeat earlier bytes, for texts that have any; written.
 
-    doc and tag are those of ``_identified``.  Spans may overlap or touch; ``cut`` merges them."""
+    doc and tag are those of ``identified``.  Spans may overlap or touch; ``cut`` merges them."""
     longest = length - min(GRAM, length) + 1
     if longest > AT_MOST:
         raise ValueError(f"length is at most {AT_MOST + GRAM - 1}")
@@ -350,7 +344,7 @@ def _cut_texts(last: str):
 def _cut(docs: DataFrame, length: int, last: str) -> DataFrame:
     """(doc, carried, n_bytes, n_removed, n_spans, last) for docs (doc_id, text, carried)."""
     spans = repeated_spans(docs, length)
-    rows = _identified(docs).drop("doc_id")
+    rows = identified(docs).drop("doc_id")
     kept = [f for f in rows.schema if f.name not in ("text", "tag")]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField(last, T.StringType())])

@@ -120,11 +120,37 @@ def words(buf: np.ndarray, offs: np.ndarray, alphabet: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+_PLACES = mix(np.arange(1, 4097, dtype=U64) * U64(BASE))
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] (none empty): every 8 bytes are mixed with their place in the run before they are
+    added up, so no pattern of bytes cancels out as it can in a polynomial modulo 2^64."""
+    n = ends - starts
+    if not len(n):
+        return np.zeros(0, U64)
+    wide = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix((wide[starts] & _LOW_BYTES[np.minimum(n, 8)]) ^ _PLACES[0])
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        chunks = (n[long] - 1) >> 3
+        first = np.cumsum(chunks) - chunks
+        place = np.arange(1, int(chunks.sum()) + 1) - np.repeat(first, chunks)
+        at = np.repeat(starts[long], chunks) + 8 * place
+        value = wide[at] & _LOW_BYTES[np.minimum(np.repeat(ends[long], chunks) - at, 8)]
+        salt = _PLACES[place] if int(place.max()) < len(_PLACES) else mix((place + 1).astype(U64) * U64(BASE))
+        with np.errstate(over="ignore"):
+            out[long] += np.add.reduceat(mix(value ^ salt), first)
+    with np.errstate(over="ignore"):
+        return mix(out + n.astype(U64) * U64(CHAIN))
+
+
 def word_hashes(buf: np.ndarray, offs: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word after A-Z became a-z, first word of each text with one more at the end)."""
     low = LOWER[buf]
     starts, ends, first = words(low, offs, alphabet)
-    return span_hash(prefix_hash(low), starts, ends), first
+    return hash_runs(low, starts, ends), first
 
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
