@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import linear_svm as svm
@@ -27,15 +28,21 @@ FOLDS = 5
 UNKNOWN = "und"
 # Families of ISO 639-1 codes; a code that is not listed is a family of its own.
 FAMILIES = {
-    "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
-    "romance": "an ca co es fr gl it la oc pt rm ro sc wa",
-    "slavic": "be bg bs cs hr mk pl ru sh sk sl sr uk",
-    "baltic": "lt lv", "celtic": "br cy ga gd gv kw", "uralic": "et fi hu se",
-    "turkic": "az ba kk ky tk tr tt ug uz", "semitic": "am ar he mt ti",
-    "indo-aryan": "as bn gu hi mr ne or pa sa sd si ur", "dravidian": "kn ml ta te",
-    "iranian": "fa ku ps tg", "malayo-polynesian": "id jv mg mi ms su tl", "bantu": "ln lg rw sn st sw tn xh zu",
+    "germanic": ["af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"],
+    "romance": ["an", "ca", "co", "es", "fr", "gl", "it", "la", "oc", "pt", "rm", "ro", "sc", "wa"],
+    "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sh", "sk", "sl", "sr", "uk"],
+    "baltic": ["lt", "lv"],
+    "celtic": ["br", "cy", "ga", "gd", "gv", "kw"],
+    "uralic": ["et", "fi", "hu", "se"],
+    "turkic": ["az", "ba", "kk", "ky", "tk", "tr", "tt", "ug", "uz"],
+    "semitic": ["am", "ar", "he", "mt", "ti"],
+    "indo-aryan": ["as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sa", "sd", "si", "ur"],
+    "dravidian": ["kn", "ml", "ta", "te"],
+    "iranian": ["fa", "ku", "ps", "tg"],
+    "malayo-polynesian": ["id", "jv", "mg", "mi", "ms", "su", "tl"],
+    "bantu": ["ln", "lg", "rw", "sn", "st", "sw", "tn", "xh", "zu"],
 }
-_FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
+_FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 
 def family(lang: str) -> str:
@@ -119,7 +126,10 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from rows with a language outside the held-out fold (crc32 of doc_id mod 5 is 0)."""
+    """The model from rows with a language outside the held-out fold (crc32 of doc_id mod 5 is 0).
+
+    At most ``sample`` rows are learned, an even share for each language, those of the least hash of doc_id; rows without a
+    doc_id are not drawn, and of rows with one doc_id all or none are."""
     own = with_text(docs, F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % FOLDS != 0))
     counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()
@@ -131,7 +141,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = drawn.select("doc_id", "lang", first.alias("n")).where(F.col("n") <= quota).select("doc_id").distinct()
     rows = own.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, lang string, at binary, v binary")
-    return pickle.loads(rows.repartition(1).mapInArrow(_fit, "model binary").first().model)
+    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "at", "v").limit(sample)  # repeated ids may bring more rows than were drawn
+    return pickle.loads(few.mapInArrow(_fit, "model binary").first().model)
 
 
 def _letters(buf: np.ndarray, offs: np.ndarray) -> list[bool]:
@@ -142,11 +153,8 @@ def _letters(buf: np.ndarray, offs: np.ndarray) -> list[bool]:
     return [bool(x) or any(ch.isalpha() for ch in buf[a:b].tobytes().decode("utf-8", "ignore")) for x, a, b in zip(some, offs[:-1], offs[1:])]
 
 
-def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text, lang, ...).
-
-    ``und`` with score 0 for null texts and texts without a letter, and for all where no labelled row exists."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+def _predictor(model):
+    """Adds held_out, lang_pred and score to what the input has beside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
@@ -154,8 +162,29 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             texts = t.texts_of(batch)
             lettered = [x for _, _, buf, offs in t.pieces(texts) for x in _letters(buf, offs)]
             out = [predict_row(known, at, v) if ok and known["families"] else (UNKNOWN, 0.0) for ok, (at, v) in zip(lettered, _rows(texts))]
-            ids = batch.column("doc_id")
-            cols = [ids, pa.array(t.crc_mod(ids.to_pylist(), FOLDS) == 0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "lang_pred", "score"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            cols = [batch.column(c) for c in kept] + [pa.array(t.crc_mod(batch.column("doc_id").to_pylist(), FOLDS) == 0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "held_out", "lang_pred", "score"])
+
+    return run
+
 
-    return with_text(docs).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text, lang, ...).
+
+    ``und`` with score 0 for null texts and texts without a letter, and for all where no labelled row exists.  Whole texts
+    count, however long.  A null doc_id is held out or not by the hash of the empty text.  Repeated rows each get the same
+    answer.  Equally likely families and equally strong languages go to the greater name."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+    return with_text(docs).mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """docs with the predicted language as ``lang``, without the rows that have none; no join, so null ids do no harm."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("carried")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest, F.col("text").cast("string").alias("kept_text"))
+    fields = T.StructType([f for f in own.schema if f.name != "text"] + [T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = own.mapInArrow(_predictor(model), fields).where(F.col("lang_pred") != UNKNOWN)
+    take = {"text": F.col("kept_text"), "lang": F.col("lang_pred")}
+    return out.select(*[take.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])

@@ -77,13 +77,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     own = own.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0) & F.col("label").isin(0, 1))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = with_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, buckets binary")
-    return pickle.loads(rows.repartition(1).mapInArrow(_fit, "model binary").first().model)
+    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "buckets").limit(sample)  # repeated ids may bring more rows
+    return pickle.loads(few.mapInArrow(_fit, "model binary").first().model)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text).
 
-    Null texts count as empty, which score by the bias alone.  A null doc_id is held out or not by the hash of the empty
+    Null texts count as empty, which score by the bias alone; very long texts are taken whole; repeated rows score alike.  A null doc_id is held out or not by the hash of the empty
     text.  Labels other than 0 and 1 are not learned; with fewer than two classes the score is their smoothed share."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
