@@ -85,6 +85,31 @@ def test_near_duplicates_null_id_and_empty(spark):
     assert near_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_near_duplicates_link_rows_of_repeated_ids(spark):
+    w = [f"w{i}" for i in range(41)]
+    near = w[:40] + ["other"]
+    own = [(5, "x y z a b c d e f g"), (5, " ".join(w)), (9, " ".join(near)), (None, " ".join(w)), (None, " ".join(w[:39] + ["p", "q"])), (9, "one"), (None, "one"), (None, "lone row here")]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, own)).collect())
+    assert got == collections.Counter([(5, 6, 5, True), (5, 37, 5, True), (9, 37, 5, False), (None, 37, 5, False), (None, 37, 5, False), (9, 1, 9, True), (None, 1, 9, False), (None, 1, None, False)])
+    left = near_dedup.deduplicated(docs_of(spark, own + [own[1], own[7], (None, ""), (None, "")]))
+    assert left.columns == docs_of(spark, own).columns
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([own[0], own[1], own[5], own[7], (None, ""), (None, "")])
+
+
+def test_words_of_regular_patterns_have_different_hashes(spark):
+    thue, size = b"a", []
+    for _ in range(12):
+        thue += bytes(195 - x for x in thue)  # a polynomial modulo 2^64 cannot tell this from its mirror image
+        size.append(len(thue))
+    words = [w for n in size for w in (thue[:n], bytes(195 - x for x in thue[:n]))] + [b"a" * n for n in range(1, 60)] + [b"\0" * n for n in range(1, 20)]
+    text = b" ".join(words)
+    hashes, _ = near_dedup.t.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), near_dedup.t.NON_SPACE)
+    assert len(set(hashes.tolist())) == len(set(words))
+    long = [thue[:1024].decode(), bytes(195 - x for x in thue[:1024]).decode()]
+    got = near_dedup.near_duplicates(docs_of(spark, list(enumerate(long)))).collect()
+    assert all(r.kept for r in got)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 160)] + [(7, 7)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long"), "t").collect())
@@ -323,6 +348,90 @@ def test_lm_model_counts_all_training_documents(spark, monkeypatch):
     assert (model.weights[:, :, 1:] != 0).any()
 
 
+def plain_lm_score(model, counts, text, once, again, outside):
+    """log10 probability of a text, decision by decision, from dictionaries of counts for each slot."""
+    words = [w.encode() for w in SPACED.findall(text.translate(UPPER))] + [None]
+    known = {int(h): i for i, h in enumerate(model.head)}
+    hashed = lambda w: int(lm_scoring.END) if w is None else int(lm_scoring.t.hash_runs(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    slot = lambda context, node, salt: int(lm_scoring._slots(np.array([context], np.uint32), np.array([node], np.int64), salt)[0])
+    streams, spelled = ([], []), []
+    topic, last = lm_scoring.FREQUENT, 0
+    for w in words:
+        h = hashed(w)
+        symbol = known.get(h, len(known))
+        back = (last ^ (last >> 32)) & 0xFFFFFFFF
+        at, n = int(model.words.start[symbol]), int(model.words.size[symbol])
+        streams[0].append([(model.words, int(model.words.nodes[i]), int(model.words.bits[i]), slot(topic, model.words.nodes[i], 0x11111111), slot(back, model.words.nodes[i], 0x22222222)) for i in range(at, at + n)])
+        if symbol == len(known):
+            path = []
+            letters = list(w or b"") + [0x20]
+            for d, c in enumerate(letters):
+                prior = [letters[d - k] + 1 if d >= k else 0 for k in range(1, 5)]
+                two, four = prior[0] * 257 + prior[1], ((prior[0] * 257 + prior[1]) * 257 + prior[2]) * 257 + prior[3]
+                at, n = int(model.bytes.start[c]), int(model.bytes.size[c])
+                path += [(model.bytes, int(model.bytes.nodes[i]), int(model.bytes.bits[i]), slot(two & 0xFFFFFFFF, model.bytes.nodes[i] + (1 << 24), 0x33333333), slot(four & 0xFFFFFFFF, model.bytes.nodes[i] + (1 << 24), 0x44444444)) for i in range(at, at + n)]
+            streams[1].append(path)
+            spelled.append(h)
+        if symbol < len(known) and model.mark[symbol] >= 0:
+            topic = int(model.mark[symbol])
+        last = h
+    total = []
+    for k, runs in enumerate(streams):
+        own, block, size, done, costs = model.weights[k].copy(), [], lm_scoring.FIRST_BLOCK, 0, []
+        for run in runs:
+            cost = 0.0
+            for code, node, bit, one, two in run:
+                a, b = (int(model.votes[j][x]) for j, x in ((0, one), (1, two)))
+                x = np.array([code.vote[node], *np.array([a, b], np.uint32).view(np.float32)], np.float64)
+                g = (a & 3) * 4 + (b & 3)
+                odds = min(30.0, max(-30.0, float(own[g] @ x)))
+                p = 1 / (1 + math.exp(-odds))
+                cost -= math.log(p if bit else 1 - p)
+                block.append((g, x, bit - p))
+                if len(block) == size:
+                    for gate in range(lm_scoring.GATES):
+                        mine = [(x, miss) for at, x, miss in block if at == gate]
+                        if mine:
+                            own[gate] += sum(x * miss for x, miss in mine) / (lm_scoring.EASE + len(mine))
+                    block, size = [], min(2 * size, lm_scoring.BLOCK)
+            costs.append(-cost / math.log(10))
+        total.append(costs)
+    new = (once + 1) / (once + again + 2) if outside else 1.0
+    out = sum(total[0])
+    for h, letters in zip(spelled, total[1]):
+        c = counts.get(h, 0)
+        out += math.log10(new) + letters if not c else math.log10(c * (1 - new) / outside + new * 10**letters)
+    return out
+
+
+def test_lm_score_matches_a_plain_scorer_however_rows_are_dealt(spark, monkeypatch):
+    rng = random.Random(16)
+    own = [(i, " ".join(rng.choice(["red", "green", "Blue", "the", f"x{i % 9}q", f"y{rng.randint(0, 40)}", f"z{rng.random()}"]) for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    own += [(200, None), (201, "the red " * 400 + "longunseenword" * 30), (None, "no id here"), own[3]]
+    models = []
+    init = lm_scoring.Model.__init__
+    monkeypatch.setattr(lm_scoring.Model, "__init__", lambda self, *args: models.append(self) or init(self, *args))
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    counts = collections.Counter()
+    for i, t in own:
+        if not held(i):
+            text = (t or "").translate(UPPER).encode()
+            counts.update(int(h) for h in lm_scoring._tokenised(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
+    for head in (1 << 17, 20):
+        results = []
+        for parts in (1, 13):
+            rows = lm_scoring.lm_scores(docs_of(spark, own).repartition(parts), head=head, sample=30).collect()
+            results.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in rows))
+        assert results[0] == results[1]
+        model = models[-1]
+        outside, once = sum(counts.values()) - int(model.count.sum()), sum(c == 1 for c in counts.values())
+        edge = int(model.count.min()) if len(model.head) == head else 1
+        again = sum(c for c in counts.values() if 1 < c <= edge + 1)
+        want = sorted((str(i), len(SPACED.findall((t or "").translate(UPPER))) + 1, plain_lm_score(model, counts, t or "", once, again, outside)) for i, t in own)
+        for (i, n, score), (j, m, expected) in zip(results[1], want):
+            assert (i, n) == (j, m) and score == pytest.approx(expected, rel=2e-4, abs=2e-3)
+
+
 def test_lm_codes_are_a_distribution():
     code = lm_scoring.Code(np.array([5, 1, 1, 9, 3, 0]))
     assert sum(2.0 ** -int(n) for n in code.size) == pytest.approx(1.0)
@@ -356,6 +465,79 @@ def test_quality(spark):
     assert none.score == pytest.approx(0.5)
 
 
+def plain_buckets(text, orders, bits):
+    """Buckets of all byte n-grams, one at a time."""
+    b, out = text.encode(), []
+    for n in orders:
+        for i in range(len(b) - n + 1):
+            x = 0
+            for c in b[i : i + n]:
+                x = (x * 0x01000193 + c + 1) & 0xFFFFFFFF
+            out.append((((x ^ (n * 0x3C6EF372 & 0xFFFFFFFF)) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - bits))
+    return out
+
+
+def mixed_texts(rng, n):
+    words = {"en": ["the", "and", "thing", "would"], "de": ["der", "und", "nicht", "schön"], "fr": ["le", "et", "chose", "être"], "es": ["el", "cosa", "señor", "pero"], "tlh": ["qapla", "nuqneh"]}
+    own = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(1, 20))), k) for i, k in ((i, rng.choice(list(words))) for i in range(n))]
+    return own + [(n, "the thing " * 40_000, "en"), (None, "der und nicht", "de"), (None, "chose être", None), own[3], own[3], (n + 1, "", "en"), (n + 2, None, "en"), (n + 3, "!!", None)]
+
+
+def test_quality_scores_match_a_plain_scorer(spark):
+    rng = random.Random(14)
+    own = [(i, t) for i, t, _ in mixed_texts(rng, 120)]
+    labels = [(i, int("thing" in t or "chose" in t), 0) for i, t in own[:100]] + [(5, 1, 0), (None, 1, 0)]
+    given = [(i, q) for i, q, _ in labels]
+    docs, labels = docs_of(spark, own), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    ratio, w, a, b = quality.fit(docs, labels)
+    got = quality.quality_scores(docs, labels).collect()
+    want = collections.Counter()
+    for i, t in own:
+        seen = set(plain_buckets(t or "", quality.ORDERS, quality.BITS))
+        norm = max(math.sqrt(sum(float(ratio[x]) ** 2 for x in seen)), 1e-9)
+        margin = sum(float(ratio[x]) * float(w[x]) for x in seen) / norm + float(w[-1])
+        want[i, zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0, round(1 / (1 + math.exp(-(a * margin + b))), 4)] += 1
+    assert collections.Counter((r.doc_id, r.held_out, round(r.score, 4)) for r in got) == want
+    # The ratios are those of smoothed document counts of each bucket.
+    learned = [(t or "", q) for i, t in own for j, q in given if i == j and i is not None and zlib.crc32(str(i).encode()) % 5]
+    count = {q: collections.Counter(x for t, label in learned if label == q for x in set(plain_buckets(t, quality.ORDERS, quality.BITS))) for q in (0, 1)}
+    total = {q: sum(count[q].values()) + (1 << quality.BITS) for q in (0, 1)}
+    for x in list(count[0] | count[1])[:500]:
+        assert ratio[x] == pytest.approx(math.log((count[1][x] + 1) / total[1]) - math.log((count[0][x] + 1) / total[0]), abs=1e-4)
+
+
+def test_languages_match_a_plain_predictor(spark):
+    rng = random.Random(15)
+    own = mixed_texts(rng, 150)
+    docs = docs_of(spark, [(i, t, k) for i, t, k in own])
+    model = language_id.fit(docs)
+    got = language_id.languages(docs).collect()
+    want = collections.Counter()
+    for i, t, _ in own:
+        held = zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0
+        if not t or not any(c.isalpha() for c in t):
+            want[i, held, "und", 0.0] += 1
+            continue
+        grams = plain_buckets(t.lower() if t.isascii() else t.translate(UPPER), language_id.ORDERS, language_id.BITS) if len(t) < 5000 else None
+        if grams is None:  # the long text repeats one phrase: its shares are those of a shorter repetition
+            want[i, held, "en", None] += 1
+            continue
+        share = {x: math.sqrt(n / len(grams)) for x, n in collections.Counter(grams).items()}
+        p = lambda m: 1 / (1 + math.exp(-(m[1] * (sum(m[0][x] * v for x, v in share.items()) + m[0][-1]) + m[2])))
+        of_family = {f: p(m) for f, m in model["family"].items()}
+        best = max(of_family, key=lambda f: (of_family[f], f))
+        langs = model["families"][best]
+        duel = lambda a, b: p(model["pair"][a, b]) if (a, b) in model["pair"] else 1 - p(model["pair"][b, a])
+        wins = {a: (sum(duel(a, b) >= 0.5 if a < b else duel(a, b) > 0.5 for b in langs if b != a), sum(duel(a, b) for b in langs if b != a), a) for a in langs}
+        lang = max(langs, key=wins.get)
+        want[i, held, lang, round(of_family[best] * min([1.0, *(duel(lang, b) for b in langs if b != lang)]), 4)] += 1
+    assert collections.Counter((r.doc_id, r.held_out, r.lang_pred, None if r.doc_id == 150 else round(r.score, 4)) for r in got) == want
+    kept = language_id.with_languages(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text, r.lang) for r in kept.collect()) == collections.Counter((r.doc_id, t, r.lang_pred) for r in got for t in {t for i, t, _ in own if i == r.doc_id and i is not None} if r.lang_pred != "und") + collections.Counter([(None, "der und nicht", "de"), (None, "chose être", "fr")])
+    assert language_id.with_languages(docs.limit(0)).count() == 0
+
+
 def test_hinge_fit_meets_the_optimality_conditions():
     rng = np.random.default_rng(0)
     x, cost = rng.normal(size=(60, 5)), np.full(60, 0.7)
