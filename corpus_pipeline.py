@@ -12,30 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm.decontaminate import remove_contaminated
-from parcelflow.llm.language_id import UNKNOWN, languages
+from parcelflow.llm.language_id import with_languages
 from parcelflow.llm.mixing import mix, natural_weights
-from parcelflow.llm.near_dedup import near_duplicates
+from parcelflow.llm.near_dedup import deduplicated
 from parcelflow.llm.spark_util import read_table, shared_dir
 from parcelflow.llm.suffix_dedup import without_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or is not (left_anti) in ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), how)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null texts and texts without a letter); the others carry the predicted one."""
-    found = languages(docs).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("_id"), "lang_pred").groupBy("_id").agg(F.min("lang_pred").alias("lang_pred"))
-    kept = docs.join(found, F.col("doc_id") == F.col("_id")).withColumn("lang", F.col("lang_pred"))
-    return kept.select(*COLUMNS)
+    return with_languages(docs).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every group of near-duplicates."""
-    return _only(docs, near_duplicates(docs).where(~F.col("kept")), "left_anti").select(*COLUMNS)
+    """Keeps one row of every group of near-duplicates, that of the smallest doc_id."""
+    return deduplicated(docs).select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
