@@ -46,6 +46,25 @@ def _segments(line: Column) -> Column:
     return F.zip_with(F.slice(line, 1, n), F.slice(line, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def segments(line: Column) -> Column:
+    """Array of (a, b) for every segment of a line; none for fewer than two points."""
+    return _segments(line)
+
+
+def crossings(segment: Column, polygon: Column) -> Column:
+    """Array of the places (0 to 1 along the segment) at which it crosses an edge of the polygon; parallel edges give none."""
+
+    def at(e: Column) -> Column:
+        px, py = segment["b"]["x"] - segment["a"]["x"], segment["b"]["y"] - segment["a"]["y"]
+        qx, qy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        rx, ry = e["a"]["x"] - segment["a"]["x"], e["a"]["y"] - segment["a"]["y"]
+        turn = px * qy - py * qx
+        t, u = F.try_divide(rx * qy - ry * qx, turn), F.try_divide(rx * py - ry * px, turn)
+        return F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
+
+    return F.filter(F.transform(F.flatten(F.transform(polygon, _edges)), at), lambda t: t.isNotNull())
+
+
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting."""
     crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])

@@ -85,3 +85,8 @@ def token_cost(tokens_in: Column, tokens_out: Column, searches: Column, rate_in:
     """Cost of a call, half of it for batches, six decimals."""
     cost = tokens_in * (rate_in / 1e6) + tokens_out * (rate_out / 1e6) + searches * rate_search
     return F.bround(cost * (0.5 if batch else 1.0), digits)
+
+
+def parcel_flags(year: Column, residential: Column, zoned: Column, depth: Column, footprint: Column, years: tuple[int, int] = (1945, 1960), least_depth: float = 15) -> dict[str, Column]:
+    """Built in the post-war years and residential; deep enough for a second house at the back; floor area of two storeys."""
+    return {"postwar": year.between(*years) & residential, "back_lot": zoned & (depth >= least_depth), "bonus": F.lit(2) * footprint}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,3 +111,164 @@ def recall(truth: DataFrame, tiers: DataFrame, key: str, group: str) -> DataFram
     j = truth.join(tiers, key, "left")
     out = j.rollup(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "elite").alias("elite"), F.count_if(F.col("tier").isNotNull()).alias("any_tier"))
     return out.withColumn("recall", F.bround(F.col("any_tier") * 100.0 / F.col("n"), 2))
+
+
+def storeys(height: Column, floor_m: float = 3.0) -> Column:
+    return F.bround(height / floor_m)
+
+
+def unused_envelope(lots: DataFrame, key: str, ratio: float = 0.6) -> DataFrame:
+    """Unused floor area under a floor-area ratio, and storeys, of each area; lots: lot_m2, coverage, height_m."""
+    allowed = F.col("lot_m2") * ratio
+    built = F.col("lot_m2") * F.col("coverage") * F.greatest(storeys(F.col("height_m")), F.lit(1.0))
+    return lots.groupBy(key).agg(F.sum(F.floor(allowed - F.least(built, allowed))).cast("long").alias("unused_gfa"), F.sum(storeys(F.col("height_m"))).cast("long").alias("storeys"))
+
+
+def with_grand_total(df: DataFrame, key: str, **aggregates: Column) -> DataFrame:
+    """The aggregates of each key and, with a null key, of all rows, in one pass."""
+    return df.rollup(key).agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
+def closure_index(df: DataFrame, label: str, closed: str, as_of: dt.date, least: int = 20) -> DataFrame:
+    """Active, closed in 90 and 365 days, and the yearly rate per 100 active where at least ``least`` are active."""
+    day, until = F.col(closed), F.lit(as_of)
+    within = lambda d: F.count_if((day > F.date_sub(until, d)) & (day <= until))
+    n = df.groupBy(label).agg(F.count_if(day.isNull()).alias("active"), within(90).alias("closed90"), within(365).alias("closed365"))
+    return n.withColumn("rate", F.when(F.col("active") >= least, F.bround(F.col("closed365") * 100.0 / F.col("active"), 6)))
+
+
+def openings_index(df: DataFrame, labels: Column, opened: str, as_of: dt.date) -> DataFrame:
+    """Openings of each label in the last 365 and 30 days, and the newest; a row counts once for each of its labels."""
+    d = df.select(F.explode(F.array_distinct(labels)).alias("label"), F.col(opened).cast("date").alias("_d")).where(F.col("_d").between(F.date_sub(F.lit(as_of), 365), F.lit(as_of)))
+    return d.groupBy("label").agg(F.count(F.lit(1)).alias("n365"), F.count_if(F.col("_d") >= F.date_sub(F.lit(as_of), 30)).alias("n30"), F.max("_d").alias("newest"))
+
+
+def two_level_rollup(df: DataFrame, unit: Column, area: Column, value: str, digits: int = 3) -> DataFrame:
+    """A10: unit counts and means rolled up to areas: sum of counts, mean of the units' means.  ``area`` reads column ``unit``."""
+    u = df.groupBy(unit.alias("unit")).agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg(value), 4).alias("mean"))
+    return u.groupBy(area.alias("area")).agg(F.sum("n").alias("n"), F.round(F.avg("mean"), digits).alias("mean_of_means"))
+
+
+def long_form(wide: DataFrame, ids: Sequence[str], values: Sequence[str], names: str = "variable", value: str = "v") -> DataFrame:
+    """One row for each id and value column."""
+    return wide.unpivot(list(ids), list(values), names, value)
+
+
+def permit_rollup(entities: DataFrame, permits: DataFrame, key: str, value: str, issued: str, as_of: dt.date, days: int = 730) -> DataFrame:
+    """Entities with the count, value and newest day of their permits of the last ``days`` days; none: 0, 0.0 and null."""
+    recent = permits.where(F.col(issued).cast("date") >= F.date_sub(F.lit(as_of), days))
+    n = recent.groupBy(key).agg(F.count(F.lit(1)).alias("permits"), F.round(F.sum(value), 2).alias("value"), F.max(F.col(issued).cast("date")).alias("latest"))
+    return entities.join(n, key, "left").fillna(0, ["permits"]).fillna(0.0, ["value"])
+
+
+def builder_activity(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each builder and their bucket (1, 2-3, 4+)."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("bucket", F.when(F.col("n") == 1, "1").when(F.col("n") <= 3, "2-3").otherwise("4+"))
+
+
+def signal_stats(signals: DataFrame, parcels: DataFrame, signal: str, key: str) -> DataFrame:
+    """Of each signal: total, matched and unmatched rows and distinct parcels."""
+    j = signals.join(parcels.select(key, F.col(key).alias("_hit")).distinct(), key, "left")
+    return j.groupBy(signal).agg(F.count(F.lit(1)).alias("total"), F.count("_hit").alias("matched"), (F.count(F.lit(1)) - F.count("_hit")).alias("unmatched"), F.countDistinct("_hit").alias("parcels"))
+
+
+def weighted_share(df: DataFrame, key: str, weight: str, test: Column, default: float = 30.0, digits: int = 6) -> DataFrame:
+    """Per cent of the weight that passes the test; areas where nothing passes get the default."""
+    return df.groupBy(key).agg(F.round(F.coalesce(F.sum(F.when(test, F.col(weight))) * 100 / F.sum(weight), F.lit(default)), digits).alias("share"))
+
+
+def capacity(df: DataFrame, key: str, kind: str, per_lot: DataFrame, units: str, default: int) -> DataFrame:
+    """Units that the zoning of an area allows (per_lot: kind, per_lot), the default where none, at least those there are."""
+    z = df.join(per_lot.select(F.col("kind").alias(kind), "per_lot"), kind, "left")
+    allowed = F.coalesce(F.nullif(F.sum(F.coalesce("per_lot", F.lit(0))), F.lit(0)), F.lit(default))
+    return z.groupBy(key).agg(F.greatest(allowed, F.sum(units)).cast("long").alias("capacity"))
+
+
+def rate_per(entities: DataFrame, events: DataFrame, key: str, area: str, per: float, out: str, digits: int = 6) -> DataFrame:
+    """Events of an area's entities for every ``per`` entities."""
+    n = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return entities.join(n, key, "left").groupBy(area).agg(F.round(F.coalesce(F.sum("_n"), F.lit(0)) * per / F.count(F.lit(1)), digits).alias(out))
+
+
+def repeated_names(df: DataFrame, name: Column, item: str, least: int = 2) -> DataFrame:
+    """Names of at least ``least`` rows, with their count and first item."""
+    return df.groupBy(name.alias("brand")).agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("first_id")).where(F.col("n") >= least)
+
+
+def ledger_rollup(df: DataFrame, provider: str, sku: str, day: str, cost: str) -> DataFrame:
+    """Cost and calls by provider, by provider and sku, by day and in all, from one scan (absent keys are null)."""
+    sets = [[F.col(provider)], [F.col(provider), F.col(sku)], [F.col(day)], []]
+    return df.groupingSets(sets, F.col(provider), F.col(sku), F.col(day)).agg(F.round(F.sum(cost), 4).alias("cost"), F.count(F.lit(1)).alias("calls"))
+
+
+def strictest(df: DataFrame, key: str, flag: str, order: Sequence[str]) -> DataFrame:
+    """The strictest flag of each key; ``order`` goes from lenient to strict, other flags are the most lenient."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(flag)), F.lit(0))
+    return df.groupBy(key).agg(F.max_by(flag, rank).alias(flag))
+
+
+def attached_kind(df: DataFrame, key: str, address: str) -> DataFrame:
+    """Kind by the number of distinct addresses: 2 semi, more row, one null."""
+    n = df.groupBy(key).agg(F.countDistinct(address).alias("_n"))
+    return n.select(key, F.when(F.col("_n") == 2, "semi").when(F.col("_n") > 2, "row").alias("kind"))
+
+
+def unjoined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row with the number of rows whose key the other side lacks."""
+    return left.join(right.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("unjoined"))
+
+
+def concentration(df: DataFrame, name: str, top: int = 5) -> DataFrame:
+    """Share of the ``top`` largest groups, number of groups and of repeated ones; ties by name."""
+    n = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    first = n.orderBy(F.desc("_n"), name).limit(top).agg(F.sum("_n").alias("_t"))
+    every = n.agg(F.sum("_n").alias("_a"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("_n") > 1).alias("repeated"))
+    return every.join(F.broadcast(first)).select(F.round(F.col("_t") * 100.0 / F.col("_a"), 6).alias(f"top{top}_share"), "groups", "repeated")  # both: one row
+
+
+def agreement(df: DataFrame, truth: str, guess: str, family: Callable[[Column], Column]) -> DataFrame:
+    """Rows that agree exactly, within a family, not at all, or whose guess is missing."""
+    same = F.when(F.col(truth) == F.col(guess), "exact").when(F.col(guess).isNull(), "abstain")
+    return df.groupBy(same.when(family(F.col(truth)) == family(F.col(guess)), "family").otherwise("wrong").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def drift(df: DataFrame, code: str, known: DataFrame, most: int = 10) -> DataFrame:
+    """The ``most`` frequent codes that the table lacks; ties by code."""
+    return df.join(known.select(code), code, "left_anti").groupBy(code).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), code).limit(most)
+
+
+def per_hundred(df: DataFrame, key: str, test: Column, digits: int = 6) -> DataFrame:
+    """Rows that pass for every 100 rows of a key."""
+    return df.groupBy(key).agg(F.bround(F.count_if(test) * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1)), digits).alias("per_100"))
+
+
+def cross_counts(df: DataFrame, *axes: str) -> DataFrame:
+    """Counts by every subset of the axes (absent ones are null)."""
+    return df.cube(*axes).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distribution(df: DataFrame, label: str, digits: int = 6) -> DataFrame:
+    """Count and share of each label."""
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("_t")))).select(label, "n", F.round(F.col("n") / F.col("_t"), digits).alias("share"))  # total: one row
+
+
+def transitions(state: DataFrame, verdicts: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """Rows whose label stayed, was split, is unknown now, or has no verdict (error)."""
+    j = state.select(key, old).join(verdicts.select(key, new), key, "left")
+    kind = F.when(F.col(new).isNull(), "error").when(F.col(new) == "unknown", "unknown").when(F.col(old) == F.col(new), "stayed").otherwise("split")
+    return j.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def paired(df: DataFrame, key: str, name: str, pair: tuple[str, str], value: str, digits: int = 2) -> DataFrame:
+    """Sum of the two named values of a key, 0 where one is missing."""
+    wide = df.groupBy(key).pivot(name, list(pair)).agg(F.max(value))
+    return wide.select(key, F.round(F.coalesce(F.col(pair[0]) + F.col(pair[1]), F.lit(0.0)), digits).alias("paired"))
+
+
+def cumulative_share(df: DataFrame, key: str, order: str, value: Column, digits: int = 8) -> DataFrame:
+    """Running share of a value within a key, in order."""
+    w = W.partitionBy(key)
+    run = F.sum(value).over(w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)) / F.sum(value).over(w)
+    return df.withColumn("share", F.round(run, digits))

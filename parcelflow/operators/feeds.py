@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,14 +38,13 @@ def diversity_sample(df: DataFrame, band: str, group: str, per_group: int, per_b
     return df.withColumn("_b", F.row_number().over(W.partitionBy(band).orderBy("_o"))).where(F.col("_b") <= per_band).drop("_o", "_g", "_b")
 
 
-def first_unused(lists: list[DataFrame], key: str, order: Sequence[Column], depth: int = 20) -> list[str]:
-    """From each ranked list the best key that no earlier list took; at most ``depth`` keys of a list are looked at."""
-    used: list[str] = []
+def first_unused(lists: list[DataFrame], key: str, order: Sequence[Column]) -> list:
+    """From each ranked list the best key that no earlier list took; None where every key of a list is taken."""
+    used: list = []
     for df in lists:
-        for r in df.orderBy(*order).select(key).limit(depth).collect():
-            if r[0] not in used:
-                used.append(r[0])
-                break
+        free = df.where(F.col(key).isNotNull() & ~F.col(key).isin([u for u in used if u is not None]))
+        row = free.orderBy(*order).select(key).first()
+        used.append(row[0] if row else None)
     return used
 
 
@@ -66,3 +66,69 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def prune(dimension: DataFrame, used: DataFrame, key: str, seeded: str) -> DataFrame:
     """Seeded keys, and others that are in use."""
     return dimension.where(F.col(seeded)).unionByName(dimension.where(~F.col(seeded)).join(used.select(key).distinct(), key, "left_semi"))
+
+
+def newest(df: DataFrame, date: str, key: str, n: int) -> DataFrame:
+    """The newest ``n`` rows, ties by key; rows without a date come last."""
+    return df.orderBy(F.desc_nulls_last(date), key).limit(n)
+
+
+def largest(df: DataFrame, value: Column, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of the largest value, a missing one counting as 0; ties by key."""
+    return df.orderBy(F.coalesce(value, F.lit(0)).desc(), key).limit(n)
+
+
+def sorted_either(df: DataFrame, value: Column, key: str, n: int, down: bool) -> DataFrame:
+    """The first ``n`` rows in either direction, missing values last in both."""
+    return df.orderBy(value.desc_nulls_last() if down else value.asc_nulls_last(), key).limit(n)
+
+
+def top_with_total(df: DataFrame, order: Sequence[Column], n: int, total: str = "available") -> DataFrame:
+    """The first ``n`` rows, each with the number of all rows."""
+    return df.orderBy(*order).limit(n).join(F.broadcast(df.agg(F.count(F.lit(1)).alias(total))))  # one row
+
+
+def lead(df: DataFrame, areas: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """The first row in order among those of the given areas."""
+    return df.join(areas.select(key).distinct(), key, "left_semi").orderBy(*order).limit(1)
+
+
+def announce_queue(df: DataFrame, done: DataFrame, key: str, date: str, tie: str, as_of: dt.date, days: int = 30, n: int = 25) -> DataFrame:
+    """The newest ``n`` rows of the last ``days`` days whose key has not been announced."""
+    recent = df.where(F.col(date).cast("date").between(F.date_sub(F.lit(as_of), days), F.lit(as_of)))
+    return newest(recent.join(done.select(key).distinct(), key, "left_anti"), date, tie, n)
+
+
+def teasers(df: DataFrame, keep: Column, key: str, text: str, n: int = 30, cap: int = 240) -> DataFrame:
+    """The last ``n`` rows by key that are kept, with the start of their text."""
+    return df.where(keep).orderBy(F.desc(key)).limit(n).select(key, F.substring(text, 1, cap).alias("teaser"))
+
+
+def broken_links(df: DataFrame, ok: Column, key: str, n: int = 15) -> DataFrame:
+    """The last ``n`` rows by key whose link is broken (or was not checked)."""
+    return df.where(~F.coalesce(ok, F.lit(False))).orderBy(F.desc(key)).limit(n)
+
+
+def any_filter(df: DataFrame, key: str, *tests: Column) -> DataFrame:
+    """Keys of rows that pass at least one test, each once."""
+    hit = F.lit(False)
+    for t in tests:
+        hit = hit | F.coalesce(t, F.lit(False))
+    return df.where(hit).select(key).distinct()
+
+
+def target_union(sources: Sequence[DataFrame], key: str, known: DataFrame) -> DataFrame:
+    """The distinct keys of all sources, each with whether it is known already."""
+    every = sources[0].select(key)
+    for more in sources[1:]:
+        every = every.unionByName(more.select(key))
+    seen = known.select(key).distinct().withColumn("known", F.lit(True))
+    return every.distinct().join(seen, key, "left").fillna(False, ["known"])
+
+
+def url_inventory(*urls: DataFrame) -> DataFrame:
+    """The distinct urls of all tables (url)."""
+    every = urls[0].select("url")
+    for more in urls[1:]:
+        every = every.unionByName(more.select("url"))
+    return every.where("url IS NOT NULL AND url != ''").distinct()

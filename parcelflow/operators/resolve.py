@@ -150,3 +150,91 @@ def best_candidate(pairs: DataFrame, key: str, a_tokens: str, b_tokens: str, can
     scored = pairs.withColumn("overlap", keys.name_overlap(F.col(a_tokens), F.col(b_tokens))).where(F.col("overlap") >= least)
     w = W.partitionBy(key).orderBy(F.desc("overlap"), candidate)
     return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def amenity(kind: Column, kinds: Sequence[str], shop: Column) -> Column:
+    """P10: the lower-case kind where it is one of ``kinds``, else ``shop_`` and the shop's type, else null."""
+    return F.when(kind.isin(*kinds), F.lower(kind)).when(shop.isNotNull() & (shop != ""), F.concat(F.lit("shop_"), shop))
+
+
+def has_suffix(col: Column, suffix: str) -> Column:
+    """The text ends in ``suffix``; null is out."""
+    return F.coalesce(F.endswith(F.trim(col), F.lit(suffix)), F.lit(False))
+
+
+def type_since(kind: Column, value: str, date: Column, since: dt.date) -> Column:
+    """Of one kind and not before a day; nulls are out."""
+    return F.coalesce((kind == value) & (date.cast("date") >= F.lit(since)), F.lit(False))
+
+
+def weak_match(unmatched: Column, unlinked: Column, no_site: Column, kind: Column, weak_kind: str) -> Column:
+    """Nothing speaks for the row: no match and no site, or none of the three and of the weak kind."""
+    none = lambda c: F.coalesce(c, F.lit(True))
+    return (none(unmatched) & none(no_site)) | (none(unmatched) & none(unlinked) & none(no_site) & F.coalesce(kind == weak_kind, F.lit(False)))
+
+
+def generic_and_conflict(df: DataFrame, others: DataFrame, key: str, name: Column, label: Column, generic: Sequence[str], generic_label: Column) -> DataFrame:
+    """Flags ``generic`` (a generic word in a name of such a label) and ``conflict`` (another source's label differs).
+
+    others: (key, other), at most one row for each key; keys without a row do not conflict."""
+    word = name.rlike(r"\b(" + "|".join(generic) + r")\b") & generic_label
+    out = df.join(others.select(key, F.col("other").alias("_other")), key, "left")
+    return out.withColumns({"generic": F.coalesce(word, F.lit(False)), "conflict": F.coalesce(label != F.col("_other"), F.lit(False))}).drop("_other")
+
+
+def select_targets(df: DataFrame, done: DataFrame, id_key: str, among: DataFrame, group_key: str, kinds: Column) -> DataFrame:
+    """Rows of the wanted kinds that are not done yet, of groups that are in ``among``."""
+    return df.where(kinds).join(done.select(id_key), id_key, "left_anti").join(among.select(group_key).distinct(), group_key, "left_semi")
+
+
+def verification_merge(df: DataFrame, places: DataFrame, web: DataFrame, bad_links: DataFrame, key: str) -> DataFrame:
+    """Df with ``via`` and ``site``; rows that a source calls closed go.
+
+    places: (key, status, site), web: (key, site), bad_links: (site).  An operational place wins over a web hit; a place's
+    site that is among the bad links is left out.  Keys are unique in both sources."""
+    p = places.select(key, F.col("status").alias("_status"), F.col("site").alias("_p"))
+    w = web.select(key, F.lit(True).alias("_web"), F.col("site").alias("_w"))
+    b = bad_links.select(F.col("site").alias("_p")).distinct().withColumn("_bad", F.lit(True))
+    m = df.join(p, key, "left").join(w, key, "left").join(b, "_p", "left").where("_status IS NULL OR _status != 'CLOSED'")
+    open_place = F.coalesce(F.col("_status") == "OPERATIONAL", F.lit(False))
+    return m.withColumns({
+        "via": F.when(open_place, "places").when(F.col("_web"), "web"),
+        "site": F.when(open_place, F.when(F.col("_bad").isNull(), F.col("_p"))).when(F.col("_web"), F.col("_w")),
+    }).drop("_status", "_p", "_w", "_web", "_bad")
+
+
+def by_alias(df: DataFrame, name: str, aliases: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """The value of table (name, value) for the name or for what aliases (name, canon) call it; null if neither is known."""
+    a = aliases.select(F.col("name").alias(name), F.col("canon").alias("_canon"))
+    j = df.join(a, name, "left").withColumn("_canon", F.coalesce("_canon", name))
+    return j.join(table.select(F.col("name").alias("_canon"), value), "_canon", "left").drop("_canon")
+
+
+def crosscheck(claims: DataFrame, fresh: DataFrame, key: str, tolerance: float, sample: int | None = None, seed: str = "") -> DataFrame:
+    """(checked, wrong, missing) of claims (key, claim) against recomputed values (key, value).
+
+    With ``sample``, that many claims are taken in an order fixed by the seed; a claim without a value counts as missing."""
+    if sample is not None:
+        claims = claims.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(sample)
+    j = claims.join(fresh.select(key, "value", F.lit(True).alias("_seen")), key, "left")
+    seen = F.coalesce("_seen", F.lit(False))
+    return j.agg(F.count_if(seen).alias("checked"), F.count_if(seen & ~F.coalesce(F.abs(F.col("claim") - F.col("value")) <= tolerance, F.lit(False))).alias("wrong"), F.count_if(~seen).alias("missing"))
+
+
+def regressions(df: DataFrame, bad_ids: DataFrame, id_key: str, bad_groups: DataFrame, group_key: str) -> DataFrame:
+    """Rows whose id or whose group is in one of two lists, each once."""
+    hit = lambda bad, key: bad.select(key).where(F.col(key).isNotNull()).distinct()
+    i = hit(bad_ids, id_key).withColumn("_i", F.lit(True))
+    g = hit(bad_groups, group_key).withColumn("_g", F.lit(True))
+    return df.join(i, id_key, "left").join(g, group_key, "left").where("_i OR _g").drop("_i", "_g")
+
+
+def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among those done; a null key is never done."""
+    return df.join(done.select(key).distinct(), key, "left_anti")
+
+
+def annotate_counts(df: DataFrame, facts: DataFrame, key: str, out: str) -> DataFrame:
+    """Df with the number of facts of its key, 0 where there are none."""
+    n = facts.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+    return df.join(n, key, "left").fillna(0, [out])

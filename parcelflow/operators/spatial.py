@@ -57,14 +57,25 @@ def first_polygon(points: DataFrame, polygons: DataFrame, key: str, x: str, y: s
     return pairs.groupBy(key).agg(F.min_by(label, ordinal).alias(label))
 
 
+def _banded(y: Column, x: Column, metres: float, shift: Column) -> tuple[Column, Column]:
+    """(band, column) of a point seen from the latitude band ``shift`` bands away from its own.  Bands are ``metres`` high; the
+    columns of a band are at least ``metres`` wide anywhere in it and in the bands beside it, at any latitude."""
+    high = metres / 111_000.0
+    band = F.floor(y / high) + shift
+    wide = F.least(high / F.cos(F.radians(F.least((F.abs(band) + 2) * high, F.lit(89.9999)))), F.lit(360.0))
+    return band, F.floor(x / wide)
+
+
 def within_radius(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, metres: float) -> DataFrame:
-    """Pairs at most ``metres`` apart (haversine) with ``dist_m``; right rows go to the 3 x 3 cells around their own."""
-    # A degree of latitude is 111.2 km; one of longitude at least 0.7 * 111.2 km up to 45 degrees, 0.34 up to 70.
-    size = metres / 111_000.0 / 0.34
+    """Pairs at most ``metres`` apart (haversine) with ``dist_m``; right rows go to the 3 x 3 cells around their own.
+
+    The date line is a border: pairs across it are not found."""
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    r = right.withColumn("_cx", F.explode(F.transform(around, lambda i: F.floor(F.col(rx) / size) + i)))
-    r = r.withColumn("_cy", F.explode(F.transform(around, lambda i: F.floor(F.col(ry) / size) + i)))
-    left = left.withColumns({"_cx": F.floor(F.col(lx) / size), "_cy": F.floor(F.col(ly) / size)})
+    r = right.withColumn("_by", F.explode(around))
+    band, column = _banded(F.col(ry), F.col(rx), metres, F.col("_by"))
+    r = r.withColumns({"_cy": band, "_c": column}).withColumn("_cx", F.explode(F.transform(around, lambda i: F.col("_c") + i))).drop("_by", "_c")
+    band, column = _banded(F.col(ly), F.col(lx), metres, F.lit(0))
+    left = left.withColumns({"_cx": column, "_cy": band})
     pairs = left.join(r, ["_cx", "_cy"]).withColumn("dist_m", geo.haversine(F.col(lx), F.col(ly), F.col(rx), F.col(ry)))
     return pairs.where(F.col("dist_m") <= metres).drop("_cx", "_cy")
 
@@ -122,17 +133,62 @@ def nearest_capped(pairs: DataFrame, key: str, distance: str, tie: str, n: int)
     return pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def polygon_pairs(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float = CELL, pad: float = 0.0) -> DataFrame:
-    """Pairs of polygons whose boxes (padded) meet; each once, in the cell of their boxes' common corner."""
-    ax, ay, axx, ayy = geo.bbox(F.col(a_geom)[0])
-    bx, by, bxx, byy = geo.bbox(F.col(b_geom)[0])
-    a = a.withColumns({"_ax": ax - pad, "_ay": ay - pad, "_axx": axx + pad, "_ayy": ayy + pad})
-    b = b.withColumns({"_bx": bx, "_by": by, "_bxx": bxx, "_byy": byy})
-    ac = a.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_ax") / size), F.floor(F.col("_axx") / size)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_ay") / size), F.floor(F.col("_ayy") / size))))
-    bc = b.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_bx") / size), F.floor(F.col("_bxx") / size)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_by") / size), F.floor(F.col("_byy") / size))))
+def _laddered(df: DataFrame, box: tuple[Column, Column, Column, Column], size: float, p: str, levels: int = 4) -> DataFrame:
+    """One row for each cell of the box, at the first grid level with at most MAX_CELLS cells and at every coarser one.
+
+    Keeps the box and that first level in columns that begin with ``p``."""
+    df = df.withColumns(dict(zip((f"{p}x", f"{p}y", f"{p}xx", f"{p}yy"), box)))
+    x, y, xx, yy = (F.col(p + c) for c in ("x", "y", "xx", "yy"))
+    n = [(F.floor(xx / w) - F.floor(x / w) + 1) * (F.floor(yy / w) - F.floor(y / w) + 1) for w in (size * LADDER**i for i in range(levels))]
+    df = df.withColumn(f"{p}lv", F.coalesce(*[F.when(c <= MAX_CELLS, F.lit(i)) for i, c in enumerate(n)], F.lit(levels - 1)))
+    df = df.withColumn("_lv", F.explode(F.sequence(f"{p}lv", F.lit(levels - 1)))).withColumn("_w", F.lit(size) * F.pow(F.lit(float(LADDER)), F.col("_lv")))
+    df = df.withColumn("_cx", F.explode(F.sequence(F.floor(x / F.col("_w")), F.floor(xx / F.col("_w")))))
+    return df.withColumn("_cy", F.explode(F.sequence(F.floor(y / F.col("_w")), F.floor(yy / F.col("_w"))))).drop("_w")
+
+
+def box_pairs(a: DataFrame, b: DataFrame, a_box: tuple[Column, ...], b_box: tuple[Column, ...], size: float) -> DataFrame:
+    """Pairs of rows whose boxes meet, each once: at the coarser of their two grid levels, in the cell of the boxes' common
+    corner.  A large geometry has few cells of a coarse grid, where it meets small ones too."""
+    pairs = _laddered(a, a_box, size, "_a").join(_laddered(b, b_box, size, "_b"), ["_lv", "_cx", "_cy"])
+    w = F.lit(size) * F.pow(F.lit(float(LADDER)), F.col("_lv"))
     meet = (F.col("_ax") <= F.col("_bxx")) & (F.col("_bx") <= F.col("_axx")) & (F.col("_ay") <= F.col("_byy")) & (F.col("_by") <= F.col("_ayy"))
-    once = (F.floor(F.greatest("_ax", "_bx") / size) == F.col("_cx")) & (F.floor(F.greatest("_ay", "_by") / size) == F.col("_cy"))
-    return ac.join(bc, ["_cx", "_cy"]).where(meet & once).drop("_cx", "_cy", "_ax", "_ay", "_axx", "_ayy", "_bx", "_by", "_bxx", "_byy")
+    once = (F.floor(F.greatest("_ax", "_bx") / w) == F.col("_cx")) & (F.floor(F.greatest("_ay", "_by") / w) == F.col("_cy"))
+    return pairs.where((F.col("_lv") == F.greatest("_alv", "_blv")) & meet & once).drop("_lv", "_cx", "_cy", *[f"_{p}{c}" for p in "ab" for c in ("x", "y", "xx", "yy", "lv")])
+
+
+def polygon_pairs(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float = CELL, pad: float = 0.0) -> DataFrame:
+    """Pairs of polygons whose boxes (the first ones padded) meet."""
+    x, y, xx, yy = geo.bbox(F.col(a_geom)[0])
+    return box_pairs(a, b, (x - pad, y - pad, xx + pad, yy + pad), geo.bbox(F.col(b_geom)[0]), size)
+
+
+def intersection_clusters(lines: DataFrame, line_id: str, parts: str, cell: float, least: int = 3) -> DataFrame:
+    """(x, y, lines): centres of the grid cells in which at least ``least`` distinct lines have an end.
+
+    parts: array of lines, each an array of points; both ends of every part count, parts without points do not."""
+    ends = F.flatten(F.transform(F.filter(parts, lambda p: F.size(p) > 0), lambda p: F.array(p[0], F.element_at(p, -1))))
+    e = lines.select(F.col(line_id).alias("_line"), F.explode(ends).alias("_p"))
+    e = e.select("_line", (F.col("_p.x") / F.lit(cell)).cast("long").alias("_cx"), (F.col("_p.y") / F.lit(cell)).cast("long").alias("_cy"))
+    n = e.groupBy("_cx", "_cy").agg(F.countDistinct("_line").alias("lines")).where(F.col("lines") >= least)
+    return n.select(((F.col("_cx") + 0.5) * cell).alias("x"), ((F.col("_cy") + 0.5) * cell).alias("y"), "lines")
+
+
+def clipped_length(lines: DataFrame, areas: DataFrame, parts: str, area: str, shape: str, size: float = CELL) -> DataFrame:
+    """(area, length_m): metres of line inside each area's polygon, 0 where there are none.
+
+    parts: array of lines.  Every segment is cut where it crosses an edge of the polygon (holes too), and the pieces whose
+    middle is inside count."""
+    s = lines.select(F.explode(F.flatten(F.transform(parts, geo.segments))).alias("_s"))
+    ax, ay, bx, by = F.col("_s.a.x"), F.col("_s.a.y"), F.col("_s.b.x"), F.col("_s.b.y")
+    pairs = box_pairs(s, areas.select(area, shape), (F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by)), geo.bbox(F.col(shape)[0]), size)
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), geo.crossings(F.col("_s"), F.col(shape))))
+    pieces = pairs.withColumn("_t", cuts).withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_t") - 1)))
+    t0, t1 = F.element_at("_t", F.col("_i")), F.element_at("_t", F.col("_i") + 1)
+    pieces = pieces.withColumns({"_t0": t0, "_t1": t1, "_mx": ax + (t0 + t1) / 2 * (bx - ax), "_my": ay + (t0 + t1) / 2 * (by - ay)}).where("_t1 > _t0")
+    at = lambda t: (ax + F.col(t) * (bx - ax), ay + F.col(t) * (by - ay))
+    inside = pieces.where(geo.point_in_polygon(F.col("_mx"), F.col("_my"), F.col(shape)))
+    n = inside.groupBy(area).agg(F.sum(geo.haversine(*at("_t0"), *at("_t1"))).alias("length_m"))
+    return areas.select(area).join(n, area, "left").fillna(0.0, ["length_m"])
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float = CELL) -> DataFrame:

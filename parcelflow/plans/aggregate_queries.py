@@ -24,14 +24,12 @@ def _(t):
 
 @query("A02_unused_envelope", LOT_CTE + """SELECT nb, sum(floor(lot_m2 * 0.6::DOUBLE - least(lot_m2 * coverage * greatest(round_even(height_m / 3, 0), 1), lot_m2 * 0.6::DOUBLE)))::BIGINT AS unused_gfa, sum(round_even(height_m / 3, 0))::BIGINT AS storeys FROM lots GROUP BY nb""")
 def _(t):
-    gfa = F.col("lot_m2") * F.col("coverage") * F.greatest(F.bround(F.col("height_m") / 3), F.lit(1.0))
-    unused = F.floor(F.col("lot_m2") * 0.6 - F.least(gfa, F.col("lot_m2") * 0.6))
-    return lots(t).groupBy("nb").agg(F.sum(unused).cast("long").alias("unused_gfa"), F.sum(F.bround(F.col("height_m") / 3)).cast("long").alias("storeys"))
+    return agg.unused_envelope(lots(t), "nb")
 
 
 @query("A03_grand_totals", "SELECT c_nationkey AS area, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY ROLLUP (c_nationkey)")
 def _(t):
-    return t.customer.rollup(F.col("c_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return agg.with_grand_total(t.customer.withColumnRenamed("c_nationkey", "area"), "area", n=F.count(F.lit(1)), balance=F.round(F.sum("c_acctbal"), 2))
 
 
 @query("A04_count_by_area_window", f"SELECT n_nationkey AS area, coalesce(n, 0)::BIGINT AS n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate::DATE >= {s.AS_OF_SQL} - 20 AND o_orderdate::DATE < {s.AS_OF_SQL} GROUP BY 1) ON c_nationkey = n_nationkey")
@@ -59,18 +57,12 @@ def _(t):
 
 @query("A07_closure_index", f"SELECT label, count(*) FILTER (c IS NULL)::BIGINT AS active, count(*) FILTER (c > {s.AS_OF_SQL} - 90 AND c <= {s.AS_OF_SQL})::BIGINT AS closed90, count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL})::BIGINT AS closed365, CASE WHEN count(*) FILTER (c IS NULL) >= 20 THEN round_even(count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL}) * 100.0::DOUBLE / count(*) FILTER (c IS NULL), 6) END AS rate FROM (SELECT o_orderpriority AS label, {s.CANCEL} AS c FROM orders) GROUP BY label")
 def _(t):
-    o = t.orders.select(F.col("o_orderpriority").alias("label"), E(s.CANCEL).alias("c"))
-    as_of = F.lit(s.AS_OF)
-    closed = lambda d: F.count_if((F.col("c") > F.date_sub(as_of, d)) & (F.col("c") <= as_of))
-    r = o.groupBy("label").agg(F.count_if(F.col("c").isNull()).alias("active"), closed(90).alias("closed90"), closed(365).alias("closed365"))
-    return r.withColumn("rate", F.when(F.col("active") >= 20, F.bround(F.col("closed365") * 100.0 / F.col("active"), 6)))
+    return agg.closure_index(t.orders.select(F.col("o_orderpriority").alias("label"), E(s.CANCEL).alias("c")), "label", "c", s.AS_OF)
 
 
 @query("A08_openings_index", f"SELECT label, count(*) AS n365, count(*) FILTER (d >= {s.AS_OF_SQL} - 30)::BIGINT AS n30, max(d) AS newest FROM (SELECT unnest([o_orderpriority, o_orderstatus]) AS label, o_orderdate::DATE AS d FROM orders WHERE o_orderdate::DATE BETWEEN {s.AS_OF_SQL} - 365 AND {s.AS_OF_SQL}) GROUP BY label")
 def _(t):
-    o = t.orders.select(F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("label"), F.col("o_orderdate").cast("date").alias("d"))
-    o = o.where(F.col("d").between(F.date_sub(F.lit(s.AS_OF), 365), F.lit(s.AS_OF)))
-    return o.groupBy("label").agg(F.count(F.lit(1)).alias("n365"), F.count_if(F.col("d") >= F.date_sub(F.lit(s.AS_OF), 30)).alias("n30"), F.max("d").alias("newest"))
+    return agg.openings_index(t.orders, F.array("o_orderpriority", "o_orderstatus"), "o_orderdate", s.AS_OF)
 
 
 @query("A09_latest_snapshot_then_sum", "WITH l AS (SELECT user_id, event_type, arg_max(value, event_id) AS v FROM events GROUP BY ALL) SELECT user_id % 10 AS area, round(sum(v), 2) AS total, count(*) AS n, count(DISTINCT event_type) AS sectors FROM l GROUP BY 1")
@@ -81,8 +73,7 @@ def _(t):
 
 @query("A10_ward_rollup", "WITH w AS (SELECT c_nationkey AS ward, count(*) AS n, round_even(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1) SELECT ward % 5 AS area, sum(n)::BIGINT AS n, round(avg(mean), 3) AS mean_of_means FROM w GROUP BY 1")
 def _(t):
-    w = t.customer.groupBy(F.col("c_nationkey").alias("ward")).agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("c_acctbal"), 4).alias("mean"))
-    return w.groupBy((F.col("ward") % 5).alias("area")).agg(F.sum("n").alias("n"), F.round(F.avg("mean"), 3).alias("mean_of_means"))
+    return agg.two_level_rollup(t.customer, F.col("c_nationkey"), F.col("unit") % 5, "c_acctbal")
 
 
 @query("A11_census_rollup", "WITH h AS (SELECT c_nationkey AS hood, count(*)::DOUBLE AS pop, count(*) FILTER (c_acctbal > 5000)::DOUBLE AS rich, avg(c_acctbal) AS rate FROM customer GROUP BY 1) SELECT hood % 5 AS area, round_even(sum(rich) * 100 / sum(pop), 6) AS pct, round(sum(rate * pop) / sum(pop), 4) AS weighted_rate, round(avg(rate), 4) AS plain_mean, count(*) AS present FROM h GROUP BY 1")
@@ -94,7 +85,7 @@ def _(t):
 @query("A12_unpivot_wide", "SELECT s_suppkey, variable, v FROM (SELECT s_suppkey, s_acctbal AS balance, s_nationkey::DOUBLE AS nation FROM supplier) UNPIVOT (v FOR variable IN (balance, nation))")
 def _(t):
     wide = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
-    return wide.unpivot(["s_suppkey"], ["balance", "nation"], "variable", "v")
+    return agg.long_form(wide, ["s_suppkey"], ["balance", "nation"])
 
 
 _BRACKET = "SELECT c_nationkey AS area, floor(c_acctbal / 1000)::BIGINT AS b, count(*) AS c FROM customer GROUP BY ALL"
@@ -108,8 +99,7 @@ def _(t):
 
 @query("A14_permit_rollup_per_key", f"SELECT c_custkey, count(o_orderkey) AS permits, round(coalesce(sum(o_totalprice), 0), 2) AS value, max(o_orderdate::DATE) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate::DATE >= {s.AS_OF_SQL} - 365 * 2 GROUP BY 1")
 def _(t):
-    o = t.orders.where(F.col("o_orderdate").cast("date") >= F.date_sub(F.lit(s.AS_OF), 730)).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("permits"), F.round(F.sum("o_totalprice"), 2).alias("value"), F.max(F.col("o_orderdate").cast("date")).alias("latest"))
-    return t.customer.select("c_custkey").join(o, "c_custkey", "left").fillna(0, ["permits"]).fillna(0.0, ["value"])
+    return agg.permit_rollup(t.customer.select("c_custkey"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_totalprice", "o_orderdate", s.AS_OF)
 
 
 @query("A15_median_cost_per_unit", "SELECT p_brand, CASE WHEN count(*) >= 5 THEN round(median(p_retailprice / p_size), 6) END AS median, count(*) AS n FROM part WHERE p_size >= 40 GROUP BY p_brand")
@@ -140,8 +130,7 @@ def _(t):
 @query("A19_builder_activity", "SELECT k, n, CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' ELSE '4+' END AS bucket FROM (SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' UNION ALL SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY k)")
 def _(t):
     u = t.orders.where("o_orderdate >= TIMESTAMP '2000-01-01'").select(F.col("o_custkey").alias("k")).unionByName(t.events.where("event_type = 'signup'").select(F.col("user_id").alias("k")))
-    n = u.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("bucket", F.when(F.col("n") == 1, "1").when(F.col("n") <= 3, "2-3").otherwise("4+"))
+    return agg.builder_activity(u, "k")
 
 
 @query("A20_event_payload_latest", "SELECT user_id, event_type, arg_max(event_id, [epoch_us(ts), event_id]) AS event_id, count(*) - 1 AS extra FROM events GROUP BY ALL")
@@ -152,8 +141,7 @@ def _(t):
 
 @query("A21_signal_stats", "SELECT event_type, count(*) AS total, count(c_custkey) AS matched, count(*) - count(c_custkey) AS unmatched, count(DISTINCT c_custkey) AS parcels FROM events LEFT JOIN customer ON c_custkey = user_id * 20 GROUP BY 1")
 def _(t):
-    e = t.events.withColumn("c_custkey", F.col("user_id") * 20).join(t.customer.select("c_custkey", F.col("c_custkey").alias("hit")), "c_custkey", "left")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("matched"), (F.count(F.lit(1)) - F.count("hit")).alias("unmatched"), F.countDistinct("hit").alias("parcels"))
+    return agg.signal_stats(t.events.withColumn("c_custkey", F.col("user_id") * 20), t.customer, "event_type", "c_custkey")
 
 
 _RANK = "(SELECT c_acctbal AS p FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS rn, count(*) OVER () AS n FROM customer) WHERE rn = floor({p} * (n - 1)) + 1)"
@@ -167,7 +155,7 @@ def _(t):
 
 @query("A23_area_weighted_share", LOT_CTE + "SELECT nb, round(coalesce(sum(lot_m2) FILTER (kind = 'SMALL') * 100 / sum(lot_m2), 30), 6) AS share FROM lots GROUP BY nb")
 def _(t):
-    return lots(t).groupBy("nb").agg(F.round(F.coalesce(F.sum(F.when(F.col("kind") == "SMALL", F.col("lot_m2"))) * 100 / F.sum("lot_m2"), F.lit(30.0)), 6).alias("share"))
+    return agg.weighted_share(lots(t), "nb", "lot_m2", F.col("kind") == "SMALL")
 
 
 @query("A24_density_p95_score", "WITH g AS (SELECT c_nationkey AS area, count(*) / (1 + c_nationkey)::DOUBLE AS density FROM customer GROUP BY 1), p AS (SELECT density AS p FROM (SELECT density, row_number() OVER (ORDER BY density) AS rn, count(*) OVER () AS n FROM g) WHERE rn = floor(0.95 * (n - 1)) + 1) SELECT area, least(greatest(round_even(density * 100 / p, 1), 0), 100) AS score FROM g, p")
@@ -186,54 +174,37 @@ def _(t):
     return agg.nearest_rank(t.customer, "c_acctbal", 0.9, ["c_nationkey"])
 
 
-@query("A26_intersection_clusters", f"SELECT cx, cy, count(DISTINCT line)::BIGINT AS lines FROM (SELECT c_custkey % 200 AS line, trunc({s.lon('c_custkey')} / 0.01::DOUBLE)::BIGINT AS cx, trunc({s.lat('c_custkey')} / 0.01::DOUBLE)::BIGINT AS cy FROM customer) GROUP BY ALL HAVING count(DISTINCT line) >= 3")
-def _(t):
-    c = t.customer.select((F.col("c_custkey") % 200).alias("line"), (E(s.lon("c_custkey")) / F.lit(0.01)).cast("long").alias("cx"), (E(s.lat("c_custkey")) / F.lit(0.01)).cast("long").alias("cy"))
-    return c.groupBy("cx", "cy").agg(F.countDistinct("line").alias("lines")).where("lines >= 3")
-
-
-@query("A27_clipped_length", "SELECT area, round(sum(greatest(least(x2, (area + 1) * 20) - greatest(x1, area * 20), 0)), 6) AS length FROM (SELECT least(p_size, p_partkey % 100)::DOUBLE AS x1, greatest(p_size, p_partkey % 100)::DOUBLE AS x2 FROM part), (SELECT unnest(range(5)) AS area) WHERE x2 > area * 20 AND x1 < (area + 1) * 20 GROUP BY area")
-def _(t):
-    lines = t.part.select(F.least(F.col("p_size").cast("long"), F.col("p_partkey") % 100).cast("double").alias("x1"), F.greatest(F.col("p_size").cast("long"), F.col("p_partkey") % 100).cast("double").alias("x2"))
-    cut = lines.withColumn("area", F.explode(F.sequence(F.floor(F.col("x1") / 20), F.floor(F.col("x2") / 20))))
-    part = F.greatest(F.least("x2", (F.col("area") + 1) * 20.0) - F.greatest("x1", F.col("area") * 20.0), F.lit(0.0))
-    return cut.withColumn("part", part).where("part > 0").groupBy("area").agg(F.round(F.sum("part"), 6).alias("length"))
-
-
 @query("A28_zone_capacity_rollup", LOT_CTE + "SELECT nb, greatest(coalesce(nullif(sum(CASE kind WHEN 'SMALL' THEN 4 WHEN 'LARGE' THEN 2 ELSE 0 END), 0), 7), sum(units))::BIGINT AS capacity FROM lots GROUP BY nb")
 def _(t):
     table = t.spark.createDataFrame([("SMALL", 4), ("LARGE", 2)], "kind string, per_lot int")
-    z = lots(t).join(F.broadcast(table), "kind", "left")  # multipliers: a fixed table
-    return z.groupBy("nb").agg(F.greatest(F.coalesce(F.nullif(F.sum(F.coalesce("per_lot", F.lit(0))), F.lit(0)), F.lit(7)), F.sum("units")).cast("long").alias("capacity"))
+    return agg.capacity(lots(t), "nb", "kind", table, "units", 7)
 
 
 @query("A29_permits_per_area_rate", "SELECT c_nationkey AS area, round(coalesce(sum(n), 0) * 1000.0::DOUBLE / count(*), 6) AS per_1000 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1")
 def _(t):
-    o = t.orders.where("o_orderdate >= TIMESTAMP '2001-01-01'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    return t.customer.join(o, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("area")).agg(F.round(F.coalesce(F.sum("n"), F.lit(0)) * 1000.0 / F.count(F.lit(1)), 6).alias("per_1000"))
+    o = t.orders.where("o_orderdate >= TIMESTAMP '2001-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return agg.rate_per(t.customer.withColumnRenamed("c_nationkey", "area"), o, "c_custkey", "area", 1000.0, "per_1000")
 
 
 @query("A30_brand_counts", "SELECT upper(p_name) AS brand, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) >= 2")
 def _(t):
-    return t.part.groupBy(F.upper("p_name").alias("brand")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_id")).where("n >= 2")
+    return agg.repeated_names(t.part, F.upper("p_name"), "p_partkey")
 
 
 @query("A31_ledger_rollup", "SELECT user_id % 3 AS provider, event_type AS sku, ts::DATE AS day, round(sum(value), 4) AS cost, count(*) AS calls FROM events GROUP BY GROUPING SETS ((1), (1, 2), (3), ())")
 def _(t):
-    t.events.createOrReplaceTempView("_ledger")
-    return t.spark.sql("SELECT provider, sku, day, round(sum(value), 4) AS cost, count(1) AS calls FROM (SELECT user_id % 3 AS provider, event_type AS sku, cast(ts AS date) AS day, value FROM _ledger) GROUP BY GROUPING SETS ((provider), (provider, sku), (day), ())")
+    e = t.events.select((F.col("user_id") % 3).alias("provider"), F.col("event_type").alias("sku"), F.to_date("ts").alias("day"), "value")
+    return agg.ledger_rollup(e, "provider", "sku", "day", "value")
 
 
 @query("A32_fold_strictest", "SELECT l_orderkey, arg_max(l_returnflag, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) AS flag FROM lineitem GROUP BY 1")
 def _(t):
-    rank = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(1)
-    return t.lineitem.groupBy("l_orderkey").agg(F.max_by("l_returnflag", rank).alias("flag"))
+    return agg.strictest(t.lineitem.withColumnRenamed("l_returnflag", "flag"), "l_orderkey", "flag", ["A", "R"])
 
 
 @query("A33_distinct_address_count", "SELECT l_orderkey, CASE count(DISTINCT l_suppkey) WHEN 1 THEN NULL WHEN 2 THEN 'semi' ELSE 'row' END AS kind FROM lineitem GROUP BY 1")
 def _(t):
-    n = t.lineitem.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n"))
-    return n.select("l_orderkey", F.when(F.col("n") == 2, "semi").when(F.col("n") > 2, "row").alias("kind"))
+    return agg.attached_kind(t.lineitem, "l_orderkey", "l_suppkey")
 
 
 @query("A34_funnel_stats", LOT_CTE + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, count(*) FILTER (units >= 4)::BIGINT AS large FROM (SELECT *, CASE WHEN height_m > 14 THEN 'tall' WHEN lot_m2 < 100 THEN 'small' WHEN heritage IS NOT NULL THEN 'heritage' END AS reason FROM lots) GROUP BY 1")
@@ -246,7 +217,7 @@ def _(t):
 
 @query("A35_unjoined_count", "SELECT count(*)::BIGINT AS unjoined FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(t):
-    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").agg(F.count(F.lit(1)).alias("unjoined"))
+    return agg.unjoined(t.customer, t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def _profile_sql(cols):
@@ -260,9 +231,7 @@ def _(t):
 
 @query("A37_concentration", "SELECT round(sum(n) FILTER (rn <= 5) * 100.0::DOUBLE / sum(n), 6) AS top5_share, count(*) AS groups, count(*) FILTER (n > 1)::BIGINT AS repeated FROM (SELECT p_name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_name) AS rn FROM part GROUP BY 1)")
 def _(t):
-    n = t.part.groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
-    top = n.orderBy(F.desc("n"), "p_name").limit(5).agg(F.sum("n").alias("t"))
-    return n.agg(F.sum("n").alias("a"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("repeated")).join(F.broadcast(top)).select(F.round(F.col("t") * 100.0 / F.col("a"), 6).alias("top5_share"), "groups", "repeated")  # top: one row
+    return agg.concentration(t.part, "p_name")
 
 
 @query("A38_recall_backtest", "WITH t AS (SELECT p_partkey AS k, p_brand AS grp FROM part WHERE p_size >= 30), e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 'elite' ELSE 'broad' END AS tier FROM part WHERE p_partkey % 3 = 0) SELECT grp, count(*) AS n, count(*) FILTER (tier = 'elite')::BIGINT AS elite, count(tier)::BIGINT AS any_tier, round_even(count(tier) * 100.0::DOUBLE / count(*), 2) AS recall FROM t LEFT JOIN e USING (k) GROUP BY ROLLUP (grp)")
@@ -276,15 +245,13 @@ def _(t):
 def _(t):
     guess = F.when(F.col("p_size") % 7 == 0, None).when(F.col("p_size") % 2 == 0, F.lower("p_type")).when(F.col("p_size") % 3 == 0, "small").otherwise(F.split_part("p_name", F.lit(" "), F.lit(1)))
     p = t.part.select(F.lower("p_type").alias("truth"), guess.alias("guess"))
-    fam = lambda c: F.substring(c, 1, 1)
-    out = F.when(F.col("truth") == F.col("guess"), "exact").when(F.col("guess").isNull(), "abstain").when(fam("truth") == fam("guess"), "family").otherwise("wrong")
-    return p.groupBy(out.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return agg.agreement(p, "truth", "guess", lambda c: F.substring(c, 1, 1))
 
 
 @query("A40_drift_counts", "SELECT p_type AS code, count(*) AS n FROM part WHERE p_type NOT IN ('SMALL', 'LARGE') GROUP BY 1")
 def _(t):
     known = t.spark.createDataFrame([("SMALL",), ("LARGE",)], "code string")
-    return t.part.select(F.col("p_type").alias("code")).join(F.broadcast(known), "code", "left_anti").groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").limit(10)  # known: a fixed table
+    return agg.drift(t.part.withColumnRenamed("p_type", "code"), "code", known)
 
 
 @query("A41_per_district_floor", "SELECT n_nationkey AS area, count(s_suppkey) AS n, count(s_suppkey) >= 4 AS ok FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
@@ -295,19 +262,17 @@ def _(t):
 
 @query("A42_per_100_normalisation", "SELECT c_nationkey AS area, round_even(count(*) FILTER (c_acctbal < 0) * 100.0::DOUBLE / greatest(count(*), 1), 6) AS per_100 FROM customer GROUP BY 1")
 def _(t):
-    return t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.bround(F.count_if(F.col("c_acctbal") < 0) * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("per_100"))
+    return agg.per_hundred(t.customer.withColumnRenamed("c_nationkey", "area"), "area", F.col("c_acctbal") < 0)
 
 
 @query("A43_cross_axis_counts", "SELECT c_mktsegment AS label, c_nationkey AS district, count(*) AS n FROM customer GROUP BY CUBE (1, 2)")
 def _(t):
-    return t.customer.cube(F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("district")).agg(F.count(F.lit(1)).alias("n"))
+    return agg.cross_counts(t.customer.select(F.col("c_mktsegment").alias("label"), F.col("c_nationkey").alias("district")), "label", "district")
 
 
 @query("A44_label_distribution", "SELECT p_type AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1")
 def _(t):
-    n = t.part.groupBy(F.col("p_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # total: one row
+    return agg.distribution(t.part.select(F.col("p_type").alias("label")), "label")
 
 
 @query("A45_quantisation_check", LOT_CTE + _profile_sql(["height_m", "transit_m"]).replace("AS distinct,", 'AS "distinct",'))
@@ -319,12 +284,10 @@ def _(t):
 def _(t):
     state = t.part.select("p_partkey", F.lower("p_type").alias("old"))
     verdict = t.part.where("p_size % 9 != 0").select("p_partkey", F.when(F.col("p_size") % 5 == 0, "unknown").otherwise(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("new"))
-    kind = F.when(F.col("new").isNull(), "error").when(F.col("new") == "unknown", "unknown").when(F.col("old") == F.col("new"), "stayed").otherwise("split")
-    return state.join(verdict, "p_partkey", "left").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return agg.transitions(state, verdict, "p_partkey", "old", "new")
 
 
 @query("A47_paired_context_values", "SELECT s_nationkey AS area, round(CASE WHEN max(s_acctbal) FILTER (s_suppkey % 2 = 0) IS NOT NULL AND max(s_acctbal) FILTER (s_suppkey % 2 = 1) IS NOT NULL THEN max(s_acctbal) FILTER (s_suppkey % 2 = 0) + max(s_acctbal) FILTER (s_suppkey % 2 = 1) ELSE 0 END, 2) AS paired FROM supplier GROUP BY 1")
 def _(t):
     long = t.supplier.select(F.col("s_nationkey").alias("area"), F.when(F.col("s_suppkey") % 2 == 0, "even").otherwise("odd").alias("row"), "s_acctbal")
-    wide = long.groupBy("area").pivot("row", ["even", "odd"]).agg(F.max("s_acctbal"))
-    return wide.select("area", F.round(F.coalesce(F.col("even") + F.col("odd"), F.lit(0.0)), 2).alias("paired"))
+    return agg.paired(long, "area", "row", ("even", "odd"), "s_acctbal")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -68,7 +70,7 @@ def _(t):
 
 @query("P10_classify_amenity", "SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN lower(p_type) WHEN p_size < 10 THEN concat('shop_', split_part(p_name, ' ', 2)) END AS amenity FROM part")
 def _(t):
-    return t.part.select("p_partkey", F.when(F.col("p_type").isin("SMALL", "LARGE"), F.lower("p_type")).when(F.col("p_size") < 10, F.concat(F.lit("shop_"), F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("amenity"))
+    return t.part.select("p_partkey", resolve.amenity(F.col("p_type"), ["SMALL", "LARGE"], F.when(F.col("p_size") < 10, F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("amenity"))
 
 
 @query("P11_group_status", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'closed' ELSE 'unknown' END AS status FROM orders")
@@ -79,7 +81,7 @@ def _(t):
 
 @query("P12_filter_suffix", "SELECT c_custkey FROM customer WHERE c_name LIKE '%7'")
 def _(t):
-    return t.customer.where(F.col("c_name").endswith("7")).select("c_custkey")
+    return t.customer.where(resolve.has_suffix(F.col("c_name"), "7")).select("c_custkey")
 
 
 @query("P13_status_not_substrings", "SELECT p_partkey, CASE p_type WHEN 'LARGE' THEN 3 ELSE 1 END AS severity FROM part WHERE p_type IN ('LARGE', 'SMALL') AND NOT regexp_matches(lower(p_name), 'ring|bolt')")
@@ -90,7 +92,7 @@ def _(t):
 
 @query("P14_filter_type_since", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate::DATE >= DATE '1999-06-01'")
 def _(t):
-    return t.orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderdate").cast("date") >= F.lit("1999-06-01").cast("date"))).select("o_orderkey")
+    return t.orders.where(resolve.type_since(F.col("o_orderpriority"), "1-URGENT", F.col("o_orderdate"), dt.date(1999, 6, 1))).select("o_orderkey")
 
 
 @query("P15_permit_relevance", """SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'missing' WHEN p_type = 'PROMO' THEN 'category' WHEN p_size % 5 = 0 THEN 'no units' WHEN p_retailprice > 1700 THEN 'value' END AS skip_reason FROM part""")
@@ -192,7 +194,7 @@ def _(t):
 @query("P26_weak_match_drop", "SELECT event_id FROM events WHERE NOT (event_id % 2 = 0 AND event_id % 3 = 0 AND event_id % 5 = 0 AND event_type = 'view') AND NOT (event_id % 2 = 0 AND event_id % 5 = 0)")
 def _(t):
     no_match, no_link, no_site = F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0
-    return t.events.where(~(no_match & no_link & no_site & (F.col("event_type") == "view")) & ~(no_match & no_site)).select("event_id")
+    return t.events.where(~resolve.weak_match(no_match, no_link, no_site, F.col("event_type"), "view")).select("event_id")
 
 
 @query("P27_suspect_flags", LOT_CTE + "SELECT lot_id, (height_m > 10 AND coverage < 0.2) OR (height_m >= 9 AND coverage < 0.25 AND (abs(height_m - lot_id % 11) <= 0.1 OR abs(height_m - lot_id % 13) <= 0.1)) AS suspect FROM lots")
@@ -204,8 +206,8 @@ def _(t):
 @query("P28_generic_name_and_conflict", "SELECT p_partkey, regexp_matches(p_name, '\\b(red|hot)\\b') AND p_type = 'PROMO' AS generic, lower(p_type) <> split_part(p_name, ' ', 1) AND p_size % 2 = 0 AS conflict FROM part")
 def _(t):
     other = t.part.where("p_size % 2 = 0").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("other"))
-    df = t.part.join(other, "p_partkey", "left")
-    return df.select("p_partkey", (F.col("p_name").rlike(r"\b(red|hot)\b") & (F.col("p_type") == "PROMO")).alias("generic"), F.coalesce(F.lower("p_type") != F.col("other"), F.lit(False)).alias("conflict"))
+    df = resolve.generic_and_conflict(t.part, other, "p_partkey", F.col("p_name"), F.lower("p_type"), ["red", "hot"], F.col("p_type") == "PROMO")
+    return df.select("p_partkey", "generic", "conflict")
 
 
 @query("P29_rewrite_labels", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN a = 'red' THEN 'warm' WHEN a = 'hot' THEN 'warm' WHEN a = 'small' THEN 'drop' ELSE a END, b], lambda x: x <> 'drop'), ',') AS labels FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)")
@@ -218,4 +220,4 @@ def _(t):
 @query("P30_target_selectors", "SELECT event_id FROM events WHERE event_type IN ('view', 'error') AND event_id NOT IN (SELECT event_id FROM events WHERE value > 50) AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')")
 def _(t):
     e = t.events
-    return e.where(F.col("event_type").isin("view", "error")).join(e.where("value > 50").select("event_id"), "event_id", "left_anti").join(e.where("event_type = 'signup'").select("user_id").distinct(), "user_id", "left_semi").select("event_id")
+    return resolve.select_targets(e, e.where("value > 50"), "event_id", e.where("event_type = 'signup'"), "user_id", F.col("event_type").isin("view", "error")).select("event_id")

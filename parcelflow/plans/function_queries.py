@@ -128,7 +128,7 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in keys.NAME_STOP_WORDS) + "]"
 
 
 def _name_tokens_sql(x: str) -> str:
-    return f"list_filter(regexp_extract_all(translate(upper({x}), '{keys._ACCENTS}', '{keys._PLAIN}'), '[A-Z0-9]{{2,}}'), lambda w: NOT list_contains({_STOP}, w))"
+    return f"list_filter(regexp_extract_all(upper(translate({x}, '{keys.ACCENTS}', '{keys.PLAIN}')), '[A-Z0-9]{{2,}}'), lambda w: NOT list_contains({_STOP}, w))"
 
 
 @query("F17_name_tokens", f"SELECT c_custkey, array_to_string(list_sort(list_distinct({_name_tokens_sql('concat(c_name, chr(32), c_mktsegment, chr(32), chr(233), chr(39), chr(32), chr(84), chr(104), chr(101))')})), ' ') AS tokens FROM customer")
@@ -200,10 +200,13 @@ def _(t):
     return t.pages.select("page_id", text.page_title(F.col("html")).alias("title"), text.page_body(F.col("html")).alias("body"))
 
 
-@query("F25_too_short_to_judge", f"SELECT page_id, length(body) < 150 OR length(regexp_replace(body, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(body) < 0.55 AS too_short FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN substr({_body_sql('html')}, 1, 100) ELSE {_body_sql('html')} END AS body FROM pages)")
+_SHORT = "length({0}) < 150 OR length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length({0}) < 0.55"
+
+
+@query("F25_too_short_to_judge", f"SELECT page_id, {_SHORT.format('body')} AS body_short, {_SHORT.format('title')} AS title_short FROM (SELECT page_id, {_body_sql('html')} AS body, {_TITLE} AS title FROM pages)")
 def _(t):
-    body = t.pages.select("page_id", text.page_body(F.col("html")).alias("body")).withColumn("body", F.when(F.col("page_id") % 3 == 0, F.substring("body", 1, 100)).otherwise(F.col("body")))
-    return body.select("page_id", text.too_short_to_judge(F.col("body")).alias("too_short"))
+    parts = t.pages.select("page_id", text.page_body(F.col("html")).alias("body"), text.page_title(F.col("html")).alias("title"))
+    return parts.select("page_id", *[text.too_short_to_judge(F.col(c)).alias(f"{c}_short") for c in ("body", "title")])
 
 
 @query("F26_menu_link", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/our-menu' WHEN 1 THEN '/x' ELSE '/about' END AS link FROM pages")
@@ -226,15 +229,15 @@ def _(t):
     return t.events.select("event_id", F.array_join(text.list_field(raw, "c"), ",").alias("labels"))
 
 
-@query("F29_announcement_text", "SELECT doc_id, CASE WHEN length(f) > 280 THEN concat(rtrim(substr(f, 1, 279)), '…') ELSE f END AS post FROM (SELECT doc_id, concat_ws(chr(10), concat('New: ', source), nullif(trim(replace(substr(text, 1, CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 400 END), chr(10), ' ')), ''), lang) AS f FROM documents)")
+@query("F29_announcement_text", "SELECT doc_id, CASE WHEN length(f) > 280 THEN concat(rtrim(substr(f, 1, 279)), '…') ELSE f END AS post FROM (SELECT doc_id, concat_ws(chr(10), concat('New: ', source), nullif(trim(replace(text, chr(10), ' ')), ''), lang) AS f FROM documents)")
 def _(t):
-    body = F.replace(F.substring("text", F.lit(1), F.when(F.col("doc_id") % 2 == 0, 100).otherwise(400)), F.lit("\n"), F.lit(" "))
+    body = F.replace("text", F.lit("\n"), F.lit(" "))
     return t.documents.select("doc_id", text.announcement([F.concat(F.lit("New: "), F.col("source")), body, F.lit(""), F.col("lang")]).alias("post"))
 
 
-@query("F30_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
+@query("F30_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
 def _(t):
-    return t.pages.select("page_id", text.escape_html(F.substring("html", 1, 300)).alias("safe"))
+    return t.pages.select("page_id", text.escape_html(F.col("html")).alias("safe"))
 
 
 @query("F31_strip_unit_query_address", f"SELECT c_custkey, trim({s.ADDRESS}) AS street, trim(split_part({s.POSTAL_ADDRESS}, 'M', 1)) AS asked FROM customer")
@@ -304,8 +307,8 @@ def _(t):
 
 @query("M04_parcel_flags", "SELECT p_partkey, 1930 + p_size BETWEEN 1945 AND 1960 AND p_type <> 'PROMO' AS postwar, p_brand < 'Brand#2' AND p_size >= 15 AS back_lot, 2 * p_retailprice AS bonus FROM part")
 def _(t):
-    year = F.lit(1930) + F.col("p_size")
-    return t.part.select("p_partkey", (year.between(1945, 1960) & (F.col("p_type") != "PROMO")).alias("postwar"), ((F.col("p_brand") < "Brand#2") & (F.col("p_size") >= 15)).alias("back_lot"), (F.lit(2) * F.col("p_retailprice")).alias("bonus"))
+    flags = mathx.parcel_flags(F.lit(1930) + F.col("p_size"), F.col("p_type") != "PROMO", F.col("p_brand") < "Brand#2", F.col("p_size"), F.col("p_retailprice"))
+    return t.part.select("p_partkey", *[c.alias(n) for n, c in flags.items()])
 
 
 @query("M05_weighted_score", """SELECT p_partkey, round_even(least(greatest(0.0::DOUBLE + solar * (0.2::DOUBLE / 1.0::DOUBLE) + least(canopy * 2, 100) * (0.2::DOUBLE / 1.0::DOUBLE) + walk * (0.1::DOUBLE / 1.0::DOUBLE) + transit * (0.2::DOUBLE / 1.0::DOUBLE) + bike * (0.1::DOUBLE / 1.0::DOUBLE) + head * (0.2::DOUBLE / 1.0::DOUBLE), 0), 100), 8) AS score

@@ -111,12 +111,10 @@ def _(t):
 FROM (SELECT c_custkey AS k FROM customer) WHERE k % 4 <> 1""")
 def _(t):
     c = t.customer.select(F.col("c_custkey").alias("k"))
-    places = c.where("k % 4 IN (0, 1)").select("k", F.when(F.col("k") % 4 == 0, "OPERATIONAL").otherwise("CLOSED").alias("status"), F.concat(F.lit("http://p/"), F.col("k").cast("string")).alias("p_site"))
-    web = c.where("k % 3 = 0").select("k", F.lit(True).alias("web"), F.concat(F.lit("http://v/"), F.col("k").cast("string")).alias("v_site"))
-    bad = c.where("k % 5 = 0").select(F.concat(F.lit("http://p/"), F.col("k").cast("string")).alias("p_site"), F.lit(True).alias("bad"))
-    m = c.join(places, "k", "left").join(web, "k", "left").join(bad, "p_site", "left").where("status IS NULL OR status != 'CLOSED'")
-    site = F.when(F.col("status") == "OPERATIONAL", F.when(F.col("bad").isNull(), F.col("p_site"))).when(F.col("web"), F.col("v_site"))
-    return m.select("k", F.when(F.col("status") == "OPERATIONAL", "places").when(F.col("web"), "web").alias("via"), site.alias("site"))
+    places = c.where("k % 4 IN (0, 1)").select("k", F.when(F.col("k") % 4 == 0, "OPERATIONAL").otherwise("CLOSED").alias("status"), F.concat(F.lit("http://p/"), F.col("k").cast("string")).alias("site"))
+    web = c.where("k % 3 = 0").select("k", F.concat(F.lit("http://v/"), F.col("k").cast("string")).alias("site"))
+    bad = c.where("k % 5 = 0").select(F.concat(F.lit("http://p/"), F.col("k").cast("string")).alias("site"))
+    return resolve.verification_merge(c, places, web, bad, "k").select("k", "via", "site")
 
 
 @query("J32_fuzzy_candidate_match", """WITH p AS (SELECT p_partkey AS k, p_brand AS street, p_partkey % 100 AS num, list_distinct(string_split(upper(p_name), ' ')) AS w FROM part),
@@ -131,16 +129,16 @@ def _(t):
 @query("J33_name_alias_join", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 3 THEN n_regionkey END AS region FROM nation")
 def _(t):
     names = t.nation.select("n_nationkey", E("case when n_nationkey % 4 = 1 then concat('Old ', n_name) when n_nationkey % 4 = 3 then 'Nowhere' else n_name end").alias("name"))
-    alias = t.nation.select(F.concat(F.lit("Old "), F.col("n_name")).alias("name"), F.col("n_name").alias("to"))
-    j = names.join(F.broadcast(alias), "name", "left").withColumn("canon", F.coalesce("to", "name"))  # aliases: a fixed table
-    return j.join(t.nation.select(F.col("n_name").alias("canon"), F.col("n_regionkey").alias("region")), "canon", "left").select("n_nationkey", "region")
+    alias = t.nation.select(F.concat(F.lit("Old "), F.col("n_name")).alias("name"), F.col("n_name").alias("canon"))
+    table = t.nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return resolve.by_alias(names, "name", alias, table, "region").select("n_nationkey", "region")
 
 
-@query("J34_crosscheck_recompute", "SELECT count(*)::BIGINT AS checked, count(*) FILTER (abs(claim - v) > 0.01)::BIGINT AS wrong FROM (SELECT o_custkey, sum(o_totalprice) + CASE WHEN o_custkey % 9 = 0 THEN 1 ELSE 0 END AS claim, sum(o_totalprice) AS v FROM orders WHERE o_custkey % 5 = 0 GROUP BY o_custkey)")
+@query("J34_crosscheck_recompute", "SELECT count(v)::BIGINT AS checked, count(v) FILTER (abs(claim - v) > 0.01)::BIGINT AS wrong, count(*) FILTER (v IS NULL)::BIGINT AS missing FROM (SELECT o_custkey, sum(o_totalprice) + CASE WHEN o_custkey % 9 = 0 THEN 1 ELSE 0 END AS claim FROM orders GROUP BY o_custkey ORDER BY md5(concat('s|', o_custkey::VARCHAR)), o_custkey LIMIT 500) LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority <> '5-LOW' OR o_custkey % 4 > 0 GROUP BY 1) USING (o_custkey)")
 def _(t):
     claim = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v")).select("o_custkey", (F.col("v") + F.when(F.col("o_custkey") % 9 == 0, 1).otherwise(0)).alias("claim"))
-    fresh = t.orders.where("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
-    return claim.join(fresh, "o_custkey").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.abs(F.col("claim") - F.col("v")) > 0.01).alias("wrong"))
+    fresh = t.orders.where("o_orderpriority != '5-LOW' OR o_custkey % 4 > 0").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("value"))
+    return resolve.crosscheck(claim, fresh, "o_custkey", 0.01, sample=500, seed="s")
 
 
 @query("J35_outer_compare_tiers", "WITH a AS (SELECT p_partkey k FROM part WHERE p_size > 20), b AS (SELECT p_partkey k FROM part WHERE p_retailprice > 950) SELECT *, CASE WHEN \"both\" = 0 THEN 'disjoint' WHEN only_a = 0 THEN 'a in b' WHEN only_b = 0 THEN 'b in a' ELSE 'partial' END AS verdict FROM (SELECT count(*) FILTER (b.k IS NULL)::BIGINT AS only_a, count(*) FILTER (a.k IS NULL)::BIGINT AS only_b, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL)::BIGINT AS \"both\" FROM a FULL JOIN b ON a.k = b.k)")
@@ -151,20 +149,19 @@ def _(t):
 @query("J36_regression_semi", "SELECT p_partkey FROM part WHERE p_partkey % 97 = 0 OR concat(p_brand, '#', p_partkey % 50) IN (SELECT concat(p_brand, '#', p_partkey % 50) FROM part WHERE p_partkey % 89 = 0)")
 def _(t):
     p = t.part.withColumn("addr", F.concat_ws("#", "p_brand", (F.col("p_partkey") % 50).cast("string")))
-    bad = p.where("p_partkey % 97 = 0").select("p_partkey"), p.where("p_partkey % 89 = 0").select("addr").distinct()
-    return p.join(bad[0], "p_partkey", "left_semi").select("p_partkey").union(p.join(bad[1], "addr", "left_semi").select("p_partkey")).distinct()
+    return resolve.regressions(p, p.where("p_partkey % 97 = 0"), "p_partkey", p.where("p_partkey % 89 = 0"), "addr").select("p_partkey")
 
 
 @query("J37_anti_already_done", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01')")
 def _(t):
-    done = t.orders.where("o_orderdate >= TIMESTAMP '2000-06-01'").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return t.customer.join(done, "c_custkey", "left_anti").select("c_custkey")
+    done = t.orders.where("o_orderdate >= TIMESTAMP '2000-06-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return resolve.not_done(t.customer, done, "c_custkey").select("c_custkey")
 
 
 @query("J38_context_annotate", "SELECT c_custkey, coalesce(n, 0)::BIGINT AS suppliers FROM customer LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) ON c_nationkey = s_nationkey")
 def _(t):
-    n = t.supplier.where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return t.customer.join(n, "c_nationkey", "left").fillna(0, ["suppliers"]).select("c_custkey", "suppliers")
+    near = t.supplier.where("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey"))
+    return resolve.annotate_counts(t.customer, near, "c_nationkey", "suppliers").select("c_custkey", "suppliers")
 
 
 @query("J40_key_to_group_map", FEED_CTE + "SELECT c_nationkey AS grp, count(*) AS n FROM o JOIN customer ON ck = c_custkey WHERE st = 'O' GROUP BY c_nationkey")

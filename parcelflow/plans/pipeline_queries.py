@@ -6,16 +6,16 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, keys, mathx
+from ..functions import geo, keys
 from ..operators import aggregates as agg
-from ..operators import feeds, quality
+from ..operators import feeds
 from ..streaming import ledger, state
 from . import pipelines
 from . import standins as s
 from .filter_queries import _BROAD, _ELITE, _SHARED, LOT_CTE, lots
 from .join_queries import cust, feed
 from .registry import query
-from .spatial_queries import CTE, boxes, points, stops
+from .spatial_queries import CTE, STREETS, boxes, points, stops, streets
 from .state_queries import NOW, _state, _verdicts
 
 E = F.expr
@@ -27,24 +27,35 @@ def licences(t):
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return o.select(
         F.col("o_orderkey").alias("id"), F.concat_ws(" ", "c_name", "o_orderpriority").alias("name"), F.col("c_mktsegment").alias("category"), F.col("o_orderdate").cast("date").alias("issued"),
-        E(s.CANCEL).alias("cancelled"), E(s.ADDRESS).alias("address"), E(s.POSTAL).alias("postal"), F.when(F.col("c_custkey") % 3 == 0, F.lit("http://own.example")).alias("website"))
+        E(s.CANCEL).alias("cancelled"), E(s.ADDRESS).alias("address"), E(s.POSTAL).alias("postal"), F.when(F.col("c_custkey") % 7 == 0, F.lit("http://own.example")).alias("website"), "c_custkey")
 
 
 def the_feed(t):
     brands = t.customer.where("c_custkey % 50 = 0").select(F.upper(F.concat_ws(" ", "c_name", F.lit("5-LOW"))).alias("brand"))
-    return pipelines.openings_feed(licences(t), CATEGORIES, s.AS_OF, RULES, brands)
+    # What the web and the places know of every business: one row for each name and address.
+    known = licences(t).select("c_custkey", keys.entity_key(F.col("name"), F.col("address")).alias("key")).distinct()
+    k = F.col("c_custkey")
+    site = lambda host: F.concat(F.lit(f"http://{host}/"), k.cast("string"))
+    verdicts = known.where("c_custkey % 4 = 0").select("key", F.array(F.when(k % 8 == 0, "fast").otherwise("nonsense")).alias("labels"), F.lit("ok").alias("status"), F.when(k % 3 == 1, "no").otherwise("yes").alias("operating"))
+    places = known.where("c_custkey % 5 IN (0, 1)").select("key", F.when(k % 5 == 0, "OPERATIONAL").otherwise("CLOSED").alias("status"), site("p").alias("site"))
+    web = known.where("c_custkey % 3 = 0").select("key", site("v").alias("site"))
+    bad = t.customer.where("c_custkey % 20 = 0").select(site("p").alias("site"))
+    return pipelines.openings_feed(licences(t), CATEGORIES, s.AS_OF, RULES, brands, verdicts, places, web, bad)
 
 
 _FEED = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, name ORDER BY issued, id) AS rn FROM (
 SELECT o_orderkey AS id, c_custkey, concat_ws(' ', c_name, o_orderpriority) AS name, o_orderpriority AS pr, o_orderdate::DATE AS issued, {s.CANCEL} AS c, {s.POSTAL} AS postal, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey)
-WHERE seg IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AND issued BETWEEN {s.AS_OF_SQL} - 365 AND {s.AS_OF_SQL} AND (c IS NULL OR date_diff('day', c, {s.AS_OF_SQL}) <= 10) AND NOT (c_custkey % 50 = 0 AND pr = '5-LOW') AND pr <> '4-NOT SPECIFIED'),
-feed AS (SELECT id, CASE WHEN pr IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN pr = '5-LOW' THEN 'slow' ELSE 'plain' END AS label, issued, (MAP {{{', '.join(f"'{k}': '{v}'" for k, v in keys.DISTRICTS.items())}}})[substr(postal, 1, 2)] AS district, date_diff('day', issued, {s.AS_OF_SQL})::INT AS days_open, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 4 END AS tier FROM f WHERE rn = 1)
+WHERE seg IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AND issued BETWEEN {s.AS_OF_SQL} - 365 AND {s.AS_OF_SQL} AND (c IS NULL OR date_diff('day', c, {s.AS_OF_SQL}) <= 10) AND NOT (c_custkey % 50 = 0 AND pr = '5-LOW')),
+m AS (SELECT *, CASE WHEN c_custkey % 8 = 0 AND c_custkey % 3 <> 1 THEN 'fast' WHEN pr IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN pr = '5-LOW' THEN 'slow' WHEN pr = '3-MEDIUM' THEN 'plain' END AS label,
+CASE WHEN c_custkey % 8 = 0 AND c_custkey % 3 <> 1 THEN 'web' ELSE 'name' END AS label_source, CASE WHEN c_custkey % 5 = 0 THEN 'places' WHEN c_custkey % 3 = 0 THEN 'web' END AS via,
+coalesce(CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 20 <> 0 THEN 'http://p/' || c_custkey END WHEN c_custkey % 3 = 0 THEN 'http://v/' || c_custkey END, CASE WHEN c_custkey % 7 = 0 THEN 'http://own.example' END) AS site FROM f WHERE rn = 1 AND c_custkey % 5 <> 1),
+feed AS (SELECT id, label, label_source, via, site, issued, (MAP {{{', '.join(f"'{k}': '{v}'" for k, v in keys.DISTRICTS.items())}}})[substr(postal, 1, 2)] AS district, date_diff('day', issued, {s.AS_OF_SQL})::INT AS days_open, CASE WHEN site IS NULL THEN 4 ELSE 1 END AS tier FROM m WHERE label IS NOT NULL AND NOT (via IS NULL AND site IS NULL))
 """
 
 
 @query("C01_openings_feed", _FEED + "SELECT * FROM feed")
 def _(t):
-    return the_feed(t).select("id", "label", "issued", "district", "days_open", "tier")
+    return the_feed(t).select("id", "label", "label_source", "via", "site", "issued", "district", "days_open", "tier")
 
 
 _INDEX = _FEED + "SELECT label, count(*) AS n365, count(*) FILTER (days_open <= 30)::BIGINT AS n30, max(issued) AS newest, (SELECT string_agg(id::VARCHAR, ',' ORDER BY rn) FROM (SELECT id, label AS l2, row_number() OVER (PARTITION BY label ORDER BY issued DESC, id) AS rn FROM feed) WHERE rn <= 3 AND l2 = label) AS newest_ids FROM feed GROUP BY label"
@@ -55,9 +66,13 @@ def _(t):
     return pipelines.openings_index(the_feed(t), s.AS_OF)
 
 
-@query("C02_label_by_district", _FEED + "SELECT label, district, count(*) AS n FROM feed GROUP BY CUBE (label, district)")
+@query("C02_openings_tables", _FEED + """SELECT 'count' AS part, label, district, count(*) AS n, count(*) FILTER (days_open <= 30)::BIGINT AS n30 FROM feed GROUP BY CUBE (label, district)
+UNION ALL (SELECT 'newest', label, district, row_number() OVER (ORDER BY issued DESC, id), 0 FROM feed ORDER BY issued DESC, id LIMIT 20)
+UNION ALL SELECT 'dimension', key, NULL, 0, seeded::INT FROM (VALUES ('fast', true), ('plain', false), ('other', true), ('gone', false)) AS k(key, seeded) WHERE seeded OR key IN (SELECT label FROM feed)
+UNION ALL SELECT 'gap', label, NULL, count(*), 0 FROM feed WHERE label NOT IN ('fast', 'plain', 'other', 'gone') GROUP BY label""")
 def _(t):
-    return the_feed(t).cube("label", "district").agg(F.count(F.lit(1)).alias("n"))
+    known = t.spark.createDataFrame([("fast", True), ("plain", False), ("other", True), ("gone", False)], "key string, seeded boolean")
+    return pipelines.openings_tables(the_feed(t), known)
 
 
 @query("C03_area_dataset", CTE + """, g AS (SELECT box.n AS area, count(k) AS n, coalesce(sum(v), 0) AS total, count(*) FILTER (v < 0) AS low FROM box LEFT JOIN pip ON pip.n = box.n GROUP BY 1), r AS (SELECT area, n, total, round_even(low * 100.0::DOUBLE / greatest(n, 1), 4) AS low_rate, total / nullif(n, 0) AS mean FROM g)
@@ -111,11 +126,33 @@ def _(t):
     return pipelines.signals(cust(t).withColumnRenamed("k", "parcel_id"), ev).select("parcel_id", "kind", "event_id", "extra")
 
 
-@query("C09_neighbourhood_score", """WITH g AS (SELECT c_nationkey AS area, count(*) AS n, avg((c_acctbal >= 5000)::INT) * 100 AS solar FROM customer GROUP BY 1) SELECT area, round_even(least(greatest(0.0::DOUBLE + solar * (0.5::DOUBLE / 1.0::DOUBLE) + least(area * 1.0 * 2, 100) * (0.3::DOUBLE / 1.0::DOUBLE) + least(greatest((n / 40.0::DOUBLE - 1) * 50, 0), 100) * (0.2::DOUBLE / 1.0::DOUBLE), 0), 100), 4) AS score FROM g""")
+_P95 = "least(greatest(round_even({0} * 100 / (SELECT v FROM (SELECT {0} AS v, row_number() OVER (ORDER BY {0}) AS rn, count(*) OVER () AS n FROM {1} WHERE {0} > 0) WHERE rn = floor(0.95 * (n - 1)) + 1), 1), 0), 100)"
+_SCORES = STREETS.rstrip() + ", " + LOT_CTE[5:].rstrip() + f""", area AS (SELECT n AS area, x0, y0, (n % 5 + 1)::DOUBLE AS km2 FROM box),
+p75 AS (SELECT c_acctbal AS v FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS rn, count(*) OVER () AS n FROM customer) WHERE rn = floor(0.75 * (n - 1)) + 1),
+solar AS (SELECT c_nationkey AS area, avg((c_acctbal >= v)::INT) * 100 AS solar FROM customer, p75 GROUP BY 1),
+canopy AS (SELECT nb AS area, round(coalesce(sum(lot_m2) FILTER (kind = 'SMALL') * 100 / sum(lot_m2), 30), 6) AS canopy, greatest(coalesce(nullif(sum(CASE kind WHEN 'SMALL' THEN 4 WHEN 'LARGE' THEN 2 ELSE 0 END), 0), 7), sum(units))::BIGINT AS potential, sum(units)::BIGINT AS existing FROM lots GROUP BY nb),
+corners AS (SELECT area, count(cx) / max(km2) AS d FROM area LEFT JOIN corner ON (cx + 0.5) * 0.02::DOUBLE >= x0 AND (cx + 0.5) * 0.02::DOUBLE < x0 + 0.07::DOUBLE AND (cy + 0.5) * 0.02::DOUBLE >= y0 AND (cy + 0.5) * 0.02::DOUBLE < y0 + 0.05::DOUBLE GROUP BY area),
+stops AS (SELECT area, count(s) / max(km2) AS d FROM area LEFT JOIN sp ON sx >= x0 AND sx < x0 + 0.07::DOUBLE AND sy >= y0 AND sy < y0 + 0.05::DOUBLE GROUP BY area),
+brackets AS (SELECT c_nationkey AS area, floor(c_acctbal / 1000)::BIGINT AS b, count(*) AS c FROM customer GROUP BY ALL), run AS (SELECT *, sum(c) OVER (PARTITION BY area ORDER BY b) / sum(c) OVER (PARTITION BY area) AS s FROM brackets),
+built AS (SELECT area, min(b) * 1000 + 500 AS built_year FROM run WHERE s >= 0.5 GROUP BY area),
+rate AS (SELECT c_nationkey AS area, round(coalesce(sum(n), 0) * 1000.0::DOUBLE / count(*), 6) AS per FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1),
+parts AS (SELECT area.area, coalesce(solar, 50) AS solar, coalesce(canopy, 30) AS canopy, coalesce({_P95.format('corners.d', 'corners')}, 0) AS walk, coalesce({_P95.format('length_m', 'ways')}, 0) AS bike, coalesce({_P95.format('stops.d', 'stops')}, 0) AS transit, coalesce(existing, 0) AS existing, coalesce(potential, 0) AS potential, built_year, coalesce(per, 0) AS per
+FROM area LEFT JOIN solar USING (area) LEFT JOIN canopy USING (area) LEFT JOIN corners USING (area) LEFT JOIN ways USING (area) LEFT JOIN stops USING (area) LEFT JOIN built USING (area) LEFT JOIN rate USING (area))
+SELECT area, walk, round(bike, 1) AS bike, transit, existing, potential, built_year, round(per, 4) AS permits_per_1000, round(least(greatest(solar * 0.2::DOUBLE + least(canopy * 2, 100) * 0.2::DOUBLE + walk * 0.1::DOUBLE + transit * 0.2::DOUBLE + bike * 0.1::DOUBLE + least(greatest(CASE WHEN existing > 0 THEN (potential / existing::DOUBLE - 1) * 50 ELSE 0 END, 0), 100) * 0.2::DOUBLE, 0), 100), 2) AS score FROM parts"""
+
+
+@query("C09_neighbourhood_score", _SCORES)
 def _(t):
-    g = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("c_acctbal") >= 5000).cast("int")) * 100).alias("solar"))
-    score = mathx.weighted_score({"solar": F.col("solar"), "canopy": F.col("area").cast("double")}, {"solar": 0.5, "canopy": 0.3, "headroom": 0.2}, F.lit(40.0), F.col("n").cast("double"), 4)
-    return g.select("area", score.alias("score"))
+    areas = boxes(t).select(F.col("n").alias("area"), "shape", ((F.col("n") % 5) + 1).cast("double").alias("km2"))
+    households = t.customer.select(F.col("c_custkey").alias("household"), F.col("c_nationkey").alias("area"), F.col("c_acctbal").alias("v"))
+    brackets = households.groupBy("area", F.floor(F.col("v") / 1000).alias("year")).agg(F.count(F.lit(1)).alias("c")).withColumn("mid", F.col("year") * 1000 + 500)
+    per_lot = t.spark.createDataFrame([("SMALL", 4), ("LARGE", 2)], "kind string, per_lot int")
+    permits = t.orders.where("o_orderdate >= TIMESTAMP '2001-01-01'").select(F.col("o_custkey").alias("household"))
+    weights = {"solar": 0.2, "canopy": 0.2, "walk": 0.1, "transit": 0.2, "bike": 0.1, "headroom": 0.2}
+    r = pipelines.neighbourhood_scores(
+        areas, households.select("area", "v"), streets(t).withColumnRenamed("k", "line"), stops(t).select(F.col("sx").alias("x"), F.col("sy").alias("y")),
+        lots(t).withColumnRenamed("nb", "area"), per_lot, brackets, households, permits, weights)
+    return r.select("area", "walk", F.round("bike", 1).alias("bike"), "transit", "existing", "potential", "built_year", F.round("permits_per_1000", 4).alias("permits_per_1000"), F.round("score", 2).alias("score"))
 
 
 @query("C10_usage_rollup", "SELECT ts::DATE AS day, event_type AS sku, round(sum(user_id * CASE event_type WHEN 'view' THEN 0.017::DOUBLE WHEN 'click' THEN 0.005::DOUBLE ELSE 0 END), 4) AS cost, count(*) AS calls FROM events GROUP BY ALL")
@@ -125,26 +162,49 @@ def _(t):
     return ledger.daily_costs(e, "ts", "event_type", "cost").withColumn("cost", F.round("cost", 4))
 
 
-@query("C11_audits", LOT_CTE + "SELECT * FROM (SELECT 'coverage' AS rule, 'CRITICAL' AS severity, count(*) FILTER (coverage > 0.8)::BIGINT AS n, 0 AS severity_rank FROM lots UNION ALL SELECT 'orphan', 'HIGH', count(*)::BIGINT, 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) WHERE n > 0")
+@query("C11_audits", LOT_CTE + """, found AS (SELECT 'coverage' AS rule, 'CRITICAL' AS severity, 0 AS severity_rank, count(*) FILTER (coverage > 0.8)::BIGINT AS n FROM lots UNION ALL SELECT 'units_need_height', 'HIGH', 1, count(*) FILTER (units > 6 AND height_m = 0) FROM lots
+UNION ALL SELECT 'height_range', 'MEDIUM', 2, count(*) FILTER (height_m > 14) FROM lots UNION ALL SELECT 'kind_coupling', 'LOW', 3, count(*) FILTER (kind = 'PROMO' AND units > 0) FROM lots
+UNION ALL SELECT 'constant_column', 'MEDIUM', 2, (count(DISTINCT kind) <= 1)::INT + (count(DISTINCT heritage) <= 1)::INT + (count(DISTINCT regulated) <= 1)::INT + (count(DISTINCT units) <= 1)::INT FROM lots
+UNION ALL SELECT 'concentration', 'LOW', 3, (max(n) * 100.0 / sum(n) > 10)::INT FROM (SELECT street, count(*) AS n FROM lots GROUP BY 1)
+UNION ALL SELECT 'crosscheck', 'CRITICAL', 0, count(*) FILTER (lot_id % 40 = 0 OR lot_id % 45 = 1) FROM lots
+UNION ALL SELECT 'only_here', 'HIGH', 1, count(*) FILTER (lot_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) FROM lots
+UNION ALL SELECT 'only_there', 'HIGH', 1, count(DISTINCT l_partkey) FROM lineitem WHERE l_quantity > 45 AND l_partkey NOT IN (SELECT lot_id FROM lots)
+UNION ALL SELECT 'regression', 'CRITICAL', 0, count(*) FILTER (lot_id % 97 = 0 OR street = 'Brand#3') FROM lots
+UNION ALL SELECT 'missed_truth', 'MEDIUM', 2, count(*) FILTER (units >= 6 AND NOT (""" + f"({_SHARED}) AND (({_ELITE}) OR ({_BROAD})))" + """) FROM lots)
+SELECT rule, severity, n, severity_rank FROM found WHERE n > 0""")
 def _(t):
-    a = quality.violations(lots(t), {"coverage": ("CRITICAL", F.col("coverage") > 0.8)})
-    orphans = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    return quality.report(a.unionByName(orphans.select(F.lit("orphan").alias("rule"), F.lit("HIGH").alias("severity"), "n")))
+    all_lots = lots(t)
+    claims = all_lots.select("lot_id", (F.col("value") + F.when(F.col("lot_id") % 40 == 0, 1).otherwise(0)).alias("claim"))
+    fresh = all_lots.where("lot_id % 45 != 1").select("lot_id", "value")
+    reference = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("lot_id"))
+    bad = all_lots.where("lot_id % 97 = 0").select("lot_id"), t.spark.createDataFrame([("Brand#3",)], "street string")
+    truth = all_lots.where("units >= 6").select("lot_id", F.col("kind").alias("grp"))
+    return pipelines.audits(all_lots, claims, fresh, reference, *bad, truth, _tiers(t).select("lot_id", "tier"))
+
+
+_DUE = "date_diff('day', to_timestamp(1700000000 + k * 7000)::TIMESTAMP::DATE, DATE '2024-02-15') >= CASE k % 3 WHEN 0 THEN 180 WHEN 1 THEN 60 ELSE 7 END"
 
 
-@query("C12_verdict_cycle", None)
+@query("C12_verdict_cycle", f"""WITH s AS (SELECT c_custkey AS k, {_DUE.replace('k ', 'c_custkey ')} AS vd, date_diff('day', to_timestamp(1706000000 + c_custkey * 2000)::TIMESTAMP::DATE, DATE '2024-02-15') >= 14 AS ad FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+v AS (SELECT c_custkey AS k, c_custkey % 9 = 0 AS bad, c_custkey % 5 = 0 AS gone FROM customer WHERE c_acctbal >= 2000), j AS (SELECT s.*, v.k IS NOT NULL AND (vd OR ad) AS hit, coalesce(bad, false) AS bad, gone FROM s LEFT JOIN v USING (k)),
+a AS (SELECT k, CASE WHEN hit AND NOT bad THEN 1 >= CASE WHEN gone THEN 60 ELSE 180 END ELSE date_diff('day', to_timestamp(1700000000 + k * 7000)::TIMESTAMP::DATE, DATE '2024-02-16') >= CASE k % 3 WHEN 0 THEN 180 WHEN 1 THEN 60 ELSE 7 END END AS vd,
+CASE WHEN hit AND NOT bad THEN false WHEN hit THEN false ELSE date_diff('day', to_timestamp(1706000000 + k * 2000)::TIMESTAMP::DATE, DATE '2024-02-16') >= 14 END AS ad FROM j)
+SELECT CASE WHEN vd THEN 'verdict' ELSE 'validation' END AS why, count(*) AS n FROM a WHERE vd OR ad GROUP BY 1""")
 def _(t):
     due = state.due_queue(_state(t), NOW)
     after = state.apply_verdicts(_state(t), _verdicts(t).join(due.select("key"), "key", "left_semi"), NOW)
     return state.due_queue(after, NOW + dt.timedelta(days=1)).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C13_insight_rows", "WITH a AS (SELECT c_nationkey AS area, count(*) AS n, max(c_acctbal) AS top FROM customer GROUP BY 1) SELECT 'most' AS finding, area, n::DOUBLE AS value FROM (SELECT * FROM a ORDER BY n DESC, area LIMIT 1) UNION ALL SELECT 'richest', area, top FROM (SELECT * FROM a ORDER BY top DESC, area LIMIT 1) UNION ALL SELECT 'total', NULL, sum(n)::DOUBLE FROM a")
+@query("C13_insight_rows", """WITH a AS (SELECT c_nationkey AS area, count(*) AS n, max(c_acctbal) AS top, avg(c_acctbal) AS mean FROM customer GROUP BY 1), x AS (SELECT area, n::DOUBLE AS value FROM a ORDER BY n DESC, area LIMIT 1), y AS (SELECT area, top AS value FROM a WHERE area NOT IN (SELECT area FROM x) ORDER BY top DESC, area LIMIT 1),
+z AS (SELECT area, mean AS value FROM a WHERE area NOT IN (SELECT area FROM x UNION ALL SELECT area FROM y) ORDER BY mean, area LIMIT 1)
+SELECT 'most' AS finding, area, round(value, 4) AS value FROM x UNION ALL SELECT 'richest', area, round(value, 4) FROM y UNION ALL SELECT 'leanest', area, round(value, 4) FROM z UNION ALL (SELECT 'lead', c_nationkey, round(c_acctbal, 4) FROM customer WHERE c_nationkey IN (SELECT area FROM a WHERE mean < 4600) ORDER BY c_acctbal DESC, c_custkey LIMIT 1) UNION ALL SELECT 'total', NULL, sum(n)::DOUBLE FROM a""")
 def _(t):
-    a = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("top"))
-    row = lambda name, c: a.orderBy(F.desc(c), "area").limit(1).select(F.lit(name).alias("finding"), "area", F.col(c).cast("double").alias("value"))
-    total = a.agg(F.sum("n").cast("double").alias("value")).select(F.lit("total").alias("finding"), F.lit(None).cast("int").alias("area"), "value")
-    return row("most", "n").unionByName(row("richest", "top")).unionByName(total)
+    a = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("top"), F.avg("c_acctbal").alias("mean"))
+    c = t.customer.select(F.col("c_nationkey").alias("area"), "c_custkey", F.col("c_acctbal").alias("value"))
+    lead = feeds.lead(c, a.where("mean < 4600"), "area", [F.desc("value"), F.col("c_custkey")])
+    r = pipelines.insight_rows(a, {"most": ("n", True), "richest": ("top", True), "leanest": ("mean", False)}, lead, "n")
+    return r.select("finding", "area", F.round("value", 4).alias("value"))
 
 
 @query("G12_shadow_fraction", "SELECT s_suppkey AS lot_id, CASE WHEN s_suppkey % 5 <> 0 THEN 1.0 WHEN s_suppkey % 10 = 5 THEN NULL ELSE 0.5 END::DOUBLE AS share, CASE WHEN s_suppkey % 10 = 5 THEN 'unavailable' ELSE 'measured' END AS quality FROM supplier")

@@ -8,22 +8,49 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import dates, geo, keys, mathx
 from ..operators import aggregates as agg
-from ..operators import feeds, parcels, resolve, spatial
+from ..operators import feeds, parcels, quality, resolve, spatial
 
 
-def openings_feed(licences: DataFrame, categories: Sequence[str], as_of: dt.date, rules, brands: DataFrame) -> DataFrame:
+def openings_feed(licences: DataFrame, categories: Sequence[str], as_of: dt.date, rules, brands: DataFrame, verdicts: DataFrame, places: DataFrame, web: DataFrame, bad_links: DataFrame) -> DataFrame:
     """Licences (id, name, category, issued, cancelled, address, postal, website) of the last year in the categories, still
-    active, no chain brand, labelled, the earliest licence of each (name, address)."""
+    active (P01-P03), no chain brand (J26), the earliest of each name and address (F03, W02), labelled by web verdict or name
+    (J30), merged with what places and the web say of them (J31), without weak matches (P26).
+
+    verdicts: (key, labels, status, operating); places: (key, status, site); web: (key, site); bad_links: (site)."""
     df = licences.where(resolve.in_category("category", categories) & resolve.active_with_grace(F.col("cancelled"), as_of) & resolve.trailing("issued", as_of, 365) & (F.col("issued") <= F.lit(as_of)))
-    df = resolve.anti_brands(df, "name", brands)
-    df = df.withColumns({"key": keys.entity_key(F.col("name"), F.col("address")), "label": keys.keyword_label(F.col("name"), rules)}).where("label IS NOT NULL")
+    df = resolve.anti_brands(df, "name", brands).withColumn("key", keys.entity_key(F.col("name"), F.col("address")))
     df = agg.keep_first(df, ["key"], F.col("issued"), F.col("id"))
+    named = df.select("key", F.array_compact(F.array(keys.keyword_label(F.col("name"), rules))).alias("labels"))
+    df = resolve.resolve_labels(df, verdicts, named, [label for label, _ in rules], "key")
+    df = resolve.verification_merge(df, places, web, bad_links, "key")
+    no_site = F.coalesce("site", "website").isNull()
+    df = df.where(~resolve.weak_match(F.col("via").isNull(), F.col("website").isNull(), no_site, F.col("label_source"), "name"))
     return df.select(
-        "id", "key", "label", "issued", keys.district(F.col("postal")).alias("district"), keys.slug(F.col("name"), F.col("address")).alias("slug"),
-        dates.days_open(F.col("issued"), as_of).alias("days_open"), keys.website_tier(F.col("website")).alias("tier"))
+        "id", "key", F.element_at("labels", 1).alias("label"), "labels", "label_source", "via", F.coalesce("site", "website").alias("site"), "issued", keys.district(F.col("postal")).alias("district"),
+        keys.slug(F.col("name"), F.col("address")).alias("slug"), dates.days_open(F.col("issued"), as_of).alias("days_open"), keys.website_tier(F.coalesce("site", "website")).alias("tier"))
+
+
+def openings_tables(feed: DataFrame, known: DataFrame, newest: int = 20) -> DataFrame:
+    """(part, label, district, n, n30): counts of every label and district and all of them (A43; absent axes are null), the
+    ``newest`` openings in order (T01: n is their place), the labels that stay in the dimension (U05: n30 tells whether
+    seeded) and labels of openings that the known ones lack (Q10).
+
+    known: (key, seeded)."""
+    none = F.lit(None).cast("string")
+    n30 = F.count_if(F.col("days_open") <= 30)
+    cube = feed.cube("label", "district").agg(F.count(F.lit(1)).alias("n"), n30.alias("n30")).select(F.lit("count").alias("part"), "label", "district", "n", "n30")
+    top = feeds.newest(feed, "issued", "id", newest)
+    place = F.row_number().over(W.partitionBy().orderBy(F.desc("issued"), "id"))  # after the limit
+    top = top.select(F.lit("newest").alias("part"), "label", "district", place.cast("long").alias("n"), F.lit(0).cast("long").alias("n30"))
+    used = feed.select(F.explode("labels").alias("key"))
+    kept = feeds.prune(known, used, "key", "seeded").select(F.lit("dimension").alias("part"), F.col("key").alias("label"), none.alias("district"), F.lit(0).cast("long").alias("n"), F.col("seeded").cast("long").alias("n30"))
+    gaps = used.join(known.select("key"), "key", "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    gaps = gaps.select(F.lit("gap").alias("part"), F.col("key").alias("label"), none.alias("district"), "n", F.lit(0).cast("long").alias("n30"))
+    return cube.unionByName(top).unionByName(kept).unionByName(gaps)
 
 
 def openings_index(feed: DataFrame, as_of: dt.date, newest: int = 3) -> DataFrame:
@@ -81,6 +108,80 @@ def signals(parcels_: DataFrame, events: DataFrame) -> DataFrame:
     return agg.latest_per_key(joined, ["parcel_id", "kind"], [F.col("at"), F.col("event_id")], ["event_id", "at"])
 
 
+def neighbourhood_scores(areas: DataFrame, points: DataFrame, streets: DataFrame, stops: DataFrame, lots: DataFrame, per_lot: DataFrame, brackets: DataFrame, households: DataFrame, permits: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The inputs and the weighted score (M05) of every area.
+
+    solar: share of points at or above the 75th percentile (A22); canopy: weighted share of one kind of lot (A23); walk:
+    street corners inside by area (A26, J05, A24); bike: metres of street inside (A27, A24); transit: stops inside by area
+    (J06, A24); existing and potential units (A28); built year: median bracket (A13); permits for 1000 households (A29).
+    areas: (area, shape, km2); points: (area, v); streets: (line, parts); stops: (x, y); lots: (area, kind, lot_m2, units);
+    brackets: (area, year, mid, c); households: (household, area); permits: (household).  Areas without data get 0, 50 for
+    solar and 30 for canopy."""
+    all_ = areas.select("area")
+
+    def by_density(counts: DataFrame) -> DataFrame:
+        n = areas.select("area", "km2").join(counts, "area", "left").fillna(0, ["n"])
+        return agg.density_score(n.withColumn("density", F.col("n") / F.col("km2")), "area", "density")
+
+    def inside(p: DataFrame) -> DataFrame:
+        return spatial.points_in_polygons(p, areas.select("area", "shape"), "x", "y", "shape").groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+
+    solar = agg.share_above(points, "area", "v", agg.nearest_rank(points, "v", 0.75), areas=all_).withColumnRenamed("share", "solar")
+    canopy = agg.weighted_share(lots, "area", "lot_m2", F.col("kind") == "SMALL").withColumnRenamed("share", "canopy")
+    walk = by_density(inside(spatial.intersection_clusters(streets, "line", "parts", 0.02).select("x", "y"))).withColumnRenamed("score", "walk")
+    bike = agg.density_score(spatial.clipped_length(streets, areas, "parts", "area", "shape"), "area", "length_m").withColumnRenamed("score", "bike")
+    transit = by_density(inside(stops)).withColumnRenamed("score", "transit")
+    units = agg.capacity(lots, "area", "kind", per_lot, "units", 7).withColumnRenamed("capacity", "potential").join(lots.groupBy("area").agg(F.sum("units").alias("existing")), "area")
+    built = agg.median_bracket(brackets, "area", "year", "mid", "c").withColumnRenamed("median_mid", "built_year")
+    rate = agg.rate_per(households, permits, "household", "area", 1000.0, "permits_per_1000")
+    out = all_
+    for part in (solar, canopy, walk, bike, transit, units, built, rate):
+        out = out.join(part, "area", "left")
+    out = out.fillna(30.0, ["canopy"]).fillna(0.0, ["walk", "bike", "transit", "permits_per_1000"]).fillna(0, ["existing", "potential"])
+    score = mathx.weighted_score({k: F.col(k) for k in ("solar", "canopy", "walk", "transit", "bike")}, weights, F.col("existing").cast("double"), F.col("potential").cast("double"), 4)
+    return out.withColumn("score", score)
+
+
+def audits(lots: DataFrame, claims: DataFrame, fresh: DataFrame, reference: DataFrame, bad_ids: DataFrame, bad_groups: DataFrame, truth: DataFrame, tiers_: DataFrame) -> DataFrame:
+    """C11: one table (rule, severity, n, severity_rank) of what the audits find, by severity (Q08).
+
+    Row rules over the lots (Q04-Q07), lots that hold one value only in a column (A36), a name that more than a tenth of
+    the lots share (A37), claims that a recomputation contradicts (J34), ids on one side only (J35), rows that were wrong
+    before (J36), and true rows that reach no tier (A38).  All inputs have lot_id; claims: claim, fresh: value, truth: grp."""
+    rules = {
+        "coverage": ("CRITICAL", F.col("coverage") > 0.8), "units_need_height": ("HIGH", (F.col("units") > 6) & (F.col("height_m") == 0)),
+        "height_range": ("MEDIUM", ~F.col("height_m").between(0.0, 14.0)), "kind_coupling": ("LOW", (F.col("kind") == "PROMO") & (F.col("units") > 0)),
+    }
+    found = quality.violations(lots, rules)
+    row = lambda df, rule, severity, n: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), n.cast("long").alias("n"))
+    constant = agg.profile(lots, ["kind", "heritage", "regulated", "units"]).agg(F.count_if(F.col("finding") == "constant").alias("n"))
+    shared = agg.concentration(lots, "street", 1)
+    compared = resolve.full_compare(lots, reference, "lot_id")
+    again = resolve.regressions(lots, bad_ids, "lot_id", bad_groups, "street").agg(F.count(F.lit(1)).alias("n"))
+    reach = agg.recall(truth, tiers_, "lot_id", "grp").where("grp IS NULL")
+    parts = [
+        row(constant, "constant_column", "MEDIUM", F.col("n")), row(shared, "concentration", "LOW", (F.col("top1_share") > 10).cast("int")),
+        row(resolve.crosscheck(claims, fresh, "lot_id", 0.01), "crosscheck", "CRITICAL", F.col("wrong") + F.col("missing")),
+        row(compared, "only_here", "HIGH", F.col("only_a")), row(compared, "only_there", "HIGH", F.col("only_b")),
+        row(again, "regression", "CRITICAL", F.col("n")), row(reach, "missed_truth", "MEDIUM", F.col("n") - F.col("any_tier")),
+    ]
+    for p in parts:
+        found = found.unionByName(p)
+    return quality.report(found)
+
+
+def insight_rows(areas: DataFrame, metrics: dict[str, tuple[str, bool]], lead: DataFrame, total: str) -> DataFrame:
+    """For each metric in turn the best area that no earlier metric took (W08), the lead story (T06: area, value) and the
+    grand total (A03).  areas: (area, metrics, total); a metric is (column, descending)."""
+    lists = [areas.select("area", (F.col(c) * (-1 if down else 1)).cast("double").alias("_o")) for c, down in metrics.values()]
+    picked = feeds.first_unused(lists, "area", [F.col("_o"), F.col("area")])
+    out = lead.select(F.lit("lead").alias("finding"), "area", F.col("value").cast("double").alias("value"))
+    for (name, (column, _)), area in zip(metrics.items(), picked):
+        out = out.unionByName(areas.where(F.col("area") == area).select(F.lit(name).alias("finding"), "area", F.col(column).cast("double").alias("value")))
+    grand = agg.with_grand_total(areas, "area", value=F.sum(total)).where("area IS NULL")
+    return out.unionByName(grand.select(F.lit("total").alias("finding"), "area", F.col("value").cast("double").alias("value")))
+
+
 def unshaded_share(lots: DataFrame, buildings: DataFrame, lot: str, building: str, height: str, suns: Sequence[tuple[float, float]], lattice: int = 4) -> DataFrame:
     """(lot_id, share, quality): unshaded share of a lattice of points of the lot, meaned over sun positions.
 

@@ -286,3 +286,30 @@ def _(t):
     plain = spatial.points_in_polygons(points(t), b.where("area != 2"), "x", "y", "shape").select("k", "area")
     padded = spatial.points_in_polygons(points(t), b.where("area = 2"), "x", "y", "shape", pad=0.001607).select("k", "area")
     return plain.unionByName(padded).groupBy("area").agg(F.countDistinct("k").alias("points"))
+
+
+# Streets: a line from every customer's point to the next one's.
+STREETS = CTE.rstrip() + """, street AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM pt a JOIN pt b ON b.k = a.k + 1),
+corner AS (SELECT cx, cy, count(DISTINCT k) AS lines FROM (SELECT k, trunc(ax / 0.02::DOUBLE)::BIGINT AS cx, trunc(ay / 0.02::DOUBLE)::BIGINT AS cy FROM street UNION ALL SELECT k, trunc(ex / 0.02::DOUBLE)::BIGINT, trunc(ey / 0.02::DOUBLE)::BIGINT FROM street) GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+cut AS (SELECT n, ax, ay, ex - ax AS dx, ey - ay AS dy, greatest(0, least((x0 - ax) / (ex - ax), (x0 + 0.07::DOUBLE - ax) / (ex - ax)), least((y0 - ay) / (ey - ay), (y0 + 0.05::DOUBLE - ay) / (ey - ay))) AS t0, least(1, greatest((x0 - ax) / (ex - ax), (x0 + 0.07::DOUBLE - ax) / (ex - ax)), greatest((y0 - ay) / (ey - ay), (y0 + 0.05::DOUBLE - ay) / (ey - ay))) AS t1 FROM street, box),
+inner_part AS (SELECT n, 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians((t1 - t0) * dy) / 2), 2) + cos(radians(ay + t0 * dy)) * cos(radians(ay + t1 * dy)) * pow(sin(radians((t1 - t0) * dx) / 2), 2))) AS m FROM cut WHERE t1 > t0),
+ways AS (SELECT box.n AS area, coalesce(sum(m), 0) AS length_m FROM box LEFT JOIN inner_part ON inner_part.n = box.n GROUP BY 1)
+"""
+
+
+def streets(t):
+    a = points(t)
+    b = a.select((F.col("k") - 1).alias("k"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return a.join(b, "k").select("k", F.array(geo.points([(F.col("x"), F.col("y")), (F.col("bx"), F.col("by"))])).alias("parts"))
+
+
+@query("A26_intersection_clusters", STREETS + "SELECT round((cx + 0.5) * 0.02::DOUBLE, 8) AS x, round((cy + 0.5) * 0.02::DOUBLE, 8) AS y, lines FROM corner")
+def _(t):
+    c = spatial.intersection_clusters(streets(t), "k", "parts", 0.02)
+    return c.select(F.round("x", 8).alias("x"), F.round("y", 8).alias("y"), "lines")
+
+
+@query("A27_clipped_length", STREETS + "SELECT area, round(length_m, 2) AS length_m FROM ways")
+def _(t):
+    ways = spatial.clipped_length(streets(t), boxes(t).withColumnRenamed("n", "area"), "parts", "area", "shape")
+    return ways.select("area", F.round("length_m", 2).alias("length_m"))

@@ -51,11 +51,7 @@ def _(t):
 
 @query("W07_cumulative_share", "SELECT n_regionkey, n_nationkey, round(sum(n_nationkey + 1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) / sum(n_nationkey + 1) OVER (PARTITION BY n_regionkey), 8) AS share FROM nation")
 def _(t):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("n_regionkey")
-    run = F.sum(F.col("n_nationkey") + 1).over(w.orderBy("n_nationkey").rowsBetween(W.unboundedPreceding, 0)) / F.sum(F.col("n_nationkey") + 1).over(w)
-    return t.nation.select("n_regionkey", "n_nationkey", F.round(run, 8).alias("share"))
+    return agg.cumulative_share(t.nation, "n_regionkey", "n_nationkey", F.col("n_nationkey") + 1).select("n_regionkey", "n_nationkey", "share")
 
 
 @query("W08_first_unused_pick", f"WITH a AS ({_AREA}), x AS (SELECT area FROM a ORDER BY n DESC, area LIMIT 1), y AS (SELECT area FROM a WHERE area NOT IN (FROM x) ORDER BY mean DESC, area LIMIT 1) SELECT 1 AS pick, area FROM x UNION ALL SELECT 2, area FROM y")
@@ -84,35 +80,34 @@ def _(t):
 
 @query("T01_feed_newest", "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 300")
 def _(t):
-    return t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(300).select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    return feeds.newest(t.orders, "o_orderdate", "o_orderkey", 300).select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
 
 
 @query("T02_feed_longest_running", "SELECT o_orderkey FROM orders ORDER BY coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END, 0) DESC, o_orderkey LIMIT 50")
 def _(t):
-    return t.orders.orderBy(F.coalesce(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")), F.lit(0.0)).desc(), "o_orderkey").limit(50).select("o_orderkey")
+    return feeds.largest(t.orders, F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")), "o_orderkey", 50).select("o_orderkey")
 
 
 @query("T03_sort_lot_desc", "SELECT p_partkey FROM part ORDER BY coalesce(nullif(p_size, 7), 0) DESC, p_partkey LIMIT 500")
 def _(t):
-    return t.part.orderBy(F.coalesce(F.nullif("p_size", F.lit(7)), F.lit(0)).desc(), "p_partkey").limit(500).select("p_partkey")
+    return feeds.largest(t.part, F.nullif("p_size", F.lit(7)), "p_partkey", 500).select("p_partkey")
 
 
 @query("T04_nulls_last_either_direction", "(SELECT 'up' AS dir, p_partkey FROM part ORDER BY nullif(p_size, 1) ASC NULLS LAST, p_partkey LIMIT 100) UNION ALL (SELECT 'down', p_partkey FROM part ORDER BY nullif(p_size, 50) DESC NULLS LAST, p_partkey LIMIT 100)")
 def _(t):
-    up = t.part.orderBy(F.nullif("p_size", F.lit(1)).asc_nulls_last(), "p_partkey").limit(100).select(F.lit("up").alias("dir"), "p_partkey")
-    return up.union(t.part.orderBy(F.nullif("p_size", F.lit(50)).desc_nulls_last(), "p_partkey").limit(100).select(F.lit("down").alias("dir"), "p_partkey"))
+    one = lambda name, gap, down: feeds.sorted_either(t.part, F.nullif("p_size", F.lit(gap)), "p_partkey", 100, down).select(F.lit(name).alias("dir"), "p_partkey")
+    return one("up", 1, False).union(one("down", 50, True))
 
 
 @query("T05_top_n_projection", "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_size > 25) AS available FROM part WHERE p_size > 25 ORDER BY p_retailprice DESC, p_partkey LIMIT 200")
 def _(t):
-    p = t.part.where("p_size > 25")
-    return p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(200).join(F.broadcast(p.agg(F.count(F.lit(1)).alias("available")))).select("p_partkey", "available")  # one row
+    return feeds.top_with_total(t.part.where("p_size > 25"), [F.desc("p_retailprice"), F.col("p_partkey")], 200).select("p_partkey", "available")
 
 
 @query("T06_lead_story", f"SELECT c_custkey FROM customer JOIN (SELECT area FROM ({_AREA}) WHERE mean < 4600) ON area = c_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 1")
 def _(t):
     low = areas(t).where("mean < 4600").select(F.col("area").alias("c_nationkey"))
-    return t.customer.join(low, "c_nationkey", "left_semi").orderBy(F.desc("c_acctbal"), "c_custkey").limit(1).select("c_custkey")
+    return feeds.lead(t.customer, low, "c_nationkey", [F.desc("c_acctbal"), F.col("c_custkey")]).select("c_custkey")
 
 
 @query("T07_legacy_by_area", "SELECT c_nationkey, o_orderkey FROM (SELECT c_nationkey, o_orderkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F') WHERE rn <= 5")
@@ -123,19 +118,18 @@ def _(t):
 
 @query("T08_announce_queue", f"SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN {s.AS_OF_SQL} - 30 AND {s.AS_OF_SQL} AND o_custkey NOT IN (SELECT user_id * 10 FROM events) ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
 def _(t):
-    done = t.events.select((F.col("user_id") * 10).alias("o_custkey")).distinct()
-    o = t.orders.where(F.col("o_orderdate").cast("date").between(F.date_sub(F.lit(s.AS_OF), 30), F.lit(s.AS_OF)))
-    return o.join(done, "o_custkey", "left_anti").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25).select("o_orderkey")
+    done = t.events.select((F.col("user_id") * 10).alias("o_custkey"))
+    return feeds.announce_queue(t.orders, done, "o_custkey", "o_orderdate", "o_orderkey", s.AS_OF).select("o_orderkey")
 
 
 @query("T09_recent_dev_feed", "SELECT doc_id, substr(text, 1, 240) AS teaser FROM documents WHERE source IN ('src0', 'src1') ORDER BY doc_id DESC LIMIT 30")
 def _(t):
-    return t.documents.where("source IN ('src0', 'src1')").orderBy(F.desc("doc_id")).limit(30).select("doc_id", F.substring("text", 1, 240).alias("teaser"))
+    return feeds.teasers(t.documents, F.col("source").isin("src0", "src1"), "doc_id", "text")
 
 
 @query("T10_broken_link_sample", "SELECT page_id FROM pages WHERE page_id % 3 = 0 ORDER BY page_id DESC LIMIT 15")
 def _(t):
-    return t.pages.withColumn("ok", F.col("page_id") % 3 != 0).where("NOT ok").orderBy(F.desc("page_id")).limit(15).select("page_id")
+    return feeds.broken_links(t.pages, F.col("page_id") % 3 != 0, "page_id").select("page_id")
 
 
 @query("U01_curated_union", "WITH a AS (SELECT p_partkey FROM part WHERE p_size = 50), b AS (SELECT p_partkey FROM part WHERE p_retailprice > 950 ORDER BY p_size DESC, p_partkey LIMIT 500) SELECT p_partkey, 'a' AS part FROM a UNION ALL SELECT p_partkey, 'b' FROM b WHERE p_partkey NOT IN (FROM a)")
@@ -146,14 +140,13 @@ def _(t):
 
 @query("U02_or_filter_union_dedup", "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_totalprice > 450000")
 def _(t):
-    return t.orders.where("o_orderpriority = '1-URGENT' OR o_totalprice > 450000").select("o_orderkey").distinct()
+    return feeds.any_filter(t.orders, "o_orderkey", F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") > 450000)
 
 
 @query("U03_target_union", "SELECT k, k IN (SELECT o_custkey FROM orders) AS known FROM (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT user_id + 1450 FROM events)")
 def _(t):
-    k = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("k")).union(t.events.select(F.col("user_id") + 1450)).distinct()
-    known = t.orders.select(F.col("o_custkey").alias("k")).distinct().withColumn("known", F.lit(True))
-    return k.join(known, "k", "left").fillna(False, ["known"])
+    found = [t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("k")), t.events.select((F.col("user_id") + 1450).alias("k"))]
+    return feeds.target_union(found, "k", t.orders.select(F.col("o_custkey").alias("k")))
 
 
 @query("U04_snapshot_diff", "WITH a AS (SELECT p_name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_name FROM part WHERE p_partkey % 3 = 0) SELECT p_name, 'added' AS change FROM (FROM b EXCEPT ALL FROM a) UNION ALL SELECT p_name, 'removed' FROM (FROM a EXCEPT ALL FROM b)")
@@ -169,4 +162,4 @@ def _(t):
 
 @query("U06_url_inventory", "SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT concat(url, '/x') FROM pages WHERE page_id % 2 = 0)")
 def _(t):
-    return t.pages.select("url").union(t.pages.where("page_id % 2 = 0").select(F.concat("url", F.lit("/x")))).distinct()
+    return feeds.url_inventory(t.pages, t.pages.where("page_id % 2 = 0").select(F.concat("url", F.lit("/x")).alias("url")))

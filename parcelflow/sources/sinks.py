@@ -16,18 +16,36 @@ def _fs(df: DataFrame, path: str):
 
 
 def publish(df: DataFrame, path: str, check: Callable[[DataFrame], object], fmt: str = "parquet") -> None:
-    """Write beside the target, check what was written, then take the target's place; on a failed check the target stays."""
+    """Write beside the target, check what was written, then take the target's place; on a failed check the target stays.
+
+    The old table is moved aside and deleted only when the new one is in its place, and is moved back if that fails.  After
+    a crash in between, the next call or ``restore`` puts it back."""
+    restore(df, path)
     fs, target, make = _fs(df, path)
-    staged = make(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    base = path.rstrip("/")
+    staged, aside = make(f"{base}.staged-{uuid.uuid4().hex}"), make(f"{base}.aside")
     df.write.format(fmt).save(staged.toString())
     try:
         check(df.sparkSession.read.format(fmt).schema(df.schema).load(staged.toString()))
     except Exception:
         fs.delete(staged, True)
         raise
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(staged, target)
+    if fs.exists(target) and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(staged, target):
+        restore(df, path)
+        raise OSError(f"{staged.toString()} could not take the place of {path}")
+    fs.delete(aside, True)
+
+
+def restore(df: DataFrame, path: str) -> None:
+    """Put a table back that an interrupted ``publish`` moved aside, or drop the old one if the new one is in its place."""
+    fs, target, make = _fs(df, path)
+    aside = make(f"{path.rstrip('/')}.aside")
+    if fs.exists(aside) and fs.exists(target):
+        fs.delete(aside, True)
+    elif fs.exists(aside) and not fs.rename(aside, target):
+        raise OSError(f"{aside.toString()} could not be moved back")
 
 
 def clean_cells(df: DataFrame, marks: str = ",\t\n\r") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys
@@ -49,20 +49,30 @@ def due_queue(state: DataFrame, now: dt.datetime) -> DataFrame:
     return state.select("key", F.when(by_verdict, "verdict").when(by_age, "validation").alias("why")).where("why IS NOT NULL")
 
 
-def write_state(df: DataFrame, path: str, version: str) -> str:
+def write_state(df: DataFrame, path: str, version: int) -> str:
     """A new version folder beside the ones before, so that a reader never sees half a state."""
     out = f"{path}/version={version}"
     df.write.mode("overwrite").parquet(out)
     return out
 
 
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that was written to its end; no rows before the first one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.schema(STATE).parquet(f"{path}/version={max(done)}") if done else spark.createDataFrame([], STATE)
+
+
 def stream_upserts(verdicts: DataFrame, path: str, now: dt.datetime, checkpoint: str):
-    """X03, as a stream: every micro-batch reads the last state version and writes the next one."""
+    """X03, as a stream: every micro-batch reads the state of the batch before and writes the next version.
+
+    A batch that is run again after a failure starts from the same version and overwrites its own."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/version={batch_id - 1}"
-        state = spark.read.schema(STATE).parquet(before) if batch_id else spark.createDataFrame([], STATE)
-        write_state(apply_verdicts(state, batch, now), path, str(batch_id))
+        state = spark.read.schema(STATE).parquet(f"{path}/version={batch_id - 1}") if batch_id else spark.createDataFrame([], STATE)
+        write_state(apply_verdicts(state, batch, now), path, batch_id)
 
     return verdicts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,11 +1,12 @@
 """Values that the functions must give, on small rows."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from parcelflow.functions import dates, geo, keys
+from parcelflow.functions import dates, geo, keys, text
 from parcelflow.operators import aggregates, quality, resolve, spatial
 from parcelflow.sources import sinks, sources
 
@@ -80,3 +81,47 @@ def test_empty_tables(spark):
     assert spatial.nearest(empty, stops, "k", "x", "y", "s", "sx", "sy", 100.0).count() == 0
     got = spatial.nearest(stops.toDF("k", "x", "y"), empty.toDF("s", "sx", "sy"), "k", "x", "y", "s", "sx", "sy", 100.0).first()
     assert got.nearest_id is None and got.dist_m == 100.0
+
+
+def test_an_interrupted_publish_loses_no_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    any_rows = lambda df: df
+    sinks.publish(spark.range(3), path, any_rows)
+    os.rename(path, f"{path}.aside")  # as after a crash between the two moves
+    sinks.restore(spark.range(1), path)
+    assert spark.read.parquet(path).count() == 3
+    os.rename(path, f"{path}.aside")
+    sinks.publish(spark.range(5), path, any_rows)
+    assert spark.read.parquet(path).count() == 5 and not os.path.exists(f"{path}.aside")
+
+
+def test_names_lose_all_marks(spark):
+    names = ["Phở Hùng", "Đồng Quê", "Żółć Łódź", "Crème Brûlée Co", "Cafe\u0301 Olé", None]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string").select("k", keys.name_tokens(F.col("name")).alias("w"))
+    got = {r.k: r.w for r in df.collect()}
+    assert got == {0: ["PHO", "HUNG"], 1: ["ONG", "QUE"], 2: ["ZO", "ODZ"], 3: ["CREME", "BRULEE"], 4: ["OLE"], 5: []}
+
+
+def test_handles_and_page_text(spark):
+    row = spark.range(1).select(
+        keys.first_handle(F.lit("https://instagram.com/p/x https://www.instagram.com/.my_shop./ twitter.com/home x.com/abc?d"), "instagram").alias("i"),
+        keys.first_handle(F.lit("twitter.com/home x.com/abc?d"), "x").alias("x"),
+        keys.first_handle(F.lit("no link"), "facebook").alias("f"),
+        text.page_body(F.lit("<p>One</p><STYLE>a{b:c}</STYLE>&amp; two .menu > li { color: red } @import url(x); three<script>never closed <b>gone</b>")).alias("body"),
+    ).first()
+    assert (row.i, row.x, row.f) == ("my_shop", "abc", None)
+    assert row.body == "One & two three"
+
+
+def test_stream_upserts_over_several_batches(spark, tmp_path):
+    import datetime as dt
+
+    from parcelflow.streaming import state
+
+    schema = "key string, operating string, labels array<string>, website_ok boolean, match_ok boolean, drop boolean, error boolean"
+    src, path, checks = (str(tmp_path / x) for x in ("src", "state", "checks"))
+    for rows in ([("a", "yes"), ("b", "no")], [("b", "yes"), ("c", "no")]):
+        spark.createDataFrame([(k, o, ["x"], True, True, False, False) for k, o in rows], schema).write.mode("append").parquet(src)
+        state.stream_upserts(spark.readStream.schema(schema).parquet(src), path, dt.datetime(2024, 1, 1), checks).awaitTermination(300)
+    assert {(r.key, r.operating) for r in state.read_state(spark, path).collect()} == {("a", "yes"), ("b", "yes"), ("c", "no")}
+    assert state.read_state(spark, str(tmp_path / "none")).count() == 0
