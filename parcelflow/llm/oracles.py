@@ -18,26 +18,26 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+# Shares in multiples of 2^-36; every slot goes to the released block with the earliest deadline.
 OP4 = """
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-w AS (SELECT source, sqrt(n::DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i, count(*) OVER () AS m FROM n),
-e AS (SELECT *, w / sum(w) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * (1000 - m) AS x FROM w),
-r AS (SELECT *, row_number() OVER (ORDER BY floor(x) - x, i) AS o, 1000 - m - sum(floor(x)) OVER () AS rest FROM e),
-parts AS (SELECT source, i, (1 + floor(x) + CASE WHEN o <= rest THEN 1 ELSE 0 END)::BIGINT AS q FROM r),
-p AS (SELECT list(q ORDER BY i) AS qs FROM parts),
+w AS (SELECT source, n, sqrt(n::DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM n),
+l AS (SELECT list_reduce(list(w ORDER BY i), lambda a, b: a + b) AS total FROM w),
+r AS (SELECT source, n, i, greatest(1, round(w / total * 68719476736::DOUBLE))::BIGINT AS r FROM w, l),
+parts AS (SELECT source, n, i, (r + CASE WHEN row_number() OVER (ORDER BY r DESC, i) = 1 THEN 68719476736 - sum(r) OVER () ELSE 0 END)::BIGINT AS q FROM r),
+p AS (SELECT list(q ORDER BY i) AS qs, max(ceil((n // 16 + 1)::DOUBLE * 68719476736::DOUBLE / q))::BIGINT AS slots FROM parts),
 sim AS (
-    SELECT -1::BIGINT AS t, list_transform(qs, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM p
+    SELECT -1::BIGINT AS t, list_transform(qs, lambda x: 0::BIGINT) AS lead, list_transform(qs, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick, 0::BIGINT AS k FROM p
     UNION ALL
-    SELECT t + 1, list_transform(done, lambda d, i: d + CASE WHEN i = pk THEN 1 ELSE 0 END), pk FROM (
-        SELECT t, done, list_min(list_filter(list_transform(qs, lambda q, i: CASE WHEN done[i] * 1000 // q <= t + 1 THEN ((done[i] + 1) * 1000 + q - 1) // q * 1000 + i END), lambda x: x IS NOT NULL)) % 1000 AS pk
-        FROM sim, p WHERE t < 999)),
-plan AS (SELECT source, q, t AS slot, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS k FROM sim JOIN parts ON pick = i),
+    SELECT t + 1, list_transform(lead, lambda x, i: x + qs[i] - CASE WHEN i = pk THEN 68719476736 ELSE 0 END), list_transform(done, lambda d, i: d + CASE WHEN i = pk THEN 1 ELSE 0 END), pk, done[pk] FROM (
+        SELECT t, lead, done, qs, (list_min(list_filter(list_transform(lead, lambda x, i: CASE WHEN x + qs[i] > 0 THEN ((68719476736 - x + qs[i] - 1) // qs[i])::HUGEINT * 100000 + i END), lambda x: x IS NOT NULL)) % 100000)::BIGINT AS pk
+        FROM sim, p WHERE t < slots)),
+plan AS (SELECT source, t AS slot, k FROM sim JOIN parts ON pick = i AND t >= 0),
 o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS nth FROM documents),
 b AS (SELECT doc_id, source, nth // 16 AS mix_block, nth % 16 AS mix_place FROM o),
-ends AS (SELECT min(n.n // 16 // q * 1000 + slot) AS e FROM n JOIN plan ON n.source IS NOT DISTINCT FROM plan.source AND n.n // 16 % q = k)
-SELECT doc_id, b.source, mix_block::BIGINT AS mix_block, mix_place::BIGINT AS mix_place, (mix_block // q * 1000 + slot)::BIGINT AS mix_slot,
-    mix_block // q * 1000 + slot < e AS mix_full
-FROM b JOIN plan ON b.source IS NOT DISTINCT FROM plan.source AND mix_block % q = k, ends
+ends AS (SELECT min(slot) AS e FROM n JOIN plan ON n.source IS NOT DISTINCT FROM plan.source AND n.n // 16 = k)
+SELECT doc_id, b.source, mix_block::BIGINT AS mix_block, mix_place::BIGINT AS mix_place, slot::BIGINT AS mix_slot, slot < e AS mix_full
+FROM b JOIN plan ON b.source IS NOT DISTINCT FROM plan.source AND mix_block = k, ends
 """
 
 OP6 = f"""

@@ -610,3 +610,13 @@ def test_exact_mixing_follows_the_weights_over_all_slots(spark, monkeypatch):
     full = collections.Counter(r.mix_slot for r in out if r.mix_full)
     assert full and set(full) == set(range(len(full))) and set(full.values()) == {4}
     assert mixing.mix(docs.limit(0), weights, None).collect() == []
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["slot", "k", "q", "period", "rows", "weight", "_s", "f", "state", "mix_full"]
+    own = spark.createDataFrame([(i, ["a", "b", None][i % 3]) for i in range(100)], "doc_id long, source string").select("*", *[F.lit(n).alias(n) for n in names])
+    for period in (None, 20):
+        out = mixing.mix(own, mixing.natural_weights(own), period, block=3)
+        rows = out.collect()
+        assert len(rows) == 100 and len({(r.mix_slot, r.mix_place) for r in rows}) == 100
+        assert all(r[n] == n for r in rows for n in names[:-1])
