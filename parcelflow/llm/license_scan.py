@@ -25,15 +25,8 @@ SPELLINGS = {
     "whilst": "while", "wilful": "willful",
 }
 
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-
-#: Known entire texts beside those of ``whole_licenses``: shortened licences, and one-line notices that name one.
+#: Known entire texts beside those of ``whole_licenses``: one-line notices that name a licence.
 KNOWN = [
-    ("MIT", _MIT), ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -48,6 +41,12 @@ KNOWN = [
 TITLES = {"MIT": ("The MIT License (MIT)", "The MIT License", "MIT License"), "ISC": ("The ISC License", "ISC License", "ISC License (ISC)"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
 
 
+# A statement names the year or has the sign; "copyright notice" and "copyright holders" are words of the licence.
+_SIGN = r"\(c\)|©|[0-9]{4}|[\[<{][ \t]*(?:yyyy|year)"
+OWNER = rf"copyright[ \t:]*(?:{_SIGN})|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[0-9]{{4}}"
+STATEMENT = rf"(^|\n)[^\p{{L}}\p{{N}}\n(©]*(?:{OWNER})[^\n]*"
+
+
 def whole_licenses() -> list[tuple[str, str]]:
     """(id, entire text), short licences with and without the titles they are found under; files are named id[.variant].txt."""
     out = []
@@ -68,12 +67,8 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def with_digest(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with ``out``: the digest of the canonical form of the entire text in column ``text`` (null stays null)."""
     low, marked = "_canonical_low", "_canonical_text"
-    # A statement names the year or has the sign; "copyright notice" and "copyright holders" are words of the licence.
-    sign = r"\(c\)|©|[0-9]{4}|[\[<{][ \t]*(?:yyyy|year)"
-    owner = rf"copyright[ \t:]*(?:{sign})|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[0-9]{{4}}"
     df = df.withColumn(low, F.translate(text, UPPER, LOWER))
-    named = F.regexp_replace(low, rf"(^|\n)[^\p{{L}}\p{{N}}\n(©]*(?:{owner})[^\n]*", "$1")
-    df = df.withColumn(low, F.when(F.col(low).rlike(owner), named).otherwise(F.col(low)))
+    df = df.withColumn(low, F.when(F.col(low).rlike(OWNER), F.regexp_replace(low, STATEMENT, "$1")).otherwise(F.col(low)))
     df = df.withColumn(marked, F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")))
     table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(marked, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")

@@ -64,16 +64,16 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def license_sql() -> str:
-    from .license_scan import KNOWN, SPELLINGS
+    from .license_scan import KNOWN, SPELLINGS, STATEMENT, whole_licenses
 
     def canonical(text: str) -> str:
         low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        out = f"trim(regexp_replace(regexp_replace({low}, '(^|\\n)[^\\n]*(?:copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        out = f"trim(regexp_replace(regexp_replace({low}, '{STATEMENT}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for old, new in SPELLINGS.items():
             out = f"regexp_replace({out}, '(^| ){old}( |$)', '\\1{new}\\2', 'g')"
         return out
 
-    known = ", ".join("('{}', '{}')".format(k, x.replace("'", "''")) for k, x in KNOWN)
+    known = ", ".join("('{}', '{}')".format(k, x.replace("'", "''")) for k, x in KNOWN + whole_licenses())
     return f"""
 WITH known AS (SELECT sha256({canonical('t')}) AS kd, min(l) AS l FROM (VALUES {known}) x(l, t) GROUP BY kd),
 d AS (SELECT doc_id, text, sha256({canonical('text')}) AS digest FROM documents),
