@@ -6,11 +6,16 @@
 2. Each class is posted under its (coordinate, value) pairs.  Prefix merging: a pair that agrees in
    T of K coordinates shares at least one of the K - T + 1 coordinates that are rarest for either side,
    so only those are posted; coordinates that nobody shares use up the prefix without being posted.
-3. Posting lists are merged in blocks: collisions over the whole signature are counted for the members of a
-   block pair, other coordinates being skipped until then, and pairs with at least T stay.  Only a
-   spanning star of what agrees leaves the task, never all pairs of a list.
-4. Groups of candidates are confirmed on full shingle sets with integer arithmetic, block pair by block pair,
-   again returning a spanning star of the confirmed links; their connected components are the answer.
+3. Posting lists are merged: collisions over the whole signature are counted for the members of a list, other
+   coordinates being skipped until then, and pairs with at least T stay.  Only a spanning star of what agrees leaves the
+   task, never all pairs of a list.
+4. Groups of candidates are confirmed on full shingle sets with integer arithmetic, again returning a spanning star of
+   the confirmed links; their connected components are the answer.
+
+Lists and groups beyond a bound are cut into blocks.  First every block meets a few centres of the whole list, which
+joins most of it into one component; then only the members outside the largest component, each of which may still be
+linked to any other, meet all blocks.  Pairs within one component need no comparison, so no link is lost, and a large
+group of near copies costs its size times the number of centres instead of its square.
 
 A pair with similarity 0.75 agrees in fewer than 32 of 64 coordinates with probability about 2e-6.
 """
@@ -31,8 +36,9 @@ from .spark_util import LAST, identified, partitions, with_text, written
 
 SHINGLE = 5
 K, AGREE = 64, 32
-POSTING_BLOCK = 1024
-SET_BLOCK = 1 << 18
+#: Members and shingles of a block (a member counts as SET_BLOCK / POSTING_BLOCK shingles at least), centres of a large group.
+POSTING_BLOCK, SET_BLOCK = 1024, 1 << 18
+CENTRES = 8
 ID_LIMIT = 2_000_000
 
 _U64 = np.uint64
@@ -140,23 +146,66 @@ def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def _merge_postings(percent: int):
+def _agreeing(percent: int):
+    """Whether rows of a posting list agree in enough coordinates and are near enough in size: (rows, rows) booleans."""
+
+    def match(group: pa.Table) -> np.ndarray:
+        n = group.column("n_shingles").to_numpy()
+        sig = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, K)
+        if len(n) <= 16:
+            hits = (sig[:, None, :] == sig[None, :, :]).sum(axis=2)
+        else:
+            hits = np.zeros((len(n), len(n)), np.uint8)
+            for c in range(K):
+                hits += sig[:, c][:, None] == sig[:, c][None, :]
+        return (hits >= AGREE) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+
+    return match
+
+
+def _similar(percent: int):
+    """Whether full sets are similar enough: (rows, rows) booleans."""
+
+    def match(group: pa.Table) -> np.ndarray:
+        sets = [np.frombuffer(x, _U64) for x in group.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        if len(sets) == 2:
+            both = len(np.intersect1d(*sets, assume_unique=True))
+            inter = np.array([[size[0], both], [both, size[1]]])
+        else:
+            _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), size)
+            shared = n[col] > 1
+            back = np.cumsum(n > 1) - 1
+            row, col = row[shared], back[col[shared]]
+            inter = np.zeros((len(sets), len(sets)), np.int64)
+            for lo in range(0, int((n > 1).sum()), 8192):  # columns in slices: exact counts below 2^24 in float32
+                here = (col >= lo) & (col < lo + 8192)
+                dense = np.zeros((len(sets), 8192), np.float32)
+                dense[row[here], col[here] - lo] = 1
+                inter += (dense @ dense.T).astype(np.int64)
+        return 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
+
+    return match
+
+
+def _stars_of_groups(match, crossed: bool):
+    """Spanning stars of every run of rows with one (grp, block, part): of all its pairs, or, if crossed, of those that have a
+    row with ``met``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for group in _grouped(batches, ("key", "bi", "bj")):
+        for group in _grouped(batches, ("grp", "block", "part")):
             if group.num_rows < 2:
                 continue
-            ids = group.column("cls").to_numpy()
-            n = group.column("n_shingles").to_numpy()
-            sig = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, K)
+            ids, ok = group.column("cls").to_numpy(), match(group)
+            if crossed:
+                met = group.column("met").to_numpy() > 0
+                ok &= met[:, None] | met[None, :]
             if len(ids) == 2:
-                if 100 * n.min() >= percent * n.max() and (sig[0] == sig[1]).sum() >= AGREE:
+                if ok[0, 1] and ids[0] != ids[1]:
                     found.add((int(ids.min()), int(ids.max())))
             else:
-                hits = np.zeros((len(ids), len(ids)), np.uint8)
-                for c in range(K):
-                    hits += sig[:, c][:, None] == sig[:, c][None, :]
-                ok = (hits >= AGREE) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
                 found.update(_stars(ok, ids))
             if len(found) >= 20_000:
                 yield _links_batch(list(found))
@@ -166,60 +215,63 @@ def _merge_postings(percent: int):
     return run
 
 
+def _linked(rows: DataFrame, limit: int, match, payload: list[str], label: str) -> DataFrame:
+    """Components (node, component) of the graph that links matching rows of a group.
+
+    rows: (grp, cls, weight, total, payload), total being the weight of the group or more.  Groups up to the limit are
+    compared whole.  Larger ones: every block with CENTRES centres, then every block with the members outside the group's
+    largest component, in parts of the limit."""
+    n = partitions(rows.sparkSession)
+
+    def links(df: DataFrame, crossed: bool) -> DataFrame:
+        df = df.select("grp", "block", "part", "cls", *(["met"] if crossed else []), *payload)
+        return df.repartition(n, "grp", "block", "part").sortWithinPartitions("grp", "block", "part").mapInArrow(_stars_of_groups(match, crossed), "a long, b long")
+
+    def dealt(total: str, name: str, seed: int):
+        return F.pmod(F.xxhash64("cls", F.lit(seed)), F.ceil(F.col(total) / limit)).cast("int").alias(name)
+
+    zero, no, yes = F.lit(0), F.lit(0).alias("met"), F.lit(1).alias("met")
+    every_of = lambda total: F.explode(F.sequence(zero, F.ceil(F.col(total) / limit).cast("int") - 1))
+    found = links(rows.where(F.col("total") <= limit).select("grp", zero.alias("block"), zero.alias("part"), "cls", *payload), False)
+    hot = rows.where(F.col("total") > limit).select("grp", "cls", "weight", "total", dealt("total", "block", 1), *payload)
+    hot = written(hot, f"{label}-large")
+    if hot.isEmpty():
+        return components(found, label)
+    bucket = F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(CENTRES))
+    chosen = hot.groupBy("grp", bucket.alias("bucket")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(3)).alias("h"), F.col("cls"))).alias("m")).select("grp", "m.cls")
+    chosen = written(chosen, f"{label}-centres")
+    centres = hot.join(F.broadcast(chosen) if chosen.count() <= ID_LIMIT else chosen, ["grp", "cls"], "left_semi")
+    centres = centres.select("grp", every_of("total").alias("block"), zero.alias("part"), "cls", yes, *payload)
+    met = links(hot.select("grp", "block", zero.alias("part"), "cls", no, *payload).unionByName(centres), True)
+    found = written(found.unionByName(met), f"{label}-first")
+    known = written(components(found, label), f"{label}-known")
+    named = hot.select("grp", "cls", "weight").join(known.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    size = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = written(size.groupBy("grp").agg(F.max(F.struct("c", "component")).alias("l")).select("grp", F.col("l.component").alias("largest")), f"{label}-largest")
+    rest = written(named.join(largest, "grp").where("component != largest").select("grp", "cls", "weight"), f"{label}-rest")
+    if rest.isEmpty():
+        return known
+    left = written(rest.groupBy("grp").agg(F.sum("weight").alias("rest")), f"{label}-totals")
+    outside = hot.join(rest.select("grp", "cls"), ["grp", "cls"]).join(left, "grp")
+    outside = outside.select("grp", every_of("total").alias("block"), dealt("rest", "part", 4), "cls", yes, *payload)
+    every = hot.join(left, "grp").select("grp", "block", every_of("rest").alias("part"), "cls", no, *payload)
+    return components(found.unionByName(links(every.unionByName(outside), True)), label)
+
+
 def _member_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [x.tobytes() for x in shingle_sets(t.texts_of(batch), shingle)]
+            kept = [c for c in batch.schema.names if c != "text"]
             for a in range(0, len(sets), 500):
                 part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("cluster"), part.column("blocks"), pa.array(sets[a : a + 500], pa.binary())], names=["cls", "cluster", "blocks", "shingles"])
-
-    return run
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for group in _grouped(batches, ("cluster", "bi", "bj")):
-            if group.num_rows < 2:
-                continue
-            ids = group.column("cls").to_numpy()
-            sets = [np.frombuffer(x, _U64) for x in group.column("shingles").to_pylist()]
-            size = np.array([len(x) for x in sets], np.int64)
-            if len(ids) == 2:
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                inter = np.array([[size[0], both], [both, size[1]]])
-            else:
-                _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-                row = np.repeat(np.arange(len(ids)), size)
-                shared = n[col] > 1
-                back = np.cumsum(n > 1) - 1
-                row, col = row[shared], back[col[shared]]
-                inter = np.zeros((len(ids), len(ids)), np.int64)
-                for lo in range(0, int((n > 1).sum()), 8192):  # columns in slices: exact counts below 2^24 in float32
-                    here = (col >= lo) & (col < lo + 8192)
-                    dense = np.zeros((len(ids), 8192), np.float32)
-                    dense[row[here], col[here] - lo] = 1
-                    inter += (dense @ dense.T).astype(np.int64)
-            union = size[:, None] + size[None, :] - inter
-            found += _stars(100 * inter >= percent * union, ids)
-            if len(found) >= 20_000:
-                yield _links_batch(found)
-                found = []
-        yield _links_batch(found)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(sets[a : a + 500], pa.binary())], names=[*kept, "shingles"])
 
     return run
 
 
-def _block_pairs(df: DataFrame, keys: list[str], blocks: str, block: str) -> DataFrame:
-    """Each row goes to every pair of blocks that holds its own block (a single pair where there is one block)."""
-    pairs = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda x: F.struct(F.least(x, F.col(block)).alias("bi"), F.greatest(x, F.col(block)).alias("bj")))
-    return df.withColumn("_p", F.explode(pairs)).withColumns({"bi": F.col("_p.bi"), "bj": F.col("_p.bj")}).drop("_p", blocks, block)
-
-
 def _classified(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """(doc, tag, n_shingles, first) for every row: first is (doc, tag) of the first row of its component (null: no shingles)."""
-    spark = docs.sparkSession
     texts = identified(with_text(docs)).select("doc", "tag", "text")
     sketches = written(texts.mapInArrow(_sketch(shingle), _SKETCH), "near-sketches")
     full = sketches.where("n_shingles > 0")
@@ -233,25 +285,19 @@ def _classified(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     prefix = K - AGREE + 1
     ranked = shared.withColumns({"rank": F.row_number().over(rank), "n_shared": F.count(F.lit(1)).over(W.partitionBy("cls"))})
     postings = ranked.where(F.col("rank") <= prefix - (K - F.col("n_shared"))).select("cls", "key", "df")
-    n = partitions(spark)
-    listed = (
-        postings.join(classes.select("cls", "n_shingles", "short"), "cls")
-        .withColumn("blocks", F.ceil(F.col("df") / POSTING_BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    )
-    listed = _block_pairs(listed, ["key"], "blocks", "block")
-    candidates = listed.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").drop("df").mapInArrow(_merge_postings(percent), "a long, b long")
-    clusters = components(candidates, "near-candidates")
-    sizes = written(clusters.join(classes.select(F.col("cls").alias("node"), "n_shingles", "rep"), "node"), "near-clusters")
-    blocks = sizes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).cast("int").alias("blocks"))
-    members = sizes.join(blocks, "component").select("rep.doc", "rep.tag", F.col("node").alias("cls"), F.col("component").alias("cluster"), "blocks")
-    sets = texts.join(F.broadcast(members) if sizes.count() <= ID_LIMIT else members, ["doc", "tag"])
+    postings = written(postings.select(F.col("key").alias("grp"), "cls", F.lit(1).alias("weight"), F.col("df").alias("total")), "near-postings")
+    listed = postings.join(classes.select("cls", "n_shingles", "short"), "cls")
+    clusters = _linked(listed, POSTING_BLOCK, _agreeing(percent), ["n_shingles", "short"], "near-candidates")
+    weight = F.greatest("n_shingles", F.lit(max(1, SET_BLOCK // POSTING_BLOCK)))
+    members = clusters.join(classes.select(F.col("cls").alias("node"), weight.alias("weight"), "rep"), "node").select("rep.doc", "rep.tag", F.col("node").alias("cls"), F.col("component").alias("grp"), "weight")
+    members = written(members, "near-members")
+    totals = members.groupBy("grp").agg(F.sum("weight").alias("total"))
+    members = written(members.join(totals, "grp"), "near-groups")
+    sets = texts.join(F.broadcast(members) if members.count() <= ID_LIMIT else members, ["doc", "tag"])
     # The row that stands for a class may itself be repeated: one of its equal copies is enough.
-    sets = sets.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("text", "cluster", "blocks")])
-    sets = sets.select("cls", "text", "cluster", "blocks").mapInArrow(_member_sets(shingle), "cls long, cluster long, blocks int, shingles binary")
-    sets = _block_pairs(sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), ["cluster"], "blocks", "block")
-    links = sets.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(_confirm(percent), "a long, b long")
-    found = components(links, "near-links")
+    sets = sets.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("text", "grp", "weight", "total")]).select("grp", "cls", "weight", "total", "text")
+    sets = written(sets.mapInArrow(_member_sets(shingle), "grp long, cls long, weight long, total long, shingles binary"), "near-sets")
+    found = _linked(sets, SET_BLOCK, _similar(percent), ["shingles"], "near-links")
     named = classes.select("n_shingles", "s1", "s2", "cls", "rep").join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("first"))
     named = written(named.join(firsts, "component").select("n_shingles", "s1", "s2", "first"), "near-named")

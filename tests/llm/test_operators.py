@@ -57,7 +57,19 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates_match_brute_force(spark, rows):
+@pytest.mark.parametrize("large", [False, True])
+def test_near_duplicates_match_brute_force(spark, rows, monkeypatch, large):
+    if large:  # most lists and groups are cut into blocks
+        monkeypatch.setattr(near_dedup, "POSTING_BLOCK", 3)
+        monkeypatch.setattr(near_dedup, "SET_BLOCK", 300)
+        monkeypatch.setattr(near_dedup, "CENTRES", 2)
+        rng = random.Random(12)
+        base = [f"w{i}" for i in range(60)]
+        more = []
+        for i in range(90):  # a chain of edits, edits of one text, and texts that share a passage only
+            step = [*base[: 60 - i % 30], *[f"n{j}" for j in range(i % 30)]] if i < 30 else [w if rng.random() > 0.01 else f"e{rng.random()}" for w in base] if i < 60 else base[:8] + [f"u{i}x{j}" for j in range(rng.randint(2, 60))]
+            more.append((5000 + i, " ".join(step)))
+        rows = rows + more
     sets = {i: shingles(t) for i, t, *_ in rows}
     up = {i: i for i in sets}
 
