@@ -32,7 +32,7 @@ from pyspark.sql.window import Window as W
 
 from . import textops as t
 from .components import components
-from .spark_util import LAST, identified, partitions, with_text, written
+from .spark_util import LAST, discard, identified, partitions, with_text, written
 
 SHINGLE = 5
 K, AGREE = 64, 32
@@ -236,6 +236,7 @@ def _linked(rows: DataFrame, limit: int, match, payload: list[str], label: str)
     hot = rows.where(F.col("total") > limit).select("grp", "cls", "weight", "total", dealt("total", "block", 1), *payload)
     hot = written(hot, f"{label}-large")
     if hot.isEmpty():
+        discard(hot)
         return components(found, label)
     bucket = F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(CENTRES))
     chosen = hot.groupBy("grp", bucket.alias("bucket")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(3)).alias("h"), F.col("cls"))).alias("m")).select("grp", "m.cls")
@@ -250,12 +251,15 @@ def _linked(rows: DataFrame, limit: int, match, payload: list[str], label: str)
     largest = written(size.groupBy("grp").agg(F.max(F.struct("c", "component")).alias("l")).select("grp", F.col("l.component").alias("largest")), f"{label}-largest")
     rest = written(named.join(largest, "grp").where("component != largest").select("grp", "cls", "weight"), f"{label}-rest")
     if rest.isEmpty():
+        discard(hot, chosen, found, largest, rest)
         return known
     left = written(rest.groupBy("grp").agg(F.sum("weight").alias("rest")), f"{label}-totals")
     outside = hot.join(rest.select("grp", "cls"), ["grp", "cls"]).join(left, "grp")
     outside = outside.select("grp", every_of("total").alias("block"), dealt("rest", "part", 4), "cls", yes, *payload)
     every = hot.join(left, "grp").select("grp", "block", every_of("rest").alias("part"), "cls", no, *payload)
-    return components(found.unionByName(links(every.unionByName(outside), True)), label)
+    out = components(found.unionByName(links(every.unionByName(outside), True)), label)
+    discard(hot, chosen, found, known, largest, rest, left)
+    return out
 
 
 def _member_sets(shingle: int):
@@ -290,9 +294,9 @@ def _classified(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     clusters = _linked(listed, POSTING_BLOCK, _agreeing(percent), ["n_shingles", "short"], "near-candidates")
     weight = F.greatest("n_shingles", F.lit(max(1, SET_BLOCK // POSTING_BLOCK)))
     members = clusters.join(classes.select(F.col("cls").alias("node"), weight.alias("weight"), "rep"), "node").select("rep.doc", "rep.tag", F.col("node").alias("cls"), F.col("component").alias("grp"), "weight")
-    members = written(members, "near-members")
-    totals = members.groupBy("grp").agg(F.sum("weight").alias("total"))
-    members = written(members.join(totals, "grp"), "near-groups")
+    alone = written(members, "near-members")
+    totals = alone.groupBy("grp").agg(F.sum("weight").alias("total"))
+    members = written(alone.join(totals, "grp"), "near-groups")
     sets = texts.join(F.broadcast(members) if members.count() <= ID_LIMIT else members, ["doc", "tag"])
     # The row that stands for a class may itself be repeated: one of its equal copies is enough.
     sets = sets.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("text", "grp", "weight", "total")]).select("grp", "cls", "weight", "total", "text")
@@ -301,6 +305,7 @@ def _classified(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     named = classes.select("n_shingles", "s1", "s2", "cls", "rep").join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("first"))
     named = written(named.join(firsts, "component").select("n_shingles", "s1", "s2", "first"), "near-named")
+    discard(classes, postings, alone, members, sets)
     # A class may hold a third of all rows: nothing above this join needs them together, so its rows can be split.
     out = full.select("doc", "tag", "n_shingles", "s1", "s2").join(named, ["n_shingles", "s1", "s2"]).select("doc", "tag", "n_shingles", "first")
     return out.unionByName(sketches.where("n_shingles = 0").select("doc", "tag", "n_shingles", F.lit(None).cast("struct<doc: bigint, tag: bigint>").alias("first")))
