@@ -6,8 +6,6 @@ return the columns of ``documents``; the last adds each document's place in the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from parcelflow.llm.decontaminate import remove_contaminated
 from parcelflow.llm.language_id import with_languages
 from parcelflow.llm.mixing import mix, natural_weights
 from parcelflow.llm.near_dedup import deduplicated
-from parcelflow.llm.spark_util import read_table, shared_dir
+from parcelflow.llm.spark_util import discard, read_table, written
 from parcelflow.llm.suffix_dedup import without_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -59,11 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    name, stage = STAGES[-1]
-    stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-    return spark.read.parquet(f"{base}/{name}")
+    """The mixed rows that all stages leave; a stage's table is deleted when the next one is written."""
+    docs = before = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, before, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
+        before = docs
+    return docs
