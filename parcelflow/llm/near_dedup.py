@@ -240,25 +240,25 @@ def _linked(rows: DataFrame, limit: int, match, payload: list[str], label: str)
         return components(found, label)
     bucket = F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(CENTRES))
     chosen = hot.groupBy("grp", bucket.alias("bucket")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(3)).alias("h"), F.col("cls"))).alias("m")).select("grp", "m.cls")
-    chosen = written(chosen, f"{label}-centres")
-    centres = hot.join(F.broadcast(chosen) if chosen.count() <= ID_LIMIT else chosen, ["grp", "cls"], "left_semi")
+    centres = hot.join(chosen, ["grp", "cls"], "left_semi")
     centres = centres.select("grp", every_of("total").alias("block"), zero.alias("part"), "cls", yes, *payload)
     met = links(hot.select("grp", "block", zero.alias("part"), "cls", no, *payload).unionByName(centres), True)
     found = written(found.unionByName(met), f"{label}-first")
-    known = written(components(found, label), f"{label}-known")
+    known = components(found, f"{label}-first")
     named = hot.select("grp", "cls", "weight").join(known.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     size = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = written(size.groupBy("grp").agg(F.max(F.struct("c", "component")).alias("l")).select("grp", F.col("l.component").alias("largest")), f"{label}-largest")
+    largest = size.groupBy("grp").agg(F.max(F.struct("c", "component")).alias("l")).select("grp", F.col("l.component").alias("largest"))
     rest = written(named.join(largest, "grp").where("component != largest").select("grp", "cls", "weight"), f"{label}-rest")
     if rest.isEmpty():
-        discard(hot, chosen, found, largest, rest)
+        discard(hot, found, rest)
         return known
-    left = written(rest.groupBy("grp").agg(F.sum("weight").alias("rest")), f"{label}-totals")
+    left = rest.groupBy("grp").agg(F.sum("weight").alias("rest"))
     outside = hot.join(rest.select("grp", "cls"), ["grp", "cls"]).join(left, "grp")
     outside = outside.select("grp", every_of("total").alias("block"), dealt("rest", "part", 4), "cls", yes, *payload)
     every = hot.join(left, "grp").select("grp", "block", every_of("rest").alias("part"), "cls", no, *payload)
-    out = components(found.unionByName(links(every.unionByName(outside), True)), label)
-    discard(hot, chosen, found, known, largest, rest, left)
+    second = written(links(every.unionByName(outside), True), f"{label}-second")
+    out = known if second.isEmpty() else components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), label)
+    discard(hot, found, rest, second)
     return out
 
 
