@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import geo, keys
 from ..operators import aggregates as agg
 from ..operators import feeds
-from ..streaming import ledger, state
+from ..sources import sources
+from ..streaming import state
 from . import pipelines
 from . import standins as s
 from .filter_queries import _BROAD, _ELITE, _SHARED, LOT_CTE, lots
 from .join_queries import cust, feed
 from .registry import query
+from .source_queries import scratch
 from .spatial_queries import CTE, STREETS, boxes, points, stops, streets
 from .state_queries import NOW, _state, _verdicts
 
@@ -82,7 +84,11 @@ def _(t):
     return pipelines.area_dataset(areas, points(t), "shape").select("area", "n", F.round("total", 2).alias("total"), "low_rate", F.col("rank_risk").between(1, 25).alias("ranked"))
 
 
-@query("C04_closures", f"SELECT label, count(*) FILTER (c IS NULL)::BIGINT AS active, count(*) FILTER (c > {s.AS_OF_SQL} - 90 AND c <= {s.AS_OF_SQL})::BIGINT AS closed90, count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL})::BIGINT AS closed365, round_even(count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL}) * 100.0::DOUBLE / count(*) FILTER (c IS NULL), 6) AS rate FROM (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN o_orderpriority = '5-LOW' THEN 'slow' WHEN o_orderpriority = '3-MEDIUM' THEN 'plain' END AS label, {s.CANCEL} AS c FROM orders) WHERE label IS NOT NULL GROUP BY label")
+_LABELLED = f"SELECT o_orderkey AS id, concat_ws(' ', c_name, o_orderpriority) AS name, o_orderdate::DATE AS d, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN o_orderpriority = '5-LOW' THEN 'slow' WHEN o_orderpriority = '3-MEDIUM' THEN 'plain' END AS label, {s.CANCEL} AS c FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+@query("C04_closures", f"""WITH l AS (SELECT * FROM ({_LABELLED}) WHERE label IS NOT NULL) SELECT 'index' AS part, label, NULL::BIGINT AS id, count(*) FILTER (c IS NULL)::BIGINT AS active, count(*) FILTER (c > {s.AS_OF_SQL} - 90 AND c <= {s.AS_OF_SQL})::BIGINT AS closed90, count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL})::BIGINT AS closed365, round_even(count(*) FILTER (c > {s.AS_OF_SQL} - 365 AND c <= {s.AS_OF_SQL}) * 100.0::DOUBLE / count(*) FILTER (c IS NULL), 6) AS rate FROM l GROUP BY label
+UNION ALL (SELECT 'longest', label, id, days, NULL, NULL, NULL FROM (SELECT *, date_diff('day', d, {s.AS_OF_SQL}) AS days, row_number() OVER (PARTITION BY name ORDER BY d, id) AS rn FROM l WHERE c IS NULL OR date_diff('day', c, {s.AS_OF_SQL}) <= 10) WHERE rn = 1 ORDER BY days DESC, id LIMIT 10)""")
 def _(t):
     return pipelines.closures(licences(t), RULES, s.AS_OF)
 
@@ -106,9 +112,11 @@ def _(t):
     return features(t).select("lot_id", "area", F.round("stop_m", 2).alias("stop_m"), "near_permits", "skip_reason")
 
 
-@query("C06_parcel_stats", _PARCEL + "SELECT coalesce(skip_reason, 'kept') AS reason, count(*) AS n, round(median(value), 4) AS median_value FROM feat GROUP BY 1")
+@query("C06_parcel_stats", _PARCEL + """SELECT 'funnel' AS part, coalesce(skip_reason, 'kept') AS name, count(*) AS n, round(median(value), 4) AS value FROM feat GROUP BY 2 UNION ALL SELECT 'cost', kind, count(value / lot_m2), round(CASE WHEN count(value / lot_m2) >= 5 THEN median(value / lot_m2) END, 4) FROM feat GROUP BY 2
+UNION ALL SELECT 'unjoined', 'permits', count(*), NULL FROM feat WHERE lot_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30) UNION ALL (SELECT 'largest', lot_id::VARCHAR, 1, round(lot_m2, 4) FROM feat ORDER BY lot_m2 DESC, lot_id LIMIT 10)""")
 def _(t):
-    return features(t).groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 4).alias("median_value"))
+    permits = t.lineitem.where("l_quantity > 30").select(F.col("l_partkey").alias("lot_id"))
+    return pipelines.parcel_stats(features(t), permits).withColumn("value", F.round("value", 4))
 
 
 def _tiers(t):
@@ -120,10 +128,23 @@ def _(t):
     return _tiers(t).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("lot_id").alias("first_lot"))
 
 
-@query("C08_signals", "SELECT c_custkey AS parcel_id, o_orderstatus AS kind, arg_max(o_orderkey, [epoch(o_orderdate)::BIGINT, o_orderkey]) AS event_id, count(*) - 1 AS extra FROM orders JOIN customer ON o_custkey % 1700 = c_custkey GROUP BY ALL")
+_SIGNAL = "WITH e AS (SELECT o_orderkey AS event_id, o_custkey AS builder, o_custkey % 1700 AS ck, o_orderdate AS d, o_orderstatus AS kind FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate::DATE >= DATE '1999-01-01'), b AS (SELECT builder, CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 3 THEN '2-3' ELSE '4+' END AS bucket FROM e GROUP BY 1) "
+
+
+def _signals(t):
+    ev = feed(t).join(t.orders.select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("builder")), "ok")
+    ev = ev.select(F.col("ok").alias("event_id"), F.col("d").alias("at"), F.col("st").alias("kind"), "builder", "addr_norm")
+    return pipelines.signals(cust(t).withColumnRenamed("k", "parcel_id"), ev, ["F", "O"], dt.date(1999, 1, 1))
+
+
+@query("C08_signals", _SIGNAL + "SELECT c_custkey AS parcel_id, kind, arg_max(event_id, [epoch(d)::BIGINT, event_id]) AS event_id, arg_max(bucket, [epoch(d)::BIGINT, event_id]) AS bucket, count(*) - 1 AS extra FROM e JOIN customer ON ck = c_custkey JOIN b USING (builder) GROUP BY ALL")
+def _(t):
+    return _signals(t)[0].select("parcel_id", "kind", "event_id", "bucket", "extra")
+
+
+@query("C08_signal_stats", _SIGNAL + "SELECT kind, count(*) AS total, count(c_custkey) AS matched, count(*) - count(c_custkey) AS unmatched, count(DISTINCT c_custkey) AS parcels FROM e LEFT JOIN customer ON ck = c_custkey GROUP BY kind")
 def _(t):
-    ev = feed(t).select(F.col("ok").alias("event_id"), F.col("d").alias("at"), F.col("st").alias("kind"), "addr_norm")
-    return pipelines.signals(cust(t).withColumnRenamed("k", "parcel_id"), ev).select("parcel_id", "kind", "event_id", "extra")
+    return _signals(t)[1]
 
 
 _P95 = "least(greatest(round_even({0} * 100 / (SELECT v FROM (SELECT {0} AS v, row_number() OVER (ORDER BY {0}) AS rn, count(*) OVER () AS n FROM {1} WHERE {0} > 0) WHERE rn = floor(0.95 * (n - 1)) + 1), 1), 0), 100)"
@@ -155,11 +176,13 @@ def _(t):
     return r.select("area", "walk", F.round("bike", 1).alias("bike"), "transit", "existing", "potential", "built_year", F.round("permits_per_1000", 4).alias("permits_per_1000"), F.round("score", 2).alias("score"))
 
 
-@query("C10_usage_rollup", "SELECT ts::DATE AS day, event_type AS sku, round(sum(user_id * CASE event_type WHEN 'view' THEN 0.017::DOUBLE WHEN 'click' THEN 0.005::DOUBLE ELSE 0 END), 4) AS cost, count(*) AS calls FROM events GROUP BY ALL")
+@query("C10_usage_rollup", "SELECT user_id % 3 AS provider, event_type AS sku, ts::DATE AS day, round(sum(value * CASE event_type WHEN 'view' THEN 0.017::DOUBLE WHEN 'click' THEN 0.005::DOUBLE ELSE 0 END), 4) AS cost, count(*) AS calls FROM events WHERE event_id % 10 <> 3 GROUP BY GROUPING SETS ((1), (1, 2), (3), ())")
 def _(t):
-    prices = F.broadcast(t.spark.createDataFrame([("view", 0.017), ("click", 0.005)], "event_type string, price double"))  # a fixed price table
-    e = t.events.join(prices, "event_type", "left").withColumn("cost", F.col("user_id") * F.coalesce("price", F.lit(0.0)))
-    return ledger.daily_costs(e, "ts", "event_type", "cost").withColumn("cost", F.round("cost", 4))
+    path = scratch(t)
+    line = F.to_json(F.struct("event_id", (F.col("user_id") % 3).alias("provider"), F.col("event_type").alias("sku"), F.col("ts").alias("at"), F.col("value").alias("units")))
+    t.events.select(F.when(F.col("event_id") % 10 == 3, F.lit('{"event_id": 1, "sku"')).otherwise(line).alias("value")).write.text(path)
+    prices = t.spark.createDataFrame([("view", 0.017), ("click", 0.005)], "sku string, price double")
+    return pipelines.usage_rollup(path, t.spark, prices, sources.read_jsonl)
 
 
 @query("C11_audits", LOT_CTE + """, found AS (SELECT 'coverage' AS rule, 'CRITICAL' AS severity, 0 AS severity_rank, count(*) FILTER (coverage > 0.8)::BIGINT AS n FROM lots UNION ALL SELECT 'units_need_height', 'HIGH', 1, count(*) FILTER (units > 6 AND height_m = 0) FROM lots

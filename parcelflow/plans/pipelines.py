@@ -74,12 +74,17 @@ def area_dataset(areas: DataFrame, points: DataFrame, shape: str) -> DataFrame:
     return feeds.ranked(n, {"risk": True}, "area").select("area", "n", "total", "low_rate", "risk", "rank_risk")
 
 
-def closures(licences: DataFrame, rules, as_of: dt.date, least: int = 20) -> DataFrame:
-    """Per label the active licences, those closed in 90 and 365 days and, from ``least`` active ones, the closing rate."""
+def closures(licences: DataFrame, rules, as_of: dt.date, least: int = 20, longest: int = 10) -> DataFrame:
+    """(part, label, id, active, closed90, closed365, rate): the closing index of every label (F16, A07) and the licences of
+    the longest running businesses, one for each name (W03, T02: active is their days).
+
+    licences: id, name, issued, cancelled."""
     df = licences.withColumn("label", keys.keyword_label(F.col("name"), rules)).where("label IS NOT NULL")
-    closed = lambda d: F.count_if((F.col("cancelled") > F.date_sub(F.lit(as_of), d)) & (F.col("cancelled") <= F.lit(as_of)))
-    r = df.groupBy("label").agg(F.count_if(F.col("cancelled").isNull()).alias("active"), closed(90).alias("closed90"), closed(365).alias("closed365"))
-    return r.withColumn("rate", F.when(F.col("active") >= least, F.bround(F.col("closed365") * 100.0 / F.col("active"), 6)))
+    none = F.lit(None).cast("long")
+    index = agg.closure_index(df, "label", "cancelled", as_of, least).select(F.lit("index").alias("part"), "label", none.alias("id"), "active", "closed90", "closed365", "rate")
+    oldest = agg.keep_first(df.where(resolve.active_with_grace(F.col("cancelled"), as_of)), ["name"], F.col("issued"), F.col("id")).withColumn("days", dates.days_open(F.col("issued"), as_of).cast("long"))
+    feed = feeds.largest(oldest, F.col("days"), "id", longest)
+    return index.unionByName(feed.select(F.lit("longest").alias("part"), "label", F.col("id").cast("long").alias("id"), F.col("days").alias("active"), none.alias("closed90"), none.alias("closed365"), F.lit(None).cast("double").alias("rate")))
 
 
 def parcel_features(lots: DataFrame, hoods: DataFrame, stops: DataFrame, permits: DataFrame) -> DataFrame:
@@ -94,6 +99,27 @@ def parcel_features(lots: DataFrame, hoods: DataFrame, stops: DataFrame, permits
     return df.withColumn("skip_reason", resolve.waterfall(gates))
 
 
+def parcel_stats(features: DataFrame, permits: DataFrame, least: int = 5, largest: int = 10) -> DataFrame:
+    """(part, name, n, value): the funnel by first failed gate with its median value (A34), median value of a square metre by
+    kind where enough lots have one (A15), lots without a permit (A35) and the largest lots (T03).
+
+    features: lot_id, kind, lot_m2, value, skip_reason; permits: lot_id."""
+    none = F.lit(None).cast("double")
+    funnel = features.groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("value"))
+    cost = agg.median_if(features.withColumn("cost", F.try_divide("value", "lot_m2")), "kind", "cost", least)
+    alone = agg.unjoined(features, permits, "lot_id")
+    top = feeds.largest(features, F.col("lot_m2"), "lot_id", largest)
+    parts = [
+        funnel.select(F.lit("funnel").alias("part"), "name", "n", "value"), cost.select(F.lit("cost").alias("part"), F.col("kind").alias("name"), "n", F.col("median").alias("value")),
+        alone.select(F.lit("unjoined").alias("part"), F.lit("permits").alias("name"), F.col("unjoined").alias("n"), none.alias("value")),
+        top.select(F.lit("largest").alias("part"), F.col("lot_id").cast("string").alias("name"), F.lit(1).cast("long").alias("n"), F.col("lot_m2").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def tiers(lots: DataFrame, listed: DataFrame) -> DataFrame:
     """Elite and broader tier of the lots that pass the shared gates."""
     df = lots.withColumn("footprint", F.col("lot_m2") * F.col("coverage"))
@@ -102,10 +128,28 @@ def tiers(lots: DataFrame, listed: DataFrame) -> DataFrame:
     return df.withColumn("tier", tier).where("tier IS NOT NULL")
 
 
-def signals(parcels_: DataFrame, events: DataFrame) -> DataFrame:
-    """The newest event of each parcel and kind with the number of further ones, and the parcel's key joined by address."""
-    joined = resolve.join_key(events, parcels_.select("parcel_id", "addr_norm"), "addr_norm")
-    return agg.latest_per_key(joined, ["parcel_id", "kind"], [F.col("at"), F.col("event_id")], ["event_id", "at"])
+def signals(parcels_: DataFrame, events: DataFrame, kinds: Sequence[str], since: dt.date) -> tuple[DataFrame, DataFrame]:
+    """(the newest event of each parcel and kind with the number of further ones and how busy its builder is; total,
+    matched and unmatched events of each kind).
+
+    Events are of the wanted kinds since a day (P14, U02), each once; they find parcels by address (J01) and builders are
+    counted over all of them (A19, A20, A21).  parcels_: parcel_id, addr_norm; events: event_id, kind, at, builder, addr_norm."""
+    wanted = feeds.any_filter(events, "event_id", *[resolve.type_since(F.col("kind"), k, F.col("at"), since) for k in kinds])
+    chosen = events.join(wanted, "event_id", "left_semi").dropDuplicates(["event_id"])
+    busy = agg.builder_activity(chosen, "builder").select("builder", "bucket")
+    joined = resolve.join_key(chosen, parcels_.select("parcel_id", "addr_norm"), "addr_norm").join(busy, "builder")
+    latest = agg.latest_per_key(joined, ["parcel_id", "kind"], [F.col("at"), F.col("event_id")], ["event_id", "bucket"])
+    return latest, agg.signal_stats(chosen, parcels_, "kind", "addr_norm")
+
+
+def usage_rollup(ledger_path: str, spark, prices: DataFrame, read) -> DataFrame:
+    """Cost and calls by provider, by provider and sku, by day and in all (A31), of a ledger of JSON lines that may be
+    broken (S07); skus without a price cost nothing.
+
+    prices: (sku, price); read(spark, path, schema) reads the lines."""
+    lines = read(spark, ledger_path, "event_id long, provider long, sku string, at timestamp, units double").where("event_id IS NOT NULL")
+    priced = lines.join(F.broadcast(prices), "sku", "left").withColumn("cost", F.col("units") * F.coalesce("price", F.lit(0.0)))  # a price table of a few dozen rows
+    return agg.ledger_rollup(priced.withColumn("day", F.to_date("at")), "provider", "sku", "day", "cost")
 
 
 def neighbourhood_scores(areas: DataFrame, points: DataFrame, streets: DataFrame, stops: DataFrame, lots: DataFrame, per_lot: DataFrame, brackets: DataFrame, households: DataFrame, permits: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality
 from .filter_queries import LOT_CTE, lots
 from .registry import query
+from .source_queries import scratch
 
 
 def _count(name: str, sev: str, test: str) -> str:
@@ -56,10 +57,14 @@ def _(t):
     return quality.report(quality.violations(lots(t), {c: (sev, ~F.col(c).between(a, b)) for c, (sev, a, b) in _RANGES.items()}))
 
 
-@query("Q09_fail_on_unknown", "SELECT p_type AS code, count(*) AS n FROM part GROUP BY 1")
+@query("Q09_fail_on_unknown", "SELECT c_nationkey AS code, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation) GROUP BY 1 UNION ALL SELECT -1, count(*) FROM customer WHERE c_mktsegment NOT IN (SELECT DISTINCT c_mktsegment FROM customer WHERE c_nationkey = 3 AND c_acctbal > 9000)")
 def _(t):
-    known = t.part.select(F.col("p_type").alias("code")).distinct()
-    return quality.fail_on_unknown(t.part.withColumn("code", F.col("p_type")), "code", known, "code").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    # Every nation must be known; of the market segments at most so many rows as -1 tells may be unknown.
+    known = quality.fail_on_unknown(t.customer.withColumn("code", F.col("c_nationkey")), "code", t.nation, "n_nationkey").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    segments = t.customer.where("c_nationkey = 3 AND c_acctbal > 9000").select("c_mktsegment").distinct()
+    unknown = t.customer.join(segments, "c_mktsegment", "left_anti").count()
+    quality.fail_on_unknown(t.customer, "c_mktsegment", segments, "c_mktsegment", most=unknown)
+    return known.unionByName(t.spark.createDataFrame([(-1, unknown)], "code int, n long"))
 
 
 @query("Q10_label_gap_report", "SELECT DISTINCT p_brand AS label FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 49)")
@@ -72,7 +77,15 @@ def _(t):
     return quality.require_columns(t.supplier, [], rejected=["s_oldkey"]).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("Q12_idempotence_check", "SELECT 0::BIGINT AS different")
+@query("Q12_idempotence_check", "WITH a AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), b AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size < 50 GROUP BY 1) SELECT 'again' AS run, 0::BIGINT AS different UNION ALL SELECT 'changed', (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) + (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a))")
 def _(t):
-    run = lambda: t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).withColumn("generated_at", F.current_timestamp())
-    return quality.same_rows(run(), run(), ["generated_at"])
+    # Two runs as they were written, and one over fewer rows.
+    def run(parts):
+        path = scratch(t)
+        parts.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).withColumn("generated_at", F.current_timestamp()).write.parquet(path)
+        return t.spark.read.parquet(path)
+
+    first = run(t.part)
+    rows = [(name, quality.same_rows(first, run(parts), ["generated_at"])) for name, parts in (("again", t.part), ("changed", t.part.where("p_size < 50")))]
+    again, changed = [df.select(F.lit(name).alias("run"), "different") for name, df in rows]
+    return again.unionByName(changed)
