@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .alignment import alignment
 from .decontaminate import contamination
 from .language_id import languages
 from .license_scan import known_licenses, license_scan
+from .line_dedup import line_dedup
 from .lm_scoring import lm_scores
 from .mixing import mix, natural_weights
 from .near_dedup import near_duplicates
@@ -61,10 +63,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(read_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_classifier, op2_decontamination, op3_license_scan, op4_source_mixing, op5_token_counts,
         op6_minhash_near_dedup, op7_suffix_array_dedup, op8_exact_top_k, op9_lm_scoring, op10_language_id,
+        op11_token_alignment, op12_line_dedup,
     )
     return {f.__name__: f for f in own}
 
@@ -76,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mixing": oracles.OP4,
         "op6_minhash_near_dedup": oracles.OP6,
         "op8_exact_top_k": oracles.OP8,
+        "op12_line_dedup": oracles.OP12,
     }
