@@ -73,6 +73,37 @@ FROM k LEFT JOIN c USING (key) GROUP BY doc_id
 """
 
 
+def op13_sql() -> str:
+    """Sequences as lists of turn digests; crc32 of a decimal number is worked out bit by bit (polynomial 0xEDB88320)."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p,
+    coalesce(role, '') || chr(31) || coalesce(text, '') AS k, length(coalesce(text, ''))::BIGINT AS chars FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM o),
+crc(conv_id, s, i, bit, c) AS (
+    SELECT conv_id, conv_id::VARCHAR, 0, 8, 4294967295::BIGINT FROM ids
+    UNION ALL
+    SELECT conv_id, s, CASE WHEN bit = 8 THEN i + 1 ELSE i END, CASE WHEN bit = 8 THEN 1 ELSE bit + 1 END,
+        CASE WHEN bit = 8 THEN (SELECT {step} FROM (SELECT xor(crc.c, ascii(s[i + 1])) AS c)) ELSE {step} END
+    FROM crc WHERE NOT (bit = 8 AND i = length(s))),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(c, 4294967295) % 6 AS h FROM crc WHERE bit = 8 AND i = length(s)),
+r AS (SELECT h.conv_id, 0 AS own, o.p, o.k, o.chars FROM h JOIN o ON o.conv_id = h.base AND o.p <= h.h
+    UNION ALL SELECT h.conv_id, 1, o.p, o.k, o.chars FROM h JOIN o ON o.conv_id = h.conv_id AND o.p > h.h),
+seq AS (SELECT conv_id, list(sha256(k) ORDER BY own, p) AS ks, list(chars ORDER BY own, p) AS cs FROM r GROUP BY conv_id),
+full_ AS (SELECT conv_id, coalesce(ks, []) AS ks, coalesce(cs, []) AS cs, coalesce(len(ks), 0)::BIGINT AS n FROM ids LEFT JOIN seq USING (conv_id)),
+pre AS (SELECT conv_id, n, d::BIGINT AS depth, sha256(array_to_string(ks[:d], ',')) AS node, sha256(array_to_string(ks[:d - 1], ',')) AS up, CASE WHEN d > 0 THEN cs[d] ELSE 0 END AS chars
+    FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM full_)),
+nodes AS (SELECT depth, node, min(conv_id) AS conv_id, min(up) AS up, count(*) AS n_convs, min(chars) AS chars, list(conv_id ORDER BY conv_id) FILTER (WHERE n = depth) AS ends FROM pre GROUP BY depth, node),
+kids AS (SELECT depth - 1 AS depth, up AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+all_ AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, node)),
+anc AS (SELECT DISTINCT a.depth AS d, a.node AS v, b.depth, b.node FROM pre a JOIN pre b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sub AS (SELECT anc.d AS depth, anc.v AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM anc JOIN all_ USING (depth, node) GROUP BY ALL)
+SELECT x.conv_id::BIGINT AS conv_id, x.depth, p.conv_id::BIGINT AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+    n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(array_to_string(coalesce(x.ends, []), ',')) AS ends_sha256
+FROM all_ x JOIN sub USING (depth, node) LEFT JOIN nodes p ON x.depth > 0 AND p.depth = x.depth - 1 AND p.node = x.up
+"""
+
+
 def license_sql() -> str:
     from .license_scan import KNOWN, SPELLINGS, STATEMENT, whole_licenses
 

@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .lm_scoring import lm_scores
 from .mixing import mix, natural_weights
 from .near_dedup import near_duplicates
+from .prefix_trie import prefix_trie
 from .quality import quality_scores
 from .spark_util import read_table
 from .suffix_dedup import suffix_dedup
@@ -71,11 +72,15 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality_classifier, op2_decontamination, op3_license_scan, op4_source_mixing, op5_token_counts,
         op6_minhash_near_dedup, op7_suffix_array_dedup, op8_exact_top_k, op9_lm_scoring, op10_language_id,
-        op11_token_alignment, op12_line_dedup,
+        op11_token_alignment, op12_line_dedup, op13_prefix_trie,
     )
     return {f.__name__: f for f in own}
 
@@ -88,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_near_dedup": oracles.OP6,
         "op8_exact_top_k": oracles.OP8,
         "op12_line_dedup": oracles.OP12,
+        "op13_prefix_trie": oracles.op13_sql(),
     }
