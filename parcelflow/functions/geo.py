@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +94,19 @@ def boundary_distance(x: Column, y: Column, polygon: Column) -> Column:
     return F.array_min(F.transform(F.flatten(F.transform(polygon, _edges)), lambda e: _to_segment(x, y, e["a"], e["b"])))
 
 
+def segment_gap(s: Column, e: Column) -> Column:
+    """Least distance of two segments (a, b), 0 where they cross, in the units of the coordinates."""
+    turn = lambda o, p, q: F.signum((p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"]))
+    cross = (turn(s["a"], s["b"], e["a"]) * turn(s["a"], s["b"], e["b"]) < 0) & (turn(e["a"], e["b"], s["a"]) * turn(e["a"], e["b"], s["b"]) < 0)
+    ends = [_to_segment(p["x"], p["y"], o["a"], o["b"]) for p, o in ((s["a"], e), (s["b"], e), (e["a"], s), (e["b"], s))]
+    return F.when(cross, 0.0).otherwise(F.least(*ends))
+
+
+def boundary_gap(polygon: Column, segment: Column) -> Column:
+    """Least distance of a segment from the boundary of a polygon (all rings), not from its inside."""
+    return F.array_min(F.transform(F.flatten(F.transform(polygon, _edges)), lambda e: segment_gap(e, segment)))
+
+
 def haversine(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Metres on a sphere."""
     dy, dx = F.radians(y2 - y1) / 2, F.radians(x2 - x1) / 2
@@ -196,9 +209,10 @@ def from_web_mercator(x: Column, y: Column) -> Column:
 def min_rotated_rect(ring: Column) -> Column:
     """Struct (long, short, aspect, orientation in [0, 180)) of the smallest enclosing rectangle."""
 
-    @F.pandas_udf("long double, short double, aspect double, orientation double")
-    def run(rings: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_rect(r) for r in rings], columns=["long", "short", "aspect", "orientation"])
+    @F.arrow_udf("long double, short double, aspect double, orientation double")
+    def run(rings: pa.Array) -> pa.Array:
+        found = [_rect(r) for r in rings.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in range(4)], names=["long", "short", "aspect", "orientation"])
 
     return run(ring)
 
@@ -222,9 +236,25 @@ def _rect(ring) -> tuple:
     return best[1], best[2], best[1] / best[2] if best[2] else None, best[3] % 180
 
 
+def _turns(ring: np.ndarray) -> np.ndarray:
+    """Cross product of the two edges at every corner."""
+    a, b = np.roll(ring, -1, axis=0) - ring, np.roll(ring, -2, axis=0) - np.roll(ring, -1, axis=0)
+    return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+
+
+def _convex(ring: np.ndarray) -> bool:
+    """Whether a ring turns one way at all corners, once around."""
+    t = _turns(ring)
+    if len(ring) < 3 or (t.min() < 0 < t.max()):
+        return False
+    d = np.roll(ring, -1, axis=0) - ring
+    angle = np.arctan2(t, (d * np.roll(d, -1, axis=0)).sum(1))
+    return bool(abs(abs(angle.sum()) - 2 * math.pi) < 1e-6)
+
+
 def _clip(subject: np.ndarray, clip: np.ndarray) -> float:
     """Area of the subject ring inside a convex ring, cut edge by edge."""
-    if np.cross(clip[1] - clip[0], clip[2] - clip[1]) < 0:
+    if _turns(clip).sum() < 0:
         clip = clip[::-1]
     out = subject
     for a, b in zip(clip, np.roll(clip, -1, axis=0)):
@@ -255,20 +285,23 @@ def clip_area(a: Column, b: Column) -> Column:
 
     A ring that is not convex is a signed sum of triangles of a fan, so the area is exact for any simple ring."""
 
-    @F.pandas_udf("double")
-    def run(first: pd.Series, second: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(first: pa.Array, second: pa.Array) -> pa.Array:
         out = []
-        for p, q in zip(first, second):
+        for p, q in zip(first.to_pylist(), second.to_pylist()):
             x, y = (np.array([(v["x"], v["y"]) for v in r[0]], float) for r in (p, q))
+            if _convex(y):
+                out.append(_clip(x, y))
+                continue
             total = 0.0
             for t in _triangles(y):
-                turn = np.cross(t[1] - t[0], t[2] - t[0])
+                turn = _turns(t)[0]
                 for u in _triangles(x):
-                    spin = np.cross(u[1] - u[0], u[2] - u[0])
+                    spin = _turns(u)[0]
                     if turn and spin:
                         total += np.sign(turn) * np.sign(spin) * _clip(u, t)
             out.append(abs(total))
-        return pd.Series(out, dtype=float)
+        return pa.array(out, pa.float64())
 
     return run(a, b)
 
@@ -276,9 +309,10 @@ def clip_area(a: Column, b: Column) -> Column:
 def polygon_distance(a: Column, b: Column) -> Column:
     """Least distance of two outer rings (0 where they cross or one is inside the other)."""
 
-    @F.pandas_udf("double")
-    def run(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([_ring_distance(np.array([(v["x"], v["y"]) for v in p[0]], float), np.array([(v["x"], v["y"]) for v in q[0]], float)) for p, q in zip(first, second)], dtype=float)
+    @F.arrow_udf("double")
+    def run(first: pa.Array, second: pa.Array) -> pa.Array:
+        rings = zip(*([np.array([(v["x"], v["y"]) for v in p[0]], float) for p in side.to_pylist()] for side in (first, second)))
+        return pa.array([_ring_distance(p, q) for p, q in rings], pa.float64())
 
     return run(a, b)
 
@@ -300,9 +334,105 @@ def _inside(p: np.ndarray, ring: np.ndarray) -> bool:
 def _ring_distance(a: np.ndarray, b: np.ndarray) -> float:
     if _inside(a[0], b) or _inside(b[0], a):
         return 0.0
-    turn = lambda o, p, q: np.sign(np.cross(p - o, q - o))
+    turn = lambda o, p, q: np.sign((p - o)[..., 0] * (q - o)[..., 1] - (p - o)[..., 1] * (q - o)[..., 0])
     a2, b2 = np.roll(a, -1, axis=0), np.roll(b, -1, axis=0)
     p, p2, q, q2 = a[:, None, :], a2[:, None, :], b[None, :, :], b2[None, :, :]
     if ((turn(p, p2, q) * turn(p, p2, q2) < 0) & (turn(q, q2, p) * turn(q, q2, p2) < 0)).any():
         return 0.0
     return min(_point_gap(a, b), _point_gap(b, a))
+
+
+def _edge_table(rings) -> np.ndarray:
+    """Rows (x1, y1, x2, y2) with y1 < y2 of the edges of rings; level edges bound no area from the side."""
+    out = []
+    for ring in rings:
+        a = np.array([(v["x"], v["y"]) for v in ring], float).reshape(-1, 2)
+        out.append(np.hstack([a, np.roll(a, -1, axis=0)]))
+    e = np.concatenate(out) if out else np.zeros((0, 4))
+    e = e[e[:, 1] != e[:, 3]]
+    return np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
+
+
+def _crossing_heights(e: np.ndarray) -> np.ndarray:
+    """Heights at which edges cross one another, found edge by edge against the later ones."""
+    out = []
+    for i in range(len(e) - 1):
+        a, rest = e[i], e[i + 1 :]
+        rest = rest[(rest[:, 1] < a[3]) & (rest[:, 3] > a[1])]
+        d, f = a[2:] - a[:2], rest[:, 2:] - rest[:, :2]
+        turn = d[0] * f[:, 1] - d[1] * f[:, 0]
+        g = rest[:, :2] - a[:2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (g[:, 0] * f[:, 1] - g[:, 1] * f[:, 0]) / turn, (g[:, 0] * d[1] - g[:, 1] * d[0]) / turn
+        t = t[(turn != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)]
+        out.append(a[1] + t * d[1])
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def sweep_areas(first, others, clip: tuple[float, float, float, float] | None = None) -> tuple[float, float]:
+    """(area of first inside any of others, area of first outside all of them), by a sweep over trapezoids.
+
+    Polygons are lists of rings, inside by odd count of edges, so holes and overlaps are exact.  clip: (xmin, ymin, xmax,
+    ymax) to which the areas are limited.  Between two neighbouring heights of corners and crossings no edges cross, so the
+    width of what is inside, taken at mid height, times the height is exact."""
+    parts = [_edge_table(first)] + [_edge_table(p) for p in others]
+    if not len(parts[0]):
+        return 0.0, 0.0
+    origin = parts[0][0, [0, 1, 0, 1]].copy()
+    box = np.array([parts[0][:, [0, 2]].min(), parts[0][:, 1].min(), parts[0][:, [0, 2]].max(), parts[0][:, 3].max()])
+    if clip is not None:
+        box = np.array([max(box[0], clip[0]), max(box[1], clip[1]), min(box[2], clip[2]), min(box[3], clip[3])])
+        if box[0] >= box[2] or box[1] >= box[3]:
+            return 0.0, 0.0
+    meets = lambda e: len(e) and e[:, [0, 2]].min() < box[2] and e[:, [0, 2]].max() > box[0] and e[:, 1].min() < box[3] and e[:, 3].max() > box[1]
+    parts = [parts[0]] + [e for e in parts[1:] if meets(e)]
+    if len(parts) > 24:  # many shapes: quarter the box, each quarter has its own few
+        mx, my = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+        near = [o for o in others if meets(_edge_table(o))]
+        quarters = [(box[0], box[1], mx, my), (mx, box[1], box[2], my), (box[0], my, mx, box[3]), (mx, my, box[2], box[3])]
+        least = min(box[2] - box[0], box[3] - box[1])
+        if least > 1e-9 * max(1.0, *np.abs(box)):
+            each = [_count_meeting(near, q) for q in quarters]
+            if max(each) < len(near):
+                found = [sweep_areas(first, near, q) for q in quarters]
+                return sum(f[0] for f in found), sum(f[1] for f in found)
+    box = box - origin
+    edges = np.concatenate(parts) - origin
+    owner = np.repeat(np.arange(len(parts)), [len(e) for e in parts])
+    heights = np.concatenate([edges[:, 1], edges[:, 3], _crossing_heights(edges), box[[1, 3]]])
+    heights = np.unique(heights[(heights >= box[1]) & (heights <= box[3])])
+    inside = outside = 0.0
+    for low, high in zip(heights[:-1], heights[1:]):
+        mid = (low + high) / 2
+        here = (edges[:, 1] < mid) & (edges[:, 3] > mid)
+        e, who = edges[here], owner[here]
+        x = np.clip(e[:, 0] + (mid - e[:, 1]) / (e[:, 3] - e[:, 1]) * (e[:, 2] - e[:, 0]), box[0], box[2])
+        order = np.argsort(x, kind="stable")
+        odd = np.zeros(len(parts), bool)
+        for i, j in zip(order[:-1], order[1:]):
+            odd[who[i]] ^= True
+            if odd[0] and x[j] > x[i]:
+                if odd[1:].any():
+                    inside += (x[j] - x[i]) * (high - low)
+                else:
+                    outside += (x[j] - x[i]) * (high - low)
+    return inside, outside
+
+
+def _count_meeting(polygons, box) -> int:
+    n = 0
+    for p in polygons:
+        e = _edge_table(p)
+        n += bool(e[:, [0, 2]].min() < box[2] and e[:, [0, 2]].max() > box[0] and e[:, 1].min() < box[3] and e[:, 3].max() > box[1])
+    return n
+
+
+def covered_areas(polygon: Column, others: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Struct (inside, outside): area of the polygon inside the union of ``others`` and outside it, within the box."""
+
+    @F.arrow_udf("inside double, outside double")
+    def run(p: pa.Array, o: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        found = [sweep_areas(x, y, box) for x, y, *box in zip(*(v.to_pylist() for v in (p, o, a, b, c, d)))]
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)], names=["inside", "outside"])
+
+    return run(polygon, others, xmin, ymin, xmax, ymax)

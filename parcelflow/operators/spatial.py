@@ -7,6 +7,8 @@ and removes pairs that met in several cells.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +16,11 @@ from pyspark.sql import Window as W
 from ..functions import geo
 
 CELL = 0.02
+#: A cell with more points than this (and than 1 / SPLITS of all points) is cut into BRANCH x BRANCH, DEPTH times at most;
+#: so no more than SPLITS cells are cut at each depth, and the table of cut cells may be broadcast.
+DENSE, SPLITS, BRANCH, DEPTH = 50_000, 20_000, 16, 2
+#: Tables of points that Catalyst holds smaller than this fit one task wherever the points lie; their cells are not counted.
+SMALL_BYTES = 4 << 20
 #: Geometries that cover more cells than this go to coarser grids, whose cells are LADDER times as wide.
 MAX_CELLS, LADDER = 64, 16
 
@@ -39,16 +46,90 @@ def point_cells(df: DataFrame, x: str, y: str, size: float, levels: int = 3) ->
     return df.withColumn("_c", F.explode(each)).select(*df.columns, "_c._lv", "_c._cx", "_c._cy")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, geometry: str, size: float = CELL, pad: float = 0.0, metric: bool = False) -> DataFrame:
+def dense_cells(cells: DataFrame, x: str, y: str, size: float, dense: int) -> list[DataFrame]:
+    """For each depth the cells (_lv, _sx, _sy) that are cut: those with more than ``dense`` points and than 1 / SPLITS of all.
+
+    cells: points by grid cell (_lv, _cx, _cy).  Points are counted once, in the finest cells that are ever cut, and the
+    counts are added up for the coarser ones."""
+    fine = cells.select("_lv", *_sub_cell(F.col(x), F.col(y), size, DEPTH - 1)).groupBy("_lv", "_sx", "_sy").agg(F.count("*").alias("_n"))
+    total = fine.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
+    out = []
+    for depth in range(DEPTH):
+        up = BRANCH ** (DEPTH - 1 - depth)
+        n = fine.groupBy("_lv", F.floor(F.col("_sx") / up).alias("_sx"), F.floor(F.col("_sy") / up).alias("_sy")).agg(F.sum("_n").alias("_n"))
+        out.append(n.crossJoin(F.broadcast(total)).where(F.col("_n") > F.greatest(F.lit(dense), F.col("_all") / SPLITS)).select("_lv", "_sx", "_sy", F.lit(True).alias("_cut")))
+    return out
+
+
+def _fits_one_task(points: DataFrame) -> bool:
+    return int(str(points._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+
+
+def _sub_cell(x: Column, y: Column, size: float, depth: int) -> tuple[Column, Column]:
+    """Cell of a point after ``depth`` cuts of the cells of its grid level."""
+    w = F.lit(size / BRANCH**depth) * F.pow(F.lit(float(LADDER)), F.col("_lv"))
+    return F.floor(x / w).alias("_sx"), F.floor(y / w).alias("_sy")
+
+
+def points_by_leaf(cells: DataFrame, cut: list[DataFrame], x: str, y: str, size: float) -> DataFrame:
+    """Points with the cell (_dp cuts, _sx, _sy) that is not cut further."""
+    names = cells.columns
+    out = cells.withColumns({"_dp": F.lit(0), "_open": F.lit(True)})
+    for depth, table in enumerate(cut):
+        sx, sy = _sub_cell(F.col(x), F.col(y), size, depth)
+        out = out.withColumns({"_sx": sx, "_sy": sy}).join(F.broadcast(table), ["_lv", "_sx", "_sy"], "left")
+        out = out.withColumn("_open", F.col("_open") & F.coalesce("_cut", F.lit(False))).withColumn("_dp", F.col("_dp") + F.col("_open").cast("int")).drop("_cut", "_sx", "_sy")
+    w = F.lit(float(size)) * F.pow(F.lit(float(LADDER)), F.col("_lv")) / F.pow(F.lit(float(BRANCH)), F.col("_dp"))
+    return out.select(*names, "_dp", F.floor(F.col(x) / w).alias("_sx"), F.floor(F.col(y) / w).alias("_sy"))
+
+
+def boxes_by_leaf(cells: DataFrame, cut: list[DataFrame], box: tuple[Column, Column, Column, Column], size: float) -> DataFrame:
+    """Rows with one row for each cell (_dp, _sx, _sy) that is not cut further and that the row's box meets."""
+    names = cells.columns
+    out = cells.withColumns(dict(zip(("_bx", "_by", "_bxx", "_byy"), box))).withColumns({"_dp": F.lit(0), "_sx": F.col("_cx"), "_sy": F.col("_cy")})
+    for depth, table in enumerate(cut):
+        out = out.join(F.broadcast(table.withColumn("_dp", F.lit(depth))), ["_lv", "_dp", "_sx", "_sy"], "left")
+        w = F.lit(size / BRANCH ** (depth + 1)) * F.pow(F.lit(float(LADDER)), F.col("_lv"))
+
+        def inner(low: str, high: str, at: str, w: Column = w) -> Column:
+            """Parts of a cut cell along one axis that the box meets; the cell itself where it is not cut."""
+            first = F.greatest(F.floor(F.col(low) / w), F.col(at) * BRANCH)
+            last = F.least(F.floor(F.col(high) / w), F.col(at) * BRANCH + BRANCH - 1)
+            return F.when(F.col("_cut"), F.sequence(first, F.greatest(last, first))).otherwise(F.array(at))
+
+        out = out.withColumns({"_ax": inner("_bx", "_bxx", "_sx"), "_ay": inner("_by", "_byy", "_sy")})
+        out = out.withColumn("_sx", F.explode("_ax")).withColumn("_sy", F.explode("_ay")).withColumn("_dp", F.col("_dp") + F.coalesce(F.col("_cut"), F.lit(False)).cast("int")).drop("_cut", "_ax", "_ay")
+    return out.select(*names, "_dp", "_sx", "_sy")
+
+
+def points_in_boxes(points: DataFrame, shapes: DataFrame, x: str, y: str, box: tuple[Column, Column, Column, Column], size: float = CELL, dense: int | None = None) -> DataFrame:
+    """Pairs of points and shapes that share a cell, each once: a point has one cell of each grid level, a shape one level, and
+    cells with many points are cut into smaller ones, of which a point has one."""
+    p, s = point_cells(points, x, y, size), with_cells(shapes, box, size)
+    if dense is None and _fits_one_task(points):
+        return p.join(s, ["_lv", "_cx", "_cy"]).drop("_lv", "_cx", "_cy")
+    cut = dense_cells(p, x, y, size, dense or DENSE)
+    p, s = points_by_leaf(p, cut, x, y, size), boxes_by_leaf(s, cut, box, size)
+    return p.drop("_cx", "_cy").join(s.drop("_cx", "_cy"), ["_lv", "_dp", "_sx", "_sy"]).drop("_lv", "_dp", "_sx", "_sy")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, geometry: str, size: float = CELL, pad: float = 0.0, dense: int | None = None) -> DataFrame:
     """Every (point, containing polygon) pair once; with ``pad`` also points at most that far (in degrees) from the boundary."""
-    ring = F.col(geometry)[0]
-    xmin, ymin, xmax, ymax = geo.bbox(ring)
-    p = with_cells(polygons, (xmin - pad, ymin - pad, xmax + pad, ymax + pad), size)
-    pairs = point_cells(points, x, y, size).join(p, ["_lv", "_cx", "_cy"])
+    xmin, ymin, xmax, ymax = geo.bbox(F.col(geometry)[0])
+    pairs = points_in_boxes(points, polygons, x, y, (xmin - pad, ymin - pad, xmax + pad, ymax + pad), size, dense)
     test = geo.point_in_polygon(F.col(x), F.col(y), F.col(geometry))
     if pad:
         test = test | (geo.boundary_distance(F.col(x), F.col(y), F.col(geometry)) <= pad)
-    return pairs.where(test).drop("_lv", "_cx", "_cy")  # a point has one cell of each level, a polygon one level: no pair meets twice
+    return pairs.where(test)
+
+
+def points_in_circles(points: DataFrame, circles: DataFrame, x: str, y: str, cx: str, cy: str, radius: str, size: float = CELL) -> DataFrame:
+    """Every (point, circle) pair with the point inside; circles are a centre and a radius in metres (haversine), each row
+    its own radius; the date line is a border."""
+    dx, dy = geo.expand_bbox(F.least(F.abs(F.col(cy)) + F.col(radius) / 100_000.0, F.lit(89.9)), 1.0)
+    px, py = dx * F.col(radius) * 1.01, dy * F.col(radius) * 1.01
+    pairs = points_in_boxes(points, circles, x, y, (F.col(cx) - px, F.col(cy) - py, F.col(cx) + px, F.col(cy) + py), size)
+    return pairs.where(geo.haversine(F.col(x), F.col(y), F.col(cx), F.col(cy)) <= F.col(radius))
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str, geometry: str, label: str, ordinal: str, size: float = CELL) -> DataFrame:
@@ -66,37 +147,73 @@ def _banded(y: Column, x: Column, metres: float, shift: Column) -> tuple[Column,
     return band, F.floor(x / wide)
 
 
-def within_radius(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, metres: float) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, metres: float, dense: int | None = None) -> DataFrame:
     """Pairs at most ``metres`` apart (haversine) with ``dist_m``; right rows go to the 3 x 3 cells around their own.
 
-    The date line is a border: pairs across it are not found."""
+    The left rows of a cell with more than ``dense`` of them are dealt into shares, and the right rows that meet the cell go
+    to each share.  The date line is a border: pairs across it are not found."""
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     r = right.withColumn("_by", F.explode(around))
     band, column = _banded(F.col(ry), F.col(rx), metres, F.col("_by"))
     r = r.withColumns({"_cy": band, "_c": column}).withColumn("_cx", F.explode(F.transform(around, lambda i: F.col("_c") + i))).drop("_by", "_c")
     band, column = _banded(F.col(ly), F.col(lx), metres, F.lit(0))
     left = left.withColumns({"_cx": column, "_cy": band})
-    pairs = left.join(r, ["_cx", "_cy"]).withColumn("dist_m", geo.haversine(F.col(lx), F.col(ly), F.col(rx), F.col(ry)))
-    return pairs.where(F.col("dist_m") <= metres).drop("_cx", "_cy")
+    by = ["_cx", "_cy"]
+    if dense is not None or not _fits_one_task(left):
+        n = left.groupBy("_cx", "_cy").agg(F.count("*").alias("_n"))
+        total = n.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
+        limit = F.greatest(F.lit(dense or DENSE), F.col("_all") / SPLITS)
+        hot = F.broadcast(n.crossJoin(F.broadcast(total)).where(F.col("_n") > limit).select("_cx", "_cy", F.ceil(F.col("_n") / limit).cast("int").alias("_shares")))
+        shares = F.coalesce("_shares", F.lit(1))
+        left = left.join(hot, by, "left").withColumn("_share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), shares)).drop("_shares")
+        r = r.join(hot, by, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).withColumn("_share", F.col("_share").cast("long")).drop("_shares")
+        by = [*by, "_share"]
+    pairs = left.join(r, by).withColumn("dist_m", geo.haversine(F.col(lx), F.col(ly), F.col(rx), F.col(ry)))
+    return pairs.where(F.col("dist_m") <= metres).drop(*by)
+
+
+def _around(right: DataFrame, rx: str, ry: str, metres: float, level: int) -> DataFrame:
+    """Right rows in the 3 x 3 cells around their own, at one level of the pyramid."""
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    band, column = _banded(F.col(ry), F.col(rx), metres, F.col("_by"))
+    r = right.withColumn("_by", F.explode(around)).withColumns({"_cy": band, "_c": column})
+    return r.withColumn("_cx", F.explode(F.transform(around, lambda i: F.col("_c") + i))).withColumn("_lv", F.lit(level)).drop("_by", "_c")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, lx: str, ly: str, rid: str, rx: str, ry: str, cap: float, first: float = 250.0, label: str = "nearest_id") -> DataFrame:
     """Exact nearest right row within ``cap`` metres (ties to the smallest id) and its distance; beyond it, null and ``cap``.
 
-    Rings grow fourfold: only rows that found nothing in a ring go to the next one, so most rows meet few candidates."""
+    A pyramid of occupied cells tells each left row the one radius that is sure to hold its neighbour: where a right row
+    stands in the 3 x 3 cells of width r around it, that row is less than 3 r away, and radius 4 r holds the nearest.  Cells
+    have that shape up to 80 degrees of latitude; rows beyond search the whole ``cap``."""
     left = left.select(key, lx, ly)
     right = right.select(F.col(rid).alias("_rid"), F.col(rx).alias("_rx"), F.col(ry).alias("_ry"))
-    found, open_, reach = None, left, first
-    while True:
-        reach = min(reach, cap)
-        near = within_radius(open_, right, lx, ly, "_rx", "_ry", reach).groupBy(key).agg(F.min(F.struct("dist_m", "_rid")).alias("_b"))
-        found = near if found is None else found.unionByName(near)
-        if reach >= cap:
-            break
-        open_ = open_.join(near.select(key), key, "left_anti")
-        reach *= 4
-    out = left.join(found, key, "left")
-    return out.select(key, F.col("_b._rid").alias(label), F.coalesce(F.col("_b.dist_m"), F.lit(float(cap))).alias("dist_m"))
+    steps = [first]
+    while steps[-1] * 4 < cap:
+        steps.append(steps[-1] * 4)
+    steps = [r for r in steps if r * 4 < cap]
+    reach = [r * 4 for r in steps] + [cap]
+    own = lambda df, radii: df.withColumn("_at", F.explode(F.array(*[F.struct(F.lit(i).alias("_lv"), *[c.alias(n) for c, n in zip(_banded(F.col(ly), F.col(lx), r, F.lit(0)), ("_cy", "_cx"))]) for i, r in enumerate(radii)])))
+    if steps:
+        occupied = None
+        for i, r in enumerate(steps):
+            cells = _around(right.select("_rx", "_ry"), "_rx", "_ry", r, i).select("_lv", "_cx", "_cy")
+            occupied = cells if occupied is None else occupied.unionByName(cells)
+        occupied = occupied.distinct().withColumn("_some", F.lit(True))
+        seen = own(left, steps).select(key, lx, ly, "_at._lv", "_at._cx", "_at._cy").join(occupied, ["_lv", "_cx", "_cy"], "left")
+        level = F.min(F.when(F.col("_some") & (F.abs(F.col(ly)) < 80), F.col("_lv")))
+        placed = seen.groupBy(key, lx, ly).agg(F.coalesce(level, F.lit(len(steps))).alias("_level"), (F.count("*") / len(steps)).cast("int").alias("_copies"))
+    else:
+        placed = left.groupBy(key, lx, ly).agg(F.lit(0).alias("_level"), F.count("*").cast("int").alias("_copies"))
+    placed = own(placed, reach).where(F.col("_at._lv") == F.col("_level")).select(key, lx, ly, "_copies", "_at._lv", "_at._cx", "_at._cy")
+    near = None
+    for i, r in enumerate(reach):
+        cells = _around(right, "_rx", "_ry", r, i)
+        near = cells if near is None else near.unionByName(cells)
+    pairs = placed.join(near, ["_lv", "_cx", "_cy"], "left").withColumn("_d", geo.haversine(F.col(lx), F.col(ly), F.col("_rx"), F.col("_ry")))
+    best = pairs.groupBy(key, lx, ly).agg(F.min(F.when(F.col("_d") <= cap, F.struct("_d", "_rid"))).alias("_b"), F.first("_copies").alias("_copies"))
+    best = best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))  # repeated rows are told once and stay
+    return best.select(key, F.col("_b._rid").alias(label), F.coalesce(F.col("_b._d"), F.lit(float(cap))).alias("dist_m"))
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, key: str, x: str, y: str, line: str, reach: float = 0.02, scale: float = 95_000.0, none: float = 99_999.0) -> DataFrame:
@@ -109,15 +226,26 @@ def nearest_line(points: DataFrame, lines: DataFrame, key: str, x: str, y: str,
     return points.select(key).join(best, key, "left").select(key, F.when(F.col("_d") <= reach, F.col("_d") * scale).otherwise(none).alias("dist_m"))
 
 
-def lines_touched(points: DataFrame, lines: DataFrame, key: str, x: str, y: str, line: str, name: str, reach: float) -> DataFrame:
-    """Number of distinct line names at most ``reach`` degrees away; unnamed lines do not count."""
-    named = lines.where(F.col(name).isNotNull()).select(line, name)
-    xmin, ymin, xmax, ymax = geo.bbox(F.col(line))
-    cells = with_cells(named, (xmin - reach, ymin - reach, xmax + reach, ymax + reach), max(reach * 4, 0.005))
-    pairs = point_cells(points.select(key, x, y), x, y, max(reach * 4, 0.005)).join(cells, ["_lv", "_cx", "_cy"])
-    hits = pairs.where(geo.path_distance(F.col(x), F.col(y), F.col(line)) <= reach)
-    n = hits.groupBy(key).agg(F.countDistinct(name).alias("n_lines"))
-    return points.select(key).join(n, key, "left").select(key, F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
+def boundary_lines(lots: DataFrame, lines: DataFrame, geometry: str, line: str, reach: float, size: float = 0.005) -> DataFrame:
+    """Pairs of lots and line segments (the line's other columns with them) at most ``reach`` from the lot's boundary.
+
+    Lines are taken segment by segment, so that a long one has small boxes; a line inside a lot and far from its boundary does
+    not count.  Lines of fewer than two points have no segment."""
+    s = lines.withColumn("_s", F.explode(geo.segments(F.col(line)))).drop(line)
+    ax, ay, bx, by = F.col("_s.a.x"), F.col("_s.a.y"), F.col("_s.b.x"), F.col("_s.b.y")
+    x, y, xx, yy = geo.bbox(F.col(geometry)[0])
+    pairs = box_pairs(lots, s, (x - reach, y - reach, xx + reach, yy + reach), (F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by)), size)
+    return pairs.where(geo.boundary_gap(F.col(geometry), F.col("_s")) <= reach).drop("_s")
+
+
+def lines_touched(lots: DataFrame, lines: DataFrame, key: str, geometry: str, line: str, name: str, reach: float) -> DataFrame:
+    """Number of distinct line names at most ``reach`` from a lot's boundary; unnamed lines do not count.
+
+    Coordinates and ``reach`` have one unit.  Every lot has a row; a null geometry touches nothing."""
+    named = lines.where(F.col(name).isNotNull()).select(line, F.col(name).alias("_name"))
+    hits = boundary_lines(lots.select(key, geometry), named, geometry, line, reach, max(reach * 4, 0.005)).select(key, "_name").distinct()
+    n = hits.groupBy(key).agg(F.count("*").alias("n_lines"))
+    return lots.select(key).join(n, key, "left").select(key, F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
 
 
 def quadrants(left: DataFrame, right: DataFrame, key: str, lx: str, ly: str, rid: str, rx: str, ry: str, value: str, metres: float) -> DataFrame:
@@ -133,27 +261,32 @@ def nearest_capped(pairs: DataFrame, key: str, distance: str, tie: str, n: int)
     return pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def _laddered(df: DataFrame, box: tuple[Column, Column, Column, Column], size: float, p: str, levels: int = 4) -> DataFrame:
-    """One row for each cell of the box, at the first grid level with at most MAX_CELLS cells and at every coarser one.
-
-    Keeps the box and that first level in columns that begin with ``p``."""
+def _laddered(df: DataFrame, box: tuple[Column, Column, Column, Column], size: float, p: str, first: bool, levels: int = 4) -> DataFrame:
+    """One row for each cell of the box, at the first grid level with at most MAX_CELLS cells and at the coarser ones, with the
+    side that it takes there: see ``box_pairs``.  Keeps the box in columns that begin with ``p``."""
     df = df.withColumns(dict(zip((f"{p}x", f"{p}y", f"{p}xx", f"{p}yy"), box)))
     x, y, xx, yy = (F.col(p + c) for c in ("x", "y", "xx", "yy"))
     n = [(F.floor(xx / w) - F.floor(x / w) + 1) * (F.floor(yy / w) - F.floor(y / w) + 1) for w in (size * LADDER**i for i in range(levels))]
-    df = df.withColumn(f"{p}lv", F.coalesce(*[F.when(c <= MAX_CELLS, F.lit(i)) for i, c in enumerate(n)], F.lit(levels - 1)))
-    df = df.withColumn("_lv", F.explode(F.sequence(f"{p}lv", F.lit(levels - 1)))).withColumn("_w", F.lit(size) * F.pow(F.lit(float(LADDER)), F.col("_lv")))
+    own = F.coalesce(*[F.when(c <= MAX_CELLS, F.lit(i)) for i, c in enumerate(n)], F.lit(levels - 1))
+    at = lambda lv, as_host: F.struct(lv.alias("_lv"), (F.lit(as_host) if first else F.lit(not as_host)).alias("_side"))
+    coarser = F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: i >= own if not first else i > own)
+    df = df.where(x.isNotNull() & y.isNotNull()).withColumn("_at", F.explode(F.concat(F.array(at(own, True)), F.transform(coarser, lambda i: at(i, False)))))
+    df = df.withColumns({"_lv": F.col("_at._lv"), "_side": F.col("_at._side")}).withColumn("_w", F.lit(size) * F.pow(F.lit(float(LADDER)), F.col("_lv"))).drop("_at")
     df = df.withColumn("_cx", F.explode(F.sequence(F.floor(x / F.col("_w")), F.floor(xx / F.col("_w")))))
     return df.withColumn("_cy", F.explode(F.sequence(F.floor(y / F.col("_w")), F.floor(yy / F.col("_w"))))).drop("_w")
 
 
 def box_pairs(a: DataFrame, b: DataFrame, a_box: tuple[Column, ...], b_box: tuple[Column, ...], size: float) -> DataFrame:
     """Pairs of rows whose boxes meet, each once: at the coarser of their two grid levels, in the cell of the boxes' common
-    corner.  A large geometry has few cells of a coarse grid, where it meets small ones too."""
-    pairs = _laddered(a, a_box, size, "_a").join(_laddered(b, b_box, size, "_b"), ["_lv", "_cx", "_cy"])
+    corner.  A large geometry has few cells of a coarse grid, where it meets small ones too.  On each level a row is host
+    (its own level) or guest (coarser ones); hosts of a meet guests of b and hosts of b guests of a, never guests guests, so
+    that small geometries do not meet in large cells."""
+    keys = ["_lv", "_side", "_cx", "_cy"]
+    pairs = _laddered(a, a_box, size, "_a", True).join(_laddered(b, b_box, size, "_b", False), keys)
     w = F.lit(size) * F.pow(F.lit(float(LADDER)), F.col("_lv"))
     meet = (F.col("_ax") <= F.col("_bxx")) & (F.col("_bx") <= F.col("_axx")) & (F.col("_ay") <= F.col("_byy")) & (F.col("_by") <= F.col("_ayy"))
     once = (F.floor(F.greatest("_ax", "_bx") / w) == F.col("_cx")) & (F.floor(F.greatest("_ay", "_by") / w) == F.col("_cy"))
-    return pairs.where((F.col("_lv") == F.greatest("_alv", "_blv")) & meet & once).drop("_lv", "_cx", "_cy", *[f"_{p}{c}" for p in "ab" for c in ("x", "y", "xx", "yy", "lv")])
+    return pairs.where(meet & once).drop(*keys, *[f"_{p}{c}" for p in "ab" for c in ("x", "y", "xx", "yy")])
 
 
 def polygon_pairs(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float = CELL, pad: float = 0.0) -> DataFrame:
@@ -194,3 +327,111 @@ def clipped_length(lines: DataFrame, areas: DataFrame, parts: str, area: str, sh
 def overlap_pairs(a: DataFrame, b: DataFrame, a_geom: str, b_geom: str, size: float = CELL) -> DataFrame:
     """Polygon pairs with the area of their intersection (convex second polygon) as ``overlap``."""
     return polygon_pairs(a, b, a_geom, b_geom, size).withColumn("overlap", geo.clip_area(F.col(a_geom), F.col(b_geom))).where("overlap > 0")
+
+
+def covered_area(pairs: DataFrame, key: str, a_geom: str, b_geom: str, size: float = CELL) -> DataFrame:
+    """(key, covered): area of each polygon a inside the union of the polygons b that it is paired with; 0 where they miss it.
+
+    A polygon is taken cell by cell of a grid of width ``size``, so that one with very many others is many groups; areas of
+    disjoint cells add up.  ``key`` tells the polygons a apart."""
+    x, y, xx, yy = geo.bbox(F.col(a_geom)[0])
+    bx, by, bxx, byy = geo.bbox(F.col(b_geom)[0])
+    along = lambda low, high: F.sequence(F.floor(low / size), F.floor(high / size))
+    met = pairs.where((x <= bxx) & (bx <= xx) & (y <= byy) & (by <= yy))
+    cells = met.withColumn("_cx", F.explode(along(F.greatest(x, bx), F.least(xx, bxx)))).withColumn("_cy", F.explode(along(F.greatest(y, by), F.least(yy, byy))))
+    groups = cells.groupBy(key, "_cx", "_cy").agg(F.first(a_geom).alias("_a"), F.collect_set(b_geom).alias("_bs"))
+    c = [F.col(n) * size for n in ("_cx", "_cy")]
+    parts = groups.withColumn("_area", geo.covered_areas(F.col("_a"), F.col("_bs"), c[0], c[1], c[0] + size, c[1] + size))
+    return parts.groupBy(key).agg(F.sum("_area.inside").alias("covered"))
+
+
+def polygon_area(polygon: Column) -> Column:
+    """Area of the outer ring without the holes, in square units of the coordinates."""
+    return 2 * F.abs(geo.signed_area(polygon[0])) - F.aggregate(polygon, F.lit(0.0), lambda t, r: t + F.abs(geo.signed_area(r)))
+
+
+def union_coverage(a: DataFrame, b: DataFrame, key: str, a_geom: str, b_geom: str, size: float = CELL) -> DataFrame:
+    """(key, covered, bare): area of each polygon of a inside the union of the polygons of b, and outside it.
+
+    Overlapping polygons of b count once; see ``covered_area``.  ``key`` is unique; holes count as outside."""
+    met = polygon_pairs(a.select(key, a_geom), b.select(F.col(b_geom).alias("_b")), a_geom, "_b", size)
+    out = a.select(key, polygon_area(F.col(a_geom)).alias("_whole")).join(covered_area(met, key, a_geom, "_b", size), key, "left")
+    inside = F.coalesce("covered", F.lit(0.0))
+    return out.select(key, inside.alias("covered"), F.greatest(F.col("_whole") - inside, F.lit(0.0)).alias("bare"))
+
+
+def shadow_pieces(footprint: Column, dx: Column, dy: Column, swept: bool = True) -> Column:
+    """Polygons whose union is the shadow of a footprint: itself, its copy at (dx, dy) and, if swept, what each edge passes over."""
+    moved = F.transform(footprint, lambda r: F.transform(r, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
+    if not swept:
+        return F.array(footprint, moved)
+    at = lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))
+    passed = F.transform(F.flatten(F.transform(footprint, geo._edges)), lambda e: F.array(F.array(e["a"], e["b"], at(e["b"]), at(e["a"]))))
+    return F.concat(F.array(footprint, moved), passed)
+
+
+def disc(x: Column, y: Column, radius: Column, corners: int = 64) -> Column:
+    """A polygon of so many corners on a circle."""
+    turn = 2 * math.pi / corners
+    return F.array(F.transform(F.sequence(F.lit(0), F.lit(corners - 1)), lambda i: F.struct((x + radius * F.cos(i * turn)).alias("x"), (y + radius * F.sin(i * turn)).alias("y"))))
+
+
+def attached_class(lots: DataFrame, buildings: DataFrame, key: str, shape: str, bid: str, footprint: str, least: float = 50.0, outside: tuple[float, float] = (0.15, 0.40), gap: float = 1.5, around: float = 10.0, size: float = 200.0) -> DataFrame:
+    """(key, kind, main, n_close): how the main building of each lot stands to its neighbours; coordinates in metres.
+
+    The main building is the largest of those with at least ``least`` square metres on the lot (ties to the smallest id);
+    without one the lot is vacant.  A main building of which more than ``outside`` lies off the lot spans two or more lots: semi
+    or row.  Otherwise foreign buildings of at least ``least`` within ``gap`` of it are counted, at most ``around`` from the lot and
+    not on it by more than a twentieth of their area: none detached, one semi, more row."""
+    b = buildings.select(F.col(bid).alias("_b"), F.col(footprint).alias("_f"), F.abs(geo.signed_area(F.col(footprint)[0])).alias("_area"))
+    on = overlap_pairs(lots.select(key, shape), b, shape, "_f", size)
+    mine = on.where(F.col("overlap") >= least)
+    main = mine.groupBy(key).agg(F.max(F.struct("_area", (-F.col("_b")).alias("_o"), "_f", "overlap", "_b")).alias("m"))
+    main = main.select(key, F.col("m._b").alias("_m"), F.col("m._f").alias("_mf"), F.col("m._area").alias("_marea"), (1 - F.col("m.overlap") / F.col("m._area")).alias("_out"))
+    inside = main.where(F.col("_out") <= outside[0]).join(lots.select(key, shape), key)
+    near = polygon_pairs(inside.select(key, shape, "_m", "_mf"), b.where(F.col("_area") >= least), "_mf", "_f", size, pad=gap).where("_b != _m")
+    near = near.where(geo.polygon_distance(F.col("_mf"), F.col("_f")) <= gap).where(geo.polygon_distance(F.col(shape), F.col("_f")) <= around)
+    on_lot = geo.clip_area(F.col(shape), F.col("_f"))
+    near = near.withColumn("_on", on_lot).where((F.col("_on") < least) & (F.col("_on") / F.col("_area") <= 0.05))
+    n = near.groupBy(key).agg(F.count("*").alias("n_close"))
+    out = lots.select(key).join(main, key, "left").join(n, key, "left")
+    close = F.coalesce("n_close", F.lit(0)).cast("long")
+    kind = (
+        F.when(F.col("_m").isNull(), "vacant").when(F.col("_out") > outside[1], "row").when(F.col("_out") > outside[0], "semi")
+        .when(close == 0, "detached").when(close == 1, "semi").otherwise("row")
+    )
+    return out.select(key, kind.alias("kind"), F.col("_m").alias("main"), close.alias("n_close"))
+
+
+def exclusion_shapes(polygons: DataFrame, nodes: DataFrame, pid: str, geometry: str, tagged: Column, nid: str, x: str, y: str, entrance: Column, keep: float = 250.0, buffer: float = 100.0, entrance_buffer: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """(polygons kept, circles): a polygon stays if it is tagged or its centroid is at most ``keep`` metres from a node; nodes
+    that no kept polygon contains become circles of ``buffer`` metres, entrances always circles of ``entrance_buffer``."""
+    p = polygons.withColumns({"_tag": F.coalesce(tagged, F.lit(False)), "_p": geo.centroid(F.col(geometry)[0])})
+    stations, entrances = nodes.where(~F.coalesce(entrance, F.lit(False))), nodes.where(F.coalesce(entrance, F.lit(False)))
+    at = stations.select(F.col(x).alias("_nx"), F.col(y).alias("_ny"))
+    near = within_radius(p.select(pid, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y")), at, "_x", "_y", "_nx", "_ny", keep).select(pid).distinct()
+    kept = p.where("_tag").select(pid).unionByName(near).distinct()
+    kept = polygons.join(kept, pid, "left_semi")
+    covered = points_in_polygons(stations.select(nid, x, y), kept.select(geometry), x, y, geometry).select(nid).distinct()
+    circle = lambda df, r: df.select(nid, x, y, F.lit(float(r)).alias("radius"))
+    return kept, circle(stations.join(covered, nid, "left_anti"), buffer).unionByName(circle(entrances, entrance_buffer))
+
+
+def claimed_records(parcels: DataFrame, records: DataFrame, key: str, address: str, shape: str, rid: str, record_address: str, x: str, y: str, rank: str) -> tuple[DataFrame, DataFrame]:
+    """(key, via, rank, n_claims) of the parcels that claim a record, and the records that none claims.
+
+    Claims by address come first: a parcel takes all records of its address.  Records that no address claims go to the
+    parcel around their point, if it has no address match; of several the one with the smallest key, so that a record is
+    claimed in this way once.  A parcel's rank is the strictest (largest) of its claims.  Blank addresses never match."""
+    r = records.select(F.col(rid).alias("_r"), F.col(record_address).alias("_a"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(rank).alias("_rank"))
+    named = r.where("_a IS NOT NULL AND _a <> ''")
+    # the address side is folded first: parcels may share an address, records of one address are one row
+    folded = named.groupBy("_a").agg(F.max("_rank").alias("rank"), F.count("*").alias("n_claims"))
+    by_address = parcels.select(key, F.col(address).alias("_a")).join(folded, "_a").select(key, F.lit("address").alias("via"), "rank", "n_claims")
+    taken = named.join(parcels.select(F.col(address).alias("_a")).distinct(), "_a", "left_semi").select("_r")
+    free, open_ = r.join(taken, "_r", "left_anti"), parcels.join(by_address.select(key), key, "left_anti").select(key, shape)
+    inside = points_in_polygons(free.select("_r", "_x", "_y", "_rank"), open_, "_x", "_y", shape)
+    owner = inside.groupBy("_r", "_rank").agg(F.min(key).alias(key))
+    by_point = owner.groupBy(key).agg(F.lit("point").alias("via"), F.max("_rank").alias("rank"), F.count("*").alias("n_claims"))
+    left = free.join(owner.select("_r"), "_r", "left_anti").select(F.col("_r").alias(rid))
+    return by_address.unionByName(by_point), left

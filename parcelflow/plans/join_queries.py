@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import resolve
+from ..operators import matching, resolve
 from . import standins as s
 from .registry import query
 
@@ -13,7 +13,7 @@ E = F.expr
 
 # Two feeds that share normalised addresses: customers, and orders by the address of their customer.
 ADDR_SQL = f"upper(regexp_replace({s.ADDRESS}, '\\s+', ' ', 'g'))"
-FEED_CTE = f"WITH c AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS v, {s.ADDRESS} AS a FROM customer), o AS (SELECT o_orderkey AS ok, o_custkey % 1700 AS ck, o_orderdate::DATE AS d, o_totalprice AS p, o_orderstatus AS st, o_orderpriority AS pr FROM orders) "
+FEED_CTE = f"WITH c AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS v, {s.ADDRESS} AS a FROM customer), o AS (SELECT o_orderkey AS ok, o_custkey AS ck, o_orderdate::DATE AS d, o_totalprice AS p, o_orderstatus AS st, o_orderpriority AS pr FROM orders) "
 
 
 def cust(t):
@@ -21,7 +21,7 @@ def cust(t):
 
 
 def feed(t):
-    o = t.orders.select(F.col("o_orderkey").alias("ok"), (F.col("o_custkey") % 1700).alias("c_custkey"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
+    o = t.orders.select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
     seg = t.customer.select("c_custkey", "c_mktsegment")
     o = o.join(seg, "c_custkey", "left")
     return o.withColumn("addr_norm", keys.normalize_address(E(s.ADDRESS)))
@@ -117,13 +117,20 @@ def _(t):
     return resolve.verification_merge(c, places, web, bad, "k").select("k", "via", "site")
 
 
-@query("J32_fuzzy_candidate_match", """WITH p AS (SELECT p_partkey AS k, p_brand AS street, p_partkey % 100 AS num, list_distinct(string_split(upper(p_name), ' ')) AS w FROM part),
-x AS (SELECT a.k, b.k AS c, len(list_filter(a.w, lambda i: len(list_filter(b.w, lambda j: i = j OR (length(i) >= 4 AND contains(j, i)) OR (length(j) >= 4 AND contains(i, j)))) > 0))::DOUBLE / greatest(len(a.w), len(b.w)) AS s FROM p a JOIN p b ON a.street = b.street AND a.num = b.num AND a.k <> b.k)
-SELECT k, arg_min(c, [-s, c]) AS c FROM x WHERE s >= 0.25 GROUP BY k""")
+_PLACES = f"""WITH p AS (SELECT p_partkey AS k, p_brand AS street, p_size AS num, list_distinct(string_split(upper(p_name), ' ')) AS w, {s.lon('p_partkey')} AS x, {s.lat('p_partkey')} AS y FROM part),
+m AS (SELECT a.k, b.k AS c, a.street = b.street AND a.num = b.num AS same, 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) AS d, a.w AS aw, b.w AS bw
+    FROM p a JOIN p b ON a.k <> b.k AND ((a.street = b.street AND a.num = b.num) OR (abs(a.y - b.y) < 0.01 AND abs(a.x - b.x) < 0.02))),
+v AS (SELECT k, c, same, d, len(list_filter(aw, lambda i: len(list_filter(bw, lambda j: i = j OR (length(i) >= 4 AND contains(j, i)) OR (length(j) >= 4 AND contains(i, j)))) > 0))::DOUBLE / greatest(len(aw), len(bw)) AS s FROM m),
+one AS (SELECT k, arg_min(c, [-s, c]) AS c FROM v WHERE same AND s >= 0.25 GROUP BY k),
+two AS (SELECT k, arg_min(c, [-s, c]) AS c FROM v WHERE d <= 600 AND s >= 0.2 AND k NOT IN (SELECT k FROM one) GROUP BY k)
+SELECT k, c, 'address' AS via FROM one UNION ALL SELECT k, c, 'near' FROM two"""
+
+
+@query("J32_fuzzy_candidate_match", _PLACES)
 def _(t):
-    p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("street"), (F.col("p_partkey") % 100).alias("num"), keys.name_tokens(F.col("p_name")).alias("w"))
-    pairs = p.join(p.select(F.col("k").alias("c"), "street", "num", F.col("w").alias("cw")), ["street", "num"]).where("k != c")
-    return resolve.best_candidate(pairs, "k", "w", "cw", "c", 0.25).select("k", "c")
+    p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("street"), F.col("p_size").alias("num"), keys.name_tokens(F.col("p_name")).alias("w"), E(s.lon("p_partkey")).alias("x"), E(s.lat("p_partkey")).alias("y"))
+    found = matching.match_places(p, p.withColumnRenamed("k", "c"), "k", "w", "street", "num", "x", "y", "c", 600.0, other=True)
+    return found.select("k", "c", "via")
 
 
 @query("J33_name_alias_join", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 3 THEN n_regionkey END AS region FROM nation")

@@ -230,10 +230,13 @@ def _(t):
     return r.select("finding", "area", F.round("value", 4).alias("value"))
 
 
-@query("G12_shadow_fraction", "SELECT s_suppkey AS lot_id, CASE WHEN s_suppkey % 5 <> 0 THEN 1.0 WHEN s_suppkey % 10 = 5 THEN NULL ELSE 0.5 END::DOUBLE AS share, CASE WHEN s_suppkey % 10 = 5 THEN 'unavailable' ELSE 'measured' END AS quality FROM supplier")
+# Under a sun in the south a wall below the lot shades a strip, under one in the south-west a strip cut off by a slanting line.
+@query("G12_shadow_fraction", """WITH w AS (SELECT s_suppkey AS lot_id, CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 5 THEN 10 + s_suppkey % 7 END AS h FROM supplier),
+m AS (SELECT lot_id, h, least(greatest(h / tan(radians(40)) - 1, 0), 20) AS a, least(greatest(h / tan(radians(35)) * sqrt(0.5) - 1, 0), 20) AS b FROM w)
+SELECT lot_id, CASE WHEN lot_id % 10 = 5 THEN NULL WHEN h IS NULL THEN 1.0 ELSE round((1 - a / 20 + 1 - (20 * b - b * b / 2) / 400) / 2, 6) END::DOUBLE AS share, CASE WHEN lot_id % 10 = 5 THEN 'unavailable' ELSE 'measured' END AS quality FROM m""")
 def _(t):
-    # Lots of 20 m squares 1 km apart; every fifth has a wall of 20 m in the south, tall enough to shade half the lattice at the first of two suns.
+    # Lots of 20 m squares 1 km apart; every fifth has a wall in the south, of unknown height beside every second of those.
     sup = t.supplier.select(F.col("s_suppkey").alias("lot_id"), (F.col("s_suppkey") * 1000.0).alias("x0"))
     shapes = sup.select("lot_id", geo.box_polygon(F.col("x0"), F.lit(0.0), 20.0, 20.0).alias("lot"))
-    walls = sup.where("lot_id % 5 = 0").select(geo.box_polygon(F.col("x0") - 1, F.lit(-8.0), 22.0, 7.0).alias("wall"), F.when(F.col("lot_id") % 10 == 0, F.lit(20.0)).alias("h"))
-    return pipelines.unshaded_share(shapes, walls, "lot", "wall", "h", [(180.0, 40.0), (180.0, 89.0)])
+    walls = sup.where("lot_id % 5 = 0").select(geo.box_polygon(F.col("x0") - 1, F.lit(-8.0), 22.0, 7.0).alias("wall"), F.when(F.col("lot_id") % 10 == 0, 10.0 + F.col("lot_id") % 7).alias("h"))
+    return pipelines.unshaded_share(shapes, walls, "lot", "wall", "h", [(180.0, 40.0), (225.0, 35.0)]).withColumn("share", F.round("share", 6))

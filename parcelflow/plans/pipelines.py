@@ -226,30 +226,35 @@ def insight_rows(areas: DataFrame, metrics: dict[str, tuple[str, bool]], lead: D
     return out.unionByName(grand.select(F.lit("total").alias("finding"), "area", F.col("value").cast("double").alias("value")))
 
 
-def unshaded_share(lots: DataFrame, buildings: DataFrame, lot: str, building: str, height: str, suns: Sequence[tuple[float, float]], lattice: int = 4) -> DataFrame:
-    """(lot_id, share, quality): unshaded share of a lattice of points of the lot, meaned over sun positions.
-
-    Coordinates are metres.  A building shades the points of its footprint swept along the shadow direction, tested at steps of
-    a fifth of the shadow's length; the lattice makes the share exact to 1 / lattice^2.  Lots beside buildings without a
-    height have a null share and are 'unavailable'; lots without a building near are 1.0 and 'measured'."""
-    b = buildings.select(F.col(building), F.col(height))
-    near = spatial.polygon_pairs(lots.select("lot_id", lot), b, lot, building, size=100.0, pad=75.0)
-    xmin, ymin, xmax, ymax = geo.bbox(F.col(lot)[0])
-    steps = F.sequence(F.lit(0), F.lit(lattice - 1))
-    pts = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((xmin + (xmax - xmin) * (i + 0.5) / lattice).alias("x"), (ymin + (ymax - ymin) * (j + 0.5) / lattice).alias("y")))))
-    p = near.where(F.col(height).isNotNull()).withColumn("_p", F.explode(pts))
-    dark = []
-    for azimuth, elevation in suns:
-        reach = F.col(height) / math.tan(math.radians(elevation))
-        ux, uy = -math.sin(math.radians(azimuth)), -math.cos(math.radians(azimuth))  # the shadow points away from the sun
-        sweep = F.lit(False)
-        for k in range(6):
-            sweep = sweep | geo.point_in_polygon(F.col("_p.x") - reach * (ux * k / 5), F.col("_p.y") - reach * (uy * k / 5), F.col(building))
-        dark.append(sweep)
-    flags = p.groupBy("lot_id", "_p").agg(*[F.max(d.cast("int")).alias(f"d{i}") for i, d in enumerate(dark)])
-    mean = sum((1 - F.col(f"d{i}") for i in range(len(suns))), F.lit(0)) / len(suns)
-    share = flags.groupBy("lot_id").agg(F.avg(mean).alias("share"))
-    unknown = near.where(F.col(height).isNull()).select("lot_id").distinct().withColumn("_u", F.lit(True))
-    out = lots.select("lot_id").join(share, "lot_id", "left").join(unknown, "lot_id", "left")
-    lost = F.col("_u") & F.col("share").isNull()
-    return out.select("lot_id", F.when(lost, None).otherwise(F.coalesce("share", F.lit(1.0))).alias("share"), F.when(lost, "unavailable").when(F.col("_u"), "estimated").otherwise("measured").alias("quality"))
+def unshaded_share(lots: DataFrame, buildings: DataFrame, lot: str, building: str, height: str, suns: Sequence[tuple[float, float]], around: float = 75.0, most: int | None = None, swept: bool = True) -> DataFrame:
+    """(lot_id, share, quality): share of the lot's area outside all shadows, meaned over sun positions (azimuth, elevation).
+
+    Coordinates are metres.  Of the buildings ``around`` a lot's box (W12: the ``most`` nearest by centre, if given) those with a
+    height shade their footprint swept along the shadow (or, not swept, the footprint and its copy at the shadow's end); the
+    areas of the union are exact.  A footprint without area shades a disc and makes the share 'estimated'.  Lots beside
+    buildings of which none has a height have a null share and are 'unavailable'; lots without a building are 1.0 and 'measured'.
+    Footprints without a height or one above 0 shade nothing."""
+    ring = F.col("_f")[0]
+    middle = [F.aggregate(ring, F.lit(0.0), lambda t, p: t + p[c]) / F.size(ring) for c in "xy"]
+    b = buildings.select(F.col(building).alias("_f"), F.col(height).cast("double").alias("_h")).where(F.size(ring) > 0)
+    b = b.withColumns({"_mx": middle[0], "_my": middle[1], "_flat": F.abs(geo.signed_area(ring)) <= 0})
+    near = spatial.polygon_pairs(lots.select("lot_id", F.col(lot).alias("_lot")), b, "_lot", "_f", size=max(100.0, around), pad=around)
+    if most is not None:
+        c = geo.centroid(F.col("_lot")[0])
+        near = near.withColumn("_d", F.hypot(c["x"] - F.col("_mx"), c["y"] - F.col("_my"))).withColumn("_o", F.struct("_mx", "_my", "_h"))
+        near = spatial.nearest_capped(near, "lot_id", "_d", "_o", most)
+    tall = near.where("_h > 0")
+    quality = near.groupBy("lot_id").agg(F.max(F.col("_h").isNotNull()).alias("_known"), F.max(F.col("_flat") & F.col("_h").isNotNull()).alias("_disc"))
+    out = lots.select("lot_id", spatial.polygon_area(F.col(lot)).alias("_whole")).join(quality, "lot_id", "left")
+    for i, (azimuth, elevation) in enumerate(suns):
+        if elevation <= 0:
+            raise ValueError("the sun is not above the horizon")
+        reach = F.col("_h") / math.tan(math.radians(elevation))
+        dx, dy = reach * -math.sin(math.radians(azimuth)), reach * -math.cos(math.radians(azimuth))  # the shadow points away from the sun
+        pieces = F.when(F.col("_flat"), F.array(spatial.disc(F.col("_mx"), F.col("_my"), reach))).otherwise(spatial.shadow_pieces(F.col("_f"), dx, dy, swept))
+        dark = spatial.covered_area(tall.select("lot_id", "_lot", F.explode(pieces).alias("_b")), "lot_id", "_lot", "_b", 1000.0)
+        out = out.join(dark.withColumnRenamed("covered", f"_d{i}"), "lot_id", "left")
+    free = [F.least(F.greatest(1 - F.coalesce(f"_d{i}", F.lit(0.0)) / F.col("_whole"), F.lit(0.0)), F.lit(1.0)) for i in range(len(suns))]
+    mean = F.when(F.col("_whole") > 0, sum(free, F.lit(0.0)) / len(suns)).otherwise(1.0)
+    lost = F.col("_known").isNotNull() & ~F.col("_known")
+    return out.select("lot_id", F.when(lost, None).otherwise(mean).alias("share"), F.when(lost, "unavailable").when(F.col("_disc"), "estimated").otherwise("measured").alias("quality"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, keys
 from ..operators import spatial
 from . import standins as s
 from .registry import query
@@ -114,16 +114,42 @@ def _(t):
     return overlaps(t).where("overlap > 1e-12").groupBy("n").agg(F.round(F.least(F.greatest(F.sum("overlap") / (0.07 * 0.05), F.lit(0.0)), F.lit(1.0)), 4).alias("coverage"))
 
 
-@query("J13_line_touch_distinct", CTE + "SELECT k, count(DISTINCT s % 12) FILTER (d <= 0.004 AND s % 5 <> 0) >= 2 AS corner FROM gap GROUP BY k")
+LOT_W, LOT_H = 0.002, 0.0015
+
+
+def lots(t, w=LOT_W, h=LOT_H):
+    """A lot for every customer, its lower left corner at the customer's point."""
+    return points(t).select("k", geo.box_polygon(F.col("x"), F.col("y"), w, h).alias("lot"))
+
+
+def _gap_sql(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    u = f"least(greatest((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / (pow({bx} - {ax}, 2) + pow({by} - {ay}, 2)), 0), 1)"
+    return f"sqrt(pow({px} - ({ax} + {u} * ({bx} - {ax})), 2) + pow({py} - ({ay} + {u} * ({by} - {ay})), 2))"
+
+
+def _side_sql(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> str:
+    return f"sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+
+
+# Distance of every lot's boundary (four sides) from every segment.
+BOUNDARY = CTE.rstrip() + f""", side AS (SELECT k, x AS px, y AS py, x + {LOT_W}::DOUBLE AS qx, y AS qy FROM pt UNION ALL SELECT k, x + {LOT_W}::DOUBLE, y, x + {LOT_W}::DOUBLE, y + {LOT_H}::DOUBLE FROM pt
+    UNION ALL SELECT k, x + {LOT_W}::DOUBLE, y + {LOT_H}::DOUBLE, x, y + {LOT_H}::DOUBLE FROM pt UNION ALL SELECT k, x, y + {LOT_H}::DOUBLE, x, y FROM pt),
+edge_gap AS (SELECT k, s, min(CASE WHEN {_side_sql('px', 'py', 'qx', 'qy', 'ax', 'ay')} * {_side_sql('px', 'py', 'qx', 'qy', 'ex', 'ey')} < 0
+        AND {_side_sql('ax', 'ay', 'ex', 'ey', 'px', 'py')} * {_side_sql('ax', 'ay', 'ex', 'ey', 'qx', 'qy')} < 0 THEN 0
+    ELSE least({_gap_sql('px', 'py', 'ax', 'ay', 'ex', 'ey')}, {_gap_sql('qx', 'qy', 'ax', 'ay', 'ex', 'ey')}, {_gap_sql('ax', 'ay', 'px', 'py', 'qx', 'qy')}, {_gap_sql('ex', 'ey', 'px', 'py', 'qx', 'qy')}) END) AS d FROM side, seg GROUP BY k, s)
+"""
+
+
+@query("J13_line_touch_distinct", BOUNDARY + "SELECT k, count(DISTINCT s % 12) FILTER (d <= 0.003 AND s % 5 <> 0) >= 2 AS corner FROM edge_gap GROUP BY k")
 def _(t):
     named = segments(t).withColumn("name", F.when(F.col("s") % 5 != 0, F.col("s") % 12))
-    return spatial.lines_touched(points(t), named, "k", "x", "y", "line", "name", 0.004).select("k", (F.col("n_lines") >= 2).alias("corner"))
+    return spatial.lines_touched(lots(t), named, "k", "lot", "line", "name", 0.003).select("k", (F.col("n_lines") >= 2).alias("corner"))
 
 
-@query("J14_line_touch_flagged", CTE + "SELECT k, count(*) FILTER (d <= 0.003 AND s % 4 = 0) > 0 AS lane FROM gap GROUP BY k")
+@query("J14_line_touch_flagged", BOUNDARY + "SELECT k, count(*) FILTER (d <= 0.002 AND s % 4 = 0) > 0 AS lane FROM edge_gap GROUP BY k")
 def _(t):
     lanes = segments(t).where("s % 4 = 0").withColumn("name", F.lit("lane"))
-    return spatial.lines_touched(points(t), lanes, "k", "x", "y", "line", "name", 0.003).select("k", (F.col("n_lines") > 0).alias("lane"))
+    return spatial.lines_touched(lots(t), lanes, "k", "lot", "line", "name", 0.002).select("k", (F.col("n_lines") > 0).alias("lane"))
 
 
 @query("J15_nearest_point", CTE + "SELECT k, arg_min(s, [d, s]) FILTER (d <= 5000) AS stop, round(least(min(d), 5000), 3) AS metres FROM near GROUP BY k")
@@ -170,19 +196,104 @@ def _(t):
     return points(t).select("k").join(near, "k", "left_anti")
 
 
-@query("J39_near_named_lines", CTE + "SELECT DISTINCT k FROM gap WHERE d <= 0.0025 AND s % 6 = 0")
+@query("J39_near_named_lines", BOUNDARY + "SELECT DISTINCT k FROM edge_gap WHERE d <= 0.0015 AND s % 6 = 0")
 def _(t):
     named = segments(t).where("s % 6 = 0").withColumn("name", F.lit("listed"))
-    return spatial.lines_touched(points(t), named, "k", "x", "y", "line", "name", 0.0025).where("n_lines > 0").select("k")
+    return spatial.lines_touched(lots(t), named, "k", "lot", "line", "name", 0.0015).where("n_lines > 0").select("k")
+
+
+# Lots of 20 x 30 m side by side, in metres; a main building on most of them, a shed on every fourth.
+METRE_LOTS = """WITH lot AS (SELECT c_custkey AS k, (c_custkey % 40) * 20.0::DOUBLE AS x, (c_custkey // 40) * 30.0::DOUBLE AS y FROM customer),
+b AS (SELECT 2 * k AS id, x + (k * 3) % 9 - 0.75 AS bx, y + 5 + k % 7 AS b_y, (8 + (k * 7) % 12)::DOUBLE AS w, (6 + (k * 5) % 9)::DOUBLE AS h FROM lot WHERE k % 11 <> 0
+    UNION ALL SELECT 2 * k + 1, x + 2, y + 22, 5.0, 5.0 FROM lot WHERE k % 4 = 0),
+hit AS (SELECT k, id, w * h AS area, bx, b_y, w, h, greatest(least(x + 20, bx + w) - greatest(x, bx), 0) * greatest(least(y + 30, b_y + h) - greatest(y, b_y), 0) AS over FROM lot JOIN b ON abs(bx - x) < 60 AND abs(b_y - y) < 80),
+main AS (SELECT * FROM hit WHERE over >= 50 QUALIFY row_number() OVER (PARTITION BY k ORDER BY area DESC, id) = 1),
+close AS (SELECT m.k, count(*) AS c FROM main m JOIN lot USING (k) JOIN hit f ON f.k = m.k AND f.id <> m.id WHERE f.area >= 50 AND f.over < 50 AND f.over / f.area <= 0.05
+    AND sqrt(pow(greatest(f.bx - m.bx - m.w, m.bx - f.bx - f.w, 0), 2) + pow(greatest(f.b_y - m.b_y - m.h, m.b_y - f.b_y - f.h, 0), 2)) <= 1.5
+    AND sqrt(pow(greatest(f.bx - x - 20, x - f.bx - f.w, 0), 2) + pow(greatest(f.b_y - y - 30, y - f.b_y - f.h, 0), 2)) <= 10 GROUP BY m.k)
+"""
+
+
+def metre_lots(t):
+    k = F.col("c_custkey")
+    lot = t.customer.select(k.alias("k"), ((k % 40) * F.lit(20.0)).alias("x"), (F.floor(k / 40) * F.lit(30.0)).alias("y"))
+    k, x, y = F.col("k"), F.col("x"), F.col("y")
+    main = lot.where("k % 11 <> 0").select((k * 2).alias("id"), (x + (k * 3) % 9 - 0.75).alias("bx"), (y + 5 + k % 7).alias("b_y"), (8 + (k * 7) % 12).cast("double").alias("w"), (6 + (k * 5) % 9).cast("double").alias("h"))
+    shed = lot.where("k % 4 = 0").select((k * 2 + 1).alias("id"), (x + 2).alias("bx"), (y + 22).alias("b_y"), F.lit(5.0).alias("w"), F.lit(5.0).alias("h"))
+    ring = geo.points([(F.col("bx"), F.col("b_y")), (F.col("bx") + F.col("w"), F.col("b_y")), (F.col("bx") + F.col("w"), F.col("b_y") + F.col("h")), (F.col("bx"), F.col("b_y") + F.col("h"))])
+    return lot.select("k", geo.box_polygon(x, y, 20.0, 30.0).alias("lot")), main.unionByName(shed).select("id", F.array(ring).alias("footprint"))
 
 
-@query("J23_attached_neighbour_class", CTE + ", lot AS (SELECT s, sx, sy FROM sp), o AS (SELECT a.s, count(*) FILTER (greatest(b.sx - a.sx - 0.01::DOUBLE, a.sx - b.sx - 0.01::DOUBLE, 0) + greatest(b.sy - a.sy - 0.01::DOUBLE, a.sy - b.sy - 0.01::DOUBLE, 0) = 0) AS c FROM lot a LEFT JOIN lot b ON a.s <> b.s GROUP BY a.s) SELECT s, CASE WHEN c = 0 THEN 'detached' WHEN c = 1 THEN 'semi' ELSE 'row' END AS kind FROM o")
+@query("J23_attached_neighbour_class", METRE_LOTS + "SELECT lot.k, CASE WHEN m.k IS NULL THEN 'vacant' WHEN 1 - m.over / m.area > 0.4 THEN 'row' WHEN 1 - m.over / m.area > 0.15 THEN 'semi' WHEN c IS NULL THEN 'detached' WHEN c = 1 THEN 'semi' ELSE 'row' END AS kind FROM lot LEFT JOIN main m USING (k) LEFT JOIN close USING (k)")
 def _(t):
-    a = stops(t).select("s", geo.box_polygon(F.col("sx"), F.col("sy"), 0.01, 0.01).alias("lot"))
-    b = a.select(F.col("s").alias("o"), F.col("lot").alias("other"))
-    touch = spatial.polygon_pairs(a, b, "lot", "other", pad=0.0001).where("s != o").where(geo.polygon_distance(F.col("lot"), F.col("other")) <= 0.0)
-    n = touch.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    return a.join(n, "s", "left").select("s", F.when(F.coalesce("c", F.lit(0)) == 0, "detached").when(F.col("c") == 1, "semi").otherwise("row").alias("kind"))
+    lot, b = metre_lots(t)
+    return spatial.attached_class(lot, b, "k", "lot", "id", "footprint").select("k", "kind")
+
+
+# Squares at the suppliers, cut to each nation's box; a cell between neighbouring edges is covered whole or not at all.
+_UNION = """r AS (SELECT n, greatest(sx, x0) AS a, least(sx + 0.02::DOUBLE, x0 + 0.07::DOUBLE) AS b, greatest(sy, y0) AS c, least(sy + 0.02::DOUBLE, y0 + 0.05::DOUBLE) AS d FROM box, sp WHERE sx + 0.02::DOUBLE > x0 AND sx < x0 + 0.07::DOUBLE AND sy + 0.02::DOUBLE > y0 AND sy < y0 + 0.05::DOUBLE),
+xs AS (SELECT n, v AS xa, lead(v) OVER (PARTITION BY n ORDER BY v) AS xb FROM (SELECT n, a AS v FROM r UNION SELECT n, b FROM r)),
+ys AS (SELECT n, v AS ya, lead(v) OVER (PARTITION BY n ORDER BY v) AS yb FROM (SELECT n, c AS v FROM r UNION SELECT n, d FROM r)),
+u AS (SELECT xs.n, sum((xb - xa) * (yb - ya)) AS area FROM xs JOIN ys ON xs.n = ys.n WHERE EXISTS (SELECT 1 FROM r WHERE r.n = xs.n AND a <= xa AND b >= xb AND c <= ya AND d >= yb) GROUP BY xs.n)"""
+
+
+@query("J12_union_coverage", CTE + ", " + _UNION + " SELECT n, round(coalesce(area, 0) / 0.0035::DOUBLE, 6) AS covered, round(1 - coalesce(area, 0) / 0.0035::DOUBLE, 6) AS bare FROM box LEFT JOIN u USING (n)")
+def _(t):
+    squares = stops(t).select(geo.box_polygon(F.col("sx"), F.col("sy"), 0.02, 0.02).alias("square"))
+    c = spatial.union_coverage(boxes(t), squares, "n", "shape", "square")
+    return c.select("n", F.round(F.col("covered") / F.lit(0.0035), 6).alias("covered"), F.round(F.col("bare") / F.lit(0.0035), 6).alias("bare"))
+
+
+_EXCLUDE = """poly AS (SELECT s, sx, sy, s % 7 = 0 AS tag FROM sp), node AS (SELECT k, x, y FROM pt WHERE k % 10 = 0),
+kept AS (SELECT s, sx, sy FROM poly WHERE tag OR EXISTS (SELECT 1 FROM node WHERE 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(y - sy - 0.0015::DOUBLE) / 2), 2) + cos(radians(y)) * cos(radians(sy + 0.0015::DOUBLE)) * pow(sin(radians(x - sx - 0.002::DOUBLE) / 2), 2))) <= 900)),
+circle AS (SELECT k AS id, x AS ox, y AS oy, 300 AS radius FROM node WHERE NOT EXISTS (SELECT 1 FROM kept WHERE x >= sx AND x < sx + 0.004::DOUBLE AND y >= sy AND y < sy + 0.003::DOUBLE)
+    UNION ALL SELECT k, x, y, 150 FROM pt WHERE k % 10 = 5)"""
+
+
+def exclusions(t):
+    polygons = stops(t).select("s", geo.box_polygon(F.col("sx"), F.col("sy"), 0.004, 0.003).alias("shape"))
+    nodes = points(t).where("k % 5 = 0")
+    return spatial.exclusion_shapes(polygons, nodes, "s", "shape", F.col("s") % 7 == 0, "k", "x", "y", F.col("k") % 10 == 5, 900.0, 300.0, 150.0)
+
+
+@query("J20_exclusion_shapes", CTE + ", " + _EXCLUDE + " SELECT 'polygon' AS shape, s AS id, NULL::BIGINT AS radius FROM kept UNION ALL SELECT 'circle', id, radius::BIGINT FROM circle")
+def _(t):
+    kept, circles = exclusions(t)
+    return kept.select(F.lit("polygon").alias("shape"), F.col("s").alias("id"), F.lit(None).cast("long").alias("radius")).unionByName(
+        circles.select(F.lit("circle").alias("shape"), F.col("k").alias("id"), F.col("radius").cast("long").alias("radius")))
+
+
+@query("J20_excluded_points", CTE + ", " + _EXCLUDE + """ SELECT DISTINCT k FROM pt WHERE EXISTS (SELECT 1 FROM kept WHERE x >= sx AND x < sx + 0.004::DOUBLE AND y >= sy AND y < sy + 0.003::DOUBLE)
+    OR EXISTS (SELECT 1 FROM circle WHERE 2 * 6371008.8::DOUBLE * asin(sqrt(pow(sin(radians(oy - y) / 2), 2) + cos(radians(y)) * cos(radians(oy)) * pow(sin(radians(ox - x) / 2), 2))) <= radius)""")
+def _(t):
+    kept, circles = exclusions(t)
+    p = points(t).select(F.col("k").alias("k"), "x", "y")
+    in_polygon = spatial.points_in_polygons(p, kept.select("shape"), "x", "y", "shape").select("k")
+    in_circle = spatial.points_in_circles(p, circles.select(F.col("x").alias("ox"), F.col("y").alias("oy"), "radius"), "x", "y", "ox", "oy", "radius").select("k")
+    return in_polygon.unionByName(in_circle).distinct()
+
+
+# Wide lots with the addresses of their customers; records at the suppliers, two thirds of them with the address of a customer.
+_CLAIMS = """lot AS (SELECT k, x, y FROM pt WHERE k % 4 <> 1), rec AS (SELECT s, sx - 0.003::DOUBLE AS sx, sy, s % 5 AS tier, CASE WHEN s % 3 <> 0 THEN s * 2 END AS a FROM sp),
+adr AS (SELECT k, max(tier) AS tier, count(*) AS n FROM lot JOIN rec ON a = k GROUP BY k), free AS (SELECT * FROM rec WHERE a IS NULL OR a NOT IN (SELECT k FROM lot)),
+own AS (SELECT s, tier, min(k) AS k FROM free JOIN lot ON sx >= x AND sx < x + 0.005::DOUBLE AND sy >= y AND sy < y + 0.004::DOUBLE WHERE k NOT IN (SELECT k FROM adr) GROUP BY s, tier)"""
+
+
+def claims(t):
+    c = t.customer.select(F.col("c_custkey").alias("k"), keys.normalize_address(E(s.ADDRESS)).alias("addr_norm"))
+    parcels = lots(t, 0.005, 0.004).join(c, "k").where("k % 4 <> 1")
+    records = stops(t).select("s", (F.col("sx") - F.lit(0.003)).alias("sx"), "sy", (F.col("s") % 5).alias("tier"), F.when(F.col("s") % 3 != 0, F.col("s") * 2).alias("of")).join(c.select(F.col("k").alias("of"), F.col("addr_norm").alias("a")), "of", "left")
+    return spatial.claimed_records(parcels, records, "k", "addr_norm", "lot", "s", "a", "sx", "sy", "tier")
+
+
+@query("J03_join_address_then_spatial", CTE + ", " + _CLAIMS + " SELECT k, 'address' AS via, tier AS rank, n AS n_claims FROM adr UNION ALL SELECT k, 'point', max(tier), count(*) FROM own GROUP BY k")
+def _(t):
+    return claims(t)[0]
+
+
+@query("J03_unclaimed_records", CTE + ", " + _CLAIMS + " SELECT s FROM free WHERE s NOT IN (SELECT s FROM own)")
+def _(t):
+    return claims(t)[1]
 
 
 @query("W12_candidate_cap", CTE + "SELECT k, s FROM (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY d, s) AS rn FROM near WHERE d <= 4000) WHERE rn <= 5")
@@ -202,10 +313,18 @@ def _(t):
     return boxes(t).select("n", *[F.round(c, 6).alias(a) for c, a in zip(geo.bbox(F.col("shape")[0]), ("xmin", "ymin", "xmax", "ymax"))])
 
 
-@query("G03_haversine_m", CTE + "SELECT k, round(d, 3) AS metres FROM near WHERE s = k % 100")
+VISITS = CTE.rstrip() + ", visit AS (SELECT DISTINCT o_custkey AS k, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey) "
+
+
+def visits(t):
+    """Every customer and supplier that share an order, with both points."""
+    pairs = t.orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k")).join(t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")), "o").select("k", "s").distinct()
+    return pairs.join(points(t), "k").join(stops(t), "s")
+
+
+@query("G03_haversine_m", VISITS + "SELECT k, s, round(d, 3) AS metres FROM near JOIN visit USING (k, s)")
 def _(t):
-    p = points(t).withColumn("s", F.col("k") % 100).join(stops(t), "s")
-    return p.select("k", F.round(geo.haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")), 3).alias("metres"))
+    return visits(t).select("k", "s", F.round(geo.haversine(F.col("x"), F.col("y"), F.col("sx"), F.col("sy")), 3).alias("metres"))
 
 
 @query("G04_web_mercator", CTE + "SELECT k, round(x, 8) AS lon, round(y, 8) AS lat FROM pt")
@@ -245,15 +364,14 @@ def _(t):
     return df.select("s", F.round("r.long", 6).alias("long"), F.round("r.short", 6).alias("short"), F.round("r.aspect", 6).alias("aspect"), F.round("r.orientation", 4).alias("orientation"))
 
 
-@query("G08_bearing_quadrant", CTE + f"SELECT k, CASE WHEN b >= 315 OR b < 45 THEN 'N' WHEN b < 135 THEN 'E' WHEN b < 225 THEN 'S' ELSE 'W' END AS quarter FROM (SELECT k, {_BEAR} AS b FROM near WHERE s = (k + 1) % 100)")
+@query("G08_bearing_quadrant", VISITS + f"SELECT k, s, CASE WHEN b >= 315 OR b < 45 THEN 'N' WHEN b < 135 THEN 'E' WHEN b < 225 THEN 'S' ELSE 'W' END AS quarter FROM (SELECT k, s, {_BEAR} AS b FROM near JOIN visit USING (k, s))")
 def _(t):
-    p = points(t).withColumn("s", (F.col("k") + 1) % 100).join(stops(t), "s")
-    return p.select("k", geo.quadrant(geo.bearing(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).alias("quarter"))
+    return visits(t).select("k", "s", geo.quadrant(geo.bearing(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))).alias("quarter"))
 
 
-@query("G09_point_segment_distance", CTE + "SELECT k, s, round(d, 9) AS d FROM gap WHERE s = (k % 50) * 2")
+@query("G09_point_segment_distance", VISITS + "SELECT k, s, round(d, 9) AS d FROM gap JOIN (SELECT DISTINCT k, s - s % 2 AS s FROM visit) USING (k, s)")
 def _(t):
-    p = points(t).withColumn("s", (F.col("k") % 50) * 2).join(segments(t), "s")
+    p = visits(t).select("k", "x", "y", (F.col("s") - F.col("s") % 2).alias("s")).distinct().join(segments(t), "s")
     return p.select("k", "s", F.round(geo.path_distance(F.col("x"), F.col("y"), F.col("line")), 9).alias("d"))
 
 
@@ -274,10 +392,11 @@ def _(t):
     return spatial.with_cells(b, geo.bbox(F.col("shape")[0]), 0.02).groupBy("n").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("G14_polygon_distance", CTE + "SELECT n, s, round(sqrt(pow(greatest(sx - x0 - 0.07::DOUBLE, x0 - sx - 0.02::DOUBLE, 0), 2) + pow(greatest(sy - y0 - 0.05::DOUBLE, y0 - sy - 0.02::DOUBLE, 0), 2)), 9) AS d FROM box, sp WHERE s = n * 3")
+@query("G14_polygon_distance", CTE + "SELECT n, s, round(sqrt(pow(greatest(sx - x0 - 0.07::DOUBLE, x0 - sx - 0.02::DOUBLE, 0), 2) + pow(greatest(sy - y0 - 0.05::DOUBLE, y0 - sy - 0.02::DOUBLE, 0), 2)), 9) AS d FROM box JOIN supplier ON s_nationkey = n JOIN sp ON s = s_suppkey")
 def _(t):
-    lots = stops(t).select((F.col("s") / 3).alias("n"), "s", geo.box_polygon(F.col("sx"), F.col("sy"), 0.02, 0.02).alias("lot")).where("s % 3 = 0")
-    return boxes(t).join(lots, "n").select("n", "s", F.round(geo.polygon_distance(F.col("shape"), F.col("lot")), 9).alias("d"))
+    own = t.supplier.select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))
+    squares = stops(t).select("s", geo.box_polygon(F.col("sx"), F.col("sy"), 0.02, 0.02).alias("lot")).join(own, "s")
+    return boxes(t).join(squares, "n").select("n", "s", F.round(geo.polygon_distance(F.col("shape"), F.col("lot")), 9).alias("d"))
 
 
 @query("G15_area_polygon_set", CTE + "SELECT n % 5 AS area, count(DISTINCT k) AS points FROM (SELECT k, n FROM pip UNION SELECT k, n FROM pt, box WHERE n % 5 = 2 AND sqrt(pow(greatest(x0 - x, 0, x - x0 - 0.07::DOUBLE), 2) + pow(greatest(y0 - y, 0, y - y0 - 0.05::DOUBLE), 2)) <= 0.001607) GROUP BY 1")

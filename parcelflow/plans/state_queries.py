@@ -3,23 +3,33 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
-from ..streaming import ledger, state
+from ..streaming import ledger, state, stateful
 from .registry import query
 from .source_queries import scratch
 
 NOW = dt.datetime(2024, 2, 15)
 
 
-def _run(t, df, mode: str):
-    """The final table of a stream that reads what is there and stops."""
-    name = f"sink_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{scratch(t)}").trigger(availableNow=True).start()
+def _rocksdb(t, run):
+    """Run with the state store that keyed processors need, and put the session's own back."""
+    name, provider = stateful.ROCKSDB
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, provider)
+    try:
+        return run()
+    finally:
+        t.spark.conf.set(name, before)
+
+
+def _last_table(t, df):
+    """The final table of a stream in complete mode that reads what is there and stops: every batch writes a folder of its own."""
+    out = scratch(t)
+    q = df.writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", scratch(t)).trigger(availableNow=True).start()
     q.awaitTermination(600)
-    return t.spark.table(name)
+    return t.spark.read.schema(df.schema).parquet(f"{out}/batch={q.lastProgress['batchId']}")
 
 
 def _events_stream(t):
@@ -40,7 +50,7 @@ def _(t):
 @query("X01_stream_ledger_rollup", _DAILY)
 def _(t):
     daily = ledger.daily_costs(_events_stream(t), "ts", "event_type", "value", late="60 days")
-    return _run(t, daily, "complete").select("day", "sku", F.round("cost", 4).alias("cost"), "calls")
+    return _last_table(t, daily).select("day", "sku", F.round("cost", 4).alias("cost"), "calls")
 
 
 @query("X02_new_entities_batch", "SELECT user_id, min(ts::DATE) AS first_seen FROM events GROUP BY 1")
@@ -50,9 +60,11 @@ def _(t):
     return ledger.merge_new(old, e.where("first_seen >= DATE '2024-01-10'"), "user_id", "first_seen")
 
 
-@query("X02_stream_new_entities", "SELECT DISTINCT user_id FROM events")
+@query("X02_stream_new_entities", "SELECT user_id, min(ts::DATE) AS first_seen FROM events GROUP BY 1")
 def _(t):
-    return _run(t, ledger.new_entities(_events_stream(t), "user_id", "ts", "90 days").select("user_id"), "append")
+    seen = stateful.first_seen(_events_stream(t), "user_id", "ts")
+    told = _rocksdb(t, lambda: stateful.run_to_end(seen, scratch(t), scratch(t)))
+    return told.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"))
 
 
 def _state(t):
@@ -107,6 +119,12 @@ def _(t):
     return ledger.over_quota(t.events, "user_id", "ts", 86_400, 4).select("event_id", "in_window")
 
 
+@query("X05_stream_quota_alerts", "SELECT event_id, in_window FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS in_window FROM events) WHERE in_window > 4")
+def _(t):
+    alerts = stateful.quota_alerts(_events_stream(t), "user_id", "event_id", "ts", 86_400, 4)
+    return _rocksdb(t, lambda: stateful.run_to_end(alerts, scratch(t), scratch(t)))
+
+
 @query("X05_month_to_date", "SELECT day, calls, total, CASE WHEN total >= 9000 THEN 'stop' WHEN total >= 5000 THEN 'warn' END AS level FROM (SELECT day, calls, sum(calls) OVER (PARTITION BY date_trunc('month', day) ORDER BY day)::BIGINT AS total FROM (SELECT ts::DATE AS day, count(*) AS calls FROM events GROUP BY 1))")
 def _(t):
     return ledger.month_to_date(t.events, "ts", {"warn": 5000, "stop": 9000})

@@ -15,11 +15,6 @@ def daily_costs(events: DataFrame, ts: str, sku: str, cost: str, late: str | Non
     return g.agg(F.sum(cost).alias("cost"), F.count(F.lit(1)).alias("calls")).select(F.col("w.start").cast("date").alias("day"), "sku", "cost", "calls")
 
 
-def new_entities(snapshots: DataFrame, key: str, ts: str, late: str = "30 days") -> DataFrame:
-    """X02, as a stream: rows whose key was not seen within the watermark."""
-    return snapshots.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
-
-
 def merge_new(state: DataFrame, batch: DataFrame, key: str, date: str) -> DataFrame:
     """X02, in batch: the state with the batch's unseen keys added and the earlier date kept for seen ones."""
     both = state.select(key, date).unionByName(batch.select(key, date))

@@ -49,30 +49,92 @@ def due_queue(state: DataFrame, now: dt.datetime) -> DataFrame:
     return state.select("key", F.when(by_verdict, "verdict").when(by_age, "validation").alias("why")).where("why IS NOT NULL")
 
 
-def write_state(df: DataFrame, path: str, version: int) -> str:
-    """A new version folder beside the ones before, so that a reader never sees half a state."""
-    out = f"{path}/version={version}"
-    df.write.mode("overwrite").parquet(out)
-    return out
+BUCKETS = 64
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The last version that was written to its end; no rows before the first one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+def _children(spark: SparkSession, path: str, prefix: str, done: bool = False) -> list[int]:
+    """Numbers of the folders ``prefix``N in a folder; ``done``: only those written to their end."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    folder = make(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-    done = [int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.schema(STATE).parquet(f"{path}/version={max(done)}") if done else spark.createDataFrame([], STATE)
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and (not done or fs.exists(make(f"{path}/{n}/_SUCCESS"))))
 
 
-def stream_upserts(verdicts: DataFrame, path: str, now: dt.datetime, checkpoint: str):
-    """X03, as a stream: every micro-batch reads the state of the batch before and writes the next version.
+def bucket_of(key: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    A batch that is run again after a failure starts from the same version and overwrites its own."""
+
+def _manifest(spark: SparkSession, path: str, batch: int) -> dict[int, int]:
+    """bucket -> batch that wrote it last, as of a batch; at most one entry a bucket."""
+    return {r.bucket: r.batch for r in spark.read.schema("bucket int, batch long").parquet(f"{path}/manifest/batch={batch}").collect()}
+
+
+def _load(spark: SparkSession, path: str, where: dict[int, int]) -> DataFrame:
+    """The rows of the given buckets, each from the batch that wrote it."""
+    files = [f"{path}/data/batch={batch}/bucket={bucket}" for bucket, batch in sorted(where.items())]
+    return spark.read.schema(STATE).parquet(*files) if files else spark.createDataFrame([], STATE)
+
+
+def last_batch(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The last batch whose manifest is complete (of those before a batch)."""
+    done = [b for b in _children(spark, f"{path}/manifest", "batch=", True) if before is None or b < before]
+    return done[-1] if done else None
+
+
+def upsert_batch(spark: SparkSession, verdicts: DataFrame, path: str, batch: int, now: dt.datetime, buckets: int = BUCKETS) -> list[int]:
+    """Apply one batch of verdicts to the state in ``path``; the buckets that were rewritten.
+
+    The state lies in hash buckets.  Only buckets with a key of the batch are read and written anew, beside the old ones; a
+    manifest (one row a bucket) then says which batch holds each bucket.  A batch that is run again starts from the manifest
+    before it and overwrites its own files, so replays change nothing; readers see a batch whole or not at all."""
+    old = last_batch(spark, path, before=batch)
+    where = _manifest(spark, path, old) if old is not None else {}
+    keyed = verdicts.where(F.col("key").isNotNull())
+    touched = sorted(r.b for r in keyed.select(bucket_of("key", buckets).alias("b")).distinct().collect())  # at most one row a bucket
+    state = _load(spark, path, {b: v for b, v in where.items() if b in set(touched)})
+    new = apply_verdicts(state, keyed, now).withColumn("bucket", bucket_of("key", buckets))
+    new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch}")
+    rows = list({**where, **{b: batch for b in touched}}.items())
+    spark.createDataFrame(rows, "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
+    return touched
+
+
+def read_state(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame:
+    """The state after the last complete batch (or after a given one); no rows before the first."""
+    batch = last_batch(spark, path) if batch is None else batch
+    return _load(spark, path, _manifest(spark, path, batch)) if batch is not None else spark.createDataFrame([], STATE)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[tuple[int, int]]:
+    """Delete buckets and manifests that none of the last ``keep`` batches needs; (batch, bucket) of what went."""
+    done = _children(spark, f"{path}/manifest", "batch=", True)
+    kept = done[-keep:] if keep else done
+    needed = {(v, b) for m in kept for b, v in _manifest(spark, path, m).items()}
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for batch in _children(spark, f"{path}/data", "batch="):
+        if done and batch > done[-1]:
+            continue  # being written
+        for bucket in _children(spark, f"{path}/data/batch={batch}", "bucket="):
+            if (batch, bucket) not in needed:
+                fs.delete(make(f"{path}/data/batch={batch}/bucket={bucket}"), True)
+                gone.append((batch, bucket))
+    for batch in done:
+        if batch not in kept:
+            fs.delete(make(f"{path}/manifest/batch={batch}"), True)
+    return gone
+
+
+def stream_upserts(verdicts: DataFrame, path: str, now: dt.datetime, checkpoint: str, buckets: int = BUCKETS):
+    """X03, as a stream: every micro-batch rewrites the buckets of its keys; see ``upsert_batch``."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.schema(STATE).parquet(f"{path}/version={batch_id - 1}") if batch_id else spark.createDataFrame([], STATE)
-        write_state(apply_verdicts(state, batch, now), path, batch_id)
+        batch.persist()
+        try:
+            upsert_batch(batch.sparkSession, batch, path, batch_id, now, buckets)
+        finally:
+            batch.unpersist()
 
     return verdicts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
