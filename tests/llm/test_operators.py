@@ -444,6 +444,21 @@ def test_lm_score_matches_a_plain_scorer_however_rows_are_dealt(spark, monkeypat
             assert (i, n) == (j, m) and score == pytest.approx(expected, rel=2e-4, abs=2e-3)
 
 
+def test_lm_sample_is_gathered_where_it_is_read(spark, monkeypatch):
+    """The tables of the fitting sample come from as many tasks as the input has partitions."""
+    seen = {}
+    true = lm_scoring.written
+
+    def keep(df, label):
+        seen[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return true(df, label)
+
+    monkeypatch.setattr(lm_scoring, "written", keep)
+    docs = docs_of(spark, [(i, f"some words of text {i % 9}") for i in range(60)]).repartition(6)
+    assert lm_scoring.lm_scores(docs, sample=10).count() == 60
+    assert "lm-sample" in seen and "Repartition 1," not in seen["lm-sample"] and "Coalesce" not in seen["lm-sample"]
+
+
 def test_lm_codes_are_a_distribution():
     code = lm_scoring.Code(np.array([5, 1, 1, 9, 3, 0]))
     assert sum(2.0 ** -int(n) for n in code.size) == pytest.approx(1.0)
