@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,11 +99,66 @@ def median_bracket(brackets: DataFrame, key: str, order: str, mid: str, count: s
     return brackets.withColumn("_s", run).where("_s >= 0.5").groupBy(key).agg(F.min_by(mid, order).alias("median_mid"))
 
 
-def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows, nulls, distinct values of every column, in one pass, one row for each column."""
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *[x for c in cols for x in (F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.countDistinct(c).alias(f"{c}__distinct"))])
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__nulls").alias("nulls"), F.col(f"{c}__distinct").alias("distinct")) for c in cols])
-    return one.select("rows", F.explode(each).alias("p")).select("p.column", "rows", "p.nulls", "p.distinct", F.when(F.col("p.distinct") <= 1, "constant").when(F.col("p.distinct") < 15, "few").otherwise("ok").alias("finding"))
+#: Distinct values below which a column is few-valued, and the share from which a boolean is near-constant.
+FEW, NEAR = 15, 0.995
+
+
+def profile(df: DataFrame, cols: Sequence[str], expected: Mapping[str, object] | None = None) -> DataFrame:
+    """(column, rows, nulls, distinct, finding, severity), one row for each column.
+
+    One scan takes nulls, least and largest value, true values of booleans and a mergeable sketch of the distinct values, so no
+    row is copied for any column.  Only columns whose sketch says that they have few values are then counted exactly, as small
+    sets; ``distinct`` is null for the others.  Findings: 'null' (HIGH), 'constant' (HIGH, MEDIUM beside nulls), 'near_constant'
+    (a boolean of which at least NEAR is one value: MEDIUM), 'few' (fewer than FEW values: MEDIUM), else none.  Null and
+    constant columns with the expected value (``expected``: column -> value) are LOW.  An empty table has no findings."""
+    kind = {f.name: f.dataType.typeName() for f in df.schema}
+    per = lambda c: [
+        F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.approx_count_distinct(c, 0.02).alias(f"{c}__about"), F.min(F.col(c).cast("string") if kind[c] == "boolean" else c).alias(f"{c}__least"),
+        F.max(F.col(c).cast("string") if kind[c] == "boolean" else c).alias(f"{c}__most"), (F.count_if(F.col(c)) if kind[c] == "boolean" else F.lit(None).cast("long")).alias(f"{c}__true"),
+    ]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[x for c in cols for x in per(c)]).first()
+    few = [c for c in cols if one[f"{c}__about"] <= 2 * FEW]
+    sizes = df.agg(*[F.size(F.collect_set(c)).alias(c) for c in few]).first() if few else {}
+    out = []
+    for c in cols:
+        n, nulls, distinct = one.rows, one[f"{c}__nulls"], sizes[c] if c in few else None
+        seen, true = n - nulls, one[f"{c}__true"]
+        finding = severity = None
+        if n and not seen:
+            finding, severity, value = "null", "HIGH", None
+        elif n and one[f"{c}__least"] == one[f"{c}__most"]:
+            finding, severity, value = "constant", "MEDIUM" if nulls else "HIGH", one[f"{c}__least"]
+        elif seen and true is not None and max(true, seen - true) >= NEAR * seen:
+            finding, severity = "near_constant", "MEDIUM"
+        elif seen and true is None and distinct is not None and distinct < FEW:
+            finding, severity = "few", "MEDIUM"
+        if finding in ("null", "constant") and expected and c in expected:
+            want = expected[c]
+            if want == value or (isinstance(want, bool) and str(want).lower() == value):
+                severity = "LOW"
+        out.append((c, n, nulls, distinct if distinct is not None and distinct < FEW else None, finding, severity))
+    return df.sparkSession.createDataFrame(out, "column string, rows long, nulls long, distinct long, finding string, severity string")
+
+
+def mixed_types(df: DataFrame, col: str) -> DataFrame:
+    """(kind, n) of a column of JSON texts by the type of their value: boolean, number, text, array, object; more than one
+    kind is a finding.  Nulls, JSON nulls and texts that are no JSON are left out."""
+    v = F.trim(F.col(col))
+    number = v.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    kind = (
+        F.when(v.isin("true", "false"), "boolean").when(number, "number").when(v.rlike(r'^"(?s:.*)"$'), "text").when(v.startswith("["), "array").when(v.startswith("{"), "object")
+    )
+    return df.select(kind.alias("kind")).where("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def category_ages(df: DataFrame, key: str, category: str, since: str, as_of: dt.date) -> DataFrame:
+    """Per key the rows, those at least 10 and 20 years old, and the counts of each category, of all and of those of 20 years.
+
+    Years are days / 365.25.  Two grouped steps; a key without old rows has an empty second map."""
+    years = F.datediff(F.lit(as_of), F.col(since).cast("date")) / 365.25
+    n = df.groupBy(key, category).agg(F.count("*").alias("_n"), F.count_if(years >= 10).alias("_n10"), F.count_if(years >= 20).alias("_n20"))
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct(category, c)))))
+    return n.groupBy(key).agg(F.sum("_n").alias("n"), F.sum("_n10").alias("n_10y"), F.sum("_n20").alias("n_20y"), entries("_n").alias("by_category"), entries("_n20").alias("by_category_20y"))
 
 
 def recall(truth: DataFrame, tiers: DataFrame, key: str, group: str) -> DataFrame:
@@ -117,6 +172,23 @@ def storeys(height: Column, floor_m: float = 3.0) -> Column:
     return F.bround(height / floor_m)
 
 
+#: Floor height in metres, dollars for a square metre of floor, kilograms of CO2 for one a year.
+FLOOR_M, VALUE_M2, CO2_M2 = 3.0, 4000.0, 25.0
+
+
+def envelope_measures(lots: DataFrame, key: str, ratio: float = 0.6, value_m2: float = VALUE_M2, co2_m2: float = CO2_M2, cost: str | None = None) -> DataFrame:
+    """Per area storeys, existing floor area and its ratio to the land, unused ratio and floor area, and the value and CO2 of
+    the unused area; ``cost``: a column to sum beside them.  lots: lot_m2, coverage, height_m."""
+    floors = F.greatest(storeys(F.col("height_m"), FLOOR_M), F.lit(1.0))
+    d = lots.withColumn("_gfa", F.col("lot_m2") * F.col("coverage") * floors)
+    d = d.withColumn("_unused", F.greatest(F.col("lot_m2") * ratio - F.col("_gfa"), F.lit(0.0)))
+    sums = {"storeys": storeys(F.col("height_m"), FLOOR_M), "existing_gfa": F.col("_gfa"), "unused_gfa": F.col("_unused"), "land": F.col("lot_m2"), "cost": F.col(cost) if cost else F.lit(0.0)}
+    g = d.groupBy(key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return g.select(
+        key, F.col("storeys").cast("long").alias("storeys"), "existing_gfa", F.try_divide("existing_gfa", "land").alias("existing_fsi"), "unused_gfa", F.try_divide("unused_gfa", "land").alias("unused_fsi"),
+        (F.col("unused_gfa") * value_m2).alias("value"), (F.col("unused_gfa") * co2_m2).alias("co2_kg"), "cost")
+
+
 def unused_envelope(lots: DataFrame, key: str, ratio: float = 0.6) -> DataFrame:
     """Unused floor area under a floor-area ratio, and storeys, of each area; lots: lot_m2, coverage, height_m."""
     allowed = F.col("lot_m2") * ratio

@@ -37,9 +37,31 @@ def shared_gate(excluded: Sequence[str] = ("LARGE",)) -> Column:
     return F.col("heritage").isNull() & ~F.col("regulated") & ~F.col("kind").isin(*excluded) & (f < 500) & ~((f > 0) & (f < 30)) & (F.col("number") > 0)
 
 
-def elite_gate(lot: float = 250, units: int = 4, reach: float = 500, height: float = 12) -> Column:
-    """P22."""
-    return (F.col("lot_m2") >= lot) & (F.col("units") >= units) & (F.col("transit_m") <= reach) & (F.col("height_m") < height)
+def apartment_like(height: Column, coverage: Column, units: Column, address_points: Column) -> Column:
+    """Tall on much ground with many more units than addresses."""
+    return (height >= 14) & (coverage >= 0.25) & (units >= 10) & (units - address_points >= 5)
+
+
+def trusted_structure(kind: Column, source: Column, address_points: Column, kinds: Sequence[str] = ("vacant", "detached"), sources: Sequence[str] = ("permit", "osm", "address_points")) -> Column:
+    """A structure type that may be elite and, unless vacant, comes from a trusted source; the classifier's 'detached' is
+    trusted where exactly one address point confirms it."""
+    confirmed = source.isin(*sources) | ((source == "classifier") & (kind == "detached") & (address_points == 1))
+    return F.coalesce(kind.isin(*kinds) & ((kind == "vacant") | F.coalesce(confirmed, F.lit(False))), F.lit(False))
+
+
+def elite_gate(lot: float = 250, units: int = 4, reach: float = 500, back_lot: float = 15, storeys: int = 4) -> Column:
+    """On lots with residential, abuts_lane, to_street_m, suspect, recent_permits, drift, address_points, units_approx,
+    structure_type and structure_source; missing flags and counts are no and 0."""
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    built = (F.col("structure_type") != "vacant") & (F.col("height_m") > 0)
+    too_high = built & (F.greatest(F.bround(F.col("height_m") / 3), F.lit(1.0)) >= storeys)
+    return (
+        (F.col("lot_m2") >= lot) & (F.col("units") >= units) & (F.col("transit_m") <= reach) & F.coalesce("residential", F.lit(False))
+        & ~(F.coalesce("abuts_lane", F.lit(False)) & (count("to_street_m") >= back_lot)) & no("suspect") & (count("recent_permits") < 1) & no("drift")
+        & ~apartment_like(count("height_m"), count("coverage"), count("units_approx"), count("address_points")) & ~F.coalesce(too_high, F.lit(False))
+        & trusted_structure(F.col("structure_type"), F.col("structure_source"), count("address_points"))
+    )
 
 
 def broader_gate(kinds: Sequence[str], lot: float = 200, units: int = 3, reach: float = 1500) -> Column:

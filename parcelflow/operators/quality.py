@@ -37,6 +37,31 @@ def violations(df: DataFrame, rules: dict[str, tuple[str, Column]]) -> DataFrame
     return one.select(F.explode(each).alias("f")).select("f.rule", "f.severity", "f.n")
 
 
+def observed(rules: dict[str, tuple[str, Column]], least: int = 0):
+    """Q01-Q07 on the write itself: (names of the metrics and their columns, check of the metrics that were observed).
+
+    The columns go to ``DataFrame.observe``, so that rows are counted and tested as they are written; the check raises where a
+    CRITICAL rule has a row or fewer than ``least`` rows were written, and returns (rule, severity, n) of the others."""
+    columns = {"_rows": F.count(F.lit(1)), **{name: F.count_if(test) for name, (_, test) in rules.items()}}
+
+    def check(found: dict[str, int]) -> list[tuple[str, str, int]]:
+        broken = [name for name, (severity, _) in rules.items() if severity == "CRITICAL" and found[name]]
+        if broken or found["_rows"] < least:
+            raise ContractError(f"{found['_rows']} rows, expected at least {least}; critical findings {broken}")
+        return [(name, severity, found[name]) for name, (severity, _) in rules.items()]
+
+    return columns, check
+
+
+def require_floor(counts: DataFrame, key: str, n: str, least: int, invariants: DataFrame | None = None) -> DataFrame:
+    """The counts, if every key has at least ``least`` and no row of ``invariants`` is there; else raises and names them."""
+    low = [(r[key], r[n]) for r in counts.where(F.coalesce(F.col(n), F.lit(0)) < least).select(key, n).limit(20).collect()]
+    bad = invariants.limit(1).count() if invariants is not None else 0
+    if low or bad:
+        raise ContractError(f"fewer than {least}: {low}" + ("; an invariant is broken" if bad else ""))
+    return counts
+
+
 def report(findings: DataFrame, fail_on: str | None = None) -> DataFrame:
     """Q08: findings with rows, by severity; raises if one has the severity to fail on."""
     rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(SEVERITIES)])

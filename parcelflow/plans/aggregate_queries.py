@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import mathx
 from ..operators import aggregates as agg
+from ..operators import quality
 from . import standins as s
 from .filter_queries import LOT_CTE, lots
 from .function_queries import RULES, _RULES_SQL
@@ -220,13 +223,40 @@ def _(t):
     return agg.unjoined(t.customer, t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-def _profile_sql(cols):
-    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*)::BIGINT AS rows, count(*) FILTER ({c} IS NULL)::BIGINT AS nulls, count(DISTINCT {c})::BIGINT AS distinct, CASE WHEN count(DISTINCT {c}) <= 1 THEN 'constant' WHEN count(DISTINCT {c}) < 15 THEN 'few' ELSE 'ok' END AS finding FROM lots" for c in cols)
+@query("A05_category_ages", """WITH g AS (SELECT c_nationkey AS area, o_orderpriority AS cat, count(*) AS c, count(*) FILTER (date_diff('day', o_orderdate::DATE, DATE '2020-06-01') / 365.25::DOUBLE >= 10)::BIGINT AS c10, count(*) FILTER (date_diff('day', o_orderdate::DATE, DATE '2020-06-01') / 365.25::DOUBLE >= 20)::BIGINT AS c20 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT area, sum(c)::BIGINT AS n, sum(c10)::BIGINT AS n_10y, sum(c20)::BIGINT AS n_20y, string_agg(cat || '=' || c, ',' ORDER BY cat) AS by_category, coalesce(string_agg(cat || '=' || c20, ',' ORDER BY cat) FILTER (c20 > 0), '') AS by_category_20y FROM g GROUP BY area""")
+def _(t):
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("area"), "o_orderpriority", "o_orderdate")
+    m = agg.category_ages(o, "area", "o_orderpriority", "o_orderdate", dt.date(2020, 6, 1))
+    return m.select("area", "n", "n_10y", "n_20y", agg.map_text("by_category").alias("by_category"), agg.map_text("by_category_20y").alias("by_category_20y"))
 
 
-@query("A36_column_profile", LOT_CTE + _profile_sql(["kind", "heritage", "regulated", "units", "value"]).replace("AS distinct,", 'AS "distinct",'))
+@query("A02_envelope_measures", LOT_CTE + """, d AS (SELECT nb, lot_m2, value, round_even(height_m / 3, 0) AS st, lot_m2 * coverage * greatest(round_even(height_m / 3, 0), 1) AS gfa FROM lots)
+SELECT nb, sum(st)::BIGINT AS storeys, round(sum(gfa), 4) AS existing_gfa, round(sum(gfa) / sum(lot_m2), 6) AS existing_fsi, round(sum(greatest(lot_m2 * 0.6::DOUBLE - gfa, 0)), 4) AS unused_gfa, round(sum(greatest(lot_m2 * 0.6::DOUBLE - gfa, 0)) / sum(lot_m2), 6) AS unused_fsi,
+round(sum(greatest(lot_m2 * 0.6::DOUBLE - gfa, 0)) * 4000, 0) AS value, round(sum(greatest(lot_m2 * 0.6::DOUBLE - gfa, 0)) * 25, 3) AS co2_kg, round(sum(value), 2) AS cost FROM d GROUP BY nb""")
 def _(t):
-    return agg.profile(lots(t), ["kind", "heritage", "regulated", "units", "value"])
+    m = agg.envelope_measures(lots(t), "nb", cost="value")
+    digits = {"existing_gfa": 4, "existing_fsi": 6, "unused_gfa": 4, "unused_fsi": 6, "value": 0, "co2_kg": 3, "cost": 2}
+    return m.select("nb", "storeys", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+def _profile_sql(cols, flags=()):
+    one = """SELECT '{c}' AS "column", count(*)::BIGINT AS rows, count(*) FILTER ({c} IS NULL)::BIGINT AS nulls, CASE WHEN count(DISTINCT {c}) < 15 THEN count(DISTINCT {c}) END AS "distinct", {f} AS finding FROM lots"""
+    near = "WHEN greatest(count(*) FILTER ({c}), count(*) FILTER (NOT {c})) >= 0.995 * count({c}) THEN 'near_constant'"
+    case = "CASE WHEN count({c}) = 0 THEN 'null' WHEN count(DISTINCT {c}) = 1 THEN 'constant' {r} END"
+    text = " UNION ALL ".join(one.format(c=c, f=case.format(c=c, r=near.format(c=c) if c in flags else f"WHEN count(DISTINCT {c}) < 15 THEN 'few'")) for c in cols)
+    return f"SELECT *, CASE finding WHEN 'null' THEN 'HIGH' WHEN 'constant' THEN CASE WHEN nulls > 0 THEN 'MEDIUM' ELSE 'HIGH' END WHEN 'near_constant' THEN 'MEDIUM' WHEN 'few' THEN 'MEDIUM' END AS severity FROM ({text})"
+
+
+# Beside the lots' own columns: one value, one value beside nulls, nothing, a flag that is nearly always set.
+_EXTRA = "(SELECT *, 'a' AS same, CASE WHEN lot_id % 2 = 0 THEN 7 END AS partly, NULL::INTEGER AS nothing, lot_id % 211 <> 0 AS usual FROM lots) lots"
+
+
+@query("A36_column_profile", LOT_CTE + _profile_sql(["kind", "heritage", "regulated", "units", "value", "same", "partly", "nothing", "usual"], ("regulated", "usual")).replace("FROM lots", f"FROM {_EXTRA}"))
+def _(t):
+    cols = ["kind", "heritage", "regulated", "units", "value", "same", "partly", "nothing", "usual"]
+    d = lots(t).withColumns({"same": F.lit("a"), "partly": F.when(F.col("lot_id") % 2 == 0, 7), "nothing": F.lit(None).cast("int"), "usual": F.col("lot_id") % 211 != 0})
+    return agg.profile(d, cols)
 
 
 @query("A37_concentration", "SELECT round(sum(n) FILTER (rn <= 5) * 100.0::DOUBLE / sum(n), 6) AS top5_share, count(*) AS groups, count(*) FILTER (n > 1)::BIGINT AS repeated FROM (SELECT p_name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_name) AS rn FROM part GROUP BY 1)")
@@ -260,6 +290,13 @@ def _(t):
     return agg.with_zero_rows(t.nation.select(F.col("n_nationkey").alias("area")), n, "area", ["n"]).withColumn("ok", F.col("n") >= 4)
 
 
+@query("A41_required_floor", "SELECT c_nationkey AS area, count(*) AS n FROM customer GROUP BY 1")
+def _(t):
+    n = t.customer.groupBy(F.col("c_nationkey").alias("area")).agg(F.count("*").alias("n"))
+    broken = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left_anti")
+    return quality.require_floor(n, "area", "n", 1, broken)
+
+
 @query("A42_per_100_normalisation", "SELECT c_nationkey AS area, round_even(count(*) FILTER (c_acctbal < 0) * 100.0::DOUBLE / greatest(count(*), 1), 6) AS per_100 FROM customer GROUP BY 1")
 def _(t):
     return agg.per_hundred(t.customer.withColumnRenamed("c_nationkey", "area"), "area", F.col("c_acctbal") < 0)
@@ -275,11 +312,18 @@ def _(t):
     return agg.distribution(t.part.select(F.col("p_type").alias("label")), "label")
 
 
-@query("A45_quantisation_check", LOT_CTE + _profile_sql(["height_m", "transit_m"]).replace("AS distinct,", 'AS "distinct",'))
+@query("A45_quantisation_check", LOT_CTE + _profile_sql(["height_m", "transit_m"]))
 def _(t):
     return agg.profile(lots(t), ["height_m", "transit_m"])
 
 
+@query("A45_mixed_types", "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'boolean' WHEN p_partkey % 5 = 1 THEN 'number' WHEN p_partkey % 5 = 2 THEN 'text' WHEN p_partkey % 5 = 3 THEN 'array' END AS kind, count(*) AS n FROM part WHERE p_partkey % 5 < 4 GROUP BY 1")
+def _(t):
+    k = F.col("p_partkey")
+    texts = F.when(k % 5 == 0, "true").when(k % 5 == 1, F.col("p_retailprice").cast("string")).when(k % 5 == 2, F.concat(F.lit('"'), "p_name", F.lit('"'))).when(k % 5 == 3, F.concat(F.lit("["), "p_size", F.lit("]"))).otherwise("null")
+    return agg.mixed_types(t.part.select(texts.alias("bloom")), "bloom")
+
+
 @query("A46_transition_counts", "SELECT CASE WHEN new IS NULL THEN 'error' WHEN new = 'unknown' THEN 'unknown' WHEN old = new THEN 'stayed' ELSE 'split' END AS kind, count(*) AS n FROM (SELECT lower(p_type) AS old, CASE WHEN p_size % 9 = 0 THEN NULL WHEN p_size % 5 = 0 THEN 'unknown' ELSE split_part(p_name, ' ', 1) END AS new FROM part) GROUP BY 1")
 def _(t):
     state = t.part.select("p_partkey", F.lower("p_type").alias("old"))

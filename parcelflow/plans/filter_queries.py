@@ -106,14 +106,16 @@ def _(t):
 # Lots: one for each part, with a size, a coverage, a height and a distance to transit that follow from its columns.
 LOT = """SELECT p_partkey AS lot_id, p_brand AS street, p_partkey % 500 AS number, p_type AS kind, cast(p_size * 17.5 as double) AS lot_m2, cast(p_partkey % 7 as double) * 2.5 AS height_m,
 cast(p_partkey % 83 as double) / 100.0 AS coverage, cast(p_partkey % 1700 as double) AS transit_m, p_retailprice AS value, cast(p_partkey % 9 as int) AS units,
-case when p_partkey % 23 = 0 then 'part_iv' when p_partkey % 19 = 0 then 'listed' end AS heritage, p_partkey % 31 = 0 AS regulated, cast(p_partkey % 25 as int) AS nb FROM part"""
+case when p_partkey % 23 = 0 then 'part_iv' when p_partkey % 19 = 0 then 'listed' end AS heritage, p_partkey % 31 = 0 AS regulated, cast(p_partkey % 25 as int) AS nb,
+p_partkey % 37 <> 0 AS residential, p_partkey % 3 = 0 AS abuts_lane, cast(p_partkey % 29 as double) AS to_street_m, p_partkey % 41 = 0 AS suspect, cast(case when p_partkey % 6 = 1 then 1 else 0 end as int) AS recent_permits, p_partkey % 43 = 0 AS drift,
+cast(p_partkey % 4 as int) AS address_points, cast(p_partkey % 13 as int) AS units_approx, case p_partkey % 5 when 0 then 'vacant' when 3 then 'semi' when 4 then 'row' else 'detached' end AS structure_type,
+case p_partkey % 7 when 0 then 'permit' when 1 then 'osm' when 2 then 'address_points' else 'classifier' end AS structure_source FROM part"""
 LOT_CTE = "WITH lots AS (" + LOT.replace("as double)", "AS DOUBLE)").replace("/ 100.0", "/ 100.0::DOUBLE").replace("* 2.5", "* 2.5::DOUBLE").replace("p_size * 17.5", "p_size * 17.5::DOUBLE") + ") "
 
 
 def lots(t):
-    t.part.createOrReplaceTempView("_lot_parts")
-    text = LOT.replace("FROM part", "FROM _lot_parts").replace("/ 100.0", "/ 100.0D").replace("* 2.5", "* 2.5D").replace("p_size * 17.5", "p_size * 17.5D")
-    return t.spark.sql(text)
+    text = LOT.replace("/ 100.0", "/ 100.0D").replace("* 2.5", "* 2.5D").replace("p_size * 17.5", "p_size * 17.5D")
+    return t.spark.sql(text.replace("FROM part", "FROM {part}"), part=t.part)
 
 
 @query("P16_eligible_gate", LOT_CTE + "SELECT lot_id, kind <> 'PROMO' AND coalesce(heritage, '') <> 'part_iv' AND transit_m < 1500 AND lot_m2 >= 100 AS eligible FROM lots")
@@ -155,7 +157,9 @@ def _(t):
 
 
 _SHARED = f"heritage IS NULL AND NOT regulated AND kind NOT IN ('LARGE') AND lot_m2 * coverage < 500 AND NOT (lot_m2 * coverage > 0 AND lot_m2 * coverage < 30) AND number > 0 AND NOT ({_WEALTH})"
-_ELITE = "lot_m2 >= 250 AND units >= 4 AND transit_m <= 500 AND height_m < 12"
+_ELITE = """lot_m2 >= 250 AND units >= 4 AND transit_m <= 500 AND residential AND NOT (abuts_lane AND to_street_m >= 15) AND NOT suspect AND recent_permits < 1 AND NOT drift
+AND NOT (height_m >= 14 AND coverage >= 0.25 AND units_approx >= 10 AND units_approx - address_points >= 5) AND NOT (structure_type <> 'vacant' AND height_m > 0 AND greatest(round_even(height_m / 3, 0), 1) >= 4)
+AND (structure_type = 'vacant' OR (structure_type = 'detached' AND (structure_source IN ('permit', 'osm', 'address_points') OR (structure_source = 'classifier' AND address_points = 1))))"""
 _BROAD = "lot_m2 >= 200 AND units >= 3 AND transit_m <= 1500 AND kind IN ('SMALL', 'MEDIUM', 'STANDARD')"
 
 

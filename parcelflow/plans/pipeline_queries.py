@@ -77,11 +77,21 @@ def _(t):
     return pipelines.openings_tables(the_feed(t), known)
 
 
-@query("C03_area_dataset", CTE + """, g AS (SELECT box.n AS area, count(k) AS n, coalesce(sum(v), 0) AS total, count(*) FILTER (v < 0) AS low FROM box LEFT JOIN pip ON pip.n = box.n GROUP BY 1), r AS (SELECT area, n, total, round_even(low * 100.0::DOUBLE / greatest(n, 1), 4) AS low_rate, total / nullif(n, 0) AS mean FROM g)
-SELECT area, n, round(total, 2) AS total, low_rate, n > 0 AS ranked FROM r""")
+_SCALED = "CASE WHEN {c} IS NULL OR max({c}) OVER () = min({c}) OVER () THEN 50 ELSE {i} END"
+
+
+def _scaled_sql(c: str, invert: bool = False) -> str:
+    x = f"round_even(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 100, 1)"
+    return _SCALED.format(c=c, i=f"100 - {x}" if invert else x)
+
+
+@query("C03_area_dataset", CTE + f""", g AS (SELECT box.n AS area, count(k) AS n, coalesce(sum(v), 0) AS total, count(*) FILTER (v < 0) AS low FROM box LEFT JOIN pip ON pip.n = box.n GROUP BY 1), r AS (SELECT area, n, n::DOUBLE AS m, total, round_even(low * 100.0::DOUBLE / greatest(n, 1), 4) AS low_rate, total / nullif(n, 0) AS mean FROM g),
+w AS (SELECT *, ({_scaled_sql('low_rate')} * 0.5::DOUBLE + {_scaled_sql('m', True)} * 0.3::DOUBLE + {_scaled_sql('mean')} * 0.2::DOUBLE)::VARCHAR::DECIMAL(24, 16) * 10 AS tenths FROM r),
+i AS (SELECT *, (CASE WHEN tenths - floor(tenths) > 0.5 OR (tenths - floor(tenths) = 0.5 AND floor(tenths)::BIGINT % 2 = 1) THEN floor(tenths) + 1 ELSE floor(tenths) END)::DOUBLE / 10 AS risk FROM w)
+SELECT area, n, round(total, 2) AS total, low_rate, risk, row_number() OVER (ORDER BY risk DESC, area)::INTEGER AS rank_risk FROM i""")
 def _(t):
     areas = boxes(t).withColumnRenamed("n", "area")
-    return pipelines.area_dataset(areas, points(t), "shape").select("area", "n", F.round("total", 2).alias("total"), "low_rate", F.col("rank_risk").between(1, 25).alias("ranked"))
+    return pipelines.area_dataset(areas, points(t), "shape").select("area", "n", F.round("total", 2).alias("total"), "low_rate", "risk", "rank_risk")
 
 
 _LABELLED = f"SELECT o_orderkey AS id, concat_ws(' ', c_name, o_orderpriority) AS name, o_orderdate::DATE AS d, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' WHEN o_orderpriority = '5-LOW' THEN 'slow' WHEN o_orderpriority = '3-MEDIUM' THEN 'plain' END AS label, {s.CANCEL} AS c FROM orders JOIN customer ON o_custkey = c_custkey"
@@ -128,7 +138,7 @@ def _(t):
     return _tiers(t).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("lot_id").alias("first_lot"))
 
 
-_SIGNAL = "WITH e AS (SELECT o_orderkey AS event_id, o_custkey AS builder, o_custkey % 1700 AS ck, o_orderdate AS d, o_orderstatus AS kind FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate::DATE >= DATE '1999-01-01'), b AS (SELECT builder, CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 3 THEN '2-3' ELSE '4+' END AS bucket FROM e GROUP BY 1) "
+_SIGNAL = "WITH e AS (SELECT o_orderkey AS event_id, o_custkey AS builder, o_custkey AS ck, o_orderdate AS d, o_orderstatus AS kind FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate::DATE >= DATE '1999-01-01'), b AS (SELECT builder, CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 3 THEN '2-3' ELSE '4+' END AS bucket FROM e GROUP BY 1) "
 
 
 def _signals(t):

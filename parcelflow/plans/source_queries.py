@@ -118,6 +118,17 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("S09_publish_observed", "SELECT p_partkey, p_name, n, low FROM part, (SELECT count(*)::BIGINT AS n, count(*) FILTER (p_size < 5)::BIGINT AS low FROM part)")
+def _(t):
+    from ..operators import quality
+
+    path = scratch(t)
+    rules = {"no_name": ("CRITICAL", F.col("p_name").isNull()), "small": ("LOW", F.col("p_size") < 5), "rows": ("LOW", F.col("p_partkey").isNotNull())}
+    metrics, check = quality.observed(rules, least=1)
+    found = {name: n for name, _, n in sinks.publish_observed(t.part.select("p_partkey", "p_name", "p_size"), path, metrics, check)}
+    return t.spark.read.parquet(path).select("p_partkey", "p_name", F.lit(found["rows"]).cast("long").alias("n"), F.lit(found["small"]).cast("long").alias("low"))
+
+
 @query("S10_sink_delimited_clean", "SELECT doc_id::VARCHAR AS doc_id, translate(text, concat(',', chr(9), chr(10), chr(13)), '    ') AS text FROM documents WHERE lang = 'en'")
 def _(t):
     path = scratch(t)

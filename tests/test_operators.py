@@ -124,3 +124,80 @@ def test_pairs_of_large_and_small_boxes_and_points_near_the_pole(spark):
     got = {(r.k, r.o) for r in spatial.within_radius(pole, other, "x", "y", "ox", "oy", 1100.0).collect()}
     brute = {(a.k, b.o) for a in pole.collect() for b in other.collect() if spark.range(1).select(geo.haversine(*map(F.lit, (a.x, a.y, b.ox, b.oy))).alias("d")).first().d <= 1100.0}
     assert got == brute and len(got) > 4
+
+
+def test_profile_counts_exactly_only_columns_with_few_values(spark):
+    rows = [(i, "a", None, i % 400 != 0, i % 14, i % 15, True if i % 2 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "many int, same string, nothing int, usual boolean, few int, enough int, flag boolean")
+    got = {r.column: (r.nulls, r.distinct, r.finding, r.severity) for r in agg.profile(df, df.columns, {"same": "a", "flag": True}).collect()}
+    assert got == {
+        "many": (0, None, None, None), "same": (0, 1, "constant", "LOW"), "nothing": (2000, 0, "null", "HIGH"), "usual": (0, 2, "near_constant", "MEDIUM"),
+        "few": (0, 14, "few", "MEDIUM"), "enough": (0, None, None, None), "flag": (1000, 1, "constant", "LOW"),
+    }
+    assert [r.finding for r in agg.profile(df.where("false"), ["many", "usual"]).collect()] == [None, None]
+
+
+def test_mixed_types(spark):
+    df = spark.createDataFrame([("true",), (" 1.5e3",), ("-2",), ('"x"',), ("[1]",), ('{"a": 1}',), ("null",), (None,), ("x",), ("01",)], "v string")
+    assert values(agg.mixed_types(df, "v"), "kind", "n") == [("array", 1), ("boolean", 1), ("number", 2), ("object", 1), ("text", 1)]
+
+
+def test_category_ages_and_envelopes(spark):
+    df = spark.createDataFrame([("x", "a", dt.date(2000, 1, 1)), ("x", "a", dt.date(2020, 1, 1)), ("x", "b", dt.date(2012, 1, 1)), ("y", "b", None)], "g string, c string, d date")
+    got = {r.g: (r.n, r.n_10y, r.n_20y, r.by_category, r.by_category_20y) for r in agg.category_ages(df, "g", "c", "d", dt.date(2024, 1, 1)).collect()}
+    assert got == {"x": (3, 2, 1, {"a": 2, "b": 1}, {"a": 1}), "y": (1, 0, 0, {"b": 1}, {})}
+    lots = spark.createDataFrame([("x", 100.0, 0.5, 6.0, 9.0), ("x", 100.0, 0.1, 0.0, 1.0)], "g string, lot_m2 double, coverage double, height_m double, v double")
+    r = agg.envelope_measures(lots, "g", cost="v").first()
+    assert (r.storeys, r.existing_gfa, r.existing_fsi, r.unused_gfa, r.unused_fsi, r.value, r.co2_kg, r.cost) == (2, 110.0, 0.55, 50.0, 0.25, 200_000.0, 1250.0, 10.0)
+
+
+def test_floor_and_invariants_fail_loudly(spark):
+    from parcelflow.operators import quality
+
+    n = spark.createDataFrame([("x", 3), ("y", None)], "g string, n int")
+    assert quality.require_floor(n.where("g = 'x'"), "g", "n", 3).count() == 1
+    with pytest.raises(quality.ContractError, match="y"):
+        quality.require_floor(n, "g", "n", 3)
+    with pytest.raises(quality.ContractError, match="invariant"):
+        quality.require_floor(n.where("g = 'x'"), "g", "n", 3, n)
+
+
+def test_publishing_with_observed_metrics_reads_the_rows_once(spark, tmp_path):
+    from parcelflow.operators import quality
+    from parcelflow.sources import sinks
+
+    path = str(tmp_path / "t")
+    rules = {"missing": ("CRITICAL", F.col("v").isNull()), "low": ("LOW", F.col("v") < 2)}
+    metrics, check = quality.observed(rules, least=2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    good = spark.createDataFrame([(i,) for i in range(5)], "v int").mapInArrow(count, "v int")
+    assert sinks.publish_observed(good, path, metrics, check) == [("missing", "CRITICAL", 0), ("low", "LOW", 2)]
+    assert seen.value == 5 and spark.read.parquet(path).count() == 5
+    for bad in ([(1,), (None,)], [(1,)]):
+        with pytest.raises(quality.ContractError):
+            sinks.publish_observed(spark.createDataFrame(bad, "v int"), path, metrics, check)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_elite_gate_takes_every_condition(spark):
+    from parcelflow.operators import parcels
+
+    good = {
+        "lot_m2": 300.0, "units": 4, "transit_m": 400.0, "residential": True, "abuts_lane": False, "to_street_m": 20.0, "suspect": False, "recent_permits": 0, "drift": None, "address_points": 1,
+        "units_approx": 2, "structure_type": "detached", "structure_source": "classifier", "height_m": 8.0, "coverage": 0.3,
+    }
+    bad = [
+        {"lot_m2": 249.0}, {"units": 3}, {"transit_m": 501.0}, {"residential": None}, {"abuts_lane": True}, {"suspect": True}, {"recent_permits": 1}, {"drift": True},
+        {"address_points": 2}, {"structure_type": "semi"}, {"structure_source": None}, {"height_m": 12.0}, {"structure_type": None},
+        {"height_m": 14.0, "units_approx": 10, "structure_type": "vacant"},
+    ]
+    fine = [{}, {"abuts_lane": True, "to_street_m": 14.0}, {"structure_type": "vacant", "structure_source": None, "height_m": 12.0}, {"structure_source": "osm", "address_points": 3}]
+    schema = "lot_m2 double, units int, transit_m double, residential boolean, abuts_lane boolean, to_street_m double, suspect boolean, recent_permits int, drift boolean, address_points int, units_approx int, structure_type string, structure_source string, height_m double, coverage double, at int"
+    df = spark.createDataFrame([tuple({**good, **x}.values()) + (i,) for i, x in enumerate(bad + fine)], schema)
+    assert [r.at for r in df.where(parcels.elite_gate()).orderBy("at").collect()] == list(range(len(bad), len(bad) + len(fine)))
