@@ -17,7 +17,7 @@ from .filter_queries import _BROAD, _ELITE, _SHARED, LOT_CTE, lots
 from .join_queries import cust, feed
 from .registry import query
 from .source_queries import scratch
-from .spatial_queries import CTE, STREETS, boxes, points, stops, streets
+from .spatial_queries import CTE, STREETS, _gap_sql, _side_sql, boxes, points, segments, stops, streets
 from .state_queries import NOW, _state, _verdicts
 
 E = F.expr
@@ -122,6 +122,34 @@ def _(t):
     return features(t).select("lot_id", "area", F.round("stop_m", 2).alias("stop_m"), "near_permits", "skip_reason")
 
 
+# Lots as boxes of three widths, a building at every customer's point, streets between neighbouring suppliers.
+_W = "(0.001::DOUBLE + (lot_id % 3) * 0.0004::DOUBLE)"
+_AROUND = LOT_CTE.rstrip() + ", " + CTE[5:].rstrip() + f""", l AS (SELECT lot_id, {s.lon('lot_id')} AS x, {s.lat('lot_id')} AS y, {_W} AS w FROM lots),
+side AS (SELECT lot_id, x AS px, y AS py, x + w AS qx, y AS qy FROM l UNION ALL SELECT lot_id, x + w, y, x + w, y + 0.0009::DOUBLE FROM l UNION ALL SELECT lot_id, x + w, y + 0.0009::DOUBLE, x, y + 0.0009::DOUBLE FROM l UNION ALL SELECT lot_id, x, y + 0.0009::DOUBLE, x, y FROM l),
+eg AS (SELECT lot_id, s, min(CASE WHEN {_side_sql('px', 'py', 'qx', 'qy', 'ax', 'ay')} * {_side_sql('px', 'py', 'qx', 'qy', 'ex', 'ey')} < 0 AND {_side_sql('ax', 'ay', 'ex', 'ey', 'px', 'py')} * {_side_sql('ax', 'ay', 'ex', 'ey', 'qx', 'qy')} < 0 THEN 0
+    ELSE least({_gap_sql('px', 'py', 'ax', 'ay', 'ex', 'ey')}, {_gap_sql('qx', 'qy', 'ax', 'ay', 'ex', 'ey')}, {_gap_sql('ax', 'ay', 'px', 'py', 'qx', 'qy')}, {_gap_sql('ex', 'ey', 'px', 'py', 'qx', 'qy')}) END) AS d FROM side, seg GROUP BY ALL),
+touch AS (SELECT lot_id, count(DISTINCT s % 12) FILTER (d <= 0.002 AND s % 4 <> 0) >= 2 AS corner, count(*) FILTER (d <= 0.002 AND s % 4 = 0) > 0 AS lane FROM eg GROUP BY 1),
+way AS (SELECT lot_id, min({_gap_sql('x', 'y', 'ax', 'ay', 'ex', 'ey')}) AS d FROM l, seg WHERE s % 4 <> 0 GROUP BY 1),
+r AS (SELECT lot_id, greatest(pt.x, l.x) AS a, least(pt.x + 0.0006::DOUBLE, l.x + w) AS b, greatest(pt.y, l.y) AS c, least(pt.y + 0.0005::DOUBLE, l.y + 0.0009::DOUBLE) AS d FROM l JOIN pt ON pt.x + 0.0006::DOUBLE > l.x AND pt.x < l.x + w AND pt.y + 0.0005::DOUBLE > l.y AND pt.y < l.y + 0.0009::DOUBLE),
+xs AS (SELECT lot_id, v AS xa, lead(v) OVER (PARTITION BY lot_id ORDER BY v) AS xb FROM (SELECT lot_id, a AS v FROM r UNION SELECT lot_id, b FROM r)),
+ys AS (SELECT lot_id, v AS ya, lead(v) OVER (PARTITION BY lot_id ORDER BY v) AS yb FROM (SELECT lot_id, c AS v FROM r UNION SELECT lot_id, d FROM r)),
+u AS (SELECT xs.lot_id, sum((xb - xa) * (yb - ya)) AS area FROM xs JOIN ys ON xs.lot_id = ys.lot_id WHERE EXISTS (SELECT 1 FROM r WHERE r.lot_id = xs.lot_id AND a <= xa AND b >= xb AND c <= ya AND d >= yb) GROUP BY 1),
+inside AS (SELECT lot_id, count(*) AS points, count(DISTINCT k // 2) AS addresses FROM l JOIN (SELECT k, pt.x + 0.0003::DOUBLE AS px, pt.y + 0.0003::DOUBLE AS py FROM pt) ON px >= l.x AND px < l.x + w AND py >= l.y AND py < l.y + 0.0009::DOUBLE GROUP BY 1)
+SELECT lot_id, corner, lane, round(CASE WHEN way.d <= 0.02 THEN way.d * 95000 ELSE 99999 END, 3) AS street_m, round(greatest(w, 0.0009::DOUBLE) / least(w, 0.0009::DOUBLE), 6) AS aspect, round(coalesce(area, 0) / (w * 0.0009::DOUBLE), 6) AS coverage,
+round(1 - coalesce(area, 0) / (w * 0.0009::DOUBLE), 6) AS bare, coalesce(points, 0)::BIGINT AS points, coalesce(addresses, 0)::BIGINT AS addresses FROM l JOIN touch USING (lot_id) JOIN way USING (lot_id) LEFT JOIN u USING (lot_id) LEFT JOIN inside USING (lot_id)"""
+
+
+@query("C05_parcel_surroundings", _AROUND)
+def _(t):
+    ring = lambda x, y, w, h: F.array(geo.points([(x, y), (x + w, y), (x + w, y + h), (x, y + h)]))
+    l = _lots_xy(t).select("lot_id", "x", "y", ring(F.col("x"), F.col("y"), F.lit(0.001) + (F.col("lot_id") % 3) * F.lit(0.0004), F.lit(0.0009)).alias("shape"))
+    p = points(t)
+    ways = segments(t).select("line", (F.col("s") % 12).alias("name"), (F.col("s") % 4 == 0).alias("is_lane"))
+    addresses = p.select((F.col("x") + F.lit(0.0003)).alias("x"), (F.col("y") + F.lit(0.0003)).alias("y"), F.floor(F.col("k") / 2).alias("address"))
+    r = pipelines.parcel_surroundings(l, ways, p.select(ring(F.col("x"), F.col("y"), F.lit(0.0006), F.lit(0.0005)).alias("footprint")), addresses, 0.002)
+    return r.select("lot_id", "corner", "lane", F.round("street_m", 3).alias("street_m"), *[F.round(c, 6).alias(c) for c in ("aspect", "coverage", "bare")], "points", "addresses")
+
+
 @query("C06_parcel_stats", _PARCEL + """SELECT 'funnel' AS part, coalesce(skip_reason, 'kept') AS name, count(*) AS n, round(median(value), 4) AS value FROM feat GROUP BY 2 UNION ALL SELECT 'cost', kind, count(value / lot_m2), round(CASE WHEN count(value / lot_m2) >= 5 THEN median(value / lot_m2) END, 4) FROM feat GROUP BY 2
 UNION ALL SELECT 'unjoined', 'permits', count(*), NULL FROM feat WHERE lot_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30) UNION ALL (SELECT 'largest', lot_id::VARCHAR, 1, round(lot_m2, 4) FROM feat ORDER BY lot_m2 DESC, lot_id LIMIT 10)""")
 def _(t):
@@ -157,6 +185,16 @@ def _(t):
     return _signals(t)[1]
 
 
+@query("C08_overlay_signals", """WITH a AS (SELECT o_custkey AS k, min(o_orderkey) AS appeal_id FROM orders WHERE o_orderkey::VARCHAR LIKE '%7' GROUP BY 1),
+o AS (SELECT o_custkey AS k, o_orderkey AS order_id, CASE o_orderstatus WHEN 'F' THEN 3 ELSE 1 END AS severity, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 ELSE 1 END DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus IN ('F', 'P') AND NOT regexp_matches(lower(o_orderpriority), 'urgent|not'))
+SELECT c_custkey AS parcel_id, appeal_id, order_id, severity FROM customer LEFT JOIN a ON a.k = c_custkey LEFT JOIN o ON o.k = c_custkey AND rn = 1 WHERE appeal_id IS NOT NULL OR order_id IS NOT NULL""")
+def _(t):
+    ev = feed(t)
+    appeals = ev.select(F.col("ok").alias("appeal_id"), F.col("ok").cast("string").alias("number"), "addr_norm")
+    wanted = ev.select(F.col("ok").alias("order_id"), F.col("st").alias("status"), F.col("pr").alias("text"), "addr_norm")
+    return pipelines.overlay_signals(cust(t).withColumnRenamed("k", "parcel_id"), appeals, wanted, "7", {"F": 3, "P": 1}, "urgent|not")
+
+
 _P95 = "least(greatest(round_even({0} * 100 / (SELECT v FROM (SELECT {0} AS v, row_number() OVER (ORDER BY {0}) AS rn, count(*) OVER () AS n FROM {1} WHERE {0} > 0) WHERE rn = floor(0.95 * (n - 1)) + 1), 1), 0), 100)"
 _SCORES = STREETS.rstrip() + ", " + LOT_CTE[5:].rstrip() + f""", area AS (SELECT n AS area, x0, y0, (n % 5 + 1)::DOUBLE AS km2 FROM box),
 p75 AS (SELECT c_acctbal AS v FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS rn, count(*) OVER () AS n FROM customer) WHERE rn = floor(0.75 * (n - 1)) + 1),

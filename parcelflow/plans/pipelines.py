@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +99,30 @@ def parcel_features(lots: DataFrame, hoods: DataFrame, stops: DataFrame, permits
     return df.withColumn("skip_reason", resolve.waterfall(gates))
 
 
+def parcel_surroundings(lots: DataFrame, streets: DataFrame, buildings: DataFrame, addresses: DataFrame, reach: float, size: float = spatial.CELL) -> DataFrame:
+    """(lot_id, corner, lane, street_m, aspect, coverage, bare, points, addresses) of lots as polygons.
+
+    corner: two named streets within ``reach`` of the boundary (J13), lane: a lane is (J14), street_m: distance of the lot's
+    point to the nearest street (J16), aspect: long over short side of the smallest rectangle (G07), coverage and bare: shares of
+    the lot under the union of all footprints and outside it (J12), points and addresses: address points inside and their
+    distinct addresses (J06, A33).
+
+    lots: lot_id, shape, x, y; streets: line, name, is_lane; buildings: footprint; addresses: x, y, address."""
+    named = streets.withColumn("_name", F.when(~F.coalesce("is_lane", F.lit(False)), F.col("name")))
+    lanes = streets.where(F.coalesce("is_lane", F.lit(False))).withColumn("_name", F.lit("lane"))
+    corner = spatial.lines_touched(lots, named, "lot_id", "shape", "line", "_name", reach).select("lot_id", (F.col("n_lines") >= 2).alias("corner"))
+    lane = spatial.lines_touched(lots, lanes, "lot_id", "shape", "line", "_name", reach).select("lot_id", (F.col("n_lines") > 0).alias("lane"))
+    street = spatial.nearest_line(lots, named.where("_name IS NOT NULL"), "lot_id", "x", "y", "line").withColumnRenamed("dist_m", "street_m")
+    whole = spatial.polygon_area(F.col("shape"))
+    ground = lots.select("lot_id", geo.min_rotated_rect(F.col("shape")[0])["aspect"].alias("aspect"), whole.alias("_whole"))
+    built = spatial.union_coverage(lots, buildings, "lot_id", "shape", "footprint", size)
+    inside = spatial.points_in_polygons(addresses.select(F.col("x").alias("_px"), F.col("y").alias("_py"), "address"), lots.select("lot_id", "shape"), "_px", "_py", "shape")
+    inside = inside.groupBy("lot_id").agg(F.count("*").alias("points"), F.countDistinct("address").alias("addresses"))
+    out = lots.select("lot_id").join(corner, "lot_id", "left").join(lane, "lot_id", "left").join(street, "lot_id", "left").join(ground, "lot_id", "left").join(built, "lot_id", "left").join(inside, "lot_id", "left")
+    share = lambda c: F.least(F.coalesce(F.try_divide(c, F.col("_whole")), F.lit(0.0)), F.lit(1.0)).alias(c)
+    return out.select("lot_id", "corner", "lane", "street_m", "aspect", share("covered"), share("bare"), F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("addresses", F.lit(0)).alias("addresses")).withColumnRenamed("covered", "coverage")
+
+
 def parcel_stats(features: DataFrame, permits: DataFrame, least: int = 5, largest: int = 10) -> DataFrame:
     """(part, name, n, value): the funnel by first failed gate with its median value (A34), median value of a square metre by
     kind where enough lots have one (A15), lots without a permit (A35) and the largest lots (T03).
@@ -134,6 +158,7 @@ def signals(parcels_: DataFrame, events: DataFrame, kinds: Sequence[str], since:
 
     Events are of the wanted kinds since a day (P14, U02), each once; they find parcels by address (J01) and builders are
     counted over all of them (A19, A20, A21).  parcels_: parcel_id, addr_norm; events: event_id, kind, at, builder, addr_norm."""
+    # every wanted kind is a filter of its own
     wanted = feeds.any_filter(events, "event_id", *[resolve.type_since(F.col("kind"), k, F.col("at"), since) for k in kinds])
     chosen = events.join(wanted, "event_id", "left_semi").dropDuplicates(["event_id"])
     busy = agg.builder_activity(chosen, "builder").select("builder", "bucket")
@@ -142,6 +167,22 @@ def signals(parcels_: DataFrame, events: DataFrame, kinds: Sequence[str], since:
     return latest, agg.signal_stats(chosen, parcels_, "kind", "addr_norm")
 
 
+def overlay_signals(parcels_: DataFrame, appeals: DataFrame, orders: DataFrame, suffix: str, statuses: Mapping[str, int], not_in: str) -> DataFrame:
+    """(parcel_id, appeal_id, order_id, severity) of the parcels with an appeal or an order.
+
+    Appeals are those whose number ends in ``suffix`` (P12), the first one of each address (J02).  Orders are of one of the
+    ``statuses`` and their text does not hold what ``not_in`` matches (P13); of an address the gravest, then the first.
+
+    parcels_: parcel_id, addr_norm; appeals: appeal_id, number, addr_norm; orders: order_id, status, text, addr_norm."""
+    some = F.col("addr_norm").isNotNull() & (F.col("addr_norm") != "")
+    a = resolve.first_per_key(appeals.where(resolve.has_suffix(F.col("number"), suffix) & some), "addr_norm", "appeal_id", "appeal_id")
+    grave = orders.where(F.col("status").isin(*statuses) & ~F.coalesce(F.lower("text").rlike(not_in), F.lit(False)) & some)
+    grave = grave.withColumn("severity", keys.lookup({k: str(v) for k, v in statuses.items()}, F.col("status")).cast("int"))
+    o = grave.groupBy("addr_norm").agg(F.max_by(F.struct("order_id", "severity"), F.struct("severity", -F.col("order_id"))).alias("_o"))
+    out = parcels_.select("parcel_id", "addr_norm").join(a, "addr_norm", "left").join(o, "addr_norm", "left").where("appeal_id IS NOT NULL OR _o IS NOT NULL")
+    return out.select("parcel_id", "appeal_id", "_o.order_id", "_o.severity")
+
+
 def usage_rollup(ledger_path: str, spark, prices: DataFrame, read) -> DataFrame:
     """Cost and calls by provider, by provider and sku, by day and in all (A31), of a ledger of JSON lines that may be
     broken (S07); skus without a price cost nothing.
