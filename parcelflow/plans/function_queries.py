@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,9 +73,13 @@ def _(t):
     return t.customer.select("c_custkey", keys.house_number(E(s.ADDRESS)).alias("number"), keys.street_of(E(s.ADDRESS)).alias("street"))
 
 
+# Endings of company names.
+COMPANY_ENDINGS = ("INC", "LTD", "LIMITED", "CORP", "CORPORATION", "CO", "COMPANY", "LLP")
+
+
 def _company_sql(x: str) -> str:
     for _ in range(3):
-        x = f"trim(regexp_replace(trim(regexp_replace({x}, '\\s+(INC|LTD|LIMITED|CORP|CORPORATION|CO|COMPANY|LLP)\\.?\\s*$', '')), '\\.+$', ''))"
+        x = f"trim(regexp_replace(trim(regexp_replace({x}, '\\s+({'|'.join(COMPANY_ENDINGS)})\\.?\\s*$', '')), '\\.+$', ''))"
     return f"nullif({x}, '')"
 
 
@@ -181,14 +186,13 @@ def _(t):
 
 
 def _body_sql(x: str) -> str:
-    for p in ("<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<script\\b[^>]*>.*$", "<style\\b[^>]*>.*$"):
-        x = f"regexp_replace({x}, '{p}', ' ', 'gis')"
-    x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    for a, b in text.ENTITIES:
-        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
-    x = f"regexp_replace({x}, '@[a-z-]+\\s+[^;]+;', ' ', 'gi')"
-    x = f"regexp_replace({x}, '@[a-z-]+[^;{{]*\\{{[^{{}}]*\\}}', ' ', 'gi')"
-    x = f"regexp_replace({x}, '[.#:\\[][\\w\\s,.#:\\[\\]=\\-_*>+~()\"'']{{0,200}}?\\{{[^{{}}]{{0,500}}\\}}', ' ', 'g')"
+    """An element runs to its closing tag or, without one, to the end of the page; DuckDB takes elements of one name at a time."""
+    elements = [rf"(?is)<{name}\b[^>]*>.*?(?:</{name}>|\z)" for name in ("script", "style")]
+    x = functools.reduce(lambda out, p: f"regexp_replace({out}, '{p}', ' ', 'g')", [*elements, "<[^>]+>"], x)
+    quoted = [[v.replace("'", "''") for v in pair] for pair in text.ENTITIES]
+    x = functools.reduce(lambda out, pair: f"replace({out}, '{pair[0]}', '{pair[1]}')", quoted, x)
+    for rule in text.style_rules():
+        x = "regexp_replace({}, '{}', ' ', 'g')".format(x, rule.replace("'", "''"))
     return f"substr(trim(regexp_replace({x}, '\\s+', ' ', 'g')), 1, 2000)"
 
 

@@ -32,10 +32,17 @@ def licences(t):
         E(s.CANCEL).alias("cancelled"), E(s.ADDRESS).alias("address"), E(s.POSTAL).alias("postal"), F.when(F.col("c_custkey") % 7 == 0, F.lit("http://own.example")).alias("website"), "c_custkey")
 
 
+def once(t, df):
+    """The rows written to a shared folder and read from there, for plans that use them several times."""
+    path = scratch(t)
+    df.write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
 def the_feed(t):
     brands = t.customer.where("c_custkey % 50 = 0").select(F.upper(F.concat_ws(" ", "c_name", F.lit("5-LOW"))).alias("brand"))
     # What the web and the places know of every business: one row for each name and address.
-    known = licences(t).select("c_custkey", keys.entity_key(F.col("name"), F.col("address")).alias("key")).distinct()
+    known = once(t, licences(t).select("c_custkey", keys.entity_key(F.col("name"), F.col("address")).alias("key")).distinct())
     k = F.col("c_custkey")
     site = lambda host: F.concat(F.lit(f"http://{host}/"), k.cast("string"))
     verdicts = known.where("c_custkey % 4 = 0").select("key", F.array(F.when(k % 8 == 0, "fast").otherwise("nonsense")).alias("labels"), F.lit("ok").alias("status"), F.when(k % 3 == 1, "no").otherwise("yes").alias("operating"))
@@ -65,7 +72,7 @@ _INDEX = _FEED + "SELECT label, count(*) AS n365, count(*) FILTER (days_open <=
 
 @query("openings_index", _INDEX)
 def _(t):
-    return pipelines.openings_index(the_feed(t), s.AS_OF)
+    return pipelines.openings_index(once(t, the_feed(t)), s.AS_OF)
 
 
 @query("C02_openings_tables", _FEED + """SELECT 'count' AS part, label, district, count(*) AS n, count(*) FILTER (days_open <= 30)::BIGINT AS n30 FROM feed GROUP BY CUBE (label, district)
