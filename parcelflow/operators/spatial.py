@@ -132,6 +132,13 @@ def points_in_circles(points: DataFrame, circles: DataFrame, x: str, y: str, cx:
     return pairs.where(geo.haversine(F.col(x), F.col(y), F.col(cx), F.col(cy)) <= F.col(radius))
 
 
+def with_inner_points(polygons: DataFrame, geometry: str, x: str, y: str) -> DataFrame:
+    """Polygons with a point inside of each as columns x and y.  The point is worked out in a generator, so that plans
+    which use it several times (cells, boxes, tests) do not repeat its long expression."""
+    point = F.explode(F.array(geo.inner_point(F.col(geometry))))
+    return polygons.select("*", point.alias("_p")).withColumns({x: F.col("_p.x"), y: F.col("_p.y")}).drop("_p")
+
+
 def first_polygon(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str, geometry: str, label: str, ordinal: str, size: float = CELL) -> DataFrame:
     """(key, label) of the containing polygon with the least ordinal."""
     pairs = points_in_polygons(points.select(key, x, y), polygons.select(geometry, label, ordinal), x, y, geometry, size)

@@ -72,7 +72,7 @@ def _(t):
     b = boxes(t)
     by_point = spatial.points_in_polygons(stops(t).where("s % 10 = 0"), b, "sx", "sy", "shape").select("n", F.lit("a_point").alias("category"))
     area = t.spark.range(1).select(geo.box_polygon(F.lit(-79.25), F.lit(43.7), 0.5, 0.5).alias("area"))
-    inner = b.select("n", geo.inner_point(F.col("shape")).alias("p")).select("n", "p.x", "p.y")
+    inner = spatial.with_inner_points(b, "shape", "x", "y").select("n", "x", "y")
     by_area = spatial.points_in_polygons(inner, area, "x", "y", "area").select("n", F.lit("b_area").alias("category"))
     return by_point.unionByName(by_area).groupBy("n").agg(F.min("category").alias("category"))
 
