@@ -46,6 +46,11 @@ _SIGN = r"\(c\)|©|[0-9]{4}|[\[<{][ \t]*(?:yyyy|year)"
 OWNER = rf"copyright[ \t:]*(?:{_SIGN})|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[0-9]{{4}}"
 STATEMENT = rf"(^|\n)[^\p{{L}}\p{{N}}\n(©]*(?:{OWNER})[^\n]*"
 
+#: "All rights reserved." as a line of its own.
+RESERVED = r"(^|\n)[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*(\n|\z)"
+#: A statement without a year is a short paragraph of one line (or the line under a short first one), which no clause is.
+UNDATED = r"(^[^\n]{0,60}\n|^|\n[ \t\r]*\n)[^\p{L}\p{N}\n(©]*copyright[ \t:][^\n]{1,60}(\n[ \t\r]*\n|\n?\z)"
+
 
 def whole_licenses() -> list[tuple[str, str]]:
     """(id, entire text), short licences with and without the titles they are found under; files are named id[.variant].txt."""
@@ -68,7 +73,8 @@ def with_digest(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with ``out``: the digest of the canonical form of the entire text in column ``text`` (null stays null)."""
     low, marked = "_canonical_low", "_canonical_text"
     df = df.withColumn(low, F.translate(text, UPPER, LOWER))
-    df = df.withColumn(low, F.when(F.col(low).rlike(OWNER), F.regexp_replace(low, STATEMENT, "$1")).otherwise(F.col(low)))
+    for sign, pattern, left in ((F.col(low).rlike(OWNER), STATEMENT, "$1"), (F.contains(F.col(low), F.lit("all rights reserved")), RESERVED, "$1$2"), (F.contains(F.col(low), F.lit("copyright")), UNDATED, "$1$2")):
+        df = df.withColumn(low, F.when(sign, F.regexp_replace(low, pattern, left)).otherwise(F.col(low)))
     df = df.withColumn(marked, F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")))
     table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(marked, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
@@ -81,7 +87,8 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     license: id of the known text that the entire document equals in canonical form.  Lines that name a licence are
     looked up entire as well; n_notice_lines counts those that equal a known text and notices lists their ids, sorted and
-    comma-joined.  Null texts have a null digest and no licence; texts without a letter or digit never match.  A digest
+    comma-joined.  Null texts have a null digest and no licence; texts without a letter or digit never match; very long texts are
+    taken whole, repeated rows stay, an empty table gives an empty one, other columns are not read.  A digest
     with several ids takes the smallest id."""
     known = with_digest(known.select("license", "text"), "text", "kd").where(F.col("kd") != F.sha2(F.lit("").cast("binary"), 256)).groupBy("kd").agg(F.min("license").alias("found"))
     docs = with_text(docs)

@@ -105,11 +105,13 @@ FROM all_ x JOIN sub USING (depth, node) LEFT JOIN nodes p ON x.depth > 0 AND p.
 
 
 def license_sql() -> str:
-    from .license_scan import KNOWN, SPELLINGS, STATEMENT, whole_licenses
+    from .license_scan import KNOWN, RESERVED, SPELLINGS, STATEMENT, UNDATED, whole_licenses
 
     def canonical(text: str) -> str:
         low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        out = f"trim(regexp_replace(regexp_replace({low}, '{STATEMENT}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        for pattern, left in ((STATEMENT, "\\1"), (RESERVED, "\\1\\2"), (UNDATED, "\\1\\2")):
+            low = f"regexp_replace({low}, '{pattern}', '{left}', 'g')"
+        out = f"trim(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for old, new in SPELLINGS.items():
             out = f"regexp_replace({out}, '(^| ){old}( |$)', '\\1{new}\\2', 'g')"
         return out

@@ -294,6 +294,27 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(df.where("vec_id in (0, 3)")).collect()[0].vec_id == 3
 
 
+def test_top_k_over_many_nodes_matches_brute_force(spark, monkeypatch):
+    """Small blocks: many tree nodes, pairs that are pruned, a second round and nodes dealt in parts."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(12, 12)) * 3
+    vecs = [(i, (middles[i % 12] + rng.normal(size=12) * 0.2).tolist()) for i in range(1500)] + [(2000 + i, middles[0].tolist()) for i in range(150)]
+    seen = []
+    pairs = topk.NodeTree.pairs
+    monkeypatch.setattr(topk.NodeTree, "pairs", lambda self, *a: seen.append(len(out := list(pairs(self, *a)))) or out)
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(5)
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ints = {i: np.floor(64 * np.array(v)).astype(np.int64) for i, v in vecs}
+    for q in (i for i in ints if i % 20 == 0):
+        assert got[q] == [(i, -s) for s, i in sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:20]]
+    nodes = len(vecs) // 40
+    assert len(seen) == 2 and seen[1] < nodes * nodes / 2  # most node pairs are pruned
+
+
 def test_lm_base_score_and_progress(spark):
     rng = random.Random(8)
     vocab = {"a": ["the", "of", "red"] + [f"w{i}" for i in range(30)], "b": ["le", "de", "bleu"] + [f"m{i}" for i in range(30)]}
@@ -594,6 +615,28 @@ def test_license_scan_knows_unedited_entire_licences(spark):
     assert [got[i] for i in range(len(own))] == [n.removesuffix(".regents") for n in texts] + ["MIT", "MIT", None, None]
 
 
+def test_license_scan_drops_statements_but_no_clauses(spark):
+    texts = dict(license_scan.whole_licenses())
+    mit, bsd = texts["MIT"], texts["BSD-3-Clause"]
+    body = mit[mit.index("Permission is hereby") :]
+    terms = bsd[bsd.index("Redistribution and use") :]
+    own = [
+        "Copyright Jane Doe\n\n" + body, "MIT License\n\nCopyright Jane Doe and others\n\n" + body, "MIT License\nCopyright: The Authors\n\n" + body,
+        "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n" + terms, "Copyright Jane Doe\n  All Rights Reserved\n\n" + terms,
+        "Copyright Jane Doe forbids every use, sale and copy of this work without a licence\n\n" + body, "Jane Doe keeps the copyright\n\n" + body, body.replace("copyright holders", "holders").replace("COPYRIGHT HOLDERS", "HOLDERS"),
+    ]
+    got = {r.doc_id: r.license for r in license_scan.license_scan(docs_of(spark, list(enumerate(own))), license_scan.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(own))] == ["MIT", "MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", None, None, None]
+
+
+def test_license_scan_of_empty_tables_long_texts_and_clashing_columns(spark):
+    known = license_scan.known_licenses(spark)
+    assert license_scan.license_scan(docs_of(spark, [(1, "x")]).where("false"), known).collect() == []
+    mit = dict(license_scan.whole_licenses())["MIT"]
+    docs = docs_of(spark, [(1, "word " * 400_000), (2, mit), (2, mit)]).withColumns({"lines": F.lit("l"), "license": F.lit("l"), "digest": F.lit("d"), "_canonical_low": F.lit("c")})
+    assert sorted((r.doc_id, r.license) for r in license_scan.license_scan(docs, known).collect()) == [(1, None), (2, "MIT"), (2, "MIT")]
+
+
 def test_mixing_stays_within_one_block(spark):
     own = [(i, "t", "en", "hot" if i % 3 else f"s{i % 4}") for i in range(3000)] + [(5000 + i, None, None, None) for i in range(40)]
     df = docs_of(spark, own)
