@@ -203,6 +203,37 @@ def verification_merge(df: DataFrame, places: DataFrame, web: DataFrame, bad_lin
     }).drop("_status", "_p", "_w", "_web", "_bad")
 
 
+#: Fields that a matched place brings whatever says that the business is open.
+PLACE_FIELDS = ("maps_url", "rating", "x", "y")
+
+
+def verified_fields(df: DataFrame, places: DataFrame, web: DataFrame, bad_links: DataFrame, coords: DataFrame, key: str, fallback: str) -> DataFrame:
+    """Df with via, site, maps_url, rating, x and y of what verifies each row, in the order of these sources.
+
+    An operational place brings its fields; its site gives way, if missing or among the bad links, to the web's.  A place that is
+    closed in any way ends it: nothing is told.  Else a web verdict of 'yes' brings its site, with the fields of a matched
+    place of unknown status.  Coordinates that are still missing come from ``coords`` by ``key``, else by ``fallback``.
+
+    places: (key, status, site, maps_url, rating, x, y), status null where unknown; web: (key, operating, site); bad_links:
+    (site); coords: (key, x, y).  Keys are unique in each; rows without any source have nulls."""
+    p = places.select(key, F.lit(True).alias("_match"), F.col("status").alias("_status"), F.col("site").alias("_psite"), *[F.col(c).alias(f"_{c}") for c in PLACE_FIELDS])
+    w = web.where("operating = 'yes'").select(key, F.lit(True).alias("_yes"), F.col("site").alias("_wsite"))
+    bad = bad_links.select("site").where("site IS NOT NULL").distinct()
+    dead = lambda c: bad.select(F.col("site").alias(c), F.lit(True).alias(f"{c}_dead"))
+    own = coords.select(F.col(key), F.col("x").alias("_cx"), F.col("y").alias("_cy"))
+    other = coords.select(F.col(key).alias(fallback), F.col("x").alias("_fx"), F.col("y").alias("_fy"))
+    m = df.join(p, key, "left").join(w, key, "left").join(dead("_psite"), "_psite", "left").join(dead("_wsite"), "_wsite", "left").join(own, key, "left").join(other, fallback, "left")
+    open_place, closed = F.coalesce(F.col("_status") == "OPERATIONAL", F.lit(False)), F.coalesce(F.startswith("_status", F.lit("CLOSED")), F.lit(False))
+    via = F.when(open_place, "places").when(F.col("_yes") & ~closed, "web")
+    place_site, web_site = F.when(F.col("_psite_dead").isNull(), F.col("_psite")), F.when(F.col("_wsite_dead").isNull(), F.col("_wsite"))
+    told = via.isNotNull()
+    has = F.col("_cx").isNotNull() & F.col("_cy").isNotNull()  # coordinates are taken as pairs
+    at = lambda c: F.when(F.col("_x").isNotNull(), F.col(f"_{c}")).when(has, F.col(f"_c{c}")).otherwise(F.col(f"_f{c}"))
+    return m.select(
+        *[F.col(c) for c in df.columns], via.alias("via"), F.when(open_place, F.coalesce(place_site, web_site)).when(told, web_site).alias("site"),
+        *[F.when(told, F.col(f"_{c}")).alias(c) for c in ("maps_url", "rating")], *[F.when(told, at(c)).alias(c) for c in ("x", "y")])
+
+
 def by_alias(df: DataFrame, name: str, aliases: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """The value of table (name, value) for the name or for what aliases (name, canon) call it; null if neither is known."""
     a = aliases.select(F.col("name").alias(name), F.col("canon").alias("_canon"))

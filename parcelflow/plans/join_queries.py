@@ -126,6 +126,26 @@ two AS (SELECT k, arg_min(c, [-s, c]) AS c FROM v WHERE d <= 600 AND s >= 0.2 AN
 SELECT k, c, 'address' AS via FROM one UNION ALL SELECT k, c, 'near' FROM two"""
 
 
+@query("J31_verified_fields", """WITH c AS (SELECT c_custkey AS k FROM customer),
+j AS (SELECT k, CASE WHEN k % 5 IN (0, 1) THEN 'OPERATIONAL' WHEN k % 5 = 2 THEN 'CLOSED_PERMANENTLY' END AS status, k % 5 < 4 AS match, k % 3 = 0 AS yes,
+    CASE WHEN k % 5 < 4 AND k % 7 <> 0 AND k % 20 <> 0 THEN 'http://p/' || k END AS psite, CASE WHEN k % 3 = 0 AND k % 9 <> 0 THEN 'http://v/' || k END AS wsite,
+    CASE WHEN k % 5 < 4 AND k % 2 = 0 THEN k * 1.0 END AS px, CASE WHEN k % 4 <> 0 THEN k * 2.0 END AS cx, CASE WHEN (k // 10) % 4 <> 0 THEN (k // 10) * 2.0 END AS fx FROM c),
+t AS (SELECT *, CASE WHEN status = 'OPERATIONAL' THEN 'places' WHEN status IS NULL AND yes THEN 'web' END AS via FROM j)
+SELECT k, via, CASE via WHEN 'places' THEN coalesce(psite, CASE WHEN yes THEN wsite END) WHEN 'web' THEN wsite END AS site, CASE WHEN via IS NOT NULL AND match THEN 'm' || k END AS maps_url,
+CASE WHEN via IS NOT NULL THEN coalesce(px, cx, fx)::DOUBLE END AS x, CASE WHEN via IS NOT NULL THEN coalesce(px + 1, cx + 1, fx + 1)::DOUBLE END AS y FROM t""")
+def _(t):
+    c = t.customer.select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 10).alias("near"))
+    k, text = F.col("k"), F.col("k").cast("string")
+    x = F.when(k % 2 == 0, k * F.lit(1.0))
+    places = c.where("k % 5 < 4").select(
+        "k", F.when(k % 5 <= 1, "OPERATIONAL").when(k % 5 == 2, "CLOSED_PERMANENTLY").alias("status"), F.when(k % 7 != 0, F.concat(F.lit("http://p/"), text)).alias("site"), F.concat(F.lit("m"), text).alias("maps_url"),
+        (k % 5).cast("double").alias("rating"), x.alias("x"), (x + 1).alias("y"))
+    web = c.where("k % 3 <= 1").select("k", F.when(k % 3 == 0, "yes").otherwise("no").alias("operating"), F.concat(F.lit("http://v/"), text).alias("site"))
+    bad = c.where("k % 20 = 0").select(F.concat(F.lit("http://p/"), text).alias("site")).unionByName(c.where("k % 9 = 0").select(F.concat(F.lit("http://v/"), text).alias("site")))
+    known = c.where("k % 4 <> 0").select("k", (k * F.lit(2.0)).alias("x"), (k * F.lit(2.0) + 1).alias("y"))
+    return resolve.verified_fields(c, places, web, bad, known, "k", "near").select("k", "via", "site", "maps_url", "x", "y")
+
+
 @query("J32_fuzzy_candidate_match", _PLACES)
 def _(t):
     p = t.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("street"), F.col("p_size").alias("num"), keys.name_tokens(F.col("p_name")).alias("w"), E(s.lon("p_partkey")).alias("x"), E(s.lat("p_partkey")).alias("y"))

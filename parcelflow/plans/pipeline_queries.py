@@ -274,6 +274,24 @@ def _(t):
     return state.due_queue(after, NOW + dt.timedelta(days=1)).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("C12_verdict_texts", f"""WITH s AS (SELECT c_custkey AS k, {_DUE.replace('k ', 'c_custkey ')} AS vd, date_diff('day', to_timestamp(1706000000 + c_custkey * 2000)::TIMESTAMP::DATE, DATE '2024-02-15') >= 14 AS ad FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+asked AS (SELECT *, CASE WHEN vd THEN 'verdict' ELSE 'validation' END AS why FROM s WHERE (vd OR ad) AND k % 13 <> 0 AND k % 3 < 2),
+v AS (SELECT c_custkey AS k, c_custkey % 9 = 0 AS bad, c_custkey % 5 = 0 AS gone FROM customer WHERE c_acctbal >= 2000), j AS (SELECT s.*, v.k IS NOT NULL AND s.k IN (SELECT k FROM asked) AS hit, coalesce(bad, false) AS bad, gone FROM s LEFT JOIN v USING (k)),
+a AS (SELECT k, hit, bad, gone, CASE WHEN hit AND NOT bad THEN 1 >= CASE WHEN gone THEN 60 ELSE 180 END ELSE date_diff('day', to_timestamp(1700000000 + k * 7000)::TIMESTAMP::DATE, DATE '2024-02-16') >= CASE k % 3 WHEN 0 THEN 180 WHEN 1 THEN 60 ELSE 7 END END AS vd,
+CASE WHEN hit THEN false ELSE date_diff('day', to_timestamp(1706000000 + k * 2000)::TIMESTAMP::DATE, DATE '2024-02-16') >= 14 END AS ad FROM j)
+SELECT 'asked' AS part, why AS name, count(*) AS n FROM asked GROUP BY ALL UNION ALL SELECT 'next', CASE WHEN vd THEN 'verdict' ELSE 'validation' END, count(*) FROM a WHERE vd OR ad GROUP BY ALL
+UNION ALL SELECT 'state', CASE WHEN hit AND NOT bad THEN CASE WHEN gone THEN 'no' ELSE 'yes' END WHEN k % 3 = 0 THEN 'yes' WHEN k % 3 = 1 THEN 'no' ELSE 'unclear' END, count(*) FROM a GROUP BY ALL""")
+def _(t):
+    k = F.col("c_custkey")
+    plain = F.concat(F.lit('Sure: {"operating": "'), F.when(k % 5 == 0, "no").otherwise("yes"), F.lit('", "labels": ["thai"], "website_ok": true, "match_ok": true, "drop": false, "mood": 3} done'))
+    answers = t.customer.where("c_acctbal >= 2000").select(k.cast("string").alias("key"), F.when(k % 9 == 0, "no answer").otherwise(F.when(k % 2 == 0, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).otherwise(plain)).alias("text"))
+    done = t.customer.where("c_custkey % 13 = 0").select(k.cast("string").alias("key"))
+    groups = t.spark.createDataFrame([("yes",), ("no",)], "operating string")
+    asked, after, due = pipelines.verdict_cycle(_state(t), answers, done, groups, NOW)
+    count = lambda df, part, name: df.groupBy(F.lit(part).alias("part"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    return count(asked, "asked", "why").unionByName(count(due, "next", "why")).unionByName(count(after, "state", "operating"))
+
+
 @query("C13_insight_rows", """WITH a AS (SELECT c_nationkey AS area, count(*) AS n, max(c_acctbal) AS top, avg(c_acctbal) AS mean FROM customer GROUP BY 1), x AS (SELECT area, n::DOUBLE AS value FROM a ORDER BY n DESC, area LIMIT 1), y AS (SELECT area, top AS value FROM a WHERE area NOT IN (SELECT area FROM x) ORDER BY top DESC, area LIMIT 1),
 z AS (SELECT area, mean AS value FROM a WHERE area NOT IN (SELECT area FROM x UNION ALL SELECT area FROM y) ORDER BY mean, area LIMIT 1)
 SELECT 'most' AS finding, area, round(value, 4) AS value FROM x UNION ALL SELECT 'richest', area, round(value, 4) FROM y UNION ALL SELECT 'leanest', area, round(value, 4) FROM z UNION ALL (SELECT 'lead', c_nationkey, round(c_acctbal, 4) FROM customer WHERE c_nationkey IN (SELECT area FROM a WHERE mean < 4600) ORDER BY c_acctbal DESC, c_custkey LIMIT 1) UNION ALL SELECT 'total', NULL, sum(n)::DOUBLE FROM a""")

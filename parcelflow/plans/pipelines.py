@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import dates, geo, keys, mathx
+from ..functions import dates, geo, keys, mathx, text
 from ..operators import aggregates as agg
 from ..operators import feeds, parcels, quality, resolve, spatial
+from ..streaming import state
 
 
 def openings_feed(licences: DataFrame, categories: Sequence[str], as_of: dt.date, rules, brands: DataFrame, verdicts: DataFrame, places: DataFrame, web: DataFrame, bad_links: DataFrame) -> DataFrame:
@@ -255,6 +256,27 @@ def audits(lots: DataFrame, claims: DataFrame, fresh: DataFrame, reference: Data
     return quality.report(found)
 
 
+#: Fields that a verdict text may hold, and their types.
+VERDICT_FIELDS = "operating string, labels array<string>, website_ok boolean, match_ok boolean, drop boolean"
+
+
+def verdict_cycle(state_: DataFrame, answers: DataFrame, done: DataFrame, groups: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys to ask about, the next state, the keys due a day later).
+
+    The queue of keys that are due (X04), without those that are asked already and only of wanted groups (P30), meets the answer
+    texts; each is read as JSON between its first and last brace (F27), unknown fields are left out, and a text that cannot be read
+    is an error, which embargoes its key.  Verdicts are applied to the state (X03).
+
+    state_: the verdict state; answers: (key, text); done: (key); groups: (operating)."""
+    due = state.due_queue(state_, now).join(state_.select("key", "operating"), "key")
+    asked = resolve.select_targets(due, done, "key", groups, "operating", F.lit(True)).select("key", "why")
+    told = F.from_json(text.first_object(F.col("text")), VERDICT_FIELDS)
+    verdicts = answers.join(asked.select("key"), "key", "left_semi").withColumn("_v", told)
+    verdicts = verdicts.select("key", "_v.*", (F.col("_v").isNull() | (F.col("_v.operating").isNull() & F.col("_v.labels").isNull())).alias("error"))
+    after = state.apply_verdicts(state_, verdicts, now)
+    return asked, after, state.due_queue(after, now + dt.timedelta(days=1))
+
+
 def insight_rows(areas: DataFrame, metrics: dict[str, tuple[str, bool]], lead: DataFrame, total: str) -> DataFrame:
     """For each metric in turn the best area that no earlier metric took (W08), the lead story (T06: area, value) and the
     grand total (A03).  areas: (area, metrics, total); a metric is (column, descending)."""
