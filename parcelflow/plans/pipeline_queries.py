@@ -18,7 +18,7 @@ from .join_queries import cust, feed
 from .registry import query
 from .source_queries import scratch
 from .spatial_queries import CTE, STREETS, _gap_sql, _side_sql, boxes, points, segments, stops, streets
-from .state_queries import NOW, _state, _verdicts
+from .state_queries import NOW, _state, _verdicts, last_table
 
 E = F.expr
 RULES = [("fast", ["URGENT", "HIGH"]), ("slow", ["LOW"]), ("plain", ["MEDIUM"])]
@@ -240,6 +240,16 @@ def _(t):
     return pipelines.usage_rollup(path, t.spark, prices, sources.read_jsonl)
 
 
+@query("C10_usage_stream", "SELECT ts::DATE AS day, event_type AS sku, round(sum(value * CASE event_type WHEN 'view' THEN 0.017::DOUBLE WHEN 'click' THEN 0.005::DOUBLE ELSE 0 END), 6) AS cost, count(*) AS calls FROM events WHERE event_id % 10 <> 3 GROUP BY ALL")
+def _(t):
+    path = scratch(t)
+    line = F.to_json(F.struct("event_id", F.col("event_type").alias("sku"), F.col("ts").alias("at"), F.col("value").alias("units")))
+    t.events.select(F.when(F.col("event_id") % 10 == 3, F.lit('{"event_id": 1, "sku"')).otherwise(line).alias("value")).repartition(4).write.text(path)
+    prices = t.spark.createDataFrame([("view", 0.017), ("click", 0.005)], "sku string, price double")
+    daily = pipelines.usage_stream(t.spark.readStream.text(path), prices, "60 days")
+    return last_table(t, daily).withColumn("cost", F.round("cost", 6))
+
+
 @query("C11_audits", LOT_CTE + """, found AS (SELECT 'coverage' AS rule, 'CRITICAL' AS severity, 0 AS severity_rank, count(*) FILTER (coverage > 0.8)::BIGINT AS n FROM lots UNION ALL SELECT 'units_need_height', 'HIGH', 1, count(*) FILTER (units > 6 AND height_m = 0) FROM lots
 UNION ALL SELECT 'height_range', 'MEDIUM', 2, count(*) FILTER (height_m > 14) FROM lots UNION ALL SELECT 'kind_coupling', 'LOW', 3, count(*) FILTER (kind = 'PROMO' AND units > 0) FROM lots
 UNION ALL SELECT 'constant_column', 'MEDIUM', 2, (count(DISTINCT kind) <= 1)::INT + (count(DISTINCT heritage) <= 1)::INT + (count(DISTINCT regulated) <= 1)::INT + (count(DISTINCT units) <= 1)::INT FROM lots

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions import dates, geo, keys, mathx, text
 from ..operators import aggregates as agg
 from ..operators import feeds, parcels, quality, resolve, spatial
-from ..streaming import state
+from ..streaming import ledger, state
 
 
 def openings_feed(licences: DataFrame, categories: Sequence[str], as_of: dt.date, rules, brands: DataFrame, verdicts: DataFrame, places: DataFrame, web: DataFrame, bad_links: DataFrame) -> DataFrame:
@@ -194,6 +194,17 @@ def usage_rollup(ledger_path: str, spark, prices: DataFrame, read) -> DataFrame:
     return agg.ledger_rollup(priced.withColumn("day", F.to_date("at")), "provider", "sku", "day", "cost")
 
 
+def usage_stream(lines: DataFrame, prices: DataFrame, late: str) -> DataFrame:
+    """C10, as a stream: cost and calls by day and sku (X01) of a stream of ledger lines (value), tolerant of broken ones.
+
+    A line counts if it is an object with an event_id and a time; skus without a price cost nothing.  Days are final when the
+    watermark, ``late`` behind the newest line, has passed them.  prices: (sku, price), a static table of a few dozen rows."""
+    entry = F.from_json("value", "event_id long, sku string, at timestamp, units double")
+    rows = lines.select(entry.alias("e")).select("e.*").where("event_id IS NOT NULL AND at IS NOT NULL")
+    priced = rows.join(F.broadcast(prices), "sku", "left").withColumn("cost", F.coalesce("units", F.lit(0.0)) * F.coalesce("price", F.lit(0.0)))
+    return ledger.daily_costs(priced, "at", "sku", "cost", late=late)
+
+
 def neighbourhood_scores(areas: DataFrame, points: DataFrame, streets: DataFrame, stops: DataFrame, lots: DataFrame, per_lot: DataFrame, brackets: DataFrame, households: DataFrame, permits: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The inputs and the weighted score (M05) of every area.
 

@@ -24,7 +24,7 @@ def _rocksdb(t, run):
         t.spark.conf.set(name, before)
 
 
-def _last_table(t, df):
+def last_table(t, df):
     """The final table of a stream in complete mode that reads what is there and stops: every batch writes a folder of its own."""
     out = scratch(t)
     q = df.writeStream.outputMode("complete").foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", scratch(t)).trigger(availableNow=True).start()
@@ -50,7 +50,7 @@ def _(t):
 @query("X01_stream_ledger_rollup", _DAILY)
 def _(t):
     daily = ledger.daily_costs(_events_stream(t), "ts", "event_type", "value", late="60 days")
-    return _last_table(t, daily).select("day", "sku", F.round("cost", 4).alias("cost"), "calls")
+    return last_table(t, daily).select("day", "sku", F.round("cost", 4).alias("cost"), "calls")
 
 
 @query("X02_new_entities_batch", "SELECT user_id, min(ts::DATE) AS first_seen FROM events GROUP BY 1")
