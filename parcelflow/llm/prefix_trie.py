@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark_util import written
+from .spark_util import discard, written
 
 #: Turns of a conversation that one task holds together; shares into which the sequences of a node are dealt; ids joined in one string.
 BLOCK, SALTS, IDS = 1024, 32, 1024
@@ -46,9 +46,9 @@ def _heads_by_crc(conv: Column) -> Column:
     return F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(6)).cast("long")
 
 
-def rebuilt_turns(conversations: DataFrame, share: int = 100, longest_head: int = 5) -> tuple[DataFrame, DataFrame]:
-    """((conv_id, n), turns (conv_id, n, depth, x, y, chars)) of the rebuilt conversations: the first h turns of the first
-    conversation of each ``share``, then the own turns after the first h."""
+def rebuilt_turns(conversations: DataFrame, share: int = 100, longest_head: int = 5) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """((conv_id, n), turns (conv_id, n, depth, x, y, chars), tables that they read) of the rebuilt conversations: the first h
+    turns of the first conversation of each ``share``, then the own turns after the first h."""
     turns = numbered_turns(conversations)
     parts = turns.groupBy("conv_id", "part").agg(F.min("at").alias("start"), F.count("*").alias("many"))
     order = Window.partitionBy("conv_id").orderBy("part")
@@ -67,7 +67,8 @@ def rebuilt_turns(conversations: DataFrame, share: int = 100, longest_head: int
     own = own.select("conv_id", "n", (place - F.col("h") + F.col("taken") + 1).alias("depth"), "x", "y", "chars")
     once = infos.where("before = 0")
     head = once.select("conv_id", "n", F.explode("head").alias("t")).select("conv_id", "n", (F.col("t.place") + 1).alias("depth"), "t.x", "t.y", "t.chars")
-    return once.select("conv_id", "n"), head.unionByName(own)
+    discard(parts)
+    return once.select("conv_id", "n"), head.unionByName(own), [turns, infos]
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -127,23 +128,26 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     number by role and then by the text's MD5 digest, and repeated rows are turns of their own.  Very long texts and
     conversations are taken whole.  A conversation left without turns is a member of the root.  An empty table has no nodes;
     other columns are not read."""
-    convs, turns = rebuilt_turns(conversations)
+    convs, turns, read = rebuilt_turns(conversations)
     steps = written(prefixes(turns), "trie-prefixes")
     zero = F.lit(0).cast("long")
     last = steps.where("depth = n").select("conv_id", "x", "y", "depth", "upto")
     last = written(last.unionByName(convs.where("n = 0").select("conv_id", zero.alias("x"), zero.alias("y"), zero.alias("depth"), zero.alias("upto"))), "trie-last")
+    discard(*read)
     sequences = last.groupBy(*NODE).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("weight"), F.first("upto").alias("total"))
     # sequences that are proper prefixes of others are no leaves
     inner = steps.where("depth < n").select(*NODE).distinct()
     some = steps.where("n > 0").select(zero.alias("x"), zero.alias("y"), zero.alias("depth")).limit(1)
-    sequences = written(sequences, "trie-sequences")
-    leaves = sequences.join(inner.unionByName(some), NODE, "left_anti").select("conv_id", F.lit(1).cast("long").alias("leaf"))
-    sequences = written(sequences.join(leaves, "conv_id", "left").select("conv_id", F.col("depth").alias("n"), "weight", "total", F.coalesce("leaf", zero).alias("leaf")), "trie-weighted")
+    whole = written(sequences, "trie-sequences")
+    leaves = whole.join(inner.unionByName(some), NODE, "left_anti").select("conv_id", F.lit(1).cast("long").alias("leaf"))
+    sequences = written(whole.join(leaves, "conv_id", "left").select("conv_id", F.col("depth").alias("n"), "weight", "total", F.coalesce("leaf", zero).alias("leaf")), "trie-weighted")
+    discard(whole)
     # prefixes of every sequence, block by block, and the root of each
     blocks = sequences.select("conv_id", F.explode(F.sequence(zero, F.expr(f"greatest(n - 1, 0) DIV {BLOCK}"))).alias("block"), "weight", "total", "leaf")
     none = {"depth": zero, "x": zero, "y": zero, "px": zero, "py": zero, "chars": zero, "upto": zero, "block": zero}
     path = steps.drop("n").join(blocks, ["conv_id", "block"]).unionByName(sequences.drop("n").withColumns(none))
     path = written(path.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS))), "trie-paths")
+    discard(steps, sequences)
     shares = path.groupBy(*NODE, "salt").agg(
         F.min("conv_id").alias("conv_id"), F.sum("weight").alias("n_convs"), F.sum("leaf").alias("n_leaves"), F.sum(F.col("weight") * F.col("total")).alias("over"),
         F.first("px").alias("px"), F.first("py").alias("py"), F.first("chars").alias("chars"), F.first("upto").alias("upto"),
@@ -156,6 +160,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     # owner of every prefix of every sequence
     owner = shares.select(*NODE, "salt").join(nodes.select(*NODE, F.col("conv_id").alias("owner")), NODE)
     owned = written(path.select("conv_id", "block", *NODE, "salt", "upto", "total").join(owner, [*NODE, "salt"]), "trie-owned")
+    discard(path, shares)
     guests = owned.where("owner <> conv_id")
     adds = guests.groupBy("conv_id").agg(F.max("depth").alias("to"), F.max("upto").alias("shared"), F.first("total").alias("total"))
     adds = adds.select("conv_id", F.explode(F.sequence(zero, F.expr(f"greatest(to - 1, 0) DIV {BLOCK}"))).alias("block"), (F.col("total") - F.col("shared")).alias("adds"))
