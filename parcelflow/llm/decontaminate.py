@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as t
-from .spark_util import with_text, written
+from .spark_util import discard, with_text, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 500_000
@@ -148,11 +149,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs without the rows that hold a benchmark window; with ``spans``, (doc_id, text) of all rows without the hit words,
+    """docs without the rows that hold a benchmark window, told block by block in the scan itself; with ``spans``, (doc_id, text) of all rows without the hit words,
     which are those of the original text for all blocks of windows."""
-    wins = benchmark_windows(benchmark, window)
-    numbered = _numbered(with_text(docs) if spans else docs)
-    found = _hits(numbered, wins, max(1, -(-wins.count() // block))).where(F.size("hit_words") > 0).select(F.col("row").alias("_hit_row"), "hit_words")
+    wins = written(benchmark_windows(benchmark, window), "benchmark-windows")
+    blocks = max(1, -(-wins.count() // block))
     if spans:
+        numbered = _numbered(with_text(docs))
+        found = _hits(numbered, wins, blocks).where(F.size("hit_words") > 0).select(F.col("row").alias("_hit_row"), "hit_words")
         return numbered.join(found, F.col(ROW) == F.col("_hit_row"), "left").select("doc_id", "text", "hit_words").mapInArrow(_without, "doc_id long, text string")
-    return numbered.join(found.select("_hit_row"), F.col(ROW) == F.col("_hit_row"), "left_anti").drop(ROW)
+    clean = docs
+    for k in range(blocks):  # one block is in the driver and on the executors at a time; a row goes where it is read
+        held = docs.sparkSession.sparkContext.broadcast(_Windows(wins.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()))
+        rows = clean.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("carried"))
+        out = T.StructType([rows.schema["carried"], *T._parse_datatype_string(_FOUND).fields])
+        left = rows.mapInArrow(_scan(held), out).where(F.size("hit_words") == 0).select(*[F.col("carried")[c].alias(c) for c in docs.columns])
+        if k + 1 < blocks:
+            left = written(left, "benchmark-clean")
+            held.unpersist()
+        if k and k + 1 < blocks:
+            discard(clean)
+        clean = left
+    discard(wins)
+    return clean
