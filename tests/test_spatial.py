@@ -266,3 +266,27 @@ def test_shadows_have_the_areas_of_their_closed_forms(spark):
     ends = shade(swept=False)  # only the copy at the end: a triangle from y = 2 to y = 7
     assert ends[1][0] == pytest.approx(1 - 25 / 100, abs=1e-9)
     assert shade(most=1)[3] == (None, "unavailable")  # the nearest building there has no height
+
+
+def test_long_segments_pass_few_cells_and_touch_what_brute_force_finds(spark):
+    import random
+
+    rnd = random.Random(5)
+    lots = [(k, rnd.random(), rnd.random()) for k in range(60)]
+    segs = [(s, *(rnd.random() for _ in range(4))) for s in range(40)] + [(40, 0.5, 0.0, 0.5, 1.0), (41, 0.0, 0.5, 1.0, 0.5), (42, 0.3, 0.3, 0.3, 0.3)]
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    c = F.col
+    lot = spark.createDataFrame(lots, "k long, x double, y double").select("k", "x", "y", F.array(F.array(point(c("x"), c("y")), point(c("x") + 0.02, c("y")), point(c("x") + 0.02, c("y") + 0.03), point(c("x"), c("y") + 0.03))).alias("lot"))
+    line = spark.createDataFrame(segs, "s long, ax double, ay double, bx double, b_y double").select((c("s") % 7).alias("name"), F.array(point(c("ax"), c("ay")), point(c("bx"), c("b_y"))).alias("line"))
+    cells = spatial.segment_cells(line.select(F.explode(spatial.geo.segments(c("line"))).alias("_s")), "_s", 0.01)
+    assert cells.count() <= 43 * 203  # the boxes have 1,000 and more
+    both = lot.crossJoin(line)
+    for reach in (0.0, 0.004, 0.05):
+        want = both.where(spatial.geo.boundary_gap(c("lot"), F.struct(c("line")[0].alias("a"), c("line")[1].alias("b"))) <= reach).groupBy("k").agg(F.countDistinct("name").alias("n"))
+        want = {r.k: r.n for r in want.collect()}
+        got = {r.k: r.n_lines for r in spatial.lines_touched(lot, line, "k", "lot", "line", "name", reach).collect()}
+        assert got == {k: want.get(k, 0) for k, _, _ in lots}, reach
+    for reach in (0.001, 0.02, 0.5):
+        want = {r.k: r.d for r in both.groupBy("k").agg(F.min(spatial.geo.path_distance(c("x"), c("y"), c("line"))).alias("d")).collect()}
+        got = {r.k: r.dist_m for r in spatial.nearest_line(lot, line, "k", "x", "y", "line", reach, 1.0, 9.0).collect()}
+        assert got == {k: d if d <= reach else 9.0 for k, d in want.items()}, reach
