@@ -290,3 +290,20 @@ def test_long_segments_pass_few_cells_and_touch_what_brute_force_finds(spark):
         want = {r.k: r.d for r in both.groupBy("k").agg(F.min(spatial.geo.path_distance(c("x"), c("y"), c("line"))).alias("d")).collect()}
         got = {r.k: r.dist_m for r in spatial.nearest_line(lot, line, "k", "x", "y", "line", reach, 1.0, 9.0).collect()}
         assert got == {k: d if d <= reach else 9.0 for k, d in want.items()}, reach
+
+
+def test_nearest_few_of_dense_rows_joins_few_of_them(spark):
+    import random
+
+    rnd = random.Random(9)
+    left = spark.createDataFrame([(k, 10 + rnd.random() * 0.02, 50 + rnd.random() * 0.02) for k in range(40)] + [(40, None, 50.0), (41, 11.0, 50.0)], "k long, x double, y double")
+    spots = [(10 + rnd.random() * 0.02, 50 + rnd.random() * 0.02) for _ in range(300)]
+    right = spark.createDataFrame([(s, *spots[s % 300]) for s in range(900)], "s long, sx double, sy double")  # three in each place
+    c = F.col
+    d = left.crossJoin(right).withColumn("d", spatial.geo.haversine(c("x"), c("y"), c("sx"), c("sy"))).where("d <= 600")
+    want = {k: [] for k in range(42)}
+    for r in d.select("k", "s", "d").collect():
+        want[r.k].append((r.d, r.s))
+    for n in (1, 5):
+        got = {r.k: [(b._d, b._rid) for b in r._best] for r in spatial.nearest_few(left, right, "k", "x", "y", "s", "sx", "sy", n, 600.0).collect()}
+        assert got == {k: sorted(v)[:n] for k, v in want.items()}, n
