@@ -103,6 +103,39 @@ def test_union_coverage_counts_overlaps_once_and_cuts_large_polygons(spark):
         assert {k: pytest.approx(v) for k, v in got.items()} == {1: (0.75, 0.25), 2: (35.0, 65.0), 3: (0.0, 1.0), 4: (0.75 - 0.25, 0.25), 5: (0.75, 0.24)}
 
 
+def test_sweep_areas_with_slanted_sides_that_leave_the_clip_and_with_dense_squares():
+    triangle, around = dict_rings([[(0, 0), (4, 0), (0, 4)]]), dict_rings(box(-1, -1, 9, 9))
+    assert geo.sweep_areas(triangle, [around], (1, 1, 2.5, 9)) == pytest.approx((2.0 - 0.125, 0.0))
+    rng = random.Random(6)
+    many = [dict_rings(box(rng.uniform(0, 0.08), rng.uniform(0, 0.08), 0.02, 0.02)) for _ in range(2000)]
+    pieces = geo.sweep_pieces(many, (0.03, 0.03, 0.05, 0.05))  # every quarter of a quarter is held by one square
+    assert len(pieces) <= 64 and sum((p[1] - p[0]) * (p[4] - p[2]) for p in pieces) == pytest.approx(0.0004)
+
+
+def test_union_of_slanted_polygons_in_many_cells(spark):
+    rng = random.Random(8)
+    shape = lambda r: [[(c[0] + r * math.cos(t), c[1] + r * math.sin(t)) for t in sorted(rng.uniform(0, 2 * math.pi) for _ in range(5))] for c in [(rng.uniform(0, 4), rng.uniform(0, 4))]]
+    others, shapes = [shape(rng.uniform(0.1, 0.8)) for _ in range(60)], [shape(0.7) for _ in range(12)]
+    a, b = spark.createDataFrame(list(enumerate(shapes)), f"k int, shape {POLY}"), spark.createDataFrame([(o,) for o in others], f"other {POLY}")
+    got = {r.k: (r.covered, r.bare) for r in spatial.union_coverage(a, b, "k", "shape", "other", 2.0).collect()}
+    n = 250
+    for k, ring in enumerate(shapes):
+        low, high = np.array(ring[0]).min(0), np.array(ring[0]).max(0)
+        x, y = (v.ravel() for v in np.meshgrid(*(low[i] + (np.arange(n) + 0.5) * (high[i] - low[i]) / n for i in (0, 1))))
+
+        def inside(p):
+            odd = np.zeros(len(x), bool)
+            for (x1, y1), (x2, y2) in zip(p, p[1:] + p[:1]):
+                odd ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / ((y2 - y1) or 1.0) + x1)
+            return odd
+
+        mine, any_ = inside(ring[0]), np.zeros(len(x), bool)
+        for o in others:
+            any_ |= inside(o[0])
+        share = (high - low).prod() / len(x)
+        assert got[k] == pytest.approx(((mine & any_).sum() * share, (mine & ~any_).sum() * share), abs=8e-3)
+
+
 def test_attached_classes(spark):
     lots = spark.createDataFrame([(k, box(k * 20.0, 0.0, 20.0, 30.0)) for k in range(9)] + [(20, box(500.0, 0.0, 20.0, 30.0)), (21, None)], f"k int, lot {POLY}")
     b = [
