@@ -340,3 +340,25 @@ def test_nearest_few_of_dense_rows_joins_few_of_them(spark):
     for n in (1, 5):
         got = {r.k: [(b._d, b._rid) for b in r._best] for r in spatial.nearest_few(left, right, "k", "x", "y", "s", "sx", "sy", n, 600.0).collect()}
         assert got == {k: sorted(v)[:n] for k, v in want.items()}, n
+
+
+def test_quadrants_against_every_pair_in_small_blocks(spark):
+    rng = random.Random(12)
+    left = [(k, -79.4 + rng.random() * 0.05, 43.6 + rng.random() * 0.05) for k in range(60)]
+    right = [(100 + k, -79.4 + rng.random() * 0.05, 43.6 + rng.random() * 0.05, rng.choice([None, rng.random()])) for k in range(80)]
+    right += [(7, *left[7][1:], 5.0), (8, *left[9][1:], 6.0), (9, left[3][1], left[3][2] + 0.003, 7.0)]  # itself, the same place, due north
+    l, r = spark.createDataFrame(left, "k long, x double, y double"), spark.createDataFrame(right, "s long, sx double, sy double, v double")
+    want = {}
+    for k, x, y in left:
+        for s, sx, sy, v in right:
+            if s != k and haversine(x, y, sx, sy) <= 2000:
+                d, a, b = math.radians(sx - x), math.radians(y), math.radians(sy)
+                deg = (math.degrees(math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d))) + 360) % 360
+                q = "n" if deg >= 315 or deg < 45 else "e" if deg < 135 else "s" if deg < 225 else "w"
+                want.setdefault(k, {c: [] for c in "nesw"})[q] += [] if v is None else [v]
+    want = {k: tuple(sum(q[c]) / len(q[c]) if q[c] else None for c in "nesw") for k, q in want.items() if any(q.values())}
+    for block in (4, 1024):
+        got = {t.k: (t.avg_n, t.avg_e, t.avg_s, t.avg_w) for t in spatial.quadrants(l, r, "k", "x", "y", "s", "sx", "sy", "v", 2000.0, block).collect()}
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert got[k] == tuple(None if c is None else pytest.approx(c) for c in v)
