@@ -362,3 +362,18 @@ def test_quadrants_against_every_pair_in_small_blocks(spark):
         assert got.keys() == want.keys()
         for k, v in want.items():
             assert got[k] == tuple(None if c is None else pytest.approx(c) for c in v)
+
+
+def test_inside_lengths_of_many_segments_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    shape = [box(0, 0, 1, 1)[0], box(0.4, 0.4, 0.2, 0.2)[0]]
+    ends = rng.uniform(-0.5, 1.5, (4, 200))
+    rings = pa.array([dict_rings(shape)] * 200, pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    got = geo.inside_lengths(*ends, geo._flat_edges(rings))
+    t = (np.arange(20_000) + 0.5) / 20_000
+    for (ax, ay, bx, by), m in zip(ends.T, got):
+        x, y = ax + t * (bx - ax), ay + t * (by - ay)
+        inside = (x > 0) & (x < 1) & (y > 0) & (y < 1) & ~((x > 0.4) & (x < 0.6) & (y > 0.4) & (y < 0.6))
+        assert m == pytest.approx(inside.mean() * haversine(ax, ay, bx, by), abs=60)
