@@ -377,3 +377,18 @@ def test_inside_lengths_of_many_segments_at_once():
         x, y = ax + t * (bx - ax), ay + t * (by - ay)
         inside = (x > 0) & (x < 1) & (y > 0) & (y < 1) & ~((x > 0.4) & (x < 0.6) & (y > 0.4) & (y < 0.6))
         assert m == pytest.approx(inside.mean() * haversine(ax, ay, bx, by), abs=60)
+
+
+def test_least_polygon_among_many_over_each_other(spark):
+    rng = random.Random(14)
+    shapes = [(k, box(rng.uniform(0, 3), rng.uniform(0, 3), rng.uniform(0.5, 1.5), rng.uniform(0.5, 1.5))) for k in range(80)]
+    shapes = [(k, s + box(s[0][0][0] + 0.1, s[0][0][1] + 0.1, 0.3, 0.3) if k % 2 else s) for k, s in shapes] + [(99, None)]
+    points = [(i, rng.uniform(-0.5, 4.5), rng.uniform(-0.5, 4.5)) for i in range(400)] + [(999, None, 1.0)]
+    inside = lambda x, y, r: r[0][0] <= x < r[1][0] and r[0][1] <= y < r[2][1]
+    want = {}
+    for i, x, y in points[:-1]:
+        held = [k for k, s in shapes[:-1] if inside(x, y, s[0]) and not any(inside(x, y, h) for h in s[1:])]
+        if held:
+            want[i] = min(held)
+    p, s = spark.createDataFrame(points, "i int, x double, y double"), spark.createDataFrame(shapes, f"k int, shape {POLY}")
+    assert {r.i: r.k for r in spatial.least_polygon(p, s, ["i"], "x", "y", "shape", "k").collect()} == want
