@@ -4,9 +4,12 @@ Every source's documents, in a fixed pseudo-random order, are cut into blocks.
 released at floor(j / w) and due at ceil((j + 1) / w); at every slot the released block with the earliest deadline
 runs, so after any number of slots each source is less than one block from its share.
 
-The exact schedule takes shares to 2^-36.  Its state at the start of every frame of slots is folded in one row, and the
-frames are then scheduled side by side; what that fold costs is bounded, as blocks grow with the input so that SLOTS of
-them hold it.  With a period instead, every source gets 1 / period and only the rest follows the weights,
+The exact schedule takes shares to 2^-36.  Its slots are cut into frames.  Of the blocks released before a slot, those
+run by then are the best by deadline that can all be run (a lower one never delays a higher one), so a frame can be run
+alone, as if nothing were left over from before it: every block that is left over at its start then takes an idle slot of
+the frame, or the place of the last by deadline among itself and what the frame ran.  So the frames are run side by side,
+one short pass over the frames (no slots) tells what is left over at the start of each, and they are scheduled side by side.
+With a period instead, every source gets 1 / period and only the rest follows the weights,
 in multiples of 1 / period: the schedule repeats, but shares can be far from the weights where sources are many.
 """
 
@@ -16,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .spark_util import written
+from .spark_util import partitions, written
 
-#: Shares of the exact schedule are multiples of 1 / SHARES; it is folded in frames of so many slots.
+#: Shares of the exact schedule are multiples of 1 / SHARES; it is cut into frames of so many slots, or as many as there are frames.
 SHARES, FRAME = 1 << 36, 1000
 PERIOD = 1000
-#: Rows of a block, and the number of slots from which on blocks grow instead.
-BLOCK, SLOTS = 16, 1 << 20
+#: Rows of a block.
+BLOCK = 16
 DIGITS = 3  # hex digits of the bucket number: 4096 buckets
 
 
@@ -85,6 +88,41 @@ def _advance(state, pick):
     return F.transform(state, lambda x, i: F.struct(x["q"].alias("q"), (x["lead"] + x["q"] - ran(i) * F.lit(SHARES)).alias("lead"), (x["j"] + ran(i)).alias("j")))
 
 
+def _fresh(at, q):
+    """State of a source at a slot if all its blocks released before have run: the product slot * q in parts that a long holds."""
+    half = F.lit(1 << 18)
+    high = at * _div(q, half)
+    low = (high % half) * half + at * (q % half)
+    over = low % F.lit(SHARES)
+    return F.struct(q.alias("q"), F.when(over == 0, over).otherwise(over - F.lit(SHARES)).alias("lead"), (_div(high, half) + _div(low, F.lit(SHARES)) + F.when(over == 0, 0).otherwise(1)).alias("j"))
+
+
+def _left_over(frames: DataFrame) -> DataFrame:
+    """(f, left): which sources have a released block that has not run at the start of frame f.
+
+    frames: (f, slots from ``at`` to ``to``, start and end: states before and after the frame run alone).  A source's last block released
+    before the end is a spare one (run in the frame, but due later), an older one (released before the frame), or has
+    surely not run."""
+    due = lambda x: F.col("to") + _div(F.when(x["lead"] > 0, F.lit(SHARES) - x["lead"]).otherwise(-x["lead"]) + x["q"] - 1, x["q"])
+    kind = lambda x, i: F.when(x["lead"] > 0, "left").when(x["lead"] < 0, F.when(x["j"] > F.element_at("start", i + 1)["j"], "spare").otherwise("old"))
+    ran = F.aggregate(F.zip_with("start", "end", lambda a, b: b["j"] - a["j"]), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    marks = F.transform("end", lambda x, i: F.struct(kind(x, i).alias("kind"), F.struct(due(x).alias("due"), i.alias("i")).alias("rank")))
+    one = frames.select("f", (F.col("to") - F.col("at") - ran).alias("idle"), marks.alias("marks")).agg(F.array_sort(F.collect_list(F.struct("f", "idle", "marks"))).alias("frames"))
+
+    def step(acc, frame):
+        here = F.element_at(acc, -1)
+        more = F.size(F.filter(here, lambda x: x)) - frame["idle"]  # so many blocks do not fit
+        free = lambda m, i: (m["kind"] == "spare") | ((m["kind"] == "old") & F.element_at(here, i + 1))
+        ranks = F.sort_array(F.transform(F.filter(frame["marks"], lambda m, i: free(m, i)), lambda m: m["rank"]), asc=False)
+        last = F.when(more > 0, F.element_at(ranks, more.cast("int")))
+        left = lambda least: F.transform(frame["marks"], lambda m, i: F.coalesce((m["kind"] == "left") | (free(m, i) & (m["rank"] >= least)), F.lit(False)))
+        return F.concat(acc, F.transform(F.array(last), left))
+
+    none = F.array(F.transform(F.element_at("frames", 1)["marks"], lambda m: F.lit(False)))
+    kept = F.aggregate("frames", none, step)
+    return one.where(F.size("frames") > 0).select(F.posexplode(kept).alias("f", "left")).select(F.col("f").cast("long").alias("f"), "left")
+
+
 def exact_schedule(weights: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(source, k, slot): the slot of the k-th block of each source, up to the first block that no source can fill.
 
@@ -103,26 +141,30 @@ def exact_schedule(weights: DataFrame, rows: DataFrame, block: int = BLOCK) -> D
     each = one.select(F.explode(F.arrays_zip(F.col("a").alias("a"), F.col("qs").alias("q"))).alias("p")).select(F.col("p.a.s.source").alias("_s"), F.col("p.q").alias("q"))
     until = F.ceil((F.floor(F.col("rows") / block) + 1).cast("double") * F.lit(float(SHARES)) / F.col("q"))
     slots = each.join(rows, F.col("_s").eqNullSafe(F.col("source").cast("string"))).agg(F.max(until).alias("slots"))
-    one = one.crossJoin(slots.where("slots IS NOT NULL"))  # one row each
-    within = lambda f: F.sequence(f * FRAME, f * FRAME + (FRAME - 1))
-    start = F.transform("qs", lambda q: F.struct(q.alias("q"), F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("j")))
-    frame = lambda acc, f: F.struct(
-        F.aggregate(within(f), acc["now"], lambda state, t: _runs(state, lambda pick: _advance(state, pick))).alias("now"),
-        F.concat(acc["kept"], F.array(acc["now"])).alias("kept"),
-    )
-    kept = F.aggregate(F.sequence(F.lit(0).cast("long"), _div(F.col("slots"), F.lit(FRAME))), F.struct(start.alias("now"), F.filter(F.array(start), lambda x: F.lit(False)).alias("kept")), frame)
-    frames = written(one.select("a", F.posexplode(kept["kept"]).alias("f", "state")), "mix-frames").withColumn("f", F.col("f").cast("long")).repartition("f")
+    size = F.greatest(F.lit(FRAME), F.ceil(F.sqrt("slots"))).cast("long")
+    one = written(one.crossJoin(slots.where("slots IS NOT NULL")).withColumn("size", size), "mix-slots")  # one row each
+    frames = one.select("a", "qs", "size", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("slots"), F.col("size")))).alias("f"))
+    frames = frames.select("a", "f", (F.col("f") * F.col("size")).alias("at"), ((F.col("f") + 1) * F.col("size")).alias("to"), "qs")
+    frames = frames.select("a", "f", "at", "to", F.transform("qs", lambda q: _fresh(F.col("at"), q)).alias("start"))
+    # Frames are few bytes but long to run: into a stated number of partitions, so that they are not put together by size.
+    dealt = partitions(one.sparkSession)
+    within = F.sequence(F.col("at"), F.col("to") - 1)
+    end = F.aggregate(within, F.col("start"), lambda state, t: _runs(state, lambda pick: _advance(state, pick)))
+    left = written(_left_over(frames.drop("a").repartition(dealt, "f").withColumn("end", end)), "mix-left")
+    late = lambda x, n: F.struct(x["q"].alias("q"), (x["lead"] + n * F.lit(SHARES)).alias("lead"), (x["j"] - n).alias("j"))
+    state = F.zip_with("start", "left", lambda x, is_left: late(x, is_left.cast("long")))
+    frames = frames.join(left, "f").select("a", "f", "at", "to", state.alias("state")).repartition(dealt, "f")
     place = lambda acc, t: _runs(acc["now"], lambda pick: F.struct(
         _advance(acc["now"], pick).alias("now"),
         F.concat(acc["picked"], F.array(F.struct(pick.alias("i"), F.element_at(acc["now"], pick + 1)["j"].alias("k"), t.alias("slot")))).alias("picked"),
     ))
     none = F.array().cast("array<struct<i: int, k: bigint, slot: bigint>>")
-    run = F.aggregate(within(F.col("f")), F.struct(F.col("state").alias("now"), none.alias("picked")), place)
+    run = F.aggregate(within, F.struct(F.col("state").alias("now"), none.alias("picked")), place)
     placed = frames.select("a", F.explode(run["picked"]).alias("p"))
     return placed.select(F.element_at("a", F.col("p.i") + 1)["s"]["source"].alias("source"), F.col("p.k").alias("k"), F.col("p.slot").alias("slot"))
 
 
-def mix(docs: DataFrame, weights: DataFrame, period: int | None = None, block: int | None = None, digits: int = DIGITS) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, period: int | None = None, block: int = BLOCK, digits: int = DIGITS) -> DataFrame:
     """docs (doc_id, source, ...) with the columns mix_block, mix_slot, mix_place and mix_full.
 
     mix_block: block number within the source; mix_slot: the slot it runs in; mix_place: place within the block, so
@@ -130,10 +172,7 @@ def mix(docs: DataFrame, weights: DataFrame, period: int | None = None, block: i
     the target weights hold up to it.  Every row stays: what a source has beyond the shortest one comes in its later
     slots.  A null source is a source of its own; sources without a weight get null columns and mix_full false; empty
     input gives no rows.  Rows that are equal in doc_id and source take neighbouring places in no stated order; where an
-    extra column is named like one of the four, it is replaced.  Without a period the exact schedule is taken; without a
-    block size blocks hold BLOCK rows, or a multiple that makes no more than SLOTS blocks of all rows."""
-    if block is None:
-        block = BLOCK * max(1, -(-docs.count() // (BLOCK * SLOTS)))
+    extra column is named like one of the four, it is replaced.  Without a period the exact schedule is taken."""
     spare = "_mix_md5"
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = docs.drop("mix_block", "mix_slot", "mix_place", "mix_full")

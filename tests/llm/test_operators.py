@@ -690,3 +690,32 @@ def test_mixing_keeps_columns_of_any_name(spark):
         rows = out.collect()
         assert len(rows) == 100 and len({(r.mix_slot, r.mix_place) for r in rows}) == 100
         assert all(r[n] == n for r in rows for n in names[:-1])
+
+
+def test_mixing_blocks_do_not_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 4, raising=False)
+    docs = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(300)], "doc_id long, source string")
+    out = mixing.mix(docs, mixing.natural_weights(docs)).collect()
+    assert {s: max(r.mix_block for r in out if r.source == s) for s in "ab"} == {"a": 199 // 16, "b": 99 // 16} and {r.mix_place for r in out} == set(range(16))
+
+
+def plain_schedule(weights, slots):
+    """(source number, block, slot) by simulation: of the released blocks the earliest deadline, ties to the earlier source."""
+    q = [max(1, round(w / sum(weights) * mixing.SHARES)) for w in weights]
+    q[q.index(max(q))] += mixing.SHARES - sum(q)
+    done, out = [0] * len(q), []
+    for t in range(slots):
+        i = min((-(-(done[i] + 1) * mixing.SHARES // x), i) for i, x in enumerate(q) if done[i] * mixing.SHARES < (t + 1) * x)[1]
+        out.append((i, done[i], t))
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights, rows, frame", [([0.989, 0.01, 0.001], [300, 3, 2], 7), ([0.25] * 4, [100] * 4, 5), ([1.0], [50], 3), ([1.0, 2.0, 0.5, 0.125, 3.0, 3.0, 0.01], [20] * 7, 11)])
+def test_frames_run_side_by_side_give_the_simulated_schedule(spark, monkeypatch, weights, rows, frame):
+    monkeypatch.setattr(mixing, "FRAME", frame)
+    names = [f"s{i}" for i in range(len(weights))]
+    sizes = spark.createDataFrame(list(zip(names, rows)), "source string, rows long")
+    plan = mixing.exact_schedule(spark.createDataFrame(list(zip(names, weights)), "source string, weight double"), sizes, 2)
+    got = sorted(((int(r.source[1:]), r.k, r.slot) for r in plan.collect()), key=lambda r: r[2])
+    assert len(got) > 20 and got == plain_schedule(weights, len(got))
