@@ -6,8 +6,9 @@ paths in a byte tree (both ways add up), so the probabilities of all texts sum t
 (behind the last two bytes when spelling), and the node behind the last word (the last four bytes).  The context
 predictors are counts in hashed tables, gathered from all training documents as dense slices that are summed per slice.
 Their votes are combined by weights that a gate picks from how often both contexts were seen.  The weights start from a
-logistic fit on a bounded sample of training documents, against tables that leave the sample out; its counts are added
-to the tables after the fit.  They are refined online within each document after every block of decisions (64 at first,
+logistic fit on the decisions of all training documents: these are halved by a hash, each half meets the tables of the other, and
+decisions are counted by gate, bit and levels of the three votes (31 levels each), a table of fixed size.  The tables that score
+are the sum of both halves.  The weights are refined online within each document after every block of decisions (64 at first,
 then twice as many each time up to 2048), so a document's score depends on nothing but its text and the model, and not on
 how rows are dealt to tasks.  The tables have 2^21 slots whatever the input, so contexts of a
 large corpus share slots.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,15 @@ HEAD = 1 << 17
 FREQUENT = 256
 TABLE_BITS = 21
 SLICE = 4096
-SAMPLE = 400
 FIRST_BLOCK, BLOCK = 64, 2048
 HELD_DECISIONS = 2_000_000
 #: Decisions after which a task sends its counts and starts anew, so that no 32-bit counter can overflow.
 SEND_DECISIONS = 1 << 31
 GATES = 16
 EASE = 200.0
+#: The levels of votes that the fit tells apart, and the borders between them; zero is a level of its own.
+LEVELS = np.sinh(0.2 * np.arange(-15, 16))
+BORDERS = (LEVELS[1:] + LEVELS[:-1]) / 2
 END = np.uint64(0x5BF03635D1CE4E5B)
 
 _U64, _U32 = np.uint64, np.uint32
@@ -120,9 +124,21 @@ def _tokenised(buf: np.ndarray, offs: np.ndarray):
 
 
 def _slots(context: np.ndarray, node: np.ndarray, salt: int) -> np.ndarray:
-    x = (context * _U32(0x85EBCA6B)) ^ (node.astype(_U32) * _U32(0xC2B2AE35)) ^ _U32(salt)
+    return _spread(context, np.ones(len(node), np.int64), _node_keys(node), salt)
+
+
+def _node_keys(node: np.ndarray) -> np.ndarray:
+    return node.astype(_U32) * _U32(0xC2B2AE35)
+
+
+def _spread(context: np.ndarray, n: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
+    """Slots of decisions: n for each context, with the keys of their nodes."""
+    x = np.repeat((context * _U32(0x85EBCA6B)) ^ _U32(salt), n)
+    x ^= keys
     x ^= x >> _U32(15)
-    return (x * _U32(0x2C1B3C6D)) >> _U32(32 - TABLE_BITS)
+    x *= _U32(0x2C1B3C6D)
+    x >>= _U32(32 - TABLE_BITS)
+    return x.astype(np.intp)
 
 
 def streams(model: Model, buf: np.ndarray, offs: np.ndarray):
@@ -143,7 +159,8 @@ def streams(model: Model, buf: np.ndarray, offs: np.ndarray):
     last = np.where(place == begin, _U64(0), last)
     back = (last ^ (last >> _U64(32))).astype(_U32)
     count = np.concatenate([[0], np.cumsum(n)])
-    words = (model.words, count[first], node, bit, _slots(np.repeat(topic, n), node, 0x11111111), _slots(np.repeat(back, n), node, 0x22222222))
+    keys = _node_keys(node)
+    words = (model.words, count[first], node, bit, _spread(topic, n, keys, 0x11111111), _spread(back, n, keys, 0x22222222))
 
     odd = np.flatnonzero(symbols == len(model.head))
     size = ends[odd] - starts[odd] + 1
@@ -164,10 +181,10 @@ def streams(model: Model, buf: np.ndarray, offs: np.ndarray):
         if k == 2:
             short = recent.copy()
     n, node, bit = model.bytes(letters.astype(np.int64))
-    node_id = node + np.int32(1 << 24)
+    keys = _node_keys(node + np.int32(1 << 24))
     per_word = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], stop])] if len(odd) else np.zeros(1, np.int64)
     bounds = per_word[np.searchsorted(odd, first)]
-    spelled = (model.bytes, bounds, node, bit, _slots(np.repeat(short, n), node_id, 0x33333333), _slots(np.repeat(recent, n), node_id, 0x44444444))
+    spelled = (model.bytes, bounds, node, bit, _spread(short, n, keys, 0x33333333), _spread(recent, n, keys, 0x44444444))
     return (words, spelled), hashes, first, symbols, per_word
 
 
@@ -208,7 +225,7 @@ def _gather(model):
         for batch in batches:
             for _, _, buf, offs in t.pieces(t.texts_of(batch)):
                 for _, _, _, bit, one, two in streams(own, buf, offs)[0]:
-                    held.append((one.astype(np.int32) * 2 + bit, two.astype(np.int32) * 2 + bit))
+                    held.append((one * 2 + bit, two * 2 + bit))
                 waiting = sum(len(h[0]) for h in held)
                 if waiting > HELD_DECISIONS:
                     add()
@@ -241,7 +258,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tables(slices: DataFrame) -> np.ndarray:
-    """Both tables of votes of the summed slices."""
+    """Both tables of votes of the slices."""
+    return _collected(slices)
+
+
+def _collected(slices: DataFrame) -> np.ndarray:
     out = np.zeros((2, 1 << TABLE_BITS), _U32)
     found = slices.repartition(partitions(slices.sparkSession), "slice").mapInArrow(_votes, "slice int, votes binary").toArrow()
     for i, v in zip(found.column("slice").to_pylist(), found.column("votes")):
@@ -263,41 +284,77 @@ def _inputs(model: Model, stream):
     """(bounds, the three votes, gate, bit): a table entry is a vote whose two lowest bits are its trust."""
     code, bounds, node, bit, one, two = stream
     a, b = model.votes[0].take(one), model.votes[1].take(two)
-    gate = ((a & _U32(3)) * _U32(4) + (b & _U32(3))).astype(np.int32)
+    gate = ((a & _U32(3)) * _U32(4) + (b & _U32(3))).astype(np.uint8)
     return bounds, (code.vote.take(node), a.view(np.float32), b.view(np.float32)), gate, bit
 
 
-def _fit_weights(model):
-    """Start weights of every gate by Newton steps of a logistic fit on the sample (two streams x gates x predictors)."""
+def _levels(votes: np.ndarray) -> np.ndarray:
+    """Table of votes -> level and trust of each in one byte."""
+    return (np.searchsorted(BORDERS, votes.view(np.float32)).astype(np.uint8) << 2) | (votes & _U32(3)).astype(np.uint8)
+
+
+def _cells(model, levels):
+    """Decisions of a task's documents by stream, levels of the three votes, trusts and bit, against the tables of the other half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        parts: tuple[list, list] = ([], [])
+        own, tables = model.value, levels.value
+        node_level = {id(code): np.searchsorted(BORDERS, code.vote) << 15 for code in (own.words, own.bytes)}
+        counts = np.zeros((2, 1 << 20), np.uint64)
+        held: tuple[list, list] = ([], [])
+
+        def add() -> None:
+            for k, found in enumerate(held):
+                if found:
+                    counts[k] += np.bincount(np.concatenate(found), minlength=1 << 20).view(np.uint64)
+                found.clear()
+
+        waiting = 0
         for batch in batches:
-            for _, _, buf, offs in t.pieces(t.texts_of(batch)):
-                for k, s in enumerate(streams(own, buf, offs)[0]):
-                    parts[k].append(_inputs(own, s)[1:])
-        out = np.zeros((2, GATES, 3))
-        out[:, :, 0] = 1.0
-        for k, found in enumerate(parts):
-            if not found:
-                continue
-            votes, gate, bit = np.concatenate([np.stack(p[0]) for p in found], axis=1), np.concatenate([p[1] for p in found]), np.concatenate([p[2] for p in found])
-            for g in range(GATES):
-                at = np.flatnonzero(gate == g)
-                if len(at) < 50:
-                    continue
-                x, y, w = votes[:, at].astype(np.float64), bit[at], out[k, g].copy()
-                for _ in range(8):
-                    p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-                    hess = (x * (p * (1 - p))) @ x.T + 5.0 * np.eye(3)
-                    w += np.clip(np.linalg.solve(hess, x @ (y - p) - 5.0 * (w - out[k, g])), -0.5, 0.5)
-                out[k, g] = w
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["weights"])
+            for half in (0, 1):
+                one_table, two_table = tables[1 - half]
+                part = batch.filter(pc.equal(batch.column("half"), half))
+                for _, _, buf, offs in t.pieces(t.texts_of(part)):
+                    for k, (code, _, node, bit, one, two) in enumerate(streams(own, buf, offs)[0]):
+                        cell = node_level[id(code)].take(node)
+                        cell |= one_table.take(one).astype(np.intp) << 8
+                        cell |= two_table.take(two).astype(np.intp) << 1
+                        cell |= bit
+                        held[k].append(cell)
+                        waiting += len(cell)
+                    if waiting > HELD_DECISIONS:
+                        add()
+                        waiting = 0
+        add()
+        yield from _slices(counts)
 
     return run
 
 
+def _fit_weights(cells: np.ndarray) -> np.ndarray:
+    """Start weights of every gate by Newton steps of a logistic fit on the counted decisions (two streams x gates x predictors)."""
+    out = np.zeros((2, GATES, 3))
+    out[:, :, 0] = 1.0
+    for k in (0, 1):
+        n = cells[k].reshape(-1, 2).astype(np.float64)
+        cell = np.flatnonzero(n.any(axis=1))
+        gates = (cell >> 7 & 3) * 4 + (cell & 3)
+        votes = np.stack([LEVELS[cell >> 14], LEVELS[cell >> 9 & 31], LEVELS[cell >> 2 & 31]])
+        for g in range(GATES):
+            mine = gates == g
+            x, zeros, ones, w = votes[:, mine], n[cell[mine], 0], n[cell[mine], 1], out[k, g].copy()
+            if zeros.sum() + ones.sum() < 50:
+                continue
+            for _ in range(20):
+                p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+                hess = (x * ((zeros + ones) * p * (1 - p))) @ x.T + 5.0 * np.eye(3)
+                step = np.clip(np.linalg.solve(hess, x @ (ones * (1 - p) - zeros * p) - 5.0 * (w - out[k, g])), -0.5, 0.5)
+                w += step
+                if np.abs(step).max() < 1e-6:
+                    break
+            out[k, g] = w
+    return out
+
+
 def _costs(weights: np.ndarray, bounds: np.ndarray, votes: tuple[np.ndarray, ...], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Minus the natural-log probability of every decision; every text refines its own weights block by block."""
     texts = len(bounds) - 1
@@ -313,19 +370,21 @@ def _costs(weights: np.ndarray, bounds: np.ndarray, votes: tuple[np.ndarray, ...
         else:
             at = np.arange(int(n.sum())) + np.repeat(a[live] - (np.cumsum(n) - n), n)
         x, one = [v[at] for v in votes], bit[at].view(bool)
-        g = np.repeat(live.astype(np.int32) * GATES, n) + gate[at]
+        g = np.repeat(live * GATES, n)
+        g += gate[at]
         doubt = own[0].take(g) * x[0]  # becomes the log odds against the bit that came
         for j in (1, 2):
             doubt += own[j].take(g) * x[j]
         np.clip(doubt, -30, 30, out=doubt)
         np.negative(doubt, out=doubt, where=one)
         odds = np.exp(doubt)
-        out[at] = np.log1p(odds)
+        sure = 1 + odds
+        out[at] = np.log(sure)
         a[live] = b
         live = live[bounds[1:][live] > b]
         size = min(2 * size, BLOCK)
         if len(live):
-            miss = odds / (1 + odds)
+            miss = np.divide(odds, sure, out=odds)
             np.negative(miss, out=miss, where=~one)
             ease = EASE + np.bincount(g, minlength=len(own[0]))
             for j in range(3):
@@ -385,13 +444,13 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int64()), pa.array(total)], names=["h", "c"])
 
 
-def lm_scores(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE) -> DataFrame:
+def lm_scores(docs: DataFrame, head: int = HEAD, sample: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of docs (doc_id, text).
 
     Training documents are those whose crc32 of doc_id mod 7 is not 2; null texts are empty (one end token), also in
     training, and have no bits_per_byte.  Rows of one doc_id, and rows without one (held out or not by the hash of the empty
     text), are scored on their own; very long texts are scored whole.  Words are told apart by 64-bit hashes.  Counts of words, bytes and
-    contexts cover all training documents; the ``head`` most frequent words of two uses or more are broadcast, all others meet their counts in a join."""
+    contexts and the fit of the weights cover all training documents (``sample``, which bounded the fit, has no effect any more); the ``head`` most frequent words of two uses or more are broadcast, all others meet their counts in a join."""
     spark = docs.sparkSession
     docs = with_text(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % FOLDS == HELD
@@ -411,23 +470,20 @@ def lm_scores(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE) -> DataFr
     again = int(counts.where((F.col("c") > 1) & (F.col("c") <= edge + 1)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     model = Model(head_hash, head_count, int(once) + again, byte_count, int(total), int(distinct))
     known = spark.sparkContext.broadcast(model)
-    # Every text has one end token.  At least half of the training documents stay for the tables that the weights are fitted to.
-    ends = counts.where(F.col("h") == int(END.view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    chosen = F.broadcast(train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(sample, int(ends) // 2)).distinct())
-    # the sample is gathered like the rest: the rows are told where they are read, nothing brings the scan into one task
-    rest, own = (
-        written(train.join(chosen, "doc_id", how).mapInArrow(_gather(known), "slice int, counts binary").repartition(partitions(spark), "slice").mapInArrow(_sums, "slice int, counts binary"), label)
-        for how, label in (("left_anti", "lm-slices"), ("left_semi", "lm-sample"))
-    )
+    halved = train.withColumn("half", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int"))
+    dealt = lambda slices: slices.repartition(partitions(spark), "slice").mapInArrow(_sums, "slice int, counts binary")
+    halves = [written(dealt(halved.where(F.col("half") == half).select("text").mapInArrow(_gather(known), "slice int, counts binary")), label) for half, label in enumerate(("lm-slices", "lm-sample"))]
+    levels = spark.sparkContext.broadcast([_levels(_tables(halves[0])), _levels(_collected(halves[1]))])
+    cells = np.zeros((2, 1 << 20), np.uint64)
+    for r in dealt(halved.mapInArrow(_cells(known, levels), "slice int, counts binary")).toArrow().to_batches():
+        for i, n in _summed([r]).items():
+            cells[:, 2 * i * SLICE : 2 * (i + 1) * SLICE] = n.reshape(2, -1)
+    levels.unpersist()
     known.unpersist()
-    model.votes = _tables(rest)
-    tables = spark.sparkContext.broadcast(model)
-    fitted = train.join(chosen, "doc_id", "left_semi").repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_weights(tables), "weights binary").collect()
-    model.votes = _tables(rest.unionByName(own))
-    discard(rest, own)
-    model.weights = np.frombuffer(fitted[0].weights).reshape(2, GATES, 3) if fitted else np.tile(np.array([1.0, 0.0, 0.0]), (2, GATES, 1))
+    model.weights = _fit_weights(cells)
+    model.votes = _tables(halves[0].unionByName(halves[1]))
+    discard(*halves)
     ready = spark.sparkContext.broadcast(model)
-    tables.unpersist()
 
     scored = written(docs.mapInArrow(_score(ready), _SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     ready.unpersist()

@@ -480,6 +480,24 @@ def test_lm_sample_is_gathered_where_it_is_read(spark, monkeypatch):
     assert "lm-sample" in seen and "Repartition 1," not in seen["lm-sample"] and "Coalesce" not in seen["lm-sample"]
 
 
+def test_lm_weights_are_fitted_on_every_training_document(spark, monkeypatch):
+    rng = random.Random(3)
+    own = [(i, " ".join(rng.choice(["red", "green", "blue", f"x{i}q"]) for _ in range(8))) for i in range(700)]
+    models, fits = [], []
+    init, fit = lm_scoring.Model.__init__, lm_scoring._fit_weights
+    monkeypatch.setattr(lm_scoring.Model, "__init__", lambda self, *args: models.append(self) or init(self, *args))
+    monkeypatch.setattr(lm_scoring, "_fit_weights", lambda cells: fits.append(cells) or fit(cells))
+    assert lm_scoring.lm_scores(docs_of(spark, own)).count() == 700
+    ones = np.zeros((2, 2), np.int64)
+    for i, t in own:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            buf = np.frombuffer(t.encode(), np.uint8)
+            for k, s in enumerate(lm_scoring.streams(models[0], buf, np.array([0, len(buf)]))[0]):
+                ones[k] += np.bincount(s[3], minlength=2)
+    (cells,) = fits
+    assert ones.all() and (cells.reshape(2, -1, 2).sum(axis=1) == ones).all()
+
+
 def test_lm_codes_are_a_distribution():
     code = lm_scoring.Code(np.array([5, 1, 1, 9, 3, 0]))
     assert sum(2.0 ** -int(n) for n in code.size) == pytest.approx(1.0)
