@@ -4,7 +4,7 @@ A text is coded in binary decisions: a word of the head vocabulary by its path i
 escape path and then either as a training word outside the head, in proportion to its count, or by its bytes and their
 paths in a byte tree (both ways add up), so the probabilities of all texts sum to at most one.  For every decision three predictors vote in the logistic domain: the node alone, the node behind the last very frequent word
 (behind the last two bytes when spelling), and the node behind the last word (the last four bytes).  The context
-predictors are counts in hashed tables, gathered from all training documents as dense slices that are summed per slice.
+predictors are counts in hashed tables (nodes of one subtree of three levels lie in eight neighbouring slots), gathered from all training documents as dense slices that are summed per slice.
 Their votes are combined by weights that a gate picks from how often both contexts were seen.  The weights start from a
 logistic fit on the decisions of all training documents: these are halved by a hash, each half meets the tables of the other, and
 decisions are counted by gate, bit and levels of the three votes (31 levels each), a table of fixed size.  The tables that score
@@ -34,7 +34,9 @@ HEAD = 1 << 17
 FREQUENT = 256
 TABLE_BITS = 21
 SLICE = 4096
+NEAR_BITS = 18
 FIRST_BLOCK, BLOCK = 64, 2048
+#: Longest array that a task keeps from one piece of text to the next.
 HELD_DECISIONS = 2_000_000
 #: Decisions after which a task sends its counts and starts anew, so that no 32-bit counter can overflow.
 SEND_DECISIONS = 1 << 31
@@ -48,10 +50,45 @@ END = np.uint64(0x5BF03635D1CE4E5B)
 _U64, _U32 = np.uint64, np.uint32
 
 
+class Room:
+    """Arrays by name that every piece of text fills anew: fresh ones cost more in page faults than the arithmetic on them."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, n: int, dtype) -> np.ndarray:
+        have = self.kept.get(name)
+        if have is None or len(have) < n:
+            have = np.empty(n + n // 4, dtype)
+            if n <= HELD_DECISIONS:
+                self.kept[name] = have
+        return have[:n]
+
+    def ramp(self, n: int) -> np.ndarray:
+        """0 to n - 1."""
+        have = self.kept.get("ramp")
+        if have is None or len(have) < n:
+            have = np.arange(n + n // 4)
+            if n <= HELD_DECISIONS:
+                self.kept["ramp"] = have
+        return have[:n]
+
+
+def _owners(n: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """0 n[0] times, then 1 n[1] times and so on."""
+    begin = np.cumsum(n) - n
+    out.fill(0)
+    np.add.at(out, begin[begin < len(out)], 1)
+    out[:1] -= 1
+    return np.cumsum(out, out=out)
+
+
 class Code:
-    """A Huffman tree: the path of every symbol (nodes and bits, root first) and each node's share of ones."""
+    """A Huffman tree: the path of every symbol (nodes and bits, root first) and each node's share of ones.
+
+    Nodes are numbered by subtrees of three levels: 8 times the subtree plus 1 to 7, the place in it.  ``apart`` keeps the slots of two trees apart."""
 
-    def __init__(self, weight: np.ndarray):
+    def __init__(self, weight: np.ndarray, apart: int = 0):
         n = len(weight)
         heap = [(int(w), i) for i, w in enumerate(weight)]
         heapq.heapify(heap)
@@ -64,16 +101,26 @@ class Code:
             heapq.heappush(heap, (wa + wb, top))
             top += 1
         root = top - 1
-        one = np.full(max(1, n - 1), 0.5)
+        number, depth, subtrees = [9 if i == root else 0 for i in range(top)], [0] * top, 2
+        up, right = parent.tolist(), side.tolist()
+        for c in range(root - 1, n - 1, -1):
+            depth[c] = depth[up[c]] + 1
+            if depth[c] % 3:
+                number[c] = number[up[c]] + (number[up[c]] & 7) + right[c]
+            else:
+                number[c] = 8 * subtrees + 1
+                subtrees += 1
+        number = np.array(number, np.int32)
+        one = np.full(8 * subtrees, 0.5)
         for c in range(root):
-            if side[c]:
-                one[parent[c] - n] = total[c] / total[parent[c]]
+            if right[c]:
+                one[number[up[c]]] = total[c] / total[up[c]]
         at, paths = np.arange(n), []
         while True:
             live = at != root
             if not live.any():
                 break
-            paths.append((np.where(live, parent[at] - n, -1), side[at]))
+            paths.append((np.where(live, number[parent[at]], -1), side[at]))
             at = np.where(live, parent[at], root)
         nodes = np.stack([p for p, _ in paths[::-1]], axis=1) if paths else np.zeros((n, 0), np.int64)
         bits = np.stack([b for _, b in paths[::-1]], axis=1) if paths else np.zeros((n, 0), np.uint8)
@@ -83,12 +130,19 @@ class Code:
         self.nodes, self.bits = nodes[real].astype(np.int32), bits[real].astype(np.uint8)
         one = np.clip(one, 1e-9, 1 - 1e-9)
         self.vote = np.log(one / (1 - one)).astype(np.float32)
+        #: Key of the node's subtree (28 bits, odd), place of the node in it (3 bits) and the bit of the path.
+        self.packed = _node_keys(self.nodes + np.int32(apart)) << _U32(4) | (self.nodes & 7).astype(_U32) << _U32(1) | self.bits
+        #: The node's vote against the bit of the path.
+        self.against = np.where(self.bits.astype(bool), -self.vote[self.nodes], self.vote[self.nodes])
 
-    def __call__(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(decisions of each symbol, node of each decision, bit of each decision)."""
-        n = self.size[symbols]
-        at = np.arange(int(n.sum())) + np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
-        return n, self.nodes[at], self.bits[at]
+    def __call__(self, symbols: np.ndarray, room: Room, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(decisions of each symbol, place of each decision's symbol, place of each decision in the paths)."""
+        n = self.size.take(symbols)
+        total = int(n.sum())
+        owner = _owners(n, room("owner", total, np.intp))
+        path = (self.start.take(symbols) - (np.cumsum(n) - n)).take(owner, out=room(name + "path", total, np.intp), mode="clip")
+        path += room.ramp(total)
+        return n, owner, path
 
 
 class Model:
@@ -102,15 +156,23 @@ class Model:
         rank[np.argsort(-self.count, kind="stable")] = np.arange(len(head))
         self.mark = np.where(rank < FREQUENT, rank, -1)
         self.words = Code(np.append(self.count, max(1, rest)))
-        self.bytes = Code(byte_count + 1)
+        self.bytes = Code(byte_count + 1, 1 << 24)
         self.votes = self.weights = None
+        #: First head word at or behind each value of the top bits of a hash; one more head word ends every search.
+        self.near = np.searchsorted(self.head, np.arange(1 << NEAR_BITS, dtype=_U64) << _U64(64 - NEAR_BITS)).astype(np.int32)
+        self.ended = np.append(self.head, ~_U64(0))
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         """Head index of each word, or the escape symbol."""
-        if not len(self.head):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[at] == hashes, at, len(self.head))
+        at = self.near.take((hashes >> _U64(64 - NEAR_BITS)).view(np.int64)).astype(np.int64)
+        found = self.ended.take(at)
+        behind = np.flatnonzero(found < hashes)
+        while len(behind):
+            at[behind] += 1
+            found[behind] = more = self.ended.take(at[behind])
+            behind = behind[more < hashes[behind]]
+        at[found != hashes] = len(self.head)
+        return at
 
 
 def _tokenised(buf: np.ndarray, offs: np.ndarray):
@@ -124,30 +186,50 @@ def _tokenised(buf: np.ndarray, offs: np.ndarray):
 
 
 def _slots(context: np.ndarray, node: np.ndarray, salt: int) -> np.ndarray:
-    return _spread(context, np.ones(len(node), np.int64), _node_keys(node), salt)
+    return _spread(context, np.arange(len(node)), _node_keys(node), (node & 7).astype(_U32), salt, Room(), "")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U32(16))) * _U32(0x7FEB352D)
+    x = (x ^ (x >> _U32(15))) * _U32(0x846CA68B)
+    return x ^ (x >> _U32(16))
 
 
 def _node_keys(node: np.ndarray) -> np.ndarray:
-    return node.astype(_U32) * _U32(0xC2B2AE35)
+    """One for all nodes of a subtree."""
+    return _mixed((node >> 3).astype(_U32) * _U32(0xC2B2AE35)) >> _U32(4) | _U32(1)
 
 
-def _spread(context: np.ndarray, n: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
-    """Slots of decisions: n for each context, with the keys of their nodes."""
-    x = np.repeat((context * _U32(0x85EBCA6B)) ^ _U32(salt), n)
-    x ^= keys
-    x ^= x >> _U32(15)
-    x *= _U32(0x2C1B3C6D)
+def _spread(context: np.ndarray, owner: np.ndarray, keys: np.ndarray, places: np.ndarray, salt: int, room: Room, name: str) -> np.ndarray:
+    """Slots of decisions: the place of each one's context, with the keys of the nodes and the places in their subtrees.  A
+    context's nodes of one subtree are neighbours in eight slots, so that they are read together."""
+    x = (_mixed((context * _U32(0x85EBCA6B)) ^ _U32(salt)) | _U32(1)).take(owner, out=room("x", len(owner), _U32), mode="clip")
+    x *= keys
     x >>= _U32(32 - TABLE_BITS)
-    return x.astype(np.intp)
+    x ^= places
+    slots = room(name, len(owner), np.intp)
+    slots[:] = x
+    return slots
+
+
+def _stream(code: Code, symbols: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], salts: tuple[int, int], room: Room, name: str):
+    """(decisions of each symbol, places in the paths, bits, slots 1, slots 2)."""
+    n, owner, path = code(symbols, room, name)
+    keys = code.packed.take(path, out=room("keys", len(path), _U32), mode="clip")
+    bit = np.bitwise_and(keys, _U32(1), out=room(name + "bit", len(path), _U32))
+    places = np.right_shift(keys, _U32(1), out=room("places", len(path), _U32))
+    places &= _U32(7)
+    keys >>= _U32(4)
+    return n, path, bit, *(_spread(c, owner, keys, places, salt, room, f"{name}{k}") for k, (c, salt) in enumerate(zip(contexts, salts)))
 
 
-def streams(model: Model, buf: np.ndarray, offs: np.ndarray):
-    """Two streams of decisions, words and spelled bytes: (code, first decision of each text plus one, node, bit, slots 1, slots 2),
+def streams(model: Model, buf: np.ndarray, offs: np.ndarray, room: Room | None = None):
+    """Two streams of decisions, words and spelled bytes: (code, first decision of each text plus one, place in its paths, bit, slots 1, slots 2),
     and with them the token hashes, the first token of each text, the head index of every token, and the first decision of
-    each spelled word plus one."""
+    each spelled word plus one.  What lies in ``room`` holds until the next call."""
+    room = room or Room()
     hashes, first, starts, ends, low = _tokenised(buf, offs)
     symbols = model.tokens(hashes)
-    n, node, bit = model.words(symbols)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     begin = first[:-1][text]
     place = np.arange(len(symbols))
@@ -158,9 +240,8 @@ def streams(model: Model, buf: np.ndarray, offs: np.ndarray):
     last = np.concatenate([[_U64(0)], hashes[:-1]])
     last = np.where(place == begin, _U64(0), last)
     back = (last ^ (last >> _U64(32))).astype(_U32)
-    count = np.concatenate([[0], np.cumsum(n)])
-    keys = _node_keys(node)
-    words = (model.words, count[first], node, bit, _spread(topic, n, keys, 0x11111111), _spread(back, n, keys, 0x22222222))
+    n, *found = _stream(model.words, symbols, (topic, back), (0x11111111, 0x22222222), room, "word ")
+    words = (model.words, np.concatenate([[0], np.cumsum(n)])[first], *found)
 
     odd = np.flatnonzero(symbols == len(model.head))
     size = ends[odd] - starts[odd] + 1
@@ -180,11 +261,10 @@ def streams(model: Model, buf: np.ndarray, offs: np.ndarray):
         recent = recent * _U32(257) + prior
         if k == 2:
             short = recent.copy()
-    n, node, bit = model.bytes(letters.astype(np.int64))
-    keys = _node_keys(node + np.int32(1 << 24))
+    n, *found = _stream(model.bytes, letters.astype(np.int64), (short, recent), (0x33333333, 0x44444444), room, "letter ")
     per_word = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], stop])] if len(odd) else np.zeros(1, np.int64)
     bounds = per_word[np.searchsorted(odd, first)]
-    spelled = (model.bytes, bounds, node, bit, _spread(short, n, keys, 0x33333333), _spread(recent, n, keys, 0x44444444))
+    spelled = (model.bytes, bounds, *found)
     return (words, spelled), hashes, first, symbols, per_word
 
 
@@ -213,28 +293,18 @@ def _gather(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         counts = np.zeros((2, 2 << TABLE_BITS), np.uint32)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        unsent = 0
-
-        def add() -> None:
-            for c in range(2):
-                more = np.bincount(np.concatenate([h[c] for h in held]), minlength=2 << TABLE_BITS)
-                np.add(counts[c], more, out=counts[c], casting="unsafe")
-            held.clear()
-
+        room, unsent = Room(), 0
         for batch in batches:
             for _, _, buf, offs in t.pieces(t.texts_of(batch)):
-                for _, _, _, bit, one, two in streams(own, buf, offs)[0]:
-                    held.append((one * 2 + bit, two * 2 + bit))
-                waiting = sum(len(h[0]) for h in held)
-                if waiting > HELD_DECISIONS:
-                    add()
-                    unsent += waiting
+                for _, _, _, bit, *slots in streams(own, buf, offs, room)[0]:
+                    for c in range(2):
+                        at = np.left_shift(slots[c], 1, out=slots[c])
+                        at |= bit
+                        np.add.at(counts[c], at, _U32(1))
+                    unsent += len(bit)
                 if unsent > SEND_DECISIONS:
                     yield from _slices(counts)
                     counts[:], unsent = 0, 0
-        if held:
-            add()
         yield from _slices(counts)
 
     return run
@@ -280,12 +350,21 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["slice", "votes"])
 
 
-def _inputs(model: Model, stream):
-    """(bounds, the three votes, gate, bit): a table entry is a vote whose two lowest bits are its trust."""
-    code, bounds, node, bit, one, two = stream
-    a, b = model.votes[0].take(one), model.votes[1].take(two)
-    gate = ((a & _U32(3)) * _U32(4) + (b & _U32(3))).astype(np.uint8)
-    return bounds, (code.vote.take(node), a.view(np.float32), b.view(np.float32)), gate, bit
+def _inputs(model: Model, stream, room: Room):
+    """(bounds, the three votes against the bits that came, gate): a table entry is a vote whose two lowest bits are its trust."""
+    code, bounds, path, bit, *slots = stream
+    size = len(path)
+    a, b = (model.votes[k].take(slots[k], out=room(f"vote {k}", size, _U32), mode="clip") for k in (0, 1))
+    trust = np.bitwise_and(a, _U32(3), out=room("places", size, _U32))
+    trust <<= _U32(2)
+    trust |= np.bitwise_and(b, _U32(3), out=room("x", size, _U32))
+    gate = room("gate", size, np.uint8)
+    gate[:] = trust
+    sign = np.left_shift(bit, _U32(31), out=room("x", size, _U32))
+    a ^= sign
+    b ^= sign
+    node = code.against.take(path, out=room("vote", size, np.float32), mode="clip")
+    return bounds, (node, a.view(np.float32), b.view(np.float32)), gate
 
 
 def _levels(votes: np.ndarray) -> np.ndarray:
@@ -298,33 +377,21 @@ def _cells(model, levels):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables = model.value, levels.value
-        node_level = {id(code): np.searchsorted(BORDERS, code.vote) << 15 for code in (own.words, own.bytes)}
-        counts = np.zeros((2, 1 << 20), np.uint64)
-        held: tuple[list, list] = ([], [])
-
-        def add() -> None:
-            for k, found in enumerate(held):
-                if found:
-                    counts[k] += np.bincount(np.concatenate(found), minlength=1 << 20).view(np.uint64)
-                found.clear()
-
-        waiting = 0
+        node_level = {id(code): (np.searchsorted(BORDERS, code.vote)[code.nodes] << 15 | code.bits).astype(_U32) for code in (own.words, own.bytes)}
+        counts, room = np.zeros((2, 1 << 20), np.uint64), Room()
         for batch in batches:
             for half in (0, 1):
-                one_table, two_table = tables[1 - half]
                 part = batch.filter(pc.equal(batch.column("half"), half))
                 for _, _, buf, offs in t.pieces(t.texts_of(part)):
-                    for k, (code, _, node, bit, one, two) in enumerate(streams(own, buf, offs)[0]):
-                        cell = node_level[id(code)].take(node)
-                        cell |= one_table.take(one).astype(np.intp) << 8
-                        cell |= two_table.take(two).astype(np.intp) << 1
-                        cell |= bit
-                        held[k].append(cell)
-                        waiting += len(cell)
-                    if waiting > HELD_DECISIONS:
-                        add()
-                        waiting = 0
-        add()
+                    for k, (code, _, path, _, *slots) in enumerate(streams(own, buf, offs, room)[0]):
+                        cell = node_level[id(code)].take(path, out=room("keys", len(path), _U32), mode="clip")
+                        for table, at, shift in zip(tables[1 - half], slots, (8, 1)):
+                            level = room("x", len(path), _U32)
+                            level[:] = table.take(at, out=room("level", len(path), np.uint8), mode="clip")
+                            level <<= _U32(shift)
+                            cell |= level
+                        slots[0][:] = cell
+                        np.add.at(counts[k], slots[0], _U64(1))
         yield from _slices(counts)
 
     return run
@@ -355,40 +422,50 @@ def _fit_weights(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def _costs(weights: np.ndarray, bounds: np.ndarray, votes: tuple[np.ndarray, ...], gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Minus the natural-log probability of every decision; every text refines its own weights block by block."""
-    texts = len(bounds) - 1
-    out = np.zeros(len(bit), np.float32)
-    own = [np.tile(weights[:, j].astype(np.float32), texts) for j in range(3)]
-    a, size = bounds[:-1].copy(), FIRST_BLOCK
-    live = np.flatnonzero(bounds[1:] > a)
-    while len(live):
-        b = np.minimum(a[live] + size, bounds[1:][live])
-        n = b - a[live]
-        if (a[live][1:] == b[:-1]).all():
-            at = slice(int(a[live[0]]), int(b[-1]))
-        else:
-            at = np.arange(int(n.sum())) + np.repeat(a[live] - (np.cumsum(n) - n), n)
-        x, one = [v[at] for v in votes], bit[at].view(bool)
-        g = np.repeat(live * GATES, n)
-        g += gate[at]
-        doubt = own[0].take(g) * x[0]  # becomes the log odds against the bit that came
+def _costs(weights: np.ndarray, bounds: np.ndarray, votes: tuple[np.ndarray, ...], gate: np.ndarray, room: Room) -> np.ndarray:
+    """Minus the natural-log probability of every decision, from votes against the bits that came; every text refines its own
+    weights block by block."""
+    out = room("cost", len(gate), np.float32)
+    order = np.argsort(bounds[:-1] - bounds[1:], kind="stable")  # long texts first: those that go on are the first ones
+    a, end, size = bounds[:-1][order], bounds[1:][order], FIRST_BLOCK
+    live = int(np.count_nonzero(end > a))
+    own = [np.tile(weights[:, j].astype(np.float32), live) for j in range(3)]
+    while live:
+        a, end = a[:live], end[:live]
+        b = np.minimum(a + size, end)
+        n = b - a
+        total = int(n.sum())
+        runs = [slice(i, j) for i, j in zip(a.tolist(), b.tolist())]
+        x = [np.concatenate([v[r] for r in runs], out=room(f"block {j}", total, np.float32)) for j, v in enumerate(votes)]
+        g = _owners(n, room("owner", total, np.intp))
+        g *= GATES
+        g += np.concatenate([gate[r] for r in runs], out=room("block gate", total, np.uint8))
+        odds = own[0].take(g, out=room("odds", total, np.float32), mode="clip")  # at first the log odds against the bits that came
+        odds *= x[0]
+        more = room("more", total, np.float32)
         for j in (1, 2):
-            doubt += own[j].take(g) * x[j]
-        np.clip(doubt, -30, 30, out=doubt)
-        np.negative(doubt, out=doubt, where=one)
-        odds = np.exp(doubt)
-        sure = 1 + odds
-        out[at] = np.log(sure)
-        a[live] = b
-        live = live[bounds[1:][live] > b]
-        size = min(2 * size, BLOCK)
-        if len(live):
-            miss = np.divide(odds, sure, out=odds)
-            np.negative(miss, out=miss, where=~one)
-            ease = EASE + np.bincount(g, minlength=len(own[0]))
+            own[j].take(g, out=more, mode="clip")
+            more *= x[j]
+            odds += more
+        np.clip(odds, -30, 30, out=odds)
+        np.exp(odds, out=odds)
+        sure = np.add(odds, np.float32(1), out=more)
+        live = int(np.count_nonzero(end > b))
+        m = int(n[:live].sum())
+        miss = np.divide(odds[:m], sure[:m], out=odds[:m])
+        cost, at = np.log(sure, out=sure), 0
+        for r, k in zip(runs, n.tolist()):
+            out[r] = cost[at : at + k]
+            at += k
+        if live:
+            g = g[:m]
+            ease = EASE + np.bincount(g, minlength=live * GATES)
+            pull = room("pull", m, np.float64)
             for j in range(3):
-                own[j] += (np.bincount(g, weights=miss * x[j], minlength=len(own[0])) / ease).astype(np.float32)
+                np.multiply(miss, x[j][:m], out=pull)
+                own[j] = own[j][: live * GATES] - (np.bincount(g, weights=pull, minlength=live * GATES) / ease).astype(np.float32)
+        a = b
+        size = min(2 * size, BLOCK)
     return out
 
 
@@ -410,11 +487,12 @@ def _score(model):
         spread = float(own.total + own.distinct + 1)
         gain = np.append(np.log10((own.count + 1) / spread), 0.0)
         known = np.append(own.count > 0, False)
+        room = Room()
         for batch in batches:
             for a, b, buf, offs in t.pieces(t.texts_of(batch)):
-                (words, spelled), hashes, first, symbols, per_word = streams(own, buf, offs)
-                in_head = -_totals(_costs(own.weights[0], *_inputs(own, words)), words[1]) / np.log(10.0)
-                letters = -_totals(_costs(own.weights[1], *_inputs(own, spelled)), per_word) / np.log(10.0)
+                (words, spelled), hashes, first, symbols, per_word = streams(own, buf, offs, room)
+                in_head = -_totals(_costs(own.weights[0], *_inputs(own, words, room), room), words[1]) / np.log(10.0)
+                letters = -_totals(_costs(own.weights[1], *_inputs(own, spelled, room), room), per_word) / np.log(10.0)
                 odd = symbols == len(own.head)
                 split = np.concatenate([[0], np.cumsum(odd)])[first].astype(np.int32)
                 tail = pa.StructArray.from_arrays([pa.array(hashes[odd].view(np.int64)), pa.array(letters)], names=["h", "spelled"])

@@ -498,6 +498,34 @@ def test_lm_weights_are_fitted_on_every_training_document(spark, monkeypatch):
     assert ones.all() and (cells.reshape(2, -1, 2).sum(axis=1) == ones).all()
 
 
+def test_lm_work_on_a_decision_is_shared():
+    """Head words are looked up by their top bits, a context's nodes of one subtree lie in eight neighbouring slots, and
+    pieces of text reuse their arrays."""
+    rng = np.random.default_rng(5)
+    head = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2), np.arange(50, dtype=np.uint64), np.uint64((1 << 64) - 2) - np.arange(50, dtype=np.uint64)]))
+    model = lm_scoring.Model(head, rng.integers(2, 1000, len(head)), 5, np.arange(256), 1, 1)
+    asked = np.concatenate([head, head + np.uint64(1), head - np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64)])
+    at = {int(h): i for i, h in enumerate(model.head)}
+    assert model.tokens(asked).tolist() == [at.get(int(h), len(head)) for h in asked]
+    assert lm_scoring.Model(head[:0], head[:0].astype(np.int64), 1, np.arange(256), 1, 1).tokens(asked).max() == 0
+
+    code = model.words
+    for symbol in (0, 17, len(head)):
+        nodes = code.nodes[code.start[symbol] :][: code.size[symbol]]
+        slots = lm_scoring._slots(np.full(len(nodes), 77, np.uint32), nodes, 0x11111111)
+        for i in range(0, len(nodes), 3):
+            assert len({int(x) for x in slots[i : i + 3]}) == len(slots[i : i + 3]) and len({int(x) >> 3 for x in slots[i : i + 3]}) == 1
+
+    room = lm_scoring.Room()
+    text = np.frombuffer(b"some words and more words", np.uint8)
+    one, two = (lm_scoring.streams(model, text, np.array([0, 10, len(text)]), room)[0] for _ in range(2))
+    assert all(np.shares_memory(a, b) for x, y in zip(one, two) for a, b in zip(x[2:], y[2:]))
+    kept = len(room.kept)
+    assert len(room("long", lm_scoring.HELD_DECISIONS + 1, np.uint8)) == lm_scoring.HELD_DECISIONS + 1 and len(room.kept) == kept
+    n = np.array([0, 2, 0, 0, 3, 1, 0])
+    assert lm_scoring._owners(n, np.empty(6, np.intp)).tolist() == np.repeat(np.arange(7), n).tolist()
+
+
 def test_lm_codes_are_a_distribution():
     code = lm_scoring.Code(np.array([5, 1, 1, 9, 3, 0]))
     assert sum(2.0 ** -int(n) for n in code.size) == pytest.approx(1.0)
