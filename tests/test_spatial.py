@@ -392,3 +392,12 @@ def test_least_polygon_among_many_over_each_other(spark):
             want[i] = min(held)
     p, s = spark.createDataFrame(points, "i int, x double, y double"), spark.createDataFrame(shapes, f"k int, shape {POLY}")
     assert {r.i: r.k for r in spatial.least_polygon(p, s, ["i"], "x", "y", "shape", "k").collect()} == want
+
+
+def test_cells_of_nearest_lines_are_not_sent_through_the_driver(spark):
+    points = spark.range(40).selectExpr("id AS k", "id * 0.0005 AS x", "id * 0.0003 AS y")
+    lines = spark.range(9).selectExpr("array(struct(id * 0.002 AS x, 0.0D AS y), struct(0.02D AS x, id * 0.001 AS y)) AS line")
+    d = spatial.nearest_line(points, lines, "k", "x", "y", "line")
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    want = points.crossJoin(lines).groupBy("k").agg(F.min(geo.path_distance(F.col("x"), F.col("y"), F.col("line"))).alias("d"))
+    assert {r.k: r.dist_m for r in d.collect()} == {r.k: r.d * 95_000 for r in want.collect()}
