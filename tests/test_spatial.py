@@ -401,3 +401,15 @@ def test_cells_of_nearest_lines_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
     want = points.crossJoin(lines).groupBy("k").agg(F.min(geo.path_distance(F.col("x"), F.col("y"), F.col("line"))).alias("d"))
     assert {r.k: r.dist_m for r in d.collect()} == {r.k: r.d * 95_000 for r in want.collect()}
+
+
+def test_cells_of_nearest_and_radius_joins_are_not_sent_through_the_driver(spark):
+    left = spark.range(40).selectExpr("id AS k", "id * 0.0005 AS x", "id * 0.0003 AS y")
+    right = spark.range(9).selectExpr("id AS r", "id * 0.002 AS rx", "id * 0.001 AS ry")
+    near = spatial.nearest(left, right, "k", "x", "y", "r", "rx", "ry", 5000.0)
+    within = spatial.within_radius(left, right, "x", "y", "rx", "ry", 250.0)
+    assert not any("Broadcast" in d._jdf.queryExecution().executedPlan().toString() for d in (near, within))
+    d = left.crossJoin(right).withColumn("d", geo.haversine(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")))
+    want = d.groupBy("k").agg(F.min(F.struct("d", "r")).alias("m"), F.count_if(F.col("d") <= 250).alias("n")).collect()
+    assert {r.k: (r.nearest_id, r.dist_m) for r in near.collect()} == {r.k: (r.m.r, r.m.d) for r in want}
+    assert within.count() == sum(r.n for r in want) > 0
