@@ -56,3 +56,8 @@ def test_stream_upserts_reads_a_source_of_many_files(spark, data, tmp_path, monk
     monkeypatch.setattr(state_queries, "scratch", lambda t: made.append(str(tmp_path / str(len(made)))) or made[-1])
     assert QUERIES["X03_stream_upserts"](spark, data).count() > 0
     assert len(glob.glob(f"{made[1]}/part-*.parquet")) > 1
+
+
+def test_parcel_stats_work_out_the_features_once(spark, data):
+    df = QUERIES["C06_parcel_stats"](spark, data)
+    assert "ASIN" not in df._jdf.queryExecution().optimizedPlan().toString().upper()  # four parts read them; none measures again
