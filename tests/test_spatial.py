@@ -423,3 +423,24 @@ def test_letter_groups_of_names_are_not_sent_through_the_driver(spark):
     want = {k: first(k, [c for c in range(40) if c != k and (c % 3 if k % 3 else abs(c - k) * 0.0001 * 111_195 * math.cos(math.radians(50)) <= 250)]) for k in range(40)}
     assert {r.k: r.c for r in found.collect()} == want
     assert {r.k: r.via for r in found.collect()} == {k: "address" if k % 3 else "near" for k in range(40)}
+
+
+def test_cells_of_parcel_surroundings_are_not_sent_through_the_driver(spark):
+    from parcelflow.plans import pipelines
+
+    square = "array(array(struct({0} AS x, {1} AS y), struct({0} + {2} AS x, {1} AS y), struct({0} + {2} AS x, {1} + {2} AS y), struct({0} AS x, {1} + {2} AS y)))"
+    x, y = "(id % 50) * 0.001D", "floor(id / 50) * 0.001D"
+    lots = spark.range(2500).selectExpr("id AS lot_id", f"{x} AS x", f"{y} AS y", square.format(x, y, "0.0008D") + " AS shape")
+    # every second lot has a house on half of its area, that reaches a quarter into the lot above, and a slanted one inside that adds nothing
+    houses = spark.range(2500).where("id % 2 = 0").selectExpr(square.format(x, f"({y} + 0.0004D)", "0.0008D") + " AS footprint")
+    slanted = spark.range(2500).where("id % 2 = 0").selectExpr(f"array(array(struct({x} AS x, {y} + 0.0005D AS y), struct({x} + 0.0008D AS x, {y} + 0.0006D AS y), struct({x} AS x, {y} + 0.0007D AS y))) AS footprint")
+    streets = spark.range(3).selectExpr("array(struct(id * 0.0001D AS x, -1.0D AS y), struct(id * 0.0001D AS x, 1.0D AS y)) AS line", "id % 2 AS name", "id = 2 AS is_lane")
+    addresses = spark.range(2500).selectExpr(f"{x} + 0.0004D AS x", f"{y} + 0.0004D AS y", "1 AS address")
+    d = pipelines.parcel_surroundings(lots, streets, houses.unionByName(slanted), addresses, 0.0005)
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    got = d.collect()
+    assert len(got) == 2500 and all(r.points == 1 and r.addresses == 1 for r in got)
+    for r in got:
+        assert r.coverage == pytest.approx((0.5 + 0.25 * (r.lot_id >= 50)) * (r.lot_id % 2 == 0), abs=1e-9) and r.bare == pytest.approx(1 - r.coverage, abs=1e-9)
+        assert (r.corner, r.lane) == (r.lot_id % 50 == 0, r.lot_id % 50 == 0), r
+        assert r.street_m == pytest.approx(95_000 * max(r.lot_id % 50 * 0.001 - 0.0001, 0) if r.lot_id % 50 <= 20 else 99_999, abs=1e-6), r
