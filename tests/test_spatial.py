@@ -444,3 +444,27 @@ def test_cells_of_parcel_surroundings_are_not_sent_through_the_driver(spark):
         assert r.coverage == pytest.approx((0.5 + 0.25 * (r.lot_id >= 50)) * (r.lot_id % 2 == 0), abs=1e-9) and r.bare == pytest.approx(1 - r.coverage, abs=1e-9)
         assert (r.corner, r.lane) == (r.lot_id % 50 == 0, r.lot_id % 50 == 0), r
         assert r.street_m == pytest.approx(95_000 * max(r.lot_id % 50 * 0.001 - 0.0001, 0) if r.lot_id % 50 <= 20 else 99_999, abs=1e-6), r
+
+
+def test_count_and_nearest_within_a_radius_against_every_pair(spark):
+    rng = random.Random(21)
+    left = [(k, -79.4 + rng.random() * 0.05, 43.6 + rng.random() * 0.05) for k in range(60)] + [(900, None, 43.6), (901, 10.0, 10.0)]
+    right = [(100 + k, -79.4 + rng.random() * 0.05, 43.6 + rng.random() * 0.05, rng.choice([None, rng.random()])) for k in range(80)]
+    right += [(7, *left[7][1:], 5.0), (8, *left[9][1:], 6.0), (6, *left[9][1:], 7.0), (990, None, 43.6, 1.0)]  # itself; two in one place
+    l, r = spark.createDataFrame(left, "k long, x double, y double"), spark.createDataFrame(right, "s long, sx double, sy double, v double")
+    want = {}
+    for k, x, y in left:
+        d = sorted(((haversine(x, y, sx, sy), s, v) for s, sx, sy, v in right if None not in (x, sx) and s != k), key=lambda t: t[:2])
+        if d and d[0][0] <= 1500:
+            want[k] = (sum(t[0] <= 1500 for t in d), d[0][2])
+    assert len(want) > 50 and want[9][1] == 7.0
+    for block in (4, 1024):
+        found = spatial.radius_nearest(l, r, "k", "x", "y", "s", "sx", "sy", "v", 1500.0, block)
+        assert {t.k: (t.around, t.nearest_value) for t in found.collect()} == want
+
+
+def test_radius_query_sorts_no_pairs(spark, data):
+    from parcelflow.plans import registry
+
+    plan = registry.queries()["J18_within_radius_nearest"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ASIN" not in plan.upper()  # distances are told in blocks, not for a row of each pair
